@@ -8,7 +8,7 @@ Python UDF.  Squares are numbered row-major: ``idx = row * width + col``.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,8 +183,19 @@ def square_image_arith(p, k: int, board: Board = DEFAULT_BOARD) -> Column:
     return r2 * board.width + c2
 
 
+@lru_cache(maxsize=None)
+def array_literal(values: tuple, sql_type: str) -> Column:
+    """One array literal built from a single SQL expression (one call into the
+    JVM, instead of one per element); cached per table."""
+    if sql_type == "boolean":
+        body = ",".join("true" if v else "false" for v in values)
+    else:
+        body = ",".join(str(int(v)) for v in values)
+    return F.expr(f"CAST(array({body}) AS ARRAY<{sql_type}>)")
+
+
 def _image_table(board: Board) -> Column:
-    return F.lit(board.image_table).cast("array<tinyint>" if board.n_squares <= 128 else "array<int>")
+    return array_literal(tuple(board.image_table), "tinyint" if board.n_squares <= 128 else "int")
 
 
 def square_image(p, k, board: Board = DEFAULT_BOARD) -> Column:
@@ -230,7 +241,7 @@ def canonical_symmetry(tour, board: Board = DEFAULT_BOARD) -> Column:
     n = board.n_squares
     if n > 256:  # table would be too large for a literal: always fall back
         return F.lit(-1)
-    table = F.lit(board.canonical_pair_table).cast("array<tinyint>")
+    table = array_literal(tuple(board.canonical_pair_table), "tinyint")
 
     def body(t):
         a = F.element_at(t, 1).cast("int")
@@ -311,7 +322,7 @@ def is_step(a, b, board: Board = DEFAULT_BOARD) -> Column:
         return is_step_arith(a, b, board)
     a = _c(a).cast("int")
     b = _c(b).cast("int")
-    table = F.lit(board.step_table)
+    table = array_literal(tuple(board.step_table), "boolean")
     return F.when(in_board(a, board) & in_board(b, board),
                   F.element_at(table, a * n + b + 1)).otherwise(F.lit(False))
 
@@ -369,7 +380,7 @@ def is_valid_tour(tour, board: Board = DEFAULT_BOARD) -> Column:
 
 def free_degree(square, visited, board: Board = DEFAULT_BOARD) -> Column:
     """Number of moves from ``square`` to squares not in the ``visited`` bitmask."""
-    masks = F.lit(board.neighbour_masks).cast("array<bigint>")
+    masks = array_literal(tuple(board.neighbour_masks), "bigint")
     m = F.element_at(masks, _c(square).cast("int") + 1)
     return F.bit_count(m.bitwiseAND(~_c(visited)))
 

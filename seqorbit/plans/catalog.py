@@ -74,8 +74,9 @@ def tours(spark, sf) -> DataFrame:
 
 
 def canon(spark, sf) -> DataFrame:
-    """Valid tours, one row per canonical form."""
-    return C.canonical_unique(tours(spark, sf), BOARD)
+    """Valid tours, one row per canonical form (staged: the split operators
+    read it several times)."""
+    return staged(spark, sf, "canon", lambda: C.canonical_unique(tours(spark, sf), BOARD))
 
 
 def _k(col: str, out: str):
@@ -101,9 +102,9 @@ def q_dup_audit(spark, sf):
 
 
 @register("canonical_tours", "A-6 Y-3 U-4",
-          PRE + " SELECT canon AS canon_key, start, min(tour_id) AS tour_id, "
-          "arg_min(source, tour_id) AS source, count(*) AS n_copies FROM tv WHERE valid "
-          "GROUP BY canon, start")
+          PRE + " SELECT canon AS canon_key, CAST(substr(canon, 1, 2) AS INTEGER) AS start, "
+          "min(tour_id) AS tour_id, arg_min(source, tour_id) AS source, count(*) AS n_copies "
+          "FROM tv WHERE valid GROUP BY canon")
 def q_canonical_tours(spark, sf):
     c = canon(spark, sf)
     return c.select(_k("canon", "canon_key"), "start", "tour_id", "source", "n_copies")

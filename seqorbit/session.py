@@ -80,3 +80,17 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def broadcast_if_small(df: DataFrame, bound_rows: int | None = None,
+                       max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only for a side whose row count is bounded by
+    construction (``bound_rows``: e.g. one row per group of a known small
+    domain, or a board-sized table) and under ``max_rows``.  Without a proven
+    bound the join is left to AQE, which switches to a broadcast at run time
+    only when the measured side is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and shuffles otherwise."""
+    from pyspark.sql import functions as F
+    if bound_rows is not None and bound_rows <= max_rows:
+        return F.broadcast(df)
+    return df
