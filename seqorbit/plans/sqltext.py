@@ -133,3 +133,35 @@ def tours_prelude(board: Board = DEFAULT_BOARD) -> str:
         "CAST(substr(canon, 1, 2) AS INTEGER) AS start "
         "FROM tv WHERE valid GROUP BY canon)"
     )
+
+
+def completions_cte(board: Board = DEFAULT_BOARD) -> str:
+    """CTE text: ``comp(model, case_id, given_len, given, tour)`` (fixture C)."""
+    n = board.n_squares
+    long = fixture_long("orders", "o_orderkey", "o_custkey",
+                        "o_orderkey AS case_id, o_orderstatus AS model")
+    r18 = fx.REVISIT_FROM - 1
+    return (
+        f"cl AS ({long}), "
+        f"ca AS (SELECT case_id, model, any_value(_key) AS _key, list(q ORDER BY i) AS clean, "
+        f"list({corrupt()} ORDER BY i) AS outl FROM cl GROUP BY case_id, model), "
+        f"comp AS (SELECT model, case_id, CAST(1 + _key % {fx.PROMPT_SPREAD} AS INTEGER) AS given_len, "
+        f"clean[1:1 + _key % {fx.PROMPT_SPREAD}] AS given, "
+        f"(CASE WHEN _key % {fx.REVISIT_EVERY} = 0 THEN list_transform(range({n}), lambda i: "
+        f"CASE WHEN i >= {fx.REVISIT_FROM} THEN outl[{r18} + i % 2] ELSE outl[i + 1] END) ELSE outl END)"
+        f"[1:(CASE WHEN _key % {fx.TRUNCATE_EVERY} = 0 THEN {fx.TRUNCATE_TO} ELSE {n} END)] AS tour FROM ca)")
+
+
+def first_bad(t: str, board: Board = DEFAULT_BOARD) -> str:
+    return (f"(list_filter(range(1, len({t})), lambda j: NOT {step(f'{t}[j]', f'{t}[j + 1]', board)})[1] + 1)")
+
+
+def onward_count(t: str, upto: str, board: Board = DEFAULT_BOARD) -> str:
+    """Legal moves from ``t[upto]`` to squares not in ``t[1:upto]``."""
+    w, h = board.width, board.height
+    p = f"{t}[{upto}]"
+    cands = ", ".join(
+        f"CASE WHEN {p} // {w} + ({dr}) BETWEEN 0 AND {h - 1} AND {p} % {w} + ({dc}) BETWEEN 0 AND {w - 1} "
+        f"THEN ({p} // {w} + ({dr})) * {w} + {p} % {w} + ({dc}) END" for dr, dc in board.offsets)
+    return (f"len(list_filter([{cands}], lambda q: q IS NOT NULL AND NOT list_contains("
+            f"{t}[1:{upto}], CAST(q AS TINYINT))))")
