@@ -378,11 +378,17 @@ def is_valid_tour(tour, board: Board = DEFAULT_BOARD) -> Column:
     return is_legal(tour, board) & is_unique(tour)
 
 
+def square_bit(square) -> Column:
+    """BIGINT with only the bit of ``square`` set (squares 0..63)."""
+    bits = tuple((1 << i) - (1 << 64) if i == 63 else (1 << i) for i in range(64))
+    return F.element_at(array_literal(bits, "bigint"), _c(square).cast("int") + 1)
+
+
 def free_degree(square, visited, board: Board = DEFAULT_BOARD) -> Column:
     """Number of moves from ``square`` to squares not in the ``visited`` bitmask."""
     masks = array_literal(tuple(board.neighbour_masks), "bigint")
     m = F.element_at(masks, _c(square).cast("int") + 1)
-    return F.bit_count(m.bitwiseAND(~_c(visited)))
+    return F.bit_count(m.bitwiseAND(F.bitwise_not(_c(visited))))
 
 
 def onward_moves(tour, board: Board = DEFAULT_BOARD) -> Column:

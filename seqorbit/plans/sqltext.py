@@ -165,3 +165,14 @@ def onward_count(t: str, upto: str, board: Board = DEFAULT_BOARD) -> str:
         f"THEN ({p} // {w} + ({dr})) * {w} + {p} % {w} + ({dc}) END" for dr, dc in board.offsets)
     return (f"len(list_filter([{cands}], lambda q: q IS NOT NULL AND NOT list_contains("
             f"{t}[1:{upto}], CAST(q AS TINYINT))))")
+
+
+def onward_list(t: str, board: Board = DEFAULT_BOARD) -> str:
+    """Legal moves from the last square of ``t`` to squares not in ``t``."""
+    w, h = board.width, board.height
+    p = f"{t}[len({t})]"
+    cands = ", ".join(
+        f"CASE WHEN {p} // {w} + ({dr}) BETWEEN 0 AND {h - 1} AND {p} % {w} + ({dc}) BETWEEN 0 AND {w - 1} "
+        f"THEN ({p} // {w} + ({dr})) * {w} + {p} % {w} + ({dc}) END" for dr, dc in board.offsets)
+    return (f"list_filter([{cands}], lambda q: q IS NOT NULL AND NOT list_contains("
+            f"{t}, CAST(q AS TINYINT)))")
