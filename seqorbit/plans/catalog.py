@@ -87,7 +87,7 @@ def _k(col: str, out: str):
 # slice 0 + corpus profile (A-1..A-6, Y-3, Y-6, F-14)
 # --------------------------------------------------------------------------
 
-@register("canonical_per_start", "A-5 A-6 Y-3 A-3",
+@register("canonical_per_start", "A-5 A-6 Y-3 A-3 P-3 Y-1",
           PRE + " SELECT start, count(*) AS n_tours FROM vcanon GROUP BY start")
 def q_canonical_per_start(spark, sf):
     return C.per_start_counts(canon(spark, sf))

@@ -41,7 +41,7 @@ def q_continuation_paths(spark, sf):
         F.count("*").alias("n_paths"))
 
 
-@register("warnsdorff_paths", "G-3 O-3 G-1")
+@register("warnsdorff_paths", "G-3 O-3 G-1 P-4")
 def q_warnsdorff_paths(spark, sf):
     out = P.warnsdorff_complete(valid_partials(spark, sf), "tour", 42, BOARD)
     return out.select("tour_id", "complete", B.tour_key("path", BOARD).alias("path_key"),

@@ -192,7 +192,7 @@ def event_tours(spark, sf):
     return staged(spark, sf, "event_tours", lambda: FX.tours_from_events(ev))
 
 
-@register("seen_set_exclusion", "J-3 G-8 U-2",
+@register("seen_set_exclusion", "J-3 J-1 G-8 U-2",
           "WITH " + Q.fixture_tours_cte("events", "event_id", "user_id", "event_type", "et") + ", "
           + Q.fixture_tours_cte() +
           f", ek AS (SELECT tour_id, {Q.canon_key('tour')} AS canon FROM et), "

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("catalog", "catalog_splits", "catalog_scoring", "catalog_paths", "catalog_sinks")
+_MODULES = ("catalog", "catalog_splits", "catalog_scoring", "catalog_paths", "catalog_sinks",
+            "catalog_extra")
 
 
 def _load():
