@@ -194,6 +194,19 @@ def array_literal(values: tuple, sql_type: str) -> Column:
     return F.expr(f"CAST(array({body}) AS ARRAY<{sql_type}>)")
 
 
+@lru_cache(maxsize=None)
+def nested_array_literal(rows: tuple, sql_type: str) -> Column:
+    """An array of arrays as one SQL expression (cached per table)."""
+    body = ",".join("array(" + ",".join(str(int(v)) for v in r) + ")" if r else
+                    f"CAST(array() AS ARRAY<{sql_type}>)" for r in rows)
+    return F.expr(f"CAST(array({body}) AS ARRAY<ARRAY<{sql_type}>>)")
+
+
+def neighbour_lists(board: Board) -> Column:
+    """Per square, the squares one move away (derived from the offsets)."""
+    return nested_array_literal(tuple(tuple(board.neighbours_of(p)) for p in range(board.n_squares)), "int")
+
+
 def _image_table(board: Board) -> Column:
     return array_literal(tuple(board.image_table), "tinyint" if board.n_squares <= 128 else "int")
 

@@ -21,24 +21,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.board import (
-    DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, col_of, onward_moves, row_of, square_bit,
+    DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, let, neighbour_lists, onward_moves, square_bit,
 )
 from ..session import cut_lineage
 
 
+def _level_columns(df: DataFrame, path: str, levels: int, board: Board) -> DataFrame:
+    """Add ``l1 … lL``: per row, the arrays of all simple continuations by
+    exactly d moves, built level by level inside the row (at most 8**d
+    paths per seed, the expansion bound)."""
+    out = df.withColumn("l0", F.array(F.col(path)))
+    for d in range(1, levels + 1):
+        out = out.withColumn(f"l{d}", F.flatten(F.transform(
+            f"l{d - 1}", lambda p: F.transform(onward_moves(p, board),
+                                               lambda q: F.concat(p, F.array(q.cast("tinyint")))))))
+    return out
+
+
 def expand_levels(seeds: DataFrame, levels: int, path: str = "tour",
                   board: Board = DEFAULT_BOARD, keep: tuple[str, ...] = ("tour_id",)) -> DataFrame:
     """All simple continuations of each seed path by 1..``levels`` moves:
-    ``(keep…, depth, path)``.  The output grows by up to 8x per level, so
-    ``levels`` is the bound."""
-    cur = seeds.select(*keep, F.col(path).alias("path"))
-    out = None
-    for depth in range(1, levels + 1):
-        cur = (cur.select(*keep, "path", F.explode(onward_moves("path", board)).alias("q"))
-                  .select(*keep, F.concat("path", F.array(F.col("q").cast("tinyint"))).alias("path")))
-        lvl = cur.withColumn("depth", F.lit(depth))
-        out = lvl if out is None else out.unionByName(lvl)
-    return out.select(*keep, "depth", "path")
+    ``(keep…, depth, path)``.  Every level is computed once per seed inside
+    its row (narrow; no join, no shuffle, no recomputation of earlier
+    levels); the output grows by up to 8x per level, so ``levels`` is the
+    bound."""
+    d = _level_columns(seeds.select(*keep, path), path, levels, board)
+    def tag(k):
+        return lambda p: F.struct(F.lit(k).alias("depth"), p.alias("path"))
+    tagged = F.concat(*[F.transform(f"l{k}", tag(k)) for k in range(1, levels + 1)])
+    return d.select(*keep, F.inline(tagged))
+
+
+def count_levels(seeds: DataFrame, levels: int, path: str = "tour",
+                 board: Board = DEFAULT_BOARD, keep: tuple[str, ...] = ("tour_id",)) -> DataFrame:
+    """``(keep…, depth, n_paths)``: the number of simple continuations per
+    depth, without materialising one row per path."""
+    d = _level_columns(seeds.select(*keep, path), path, levels, board)
+    sizes = F.array(*[F.struct(F.lit(k).alias("depth"), F.size(f"l{k}").cast("long").alias("n_paths"))
+                      for k in range(1, levels + 1)])
+    return d.select(*keep, F.inline(sizes)).where(F.col("n_paths") > 0)
 
 
 def _mask_of(path: Column) -> Column:
@@ -51,13 +72,8 @@ def _candidates(last: Column, visited: Column, board: Board) -> Column:
     """Next squares from ``last`` not in ``visited`` as (degree, square) structs,
     degree = unvisited onward moves from the candidate (Warnsdorff's rule)."""
     masks = array_literal(tuple(board.neighbour_masks), "bigint")
-    r, c = row_of(last, board), col_of(last, board)
-    raw = F.array(*[
-        F.when((r + dr).between(0, board.height - 1) & (c + dc).between(0, board.width - 1),
-               (r + dr) * board.width + (c + dc))
-        for dr, dc in board.offsets])
-    free = F.filter(raw, lambda q: q.isNotNull() & (
-        visited.bitwiseAND(square_bit(q)) == 0))
+    raw = F.element_at(neighbour_lists(board), last + 1)
+    free = F.filter(raw, lambda q: visited.bitwiseAND(square_bit(q)) == 0)
     return F.transform(free, lambda q: F.struct(
         F.bit_count(F.element_at(masks, q + 1).bitwiseAND(F.bitwise_not(visited.bitwiseOR(
             square_bit(q))))).alias("deg"),
@@ -80,17 +96,19 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
 
     def step(acc, i):
         last = F.element_at(acc["p"], -1).cast("int")
-        cands = _candidates(last, acc["v"], board)
-        ranked = F.transform(cands, lambda x: F.struct(
+        ranked = F.transform(_candidates(last, acc["v"], board), lambda x: F.struct(
             x["deg"].alias("deg"), F.xxhash64(F.lit(seed), key, i, x["q"]).alias("h"), x["q"].alias("q")))
-        best = F.array_min(ranked)
         done = acc["stuck"] | (F.size(acc["p"]) >= n)
-        nxt = F.struct(
-            F.concat(acc["p"], F.array(best["q"].cast("tinyint"))).alias("p"),
-            acc["v"].bitwiseOR(square_bit(best["q"])).alias("v"),
-            F.lit(False).alias("stuck"))
         stuck = F.struct(acc["p"].alias("p"), acc["v"].alias("v"), F.lit(True).alias("stuck"))
-        return F.when(done, acc).when(F.size(cands) == 0, stuck).otherwise(nxt)
+
+        def advance(best):
+            return F.struct(
+                F.concat(acc["p"], F.array(best["q"].cast("tinyint"))).alias("p"),
+                acc["v"].bitwiseOR(square_bit(best["q"])).alias("v"),
+                F.lit(False).alias("stuck"))
+        # candidates and the chosen move are each evaluated once (``let``)
+        return F.when(done, acc).otherwise(let(ranked, lambda rk: F.when(
+            F.size(rk) == 0, stuck).otherwise(let(F.array_min(rk), advance))))
 
     steps = F.sequence(F.lit(1), F.greatest(F.lit(n) - F.size(start), F.lit(1)))
     walk = F.aggregate(steps, init, step)

@@ -36,9 +36,7 @@ def _levels_sql():
 
 @register("continuation_paths", "G-6 G-2 G-1 J-7 V-6 V-7", _levels_sql())
 def q_continuation_paths(spark, sf):
-    paths = P.expand_levels(valid_partials(spark, sf), CONTINUATION_LEVELS, "tour", BOARD)
-    return paths.groupBy("tour_id", F.col("depth").cast("int").alias("depth")).agg(
-        F.count("*").alias("n_paths"))
+    return P.count_levels(valid_partials(spark, sf), CONTINUATION_LEVELS, "tour", BOARD)
 
 
 @register("warnsdorff_paths", "G-3 O-3 G-1 P-4")
