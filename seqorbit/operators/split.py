@@ -21,7 +21,9 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
+
+MAX_BROADCAST_GROUPS = 100_000
 
 
 def hash_hex(key, seed) -> Column:
@@ -53,9 +55,17 @@ def kth_keys(d: DataFrame, by: list[str], tie: tuple[str, ...], targets: dict,
              bound: int | None) -> DataFrame:
     """Per group and target name: the ``(__h, tie…)`` of the ``target(n)``-th
     row in hash order (no row when the target is 0).  ``d`` carries ``__h``,
-    ``__b1``, ``__b2``; it is scanned three times, never sorted."""
+    ``__b1``, ``__b2``; it is scanned three times, never sorted.  Returns
+    the k-th keys and the group bound used for broadcasts."""
     names = list(targets)
     b1 = d.groupBy(*by, "__b1").agg(F.count("*").alias("cnt"))
+    if bound is None:
+        # the bucket histogram has at most 65,536 rows per group: stage it
+        # (reliable checkpoint) and count the groups, so the broadcasts
+        # below happen only behind a measured bound
+        b1 = cut_lineage(b1)
+        n_groups = b1.select(*by).distinct().count()
+        bound = n_groups if n_groups <= MAX_BROADCAST_GROUPS else None
     tot = b1.groupBy(*by).agg(F.sum("cnt").alias("__n"))
     tg = tot.select(*by, F.explode(F.array(*[
         F.struct(F.lit(nm).alias("tname"), targets[nm](F.col("__n")).alias("__t")) for nm in names
@@ -70,8 +80,9 @@ def kth_keys(d: DataFrame, by: list[str], tie: tuple[str, ...], targets: dict,
     # level 3: rank the rows of the cut sub-bucket (about rows / 2**32)
     in2 = in1.join(cut2, [*by, "tname"]).where(F.col("__b2") == F.col("__b2_cut"))
     w = Window.partitionBy(*by, "tname").orderBy("__h", *tie)
-    return (in2.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == F.col("__b2_need"))
-               .select(*by, "tname", F.struct("__h", *tie).alias("__kth")))
+    kth = (in2.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == F.col("__b2_need"))
+              .select(*by, "tname", F.struct("__h", *tie).alias("__kth")))
+    return kth, bound
 
 
 def exact_pick_many(df: DataFrame, key, seed, targets: dict, by: tuple[str, ...] = (),
@@ -80,17 +91,20 @@ def exact_pick_many(df: DataFrame, key, seed, targets: dict, by: tuple[str, ...]
     ``target(n_group)`` rows per group with the smallest ``(md5(key:seed),
     tie…)``.  Exact, order-independent, nested across targets.
 
-    ``max_groups``: a known bound on the number of groups; the per-group cut
-    tables are then broadcast, else AQE decides from their measured size."""
+    ``max_groups``: a known bound on the number of groups.  Without it the
+    groups are counted from the staged bucket histogram; the per-group cut
+    tables are broadcast when that count is at most ``MAX_BROADCAST_GROUPS``
+    and joined by shuffle beyond it."""
     bound = 1 if not by else max_groups
     by = list(by) or ["__all"]
     d = df.withColumn("__all", F.lit(0)) if by == ["__all"] else df
     d = d.withColumn("__h", hash_hex(key, seed))
     d = d.withColumn("__b1", F.substring("__h", 1, 4)).withColumn("__b2", F.substring("__h", 5, 4))
-    kth = kth_keys(d, by, tie, targets, bound)
+    kth, bound = kth_keys(d, by, tie, targets, bound)
     wide = kth.groupBy(*by).pivot("tname", list(targets)).agg(F.first("__kth"))
-    nb = None if bound is None else bound
-    d = d.join(broadcast_if_small(wide, nb), by, "left")
+    # one row per group: broadcast when the group count is bounded, so the
+    # data is never shuffled by the (possibly skewed) group key
+    d = d.join(broadcast_if_small(wide, bound), by, "left")
     me = F.struct("__h", *tie)
     for nm in targets:
         d = d.withColumn(f"__flag_{nm}", F.coalesce(me <= F.col(nm), F.lit(False)))
