@@ -204,6 +204,8 @@ def q_seen_set_exclusion(spark, sf):
         B.tour_key("canon", BOARD).alias("canon_key"))
     new = B.with_canonical(event_tours(spark, sf).select("tour_id", "tour"), board=BOARD).select(
         "tour_id", B.tour_key("canon", BOARD).alias("canon_key"))
-    fresh = H.difference(new, seen, ["canon_key"])
-    return fresh.groupBy("canon_key").agg(F.min("tour_id").alias("first_event_id"),
-                                          F.count("*").alias("n_events"))
+    # one row per key before the join: hot keys collapse in the partial
+    # aggregate instead of landing in one join partition
+    per_key = new.groupBy("canon_key").agg(F.min("tour_id").alias("first_event_id"),
+                                           F.count("*").alias("n_events"))
+    return H.difference(per_key, seen, ["canon_key"])
