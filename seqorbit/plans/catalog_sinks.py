@@ -39,7 +39,8 @@ def _packed_sql():
 @register("packed_samples", "F-10 H-6 M-5 S-13", _packed_sql())
 def q_packed_samples(spark, sf):
     sp = parts(spark, sf)["split"]
-    lv = S.nested_levels(sp, "image_key", NESTED, SEED, by=("split",), tie=("tour_id", "sym_id"))
+    lv = S.nested_levels(sp, "image_key", NESTED, SEED, by=("split",), tie=("tour_id", "sym_id"),
+                         max_groups=2)
     sub = lv.where(F.col("min_fraction") <= 0.1)
     packed = sub.select("split", F.col("image_key").alias("k"))
     return packed.select(F.col("k").alias("input_ids"), F.col("k").alias("labels"), "split")

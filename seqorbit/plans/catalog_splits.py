@@ -161,7 +161,9 @@ def _nested_sql():
 @register("nested_fractions", "M-5 H-6 P-2", _nested_sql())
 def q_nested_fractions(spark, sf):
     sp = parts(spark, sf)["split"]
-    out = S.nested_levels(sp, "image_key", NESTED, SEED, by=("split",), tie=("tour_id", "sym_id"))
+    # two groups (train, val): a bound known by construction
+    out = S.nested_levels(sp, "image_key", NESTED, SEED, by=("split",), tie=("tour_id", "sym_id"),
+                          max_groups=2)
     return out.select("image_key", "split", "min_fraction")
 
 
