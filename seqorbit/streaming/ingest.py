@@ -72,7 +72,10 @@ def start_unique_ingest(spark: SparkSession, source_dir: str, store: str, checkp
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
     rows = canonical_rows(stream, board)
     if within_watermark:
-        rows = rows.withWatermark("ts", within_watermark).dropDuplicatesWithinWatermark(["canon_key"])
+        # event-time operators need TIMESTAMP; the tables carry TIMESTAMP_NTZ
+        # (session time zone is UTC), so the cast keeps the wall-clock value
+        rows = (rows.withColumn("ts", F.col("ts").cast("timestamp"))
+                    .withWatermark("ts", within_watermark).dropDuplicatesWithinWatermark(["canon_key"]))
     w = (rows.select("tour_id", "source", "canon_key", "bucket").writeStream
          .foreachBatch(lambda df, bid: ingest_batch(df, bid, store))
          .option("checkpointLocation", checkpoint))

@@ -74,3 +74,19 @@ def test_streaming_ingest_is_idempotent(spark):
     q = start_unique_ingest(spark, src, store, stage_path(spark, "replay-ckpt"))
     q.awaitTermination()
     assert spark.read.parquet(store).count() == n1
+
+
+def test_streaming_within_watermark_runs(spark):
+    from seqorbit.session import stage_path
+    from seqorbit.sources.fixtures import tours_from_events
+    from seqorbit.streaming.ingest import start_unique_ingest
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    tours = tours_from_events(ev)
+    src = stage_path(spark, "wm-src")
+    tours.select("tour_id", "source", "tour", "ts").repartition(2).write.parquet(src)
+    store = stage_path(spark, "wm-store")
+    q = start_unique_ingest(spark, src, store, stage_path(spark, "wm-ckpt"), within_watermark="1 hour")
+    q.awaitTermination()
+    n = spark.read.parquet(store).count()
+    distinct = B.with_canonical(tours.where(B.is_valid_tour("tour"))).select("canon").distinct().count()
+    assert n == distinct
