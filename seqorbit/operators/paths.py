@@ -9,10 +9,11 @@ Three forms, by how much state a seed needs:
   with the fewest-onward-moves rule and a seeded hash tie-break.  The whole
   walk is a per-row ``aggregate`` over a bitmask state, so seeds never leave
   their partition: no shuffle at all, linear in the number of seeds.
-* ``beam_search`` (G-4/G-5): several branches per seed, level-synchronous;
-  each level keeps the best ``beam`` children per seed (a window on the seed,
-  whose partition is bounded by beam x moves), with a reliable checkpoint
-  every few levels to cut the lineage.
+* ``beam_search_rows`` (G-4/G-5): several branches per seed; the beam (at
+  most ``beam`` paths) is advanced inside the row, so again no shuffle.
+* ``beam_search`` (G-4/G-5, same result): level-synchronous, one window on
+  the seed per level (partition bounded by beam x moves) and a reliable
+  checkpoint every few levels; for beams too wide to keep in one row.
 """
 
 from __future__ import annotations
@@ -149,3 +150,36 @@ def beam_search(seeds: DataFrame, beam: int, path: str = "tour", seed: int = 42,
     fin = cur.where(F.size("path") >= n).select(seed_id, "path")
     done = fin if done is None else done.unionByName(fin)
     return done.distinct()
+
+
+def beam_search_rows(seeds: DataFrame, beam: int, path: str = "tour", seed: int = 42,
+                     board: Board = DEFAULT_BOARD, seed_id: str = "tour_id") -> DataFrame:
+    """G-4/G-5 without shuffles: the same beam (per seed, the ``beam``
+    children with the fewest onward moves, ties by the seeded hash, then by
+    path) advanced inside each row by an ``aggregate`` over the levels.  A
+    seed's state is at most ``beam`` paths, so rows stay bounded; seeds never
+    leave their partition.  Returns the complete paths ``(seed_id, path)``."""
+    n = board.n_squares
+    start = F.col(path).cast(TOUR_TYPE)
+    sid = F.col(seed_id)
+    init = F.array(F.struct(F.lit(0).alias("deg"), F.lit(0).cast("long").alias("h"),
+                            start.alias("p"), _mask_of(start).alias("v")))
+
+    def children(node):
+        last = F.element_at(node["p"], -1).cast("int")
+        return F.transform(_candidates(last, node["v"], board), lambda c: F.struct(
+            c["deg"].alias("deg"),
+            F.xxhash64(F.lit(seed), sid, c["q"], F.size(node["p"])).alias("h"),
+            F.concat(node["p"], F.array(c["q"].cast("tinyint"))).alias("p"),
+            node["v"].bitwiseOR(square_bit(c["q"])).alias("v")))
+
+    def level(acc, _i):
+        grow = F.filter(acc, lambda x: F.size(x["p"]) < n)
+        done = F.filter(acc, lambda x: F.size(x["p"]) >= n)
+        nxt = F.slice(F.array_sort(F.flatten(F.transform(grow, children))), 1, beam)
+        return F.concat(done, nxt)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(n) - F.size(start), F.lit(1)))
+    final = F.aggregate(steps, init, level)
+    out = seeds.select(seed_id, F.explode(F.filter(final, lambda x: F.size(x["p"]) >= n)).alias("x"))
+    return out.select(seed_id, F.col("x.p").alias("path")).distinct()

@@ -48,6 +48,6 @@ def q_warnsdorff_paths(spark, sf):
 
 @register("bounded_paths_per_start", "G-4 G-5 O-4 O-6")
 def q_bounded_paths(spark, sf):
-    out = P.beam_search(valid_partials(spark, sf), BEAM, "tour", 42, BOARD)
+    out = P.beam_search_rows(valid_partials(spark, sf), BEAM, "tour", 42, BOARD)
     return out.select("tour_id", B.tour_key("path", BOARD).alias("path_key"),
                       B.is_valid_tour("path", BOARD).alias("valid"))
