@@ -19,9 +19,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write to the cluster's shared folder and read back (cuts lineage)."""
-    return materialize(df, f"llm-{name}")
+    """Write to the cluster's shared folder and read back: cuts lineage, and Spark
+    drops the shuffle files behind the table as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, None)
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        return materialize(df, f"llm-{name}")
+    finally:
+        if before is None:
+            conf.unset(_FREE_SHUFFLES)
+        else:
+            conf.set(_FREE_SHUFFLES, before)
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:

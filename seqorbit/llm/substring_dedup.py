@@ -129,6 +129,8 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = shared.astype(np.int8)
         rows = np.concatenate([perm, perm[new & again]])
         state = np.concatenate([state, np.full(int((new & again).sum()), 2, np.int8)])
+        back = np.argsort(rows, kind="stable")  # text order: neighbours share their ids' bytes
+        rows, state = rows[back], state[back]
         key = s[rows]
         spread = state == 1
         key[spread] = mix64(d[rows][spread].astype(np.uint64) * np.uint64(_W) + first[rows][spread].astype(np.uint64) + key[spread])
@@ -187,6 +189,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = (did != did[head]) | (start != start[head])
         out = key.copy()
         out[known] = mix64(key[known] + did[known].astype(np.uint64) * np.uint64(_W) + start[known].astype(np.uint64))
+        back = np.argsort(perm, kind="stable")  # text order again
+        out, row, start, did, known = out[back], row[back], start[back], did[back], known[back]
         yield pa.record_batch([pa.array(signed(out)), pa.array(did), pa.array(start.astype(np.int32)),
                                b.column(1).take(pa.array(row)), pa.array(known)],
                               names=["key", "did", "start", "tag", "known"])
@@ -243,8 +247,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
         _symbols, "key long, did long, tag long, start int, n int, state byte")
     shared = symbols.repartition("key").sortWithinPartitions("key").mapInArrow(
         _shared, "did long, tag long, start int, n int")
-    ranges = (shared.groupBy("did", "tag").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
-              .join(copies, ["did", "tag"], "left_anti"))
+    ranges = stage(shared.groupBy("did", "tag").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+                   .join(copies, ["did", "tag"], "left_anti"), "rep-ranges")
     once = src.select("did", "tag", "text").join(ranges, ["did", "tag"])
     windows = once.select("did", "tag", "text", "ranges").mapInArrow(
         _windows, "key long, did long, start int, tag long, known boolean")
