@@ -40,6 +40,11 @@ FREQUENT = 65536
 BLOOM_BITS = 1 << 26
 FIRST = 3
 TILE = 512
+#: 64-bit words of a line's bitmap; a power of two.
+BITMAPS = 4
+BITS = [f"b{k}" for k in range(BITMAPS)]
+#: Groups of up to this many lines are filtered together with others of their size.
+SMALL = 24
 
 
 def word_counts(src: DataFrame) -> DataFrame:
@@ -104,7 +109,8 @@ def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
     head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     n = np.diff(np.append(head, len(h)))
     key = mix64(np.add.reduceat(mix64(h + np.uint64(0x5851F42D4C957F2D)), head) + n.astype(np.uint64))
-    bitmap = np.bitwise_or.reduceat(np.uint64(1) << (h & np.uint64(63)), head)
+    bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(BITMAPS - 1)
+    bitmap = [np.bitwise_or.reduceat(np.where(part == k, bit, np.uint64(0)), head) for k in range(BITMAPS)]
     pos = np.arange(len(h)) - np.repeat(head, n)
     prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     post = (pos < np.repeat(prefix, n)) & rarity.repeats(h)
@@ -113,8 +119,8 @@ def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
     return text, line[head] - first_line[text], key, n, bitmap, offsets, h[post], pos[post], c[post]
 
 
-_LINES = ("lid long, did long, tag long, line int, n int, bits long, later boolean, "
-          "word array<long>, pos array<int>, c array<long>")
+_LINES = ("lid long, did long, tag long, line int, n int, later boolean, word array<long>, pos array<int>, c array<long>, "
+          + ", ".join(f"{b} long" for b in BITS))
 
 
 def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
@@ -139,24 +145,48 @@ def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
                 off = pa.array(offsets.astype(np.int32))
                 lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (signed(word), pos.astype(np.int32), c)]
                 yield pa.record_batch([pa.array(signed(key)), pa.array(did), b.column(1).slice(i, j - i).take(pa.array(text)),
-                                       pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(signed(bits)),
-                                       pa.array(later), *lists],
-                                      names=["lid", "did", "tag", "line", "n", "bits", "later", "word", "pos", "c"])
+                                       pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(later), *lists,
+                                       *[pa.array(signed(x)) for x in bits]],
+                                      names=["lid", "did", "tag", "line", "n", "later", "word", "pos", "c", *BITS])
 
     return src.select("did", "tag", "text").mapInArrow(run, _LINES)
 
 
 def postings(first: DataFrame, threshold: float) -> DataFrame:
-    """``(key, lid, did, line, n, bits, pos, home)``; a frequent word's key holds a band of line
+    """``(key, lid, did, line, n, pos, home)`` and the bitmap; a frequent word's key holds a band of line
     lengths, and lines of the next band visit it (home false)."""
     z = F.arrays_zip("word", "pos", "c")
-    each = first.select("lid", "did", "line", "n", "bits", F.explode(z).alias("z")).select(
-        "lid", "did", "line", "n", "bits", F.col("z.word").alias("word"), F.col("z.pos").alias("pos"), F.col("z.c").alias("c"))
+    each = first.select("lid", "did", "line", "n", *BITS, F.explode(z).alias("z")).select(
+        "lid", "did", "line", "n", *BITS, F.col("z.word").alias("word"), F.col("z.pos").alias("pos"), F.col("z.c").alias("c"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0 / threshold)).cast("int")
     rare = each.where("c = 0").withColumn("key", F.col("word")).withColumn("home", F.lit(True))
     often = each.where("c > 0").withColumn("band", F.explode(F.array(band, band - 1)))
     often = often.withColumn("key", F.xxhash64("word", "band")).withColumn("home", F.col("band") == band).drop("band")
-    return rare.unionByName(often).select("key", "lid", "did", "line", "n", "bits", "pos", "home")
+    return rare.unionByName(often).select("key", "lid", "did", "line", "n", "pos", "home", *BITS)
+
+
+class _Filter:
+    """The columns of posted lines and the filters a pair (later, earlier) must pass."""
+
+    def __init__(self, t: pa.Table, threshold: float):
+        self.t = threshold
+        self.lid, self.did, self.line, self.n, self.pos, self.home = (t.column(i).to_numpy() for i in range(1, 7))
+        self.bits = [t.column(7 + k).to_numpy().view(np.uint64) for k in range(BITMAPS)]
+
+    def passed(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """For row numbers that broadcast against each other."""
+        n, pos, t = self.n, self.pos, self.t
+        na, ne = n[a], n[e]
+        need = np.ceil(t / (1 + t) * (na + ne) - 1e-9)
+        ok = np.minimum(na, ne) >= t * np.maximum(na, ne) - 1e-9
+        ok &= np.minimum(na - pos[a], ne - pos[e]) >= need
+        ok &= (self.lid[a] != self.lid[e]) & (self.home[a] | self.home[e])
+        ok &= (self.did[e] < self.did[a]) | ((self.did[e] == self.did[a]) & (self.line[e] < self.line[a]))
+        at = np.nonzero(ok)
+        x, y = np.broadcast_to(a, ok.shape)[at], np.broadcast_to(e, ok.shape)[at]
+        apart = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bits)
+        ok[at] = n[x] + n[y] - apart >= 2 * need[at]
+        return ok
 
 
 def _partners(threshold: float, keep: int | None):
@@ -166,42 +196,53 @@ def _partners(threshold: float, keep: int | None):
     had others; without, every partner of the rows whose ``open`` is true."""
     def run(batches):
         for t, cuts in _runs(batches, 0):
-            lid, did, line, n, bits, pos = (t.column(i).to_numpy() for i in range(1, 7))
-            home = t.column(7).to_numpy()
-            undecided = t.column(8).to_numpy() if keep is None else None
-            bits = bits.view(np.uint64)
+            f = _Filter(t, threshold)
+            undecided = t.column(7 + BITMAPS).to_numpy() if keep is None else None
             later, earlier, more = [], [], []
-            for x, y in zip(cuts[:-1], cuts[1:]):
-                if y - x < 2:
-                    continue
+
+            def found(ok, a, e, have):
+                """Takes the passed pairs, given the partners each row of ``a`` already has."""
+                if undecided is not None:
+                    ok &= undecided[a]
+                else:
+                    nth = np.cumsum(ok, axis=-1) + have[..., None]
+                    have = have + ok.sum(axis=-1)
+                    ok = ok & (nth <= keep)
+                at = np.nonzero(ok)
+                x, y = np.broadcast_to(a, ok.shape)[at], np.broadcast_to(e, ok.shape)[at]
+                later.append(f.lid[x])
+                earlier.append(f.lid[y])
+                more.append(np.zeros(len(x), bool))
+                return have
+
+            def others(rows):
+                later.append(f.lid[rows])
+                earlier.append(f.lid[rows])
+                more.append(np.ones(len(rows), bool))
+
+            size = np.diff(cuts)
+            for g in np.unique(size[(size > 1) & (size <= SMALL)]):
+                first = cuts[:-1][size == g]
+                step = max(1, (1 << 20) // int(g * g))
+                for i in range(0, len(first), step):
+                    rows = first[i:i + step, None] + np.arange(g)
+                    a, e = rows[:, :, None], rows[:, None, :]
+                    have = found(f.passed(a, e), a, e, np.zeros(rows.shape, np.int64))
+                    if keep is not None:
+                        others(rows[have > keep])
+            for x, y in zip(cuts[:-1][size > SMALL], cuts[1:][size > SMALL]):
                 for s in range(x, y, TILE):
                     a = np.arange(s, min(s + TILE, y))
                     if undecided is not None:
                         a = a[undecided[a]]
+                        if not len(a):
+                            continue
                     have = np.zeros(len(a), np.int64)
-                    for u in range(x, a[-1] + 1 if len(a) else x, TILE):
+                    for u in range(x, a[-1] + 1, TILE):
                         e = np.arange(u, min(u + TILE, a[-1] + 1))
-                        small, big = np.minimum(n[a][:, None], n[e]), np.maximum(n[a][:, None], n[e])
-                        total = n[a][:, None] + n[e]
-                        need = np.ceil(threshold / (1 + threshold) * total - 1e-9)
-                        left = 1 + np.minimum((n - pos)[a][:, None], (n - pos)[e]) - 1
-                        apart = np.bitwise_count(bits[a][:, None] ^ bits[e])
-                        ok = (small >= threshold * big - 1e-9) & (left >= need) & (total - apart >= 2 * need)
-                        ok &= (lid[a][:, None] != lid[e]) & (home[a][:, None] | home[e])
-                        ok &= (did[e] < did[a][:, None]) | ((did[e] == did[a][:, None]) & (line[e] < line[a][:, None]))
-                        if keep is not None:
-                            nth = np.cumsum(ok, axis=1) + have[:, None]
-                            have += ok.sum(axis=1)
-                            ok &= nth <= keep
-                        i, j = np.nonzero(ok)
-                        later.append(lid[a[i]])
-                        earlier.append(lid[e[j]])
-                        more.append(np.zeros(len(i), bool))
+                        have = found(f.passed(a[:, None], e[None, :]), a[:, None], e[None, :], have)
                     if keep is not None:
-                        rest = a[have > keep]
-                        later.append(lid[rest])
-                        earlier.append(lid[rest])
-                        more.append(np.ones(len(rest), bool))
+                        others(a[have > keep])
             if later:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in (later, earlier, more)],
                                       names=["later", "earlier", "more"])
@@ -265,7 +306,7 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
     rarity = spark.sparkContext.broadcast(Rarity(stage(word_counts(src), "line-counts")))
     lines = stage(line_table(src, rarity, threshold), "line-table")
     heads = lines.where("NOT later")
-    first = stage(heads.groupBy("lid").agg(F.min(F.struct("did", "line", "tag", "n", "bits", "word", "pos", "c")).alias("f"))
+    first = stage(heads.groupBy("lid").agg(F.min(F.struct("did", "line", "tag", "n", "word", "pos", "c", *BITS)).alias("f"))
                   .select("lid", "f.*"), "line-first")
     posted = postings(first.where(F.size("word") > 0), threshold)
     pair_type = "later long, earlier long, more boolean"
@@ -278,7 +319,7 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
         keys = posted.join(rest, "lid", "left_semi").select("key").distinct()
         again = posted.join(stage(keys, "line-keys"), "key", "left_semi").join(
             rest.withColumn("open", F.lit(True)), "lid", "left").select(
-            "key", "lid", "did", "line", "n", "bits", "pos", "home", F.coalesce("open", F.lit(False)).alias("open"))
+            "key", "lid", "did", "line", "n", "pos", "home", *BITS, F.coalesce("open", F.lit(False)).alias("open"))
         all_pairs = stage(again.repartition("key").sortWithinPartitions("key", "did", "line").mapInArrow(
             _partners(threshold, None), pair_type).select("later", "earlier").distinct()
             .join(found.where("NOT more"), ["later", "earlier"], "left_anti"), "line-pairs2")
