@@ -407,7 +407,7 @@ def free_degree(square, visited, board: Board = DEFAULT_BOARD) -> Column:
 def onward_moves(tour, board: Board = DEFAULT_BOARD) -> Column:
     """Legal moves from the last square to squares not yet in ``tour`` (V-7)."""
     t = _c(tour)
-    last = F.element_at(t, -1).cast("int")
+    last = F.try_element_at(t, F.lit(-1)).cast("int")
     r = (last / board.width).cast("int")
     c = last % board.width
     cands = F.array(*[

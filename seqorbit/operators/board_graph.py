@@ -66,7 +66,7 @@ def edge_usage(df: DataFrame, edges: DataFrame, tour: str = "tour",
     used = (moves(df, tour, board, keep=()).groupBy("pos", "nxt")
             .agg(F.count("*").alias("n_uses")))
     e = edges.select(F.col("src").alias("pos"), F.col("dst").alias("nxt"))
-    return (F.broadcast(e).join(used, ["pos", "nxt"], "left")
+    return (e.join(F.broadcast(used), ["pos", "nxt"], "left")
             .select(F.col("pos").alias("src"), F.col("nxt").alias("dst"),
                     F.coalesce("n_uses", F.lit(0)).alias("n_uses")))
 

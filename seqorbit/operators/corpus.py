@@ -50,14 +50,14 @@ def canonical_unique(tours: DataFrame, board: Board = DEFAULT_BOARD, valid_only:
     if not extra:
         # fixed-width buffers only: Spark plans a hash aggregate
         out = df.groupBy("canon").agg(F.min("tour_id").alias("tour_id"), F.count("*").alias("n_copies"))
-        return out.select("canon", F.element_at("canon", 1).cast("int").alias("start"),
+        return out.select("canon", F.try_element_at("canon", F.lit(1)).cast("int").alias("start"),
                           "tour_id", "n_copies")
     # a struct buffer (to carry the extra columns of the kept row) makes it
     # a sort-based aggregate, still with a partial map-side step
     first = F.min(F.struct("tour_id", *extra))
     out = df.groupBy("canon").agg(first.alias("_first"), F.count("*").alias("n_copies"))
     return out.select(
-        "canon", F.element_at("canon", 1).cast("int").alias("start"),
+        "canon", F.try_element_at("canon", F.lit(1)).cast("int").alias("start"),
         F.col("_first.tour_id").alias("tour_id"),
         *[F.col(f"_first.{c}").alias(c) for c in extra], "n_copies")
 

@@ -25,7 +25,7 @@ def score(completions: DataFrame, board: Board = DEFAULT_BOARD) -> DataFrame:
     t = F.col("tour")
     return completions.select(
         "*",
-        F.element_at("given", 1).cast("int").alias("start"),
+        F.try_element_at("given", F.lit(1)).cast("int").alias("start"),
         is_legal(t, board).alias("legal"),
         is_unique(t).alias("uniq"),
         (F.size(t) == board.n_squares).alias("complete"),
@@ -54,7 +54,7 @@ def by_given_len(scored: DataFrame) -> DataFrame:
 
 def case_set(scored: DataFrame, board: Board = DEFAULT_BOARD) -> DataFrame:
     """Tag each case by the row of its last given square (E-3/F-6 subsets)."""
-    last = F.element_at("given", -1).cast("int")
+    last = F.try_element_at("given", F.lit(-1)).cast("int")
     row = (last / board.width).cast("int")
     return scored.withColumn("case_set", F.when(row == 4, "row4").when(row == 3, "row3")
                              .otherwise("other"))
@@ -102,7 +102,7 @@ def prompts_by_len(tours: DataFrame, tour: str, max_len: int, case_set_name: str
 def continuable(partials: DataFrame, board: Board = DEFAULT_BOARD, by: str = "source") -> DataFrame:
     """F-6: valid partial tours whose last square lies in rows 3-4, 4, or 3,
     counted in one pass (the reference's three subsets)."""
-    last = F.element_at("tour", -1).cast("int")
+    last = F.try_element_at("tour", F.lit(-1)).cast("int")
     w = board.width
     valid = partials.where(is_legal("tour", board) & is_unique("tour"))
     return valid.groupBy(by).agg(

@@ -11,7 +11,11 @@ of 2**32 sub-buckets; only the rows of that sub-bucket are ranked, giving the
 key of the last selected row; every row is then flagged by comparing its
 (hash, tie) with that key.  Several targets (nested fractions) share one pass.  A group
 that holds a third of all rows still has at most 65,536 bucket rows, and the
-ranked remainder is ~rows / 2**32.
+ranked remainder is ~rows / 2**32 for keys that do not repeat.
+
+Without ``tie`` columns all columns and a staged row number break ties, so a
+selection is exact for repeated keys and repeated rows too.  Null group keys
+form a group of their own.
 """
 
 from __future__ import annotations
@@ -21,13 +25,17 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, cut_lineage, materialize
 
 MAX_BROADCAST_GROUPS = 100_000
 
 
+def _col(key) -> Column:
+    return F.col(key) if isinstance(key, str) else key
+
+
 def hash_hex(key, seed) -> Column:
-    key = F.col(key) if isinstance(key, str) else key
+    key = _col(key)
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")))
 
 
@@ -96,9 +104,15 @@ def exact_pick_many(df: DataFrame, key, seed, targets: dict, by: tuple[str, ...]
     tables are broadcast when that count is at most ``MAX_BROADCAST_GROUPS``
     and joined by shuffle beyond it."""
     bound = 1 if not by else max_groups
-    by = list(by) or ["__all"]
-    d = df.withColumn("__all", F.lit(0)) if by == ["__all"] else df
-    d = d.withColumn("__h", hash_hex(key, seed))
+    d = df
+    if not tie:
+        d = materialize(d.withColumn("__row", F.monotonically_increasing_id()), "split-rows")
+        tie = (*[n for n, t in df.dtypes if "map<" not in t and t != "variant"], "__row")
+    # group keys as text, so that a null is a key like any other
+    groups = {f"__g{i}": F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string")))
+              for i, c in enumerate(by)} or {"__g0": F.lit("all")}
+    d, by = d.withColumns(groups), list(groups)
+    d = d.withColumn("__h", hash_hex(F.coalesce(_col(key).cast("string"), F.lit("")), seed))
     d = d.withColumn("__b1", F.substring("__h", 1, 4)).withColumn("__b2", F.substring("__h", 5, 4))
     kth, bound = kth_keys(d, by, tie, targets, bound)
     wide = kth.groupBy(*by).pivot("tname", list(targets)).agg(F.first("__kth"))
@@ -110,7 +124,7 @@ def exact_pick_many(df: DataFrame, key, seed, targets: dict, by: tuple[str, ...]
         d = d.withColumn(f"__flag_{nm}", F.coalesce(me <= F.col(nm), F.lit(False)))
     for nm in targets:
         d = d.drop(nm).withColumnRenamed(f"__flag_{nm}", nm)
-    return d.drop("__all", "__h", "__b1", "__b2")
+    return d.drop(*by, "__h", "__b1", "__b2", "__row")
 
 
 def exact_pick(df: DataFrame, key, seed, target, by: tuple[str, ...] = (),
@@ -132,11 +146,16 @@ def exact_quota(df: DataFrame, key, quota: int, seed=42, by=(), tie=(), out="pic
     return exact_pick(df, key, seed, quota_target(quota), by, tie, out, max_groups)
 
 
+def approx_threshold(fraction) -> str:
+    """Eight hex digits that about ``fraction`` of all hashes sort below ('g': all)."""
+    cut = int(Decimal(str(fraction)) * 2**32)
+    return "g" if cut >= 2**32 else format(max(cut, 0), "08x")
+
+
 def approx_fraction(df: DataFrame, key, fraction, seed=42, out="picked") -> DataFrame:
-    """M-4: ``substr(md5(key:seed), 1, 4) < threshold``: one narrow filter,
+    """M-4: ``substr(md5(key:seed), 1, 8) < threshold``: one narrow filter,
     about ``fraction`` of the rows, same rows in every engine."""
-    thr = format(min(int(round(fraction * 65536)), 65536), "04x") if fraction < 1 else "g"
-    return df.withColumn(out, F.substring(hash_hex(key, seed), 1, 4) < F.lit(thr))
+    return df.withColumn(out, F.substring(hash_hex(key, seed), 1, 8) < F.lit(approx_threshold(fraction)))
 
 
 def nested_levels(df: DataFrame, key, fractions, seed=42, by=(), tie=(),
@@ -161,5 +180,6 @@ def hash_order(df: DataFrame, key, seed=42) -> DataFrame:
 
 
 def hash_sample_rows(df: DataFrame, key, n: int, seed=42) -> DataFrame:
-    """M-9/O-7: the ``n`` rows with the smallest hashes (a top-k)."""
-    return df.orderBy(hash_hex(key, seed)).limit(n)
+    """M-9/O-7: the ``n`` rows with the smallest hashes (a top-k); equal keys
+    are ordered by all columns."""
+    return df.orderBy(hash_hex(key, seed), *[c for c, t in df.dtypes if "map<" not in t]).limit(n)

@@ -112,7 +112,7 @@ def q_canonical_tours(spark, sf):
 
 @register("start_set_check", "Y-6 A-4",
           PRE + " SELECT DISTINCT start, list_contains("
-          + str(C.canonical_starts(BOARD)) + ", start) AS is_orbit_min FROM vcanon")
+          + Q.CANONICAL_STARTS + ", start) AS is_orbit_min FROM vcanon")
 def q_start_set_check(spark, sf):
     return C.start_set_check(canon(spark, sf), BOARD)
 

@@ -22,8 +22,8 @@ GLOBAL_QUOTA = 100
 
 
 @register("approx_split", "M-4",
-          PRE + f" SELECT canon AS canon_key, substr(md5(canon || ':{SEED}'), 1, 4) < "
-          f"'{format(round(APPROX_FRACTION * 65536), '04x')}' AS picked FROM vcanon")
+          PRE + f" SELECT canon AS canon_key, substr(md5(canon || ':{SEED}'), 1, 8) < "
+          f"'{S.approx_threshold(APPROX_FRACTION)}' AS picked FROM vcanon")
 def q_approx_split(spark, sf):
     c = canon(spark, sf).select(B.tour_key("canon", BOARD).alias("canon_key"))
     return S.approx_fraction(c, "canon_key", APPROX_FRACTION, SEED)
@@ -52,9 +52,8 @@ CAST_MODULUS = 200
 def q_strict_downcast(spark, sf):
     li = read_table(spark, sf, "lineitem", "l_partkey").select(
         (F.col("l_partkey") % CAST_MODULUS).alias("v"))
-    ok, bad = PQ.quarantine_tinyint(li, ["v"])
-    return ok.agg(F.count("*").alias("n_ok")).join(
-        bad.agg(F.count("*").alias("n_quarantined")))
+    fits = PQ.fits_tinyint(["v"])
+    return li.agg(F.count_if(fits).alias("n_ok"), F.count_if(~fits).alias("n_quarantined"))
 
 
 @register("hashed_starts", "M-8 G-1",
@@ -91,7 +90,7 @@ def q_rect_board_usage(spark, sf):
     inside = mv.where((F.col("pos") < RECT.n_squares) & (F.col("nxt") < RECT.n_squares))
     used = inside.groupBy("pos", "nxt").agg(F.count("*").alias("n_uses"))
     e = edges.select(F.col("src").alias("pos"), F.col("dst").alias("nxt"))
-    return (F.broadcast(e).join(used, ["pos", "nxt"], "left")
+    return (e.join(F.broadcast(used), ["pos", "nxt"], "left")  # at most n_squares ** 2 rows
             .select(F.col("pos").alias("src"), F.col("nxt").alias("dst"),
                     F.coalesce("n_uses", F.lit(0)).alias("n_uses")))
 

@@ -88,7 +88,7 @@ MODEL_TRAIN_PCT = {"F": 1, "O": 10, "P": 25}
           ") t(model, train_pct)) SELECT s.model, m.train_pct, count(*) AS n_cases, "
           "count_if(solved) AS n_solved, count_if(solved AND case_set <> 'other') AS n_solved_lower_rows, "
           "round(100.0 * count_if(solved) / count(*), 4) AS pct_solved "
-          "FROM s JOIN m USING (model) GROUP BY s.model, m.train_pct")
+          "FROM s LEFT JOIN m USING (model) GROUP BY s.model, m.train_pct")
 def q_success_curve(spark, sf):
     sc = scored(spark, sf)
     models = spark.createDataFrame(list(MODEL_TRAIN_PCT.items()), "model string, train_pct int")
@@ -96,8 +96,9 @@ def q_success_curve(spark, sf):
         F.count("*").alias("n_cases"), F.count_if("solved").alias("n_solved"),
         F.count_if(F.col("solved") & (F.col("case_set") != "other")).alias("n_solved_lower_rows"),
         F.round(F.lit(100.0) * F.count_if("solved") / F.count("*"), 4).alias("pct_solved"))
-    # the model table has one row per model: a bounded broadcast
-    return agg.join(F.broadcast(models), "model").select(
+    # the model table has one row per model: a bounded broadcast; completions of
+    # a model it does not name keep their row, with an unknown share
+    return agg.join(F.broadcast(models), "model", "left").select(
         "model", "train_pct", "n_cases", "n_solved", "n_solved_lower_rows", "pct_solved")
 
 

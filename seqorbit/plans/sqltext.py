@@ -1,37 +1,30 @@
 """SQL text (DuckDB dialect) for the oracle side of each registered query.
 
 The oracle is a brute-force restatement over the same parquet tables: long
-forms, ``list(... ORDER BY i)``, and keys compared as strings.  Expressions
-are generated from the same board rules as the Spark side (symmetry order,
-step classes), so both sides share one definition of the rules, not one
-implementation.
+forms, ``list(... ORDER BY i)``, and keys compared as strings.  The eight
+images and the canonical starts are written out here as SQL, so a wrong
+symmetry on the Spark side shows up as a difference.
 """
 
 from __future__ import annotations
 
-from ..functions.board import DEFAULT_BOARD, Board, _image_rc
+from ..functions.board import DEFAULT_BOARD, Board
 from ..sources import fixtures as fx
 
 
-class S(str):
-    """A SQL expression string with arithmetic operators."""
-
-    def _op(self, op, other, rev=False):
-        a, b = (other, self) if rev else (self, other)
-        return S(f"({a} {op} {b})")
-
-    def __add__(self, o): return self._op("+", o)
-    def __radd__(self, o): return self._op("+", o, True)
-    def __sub__(self, o): return self._op("-", o)
-    def __rsub__(self, o): return self._op("-", o, True)
-    def __mul__(self, o): return self._op("*", o)
-    def __rmul__(self, o): return self._op("*", o, True)
+# Row and column of each image of square (r, c) on a board whose
+# last row is h and last column is w; and the smallest starts of all orbits (8x8).
+IMAGES = [
+    ("{r}", "{c}"), ("{c}", "({h} - {r})"), ("({h} - {r})", "({w} - {c})"), ("({w} - {c})", "{r}"),
+    ("{r}", "({w} - {c})"), ("({h} - {r})", "{c}"), ("{c}", "{r}"), ("({w} - {c})", "({h} - {r})"),
+]
+CANONICAL_STARTS = "[0, 1, 2, 3, 9, 10, 11, 18, 19, 27]"
 
 
 def img(p: str, k: int, board: Board = DEFAULT_BOARD) -> str:
-    r, c = S(f"({p} // {board.width})"), S(f"({p} % {board.width})")
-    r2, c2 = _image_rc(k, r, c, board.height - 1, board.width - 1)
-    return f"({S(r2) * board.width + c2})" if k else f"({p})"
+    at = dict(r=f"({p} // {board.width})", c=f"({p} % {board.width})", h=board.height - 1, w=board.width - 1)
+    row, col = (x.format(**at) for x in IMAGES[k])
+    return f"({row} * {board.width} + {col})" if k else f"({p})"
 
 
 def img_by(p: str, k: str, board: Board = DEFAULT_BOARD) -> str:

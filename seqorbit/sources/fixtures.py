@@ -67,7 +67,7 @@ def _with_meta(df: DataFrame) -> DataFrame:
     return df.select(
         "tour_id", "source",
         F.lit(b.width).alias("board_w"), F.lit(b.height).alias("board_h"),
-        F.element_at("tour", 1).alias("start"), "tour")
+        F.try_element_at("tour", F.lit(1)).alias("start"), "tour")
 
 
 def tours_from_orders(orders: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def tours_from_events(events: DataFrame) -> DataFrame:
     b = DEFAULT_BOARD
     return df.select("tour_id", "source", F.lit(b.width).alias("board_w"),
                      F.lit(b.height).alias("board_h"),
-                     F.element_at("tour", 1).alias("start"), "tour", "ts")
+                     F.try_element_at("tour", F.lit(1)).alias("start"), "tour", "ts")
 
 
 def partial_tours(orders: DataFrame) -> DataFrame:

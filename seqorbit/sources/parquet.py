@@ -29,7 +29,7 @@ def read_wide(spark: SparkSession, *paths: str, n_moves: int = 64, with_source:
 def from_wide(df: DataFrame, n_moves: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """F-8: ``move_*`` columns -> one ``tour`` array (and the ``start``)."""
     tour = F.array(*[F.col(f"move_{i}") for i in range(n_moves)]).cast(TOUR_TYPE)
-    return df.select(*keep, tour.alias("tour")).withColumn("start", F.element_at("tour", 1))
+    return df.select(*keep, tour.alias("tour")).withColumn("start", F.try_element_at("tour", F.lit(1)))
 
 
 def to_wide(df: DataFrame, tour: str = "tour", n_moves: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -43,13 +43,18 @@ def strict_tinyint(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("tinyint").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def quarantine_tinyint(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """F-1 variant: rows whose values fit TINYINT, and the rows that do not."""
+def fits_tinyint(cols: list[str]):
+    """Whether all of a row's ``cols`` are null or fit TINYINT."""
     ok = None
     for c in cols:
         term = F.col(c).try_cast("tinyint").isNotNull() | F.col(c).isNull()
         ok = term if ok is None else ok & term
-    return df.where(ok), df.where(~ok)
+    return ok
+
+
+def quarantine_tinyint(df: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """F-1 variant: rows whose values fit TINYINT, and the rows that do not."""
+    return df.where(fits_tinyint(cols)), df.where(~fits_tinyint(cols))
 
 
 def write_clustered(df: DataFrame, path: str, n_files: int | None = None, tour: str = "tour",

@@ -100,3 +100,30 @@ def test_beam_row_and_level_forms_agree(spark):
     b = {(r[0], tuple(r[1])) for r in P.beam_search(seeds, 2, "tour", 3, checkpoint_every=8).collect()}
     assert a == b and len(a) > 0
     assert all(len(p) == 64 for _, p in a)
+
+
+def test_exact_picks_with_repeated_keys_and_null_groups(spark):
+    from pyspark.sql import functions as F
+    from seqorbit.operators import split as S
+    same = spark.range(1000).select(F.lit("k").alias("key"))
+    assert S.exact_fraction(same, "key", 0.5).where("picked").count() == 500
+    hot = spark.range(900).select(F.when(F.col("id") < 300, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"),
+                                  F.when(F.col("id") % 2 == 0, F.lit("g")).alias("grp"))
+    got = S.exact_fraction(hot, "key", 0.5, by=("grp",)).where("picked").groupBy("grp").count().collect()
+    assert {r[0]: r[1] for r in got} == {"g": 225, None: 225}
+    assert S.exact_quota(spark.range(30).select(F.lit(None).cast("string").alias("key")), "key", 7).where("picked").count() == 7
+
+
+def test_approximate_fraction_near_zero_and_one(spark):
+    from pyspark.sql import functions as F
+    from seqorbit.operators import split as S
+    d = spark.range(10_000).select(F.col("id").cast("string").alias("key"))
+    n = {f: S.approx_fraction(d, "key", f).where("picked").count() for f in (0, 0.000005, 0.5, 0.999995, 1)}
+    assert n[0] == 0 and n[1] == 10_000 and n[0.000005] <= 2 and n[0.999995] >= 9_998 and 4_800 < n[0.5] < 5_200
+
+
+def test_scoring_takes_empty_prompts(spark):
+    from seqorbit.operators import scoring as SC
+    d = spark.createDataFrame([("m", 1, 0, [], [])], "model string, case_id long, given_len int, given array<tinyint>, tour array<tinyint>")
+    got = SC.case_set(SC.score(d)).collect()
+    assert len(got) == 1 and got[0]["start"] is None and not got[0]["complete"]
