@@ -4,9 +4,13 @@ Each distinct shingle set gets ``COORDS`` minwise values.  In each of ``trees``
 independent trees, a node picks one of the coordinates (two with probability
 ``1/threshold - 1``) by a hash of its own id and sends every set to the child of its
 minwise value there, so a pair at the threshold keeps meeting with expectation one.
-Nodes of at most ``NODE`` sets are compared exhaustively on their sketches, larger
-ones branch again; what is still larger at ``DEPTH`` is taken together as a whole.
-The number of trees follows from the target recall.
+Nodes of at most ``NODE`` sets are compared exhaustively on their sketches.  In a
+larger node one head speaks for the sets that agree with it on ``COVER`` coordinates:
+any set that agrees with such a covered set also agrees with the head on all but the
+coordinates where the covered set differs, so it is grouped with the head and covered
+sets need not go on.  The others branch again; what is still larger than ``NODE`` at
+``DEPTH`` is taken together as a whole.  The number of trees follows from the target
+recall.
 
 Sketches only form *groups*, supersets of the linked sets.  Links are confirmed on
 full shingle sets inside groups: a group that fits one task in one go; a larger one
@@ -44,6 +48,8 @@ PIVOTS = 8
 #: Agreement of two sketches below which a pair is not compared: five standard
 #: deviations under a similarity of 0.8.
 AGREE = 0.55
+#: Coordinates on which a set agrees with the head of its node to be covered by it.
+COVER = 52
 _A = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _B = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -208,6 +214,21 @@ def _compare_nodes(threshold: float):
     return run
 
 
+def _agreement(batches):
+    """Rows (node, doc, n, low, head, head's low) with the coordinates on which the two agree."""
+    for b in batches:
+        same = (_matrix(b.column(3), COORDS) == _matrix(b.column(5), COORDS)).sum(axis=1)
+        yield pa.record_batch([*b.columns[:5], pa.array(same, pa.int32())], names=["node", "doc", "n", "low", "head", "same"])
+
+
+def _with_head(level: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the large nodes with their agreement with the node's head."""
+    rows = stage(level.join(large, "node"), "cps-inner")
+    heads = stage(rows.where("doc = head").dropDuplicates(["node"]).select("node", F.col("low").alias("hlow")), "cps-heads")
+    return stage(rows.join(heads, "node").select("node", "doc", "n", "low", "head", "hlow")
+                 .mapInArrow(_agreement, _MEMBER + ", head long, same int"), "cps-agreement")
+
+
 def candidate_groups(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
     """``(doc, grp)`` for sets that share a group with another set."""
     extra = 1.0 / threshold - 1.0
@@ -215,20 +236,22 @@ def candidate_groups(reps: DataFrame, threshold: float, trees: int) -> DataFrame
     edges = None
     for depth in range(1, DEPTH + 1):
         level = stage(level, f"cps-level{depth}")
-        large = stage(level.groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") > NODE).select("node"), "cps-large")
+        large = stage(level.groupBy("node").agg(F.count("*").alias("m"), F.min("doc").alias("head"))
+                      .where(F.col("m") > NODE).select("node", "head"), "cps-large")
         found = (level.join(large, "node", "left_anti").select("node", "doc", "n", "low")
                  .repartition("node").sortWithinPartitions("node")
                  .mapInArrow(_compare_nodes(threshold), "a long, b long"))
         edges = found if edges is None else edges.union(found)
         if large.isEmpty():
             break
-        level = level.join(large, "node", "left_semi").select("node", "doc", "n", "low")
+        inner = _with_head(level, large)
         if depth < DEPTH:
-            level = level.mapInArrow(_branch(extra), _MEMBER)
+            # a set that would be compared with a covered one agrees with the head on as many
+            near = F.col("same") >= math.ceil(AGREE * COORDS) + COVER - COORDS
+            level = inner.where(F.col("same") < COVER).select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
         else:
-            level = stage(level, "cps-rest")
-            low = stage(level.groupBy("node").agg(F.min("doc").alias("a")), "cps-heads")
-            edges = edges.union(level.join(low, "node").where("doc <> a").select("a", F.col("doc").alias("b")))
+            near = F.lit(True)
+        edges = edges.union(inner.where(near & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b")))
     return connected_components(edges).withColumnsRenamed({"node": "doc", "component": "grp"})
 
 
