@@ -9,22 +9,25 @@ Three forms, by how much state a seed needs:
   with the fewest-onward-moves rule and a seeded hash tie-break.  The whole
   walk is a per-row ``aggregate`` over a bitmask state, so seeds never leave
   their partition: no shuffle at all, linear in the number of seeds.
-* ``beam_search_rows`` (G-4/G-5): several branches per seed; the beam (at
-  most ``beam`` paths) is advanced inside the row, so again no shuffle.
-* ``beam_search`` (G-4/G-5, same result): level-synchronous, one window on
-  the seed per level (partition bounded by beam x moves) and a reliable
-  checkpoint every few levels; for beams too wide to keep in one row.
+* ``bounded_paths`` (G-4/G-5): the first ``per_seed`` full tours of every seed
+  in degree order, by backtracking in rounds.  A round gives each open seed a
+  budget of moves; what is not finished goes on in the next round from the
+  node it stands at, so no branch is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.board import (
     DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, let, neighbour_lists, onward_moves, square_bit,
 )
-from ..session import cut_lineage
+from ..session import materialize
 
 
 def _level_columns(df: DataFrame, path: str, levels: int, board: Board) -> DataFrame:
@@ -85,7 +88,7 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
                         board: Board = DEFAULT_BOARD,
                         keep: tuple[str, ...] = ("tour_id",)) -> DataFrame:
     """G-3: extend every seed path to a full tour by the fewest-onward-moves
-    rule; ties go to the smallest ``xxhash64(seed, id, step, square)``.  A walk
+    rule; ties go to the smallest md5 of ``seed:id:squares so far:square``.  A walk
     that reaches a square with no free neighbour stops (``complete`` false),
     as the reference drops such dead ends.
 
@@ -95,10 +98,11 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
     start = F.col(path).cast(TOUR_TYPE)
     init = F.struct(start.alias("p"), _mask_of(start).alias("v"), F.lit(False).alias("stuck"))
 
-    def step(acc, i):
+    def step(acc, _i):
         last = F.element_at(acc["p"], -1).cast("int")
         ranked = F.transform(_candidates(last, acc["v"], board), lambda x: F.struct(
-            x["deg"].alias("deg"), F.xxhash64(F.lit(seed), key, i, x["q"]).alias("h"), x["q"].alias("q")))
+            x["deg"].alias("deg"), F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.size(acc["p"]).cast("string"),
+                                                     x["q"].cast("string"))).alias("h"), x["q"].alias("q")))
         done = acc["stuck"] | (F.size(acc["p"]) >= n)
         stuck = F.struct(acc["p"].alias("p"), acc["v"].alias("v"), F.lit(True).alias("stuck"))
 
@@ -118,68 +122,186 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
                       (F.size(F.col("_w.p")) == n).alias("complete"))
 
 
-def beam_search(seeds: DataFrame, beam: int, path: str = "tour", seed: int = 42,
-                board: Board = DEFAULT_BOARD, seed_id: str = "tour_id",
-                checkpoint_every: int = 4) -> DataFrame:
-    """G-4/G-5: level-synchronous expansion keeping, per seed, the ``beam``
-    children with the fewest onward moves (ties by a seeded hash, then by
-    path, so the order is total).  Dead ends drop out; returns the complete
-    paths ``(seed_id, path)`` (at most ``beam`` per seed)."""
-    n = board.n_squares
-    cur = seeds.select(seed_id, F.col(path).cast(TOUR_TYPE).alias("path"))
-    cur = cur.withColumn("v", _mask_of(F.col("path")))
-    done = None
-    min_len = seeds.select(F.min(F.size(path))).first()[0] or 0
-    w = Window.partitionBy(seed_id).orderBy("deg", "h", "path")
-    for level in range(n - min_len):
-        fin = cur.where(F.size("path") >= n).select(seed_id, "path")
-        done = fin if done is None else done.unionByName(fin)
-        grow = cur.where(F.size("path") < n)
-        last = F.element_at("path", -1).cast("int")
-        kids = (grow.select(seed_id, "path", "v", F.explode(_candidates(last, F.col("v"), board)).alias("c"))
-                    .select(seed_id,
-                            F.concat("path", F.array(F.col("c.q").cast("tinyint"))).alias("path"),
-                            F.col("v").bitwiseOR(square_bit(F.col("c.q"))).alias("v"),
-                            F.col("c.deg").alias("deg"),
-                            F.xxhash64(F.lit(seed), F.col(seed_id), F.col("c.q"), F.size("path")).alias("h")))
-        cur = (kids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= beam)
-                   .drop("_r", "deg", "h"))
-        if checkpoint_every and (level + 1) % checkpoint_every == 0:
-            cur = cut_lineage(cur)
-            done = cut_lineage(done)
-    fin = cur.where(F.size("path") >= n).select(seed_id, "path")
-    done = fin if done is None else done.unionByName(fin)
-    return done.distinct()
-
-
-def beam_search_rows(seeds: DataFrame, beam: int, path: str = "tour", seed: int = 42,
-                     board: Board = DEFAULT_BOARD, seed_id: str = "tour_id") -> DataFrame:
-    """G-4/G-5 without shuffles: the same beam (per seed, the ``beam``
-    children with the fewest onward moves, ties by the seeded hash, then by
-    path) advanced inside each row by an ``aggregate`` over the levels.  A
-    seed's state is at most ``beam`` paths, so rows stay bounded; seeds never
-    leave their partition.  Returns the complete paths ``(seed_id, path)``."""
-    n = board.n_squares
-    start = F.col(path).cast(TOUR_TYPE)
-    sid = F.col(seed_id)
-    init = F.array(F.struct(F.lit(0).alias("deg"), F.lit(0).cast("long").alias("h"),
-                            start.alias("p"), _mask_of(start).alias("v")))
-
-    def children(node):
-        last = F.element_at(node["p"], -1).cast("int")
-        return F.transform(_candidates(last, node["v"], board), lambda c: F.struct(
-            c["deg"].alias("deg"),
-            F.xxhash64(F.lit(seed), sid, c["q"], F.size(node["p"])).alias("h"),
-            F.concat(node["p"], F.array(c["q"].cast("tinyint"))).alias("p"),
-            node["v"].bitwiseOR(square_bit(c["q"])).alias("v")))
-
-    def level(acc, _i):
-        grow = F.filter(acc, lambda x: F.size(x["p"]) < n)
-        done = F.filter(acc, lambda x: F.size(x["p"]) >= n)
-        nxt = F.slice(F.array_sort(F.flatten(F.transform(grow, children))), 1, beam)
-        return F.concat(done, nxt)
+def _bits(mask: int) -> Iterator[int]:
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
 
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(n) - F.size(start), F.lit(1)))
-    final = F.aggregate(steps, init, level)
-    out = seeds.select(seed_id, F.explode(F.filter(final, lambda x: F.size(x["p"]) >= n)).alias("x"))
-    return out.select(seed_id, F.col("x.p").alias("path")).distinct()
+
+class _Search:
+    """Backtracking over one board, squares as bits of a Python integer (any size).
+    ``thorough`` tests a node harder before it branches; it finds the same tours."""
+
+    def __init__(self, board: Board, seed: int, order: str, per_seed: int, thorough: bool):
+        n, w = board.n_squares, board.width
+        self.n, self.seed, self.order, self.per_seed, self.thorough = n, seed, order, per_seed, thorough
+        self.moves, self.near, self.shifts = [], [0] * n, []
+        for p in range(n):
+            to = [(k, p + dr * w + dc) for k, (dr, dc) in enumerate(board.offsets)
+                  if 0 <= p // w + dr < board.height and 0 <= p % w + dc < w]
+            self.moves.append(to)
+            self.near[p] = sum(1 << q for _, q in to)
+        for k, (dr, dc) in enumerate(board.offsets):
+            keep = sum(1 << p for p in range(n) if any(k == j for j, _ in self.moves[p]))
+            self.shifts.append((keep, dr * w + dc))
+        self.both_ways = {(-a, -b) for a, b in board.offsets} == set(board.offsets)
+        self.flips = all((a + b) % 2 for a, b in board.offsets)  # every move changes the colour
+        self.odd = sum(1 << p for p in range(n) if (p // w + p % w) % 2)
+
+    def _hopeless(self, free: int, head: int) -> bool:
+        """A free square that no move enters, or two that must both be the last."""
+        source, once, twice = free | 1 << head, 0, 0
+        for keep, by in self.shifts:
+            to = (source & keep) << by if by >= 0 else (source & keep) >> -by
+            twice |= once & to
+            once |= to
+        ends = free & once & ~twice
+        return bool(free & ~once) or (self.both_ways and bool(ends & (ends - 1)))
+
+    def _no_circuit(self, free: int, head: int) -> bool:
+        """No tour by forced steps: with a square x between head and last square the tour
+        is a circuit; a square with two neighbours left takes both, one with two taken
+        loses the others, and no step closes a smaller circuit."""
+        x, total = self.n, free.bit_count() + 2
+        last = free
+        if self.flips:
+            last &= self.odd if ((self.odd >> head & 1) + total) % 2 else ~self.odd
+        live = free | 1 << head
+        adj = {v: self.near[v] & live | (last >> v & 1) << x for v in _bits(free)}
+        adj[head], adj[x] = self.near[head] & free | 1 << x, last | 1 << head
+        taken, tail = dict.fromkeys(adj, 0), {v: v for v in adj}
+        queue, steps = list(adj), 0
+
+        def drop(a, b):
+            adj[a] &= ~(1 << b)
+            adj[b] &= ~(1 << a)
+            queue.extend((a, b))
+
+        def take(a, b):
+            nonlocal steps
+            if taken[a] >> b & 1:
+                return True
+            if not adj[a] >> b & 1 or (tail[a] == b and steps < total - 1):
+                return False
+            taken[a] |= 1 << b
+            taken[b] |= 1 << a
+            steps += 1
+            s, t = tail[a], tail[b]
+            tail[s], tail[t] = t, s
+            for v in (a, b):
+                if taken[v].bit_count() == 2:
+                    for u in _bits(adj[v] & ~taken[v]):
+                        drop(v, u)
+            if steps < total - 1 and adj[s] >> t & 1 and not taken[s] >> t & 1:
+                drop(s, t)
+            return True
+
+        if not take(head, x):
+            return True
+        while queue:
+            v = queue.pop()
+            degree = adj[v].bit_count()
+            if degree < 2 or (degree == 2 and not all(take(v, u) for u in _bits(adj[v] & ~taken[v]))):
+                return True
+        return False
+
+    def _options(self, sid, path: list, free: int) -> list:
+        """Next squares, best last."""
+        if len(path) == self.n or self._hopeless(free, path[-1]):
+            return []
+        if self.thorough and self.both_ways and self._no_circuit(free, path[-1]):
+            return []
+        ranked = []
+        for k, q in self.moves[path[-1]]:
+            if free >> q & 1:
+                degree = (self.near[q] & free).bit_count()
+                if degree or len(path) + 1 == self.n:
+                    tie = k if self.order == "offset" else hashlib.md5(
+                        f"{self.seed}:{sid}:{len(path)}:{q}".encode()).hexdigest()
+                    ranked.append((degree, tie, q))
+        return [q for _, _, q in sorted(ranked, reverse=True)]
+
+    def advance(self, sid, start: list, at: list, found: int, budget: int):
+        """Goes on from node ``at`` for ``budget`` moves: (node, paths found, done)."""
+        path, out = list(start), []
+        free = (1 << self.n) - 1
+        for p in path:
+            free &= ~(1 << p)
+        todo = [self._options(sid, path, free)]
+        for q in at[len(start):]:
+            if not todo[-1]:
+                break  # a harder test than in the round before: nothing below this node
+            while todo[-1].pop() != q:
+                pass
+            path.append(q)
+            free &= ~(1 << q)
+            todo.append(self._options(sid, path, free))
+        fresh = True  # no move from the last square was tried yet
+        while True:
+            if len(path) == self.n:
+                out.append(list(path))
+                if found + len(out) >= self.per_seed:
+                    return path, out, True
+            if todo[-1]:
+                if budget <= 0 and fresh:
+                    return path, out, False
+                q = todo[-1].pop()
+                path.append(q)
+                free &= ~(1 << q)
+                todo.append(self._options(sid, path, free))
+                budget, fresh = budget - 1, True
+            elif len(path) == len(start):
+                return path, out, True
+            else:
+                todo.pop()
+                free |= 1 << path.pop()
+                fresh = False
+
+
+def bounded_paths(seeds: DataFrame, per_seed: int, path: str = "tour", seed: int = 42, board: Board = DEFAULT_BOARD,
+                  seed_id: str = "tour_id", order: str = "md5", budget: int = 300) -> DataFrame:
+    """G-4/G-5/O-6: ``(seed_id, path)``, the first ``per_seed`` full tours that extend
+    each seed, or all if there are fewer, in depth-first order: at every square by the
+    fewest onward moves, ties by the md5 of ``seed:id:squares so far:square`` (``order``
+    "md5", O-4) or by the number of the move (``"offset"``, O-5).
+
+    Seeds stay whole rows: a round advances each by ``budget`` moves (four times as many
+    in each later round, which also tests nodes harder), is written to the shared folder, and what is open is dealt out
+    again with the node it stands at; a node is at most one path, however many branches
+    wait.  Branches are cut only where no full tour exists.  Null, empty, repeating and
+    off-board seeds have no tour; a full seed is its own.  Ids should be unique."""
+    spark, n = seeds.sparkSession, board.n_squares
+    kind = seeds.schema[seed_id].dataType.simpleString()
+    state = f"sid {kind}, start array<int>, at array<int>, found int"
+    usable = (F.size(path) > 0) & (F.size(F.array_distinct(path)) == F.size(path)) & F.forall(
+        F.col(path), lambda p: p.isNotNull() & p.between(0, n - 1))
+    start = F.col(path).cast("array<int>")
+    todo = seeds.where(usable).select(F.col(seed_id).alias("sid"), start.alias("start"), start.alias("at"), F.lit(0).alias("found"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def round_of(budget: int, thorough: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = _Search(board, seed, order, per_seed, thorough)
+            for b in batches:
+                sid, begin, node, found = (b.column(i).to_pylist() for i in range(4))
+                got = [search.advance(i, s, a, f, budget) for i, s, a, f in zip(sid, begin, node, found)]
+                many = pa.list_(pa.list_(pa.int32()))
+                yield pa.record_batch([
+                    b.column(0), b.column(1), pa.array([x[0] for x in got], pa.list_(pa.int32())),
+                    pa.array([f + len(x[1]) for f, x in zip(found, got)], pa.int32()),
+                    pa.array([x[1] for x in got], many), pa.array([x[2] for x in got], pa.bool_())],
+                    names=["sid", "start", "at", "found", "paths", "done"])
+        return run
+
+    out = None
+    while True:
+        # dealt by id into a fixed number: the work is in the moves, not in the bytes
+        step = materialize(todo.repartition(parts, "sid").mapInArrow(
+            round_of(budget, out is not None), state + ", paths array<array<int>>, done boolean"), "paths-round")
+        full = step.select(F.col("sid").alias(seed_id), F.explode("paths").alias("path"))
+        out = full if out is None else out.unionByName(full)
+        todo = step.where("NOT done").select("sid", "start", "at", "found")
+        if todo.isEmpty():
+            return out.withColumn("path", F.col("path").cast(TOUR_TYPE if n <= 128 else "array<int>"))
+        budget *= 4

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..operators import paths as P
 from . import sqltext as Q
-from .catalog import BOARD, register
+from .catalog import BOARD, register, tours
 from .catalog_scoring import PARTIAL_SQL, partials
 
-# Expansion depth of the exhaustive continuation count, and
-# the beam of the bounded enumeration.
+# Expansion depth of the exhaustive continuation count, full tours
+# per seed, and squares that late partial tours still miss.
 CONTINUATION_LEVELS = 3
-BEAM = 2
+PER_SEED = 2
+LATE_LEFT, LATE_SPREAD = 4, 9
 
 
 def valid_partials(spark, sf):
@@ -39,7 +40,27 @@ def q_continuation_paths(spark, sf):
     return P.count_levels(valid_partials(spark, sf), CONTINUATION_LEVELS, "tour", BOARD)
 
 
-@register("warnsdorff_paths", "G-3 O-3 G-1 P-4")
+_NEAR = "[" + ", ".join("[" + ", ".join(
+    str((r + dr) * BOARD.width + c + dc) if 0 <= r + dr < BOARD.height and 0 <= c + dc < BOARD.width else "-1"
+    for dr, dc in BOARD.offsets) + "]" for r in range(BOARD.height) for c in range(BOARD.width)) + "]"
+_FREE = "list_filter(near[{}[len({})] + 1], lambda q: q >= 0 AND NOT list_contains({}, q))"
+_DEGREE = "len(list_filter(near[{q} + 1], lambda x: x >= 0 AND NOT list_contains({p}, x)))"
+_MD5 = "md5('42:' || tour_id || ':' || len({p}) || ':' || {q})"
+
+WARNSDORFF_SQL = (
+    PARTIAL_SQL.replace("WITH ", "WITH RECURSIVE ", 1) +
+    f", nb AS (SELECT {_NEAR} AS near), "
+    f"walk AS (SELECT tour_id, CAST(tour AS INTEGER[]) AS p FROM pt WHERE {Q.legal('tour')} AND {Q.unique('tour')} "
+    "UNION ALL SELECT tour_id, list_append(p, CAST(right(best, 2) AS INTEGER)) FROM ("
+    "SELECT tour_id, p, list_min(list_transform(" + _FREE.format("p", "p", "p") + ", lambda q: " +
+    _DEGREE.format(q="q", p="p") + " || " + _MD5.format(q="q", p="p") + " || lpad(CAST(q AS VARCHAR), 2, '0'))) AS best "
+    f"FROM walk, nb WHERE len(p) < {BOARD.n_squares}) WHERE best IS NOT NULL), "
+    "ends AS (SELECT tour_id, max_by(p, len(p)) AS p FROM walk GROUP BY tour_id) "
+    f"SELECT tour_id, len(p) = {BOARD.n_squares} AS complete, {Q.key('p')} AS path_key, "
+    f"{Q.legal('p')} AND {Q.unique('p')} AS valid FROM ends")
+
+
+@register("warnsdorff_paths", "G-3 O-3 G-1 P-4", WARNSDORFF_SQL)
 def q_warnsdorff_paths(spark, sf):
     out = P.warnsdorff_complete(valid_partials(spark, sf), "tour", 42, BOARD)
     return out.select("tour_id", "complete", B.tour_key("path", BOARD).alias("path_key"),
@@ -48,6 +69,41 @@ def q_warnsdorff_paths(spark, sf):
 
 @register("bounded_paths_per_start", "G-4 G-5 O-4 O-6")
 def q_bounded_paths(spark, sf):
-    out = P.beam_search_rows(valid_partials(spark, sf), BEAM, "tour", 42, BOARD)
+    out = P.bounded_paths(valid_partials(spark, sf), PER_SEED, "tour", 42, BOARD)
     return out.select("tour_id", B.tour_key("path", BOARD).alias("path_key"),
                       B.is_valid_tour("path", BOARD).alias("valid"))
+
+
+def late_partials(spark, sf):
+    """Every valid tour without its last 4 to 12 squares."""
+    t = tours(spark, sf)
+    keep = F.lit(BOARD.n_squares - LATE_LEFT) - F.pmod("tour_id", F.lit(LATE_SPREAD))
+    return t.select("tour_id", F.slice("tour", 1, keep.cast("int")).alias("tour")).where(B.is_valid_tour("tour", BOARD))
+
+
+def _late_sql(tie: str, per_seed: int) -> str:
+    """All completions by brute force, ranked by their moves' degrees and ties."""
+    cut = f"tour[1:{BOARD.n_squares - LATE_LEFT} - tour_id % {LATE_SPREAD}]"
+    return (
+        "WITH RECURSIVE " + Q.fixture_tours_cte() + f", nb AS (SELECT {_NEAR} AS near), "
+        f"late AS (SELECT tour_id, {cut} AS tour FROM tours), "
+        f"walk AS (SELECT tour_id, CAST(tour AS INTEGER[]) AS p, '' AS rank FROM late WHERE {Q.legal('tour')} AND {Q.unique('tour')} "
+        "UNION ALL SELECT tour_id, list_append(p, q), rank || " + _DEGREE.format(q="q", p="p") + f" || {tie} FROM ("
+        "SELECT tour_id, p, rank, near, k, near[p[len(p)] + 1][k] AS q "
+        f"FROM walk, nb, range(1, {len(BOARD.offsets) + 1}) g(k) WHERE len(p) < {BOARD.n_squares}) "
+        "WHERE q >= 0 AND NOT list_contains(p, q)), "
+        "ranked AS (SELECT tour_id, p, row_number() OVER (PARTITION BY tour_id ORDER BY rank) AS r "
+        f"FROM walk WHERE len(p) = {BOARD.n_squares}) "
+        f"SELECT tour_id, {Q.key('p')} AS path_key FROM ranked WHERE r <= {per_seed}")
+
+
+@register("late_completions", "G-5 O-4 O-6", _late_sql(_MD5.format(q="q", p="p"), 3))
+def q_late_completions(spark, sf):
+    out = P.bounded_paths(late_partials(spark, sf), 3, "tour", 42, BOARD)
+    return out.select("tour_id", B.tour_key("path", BOARD).alias("path_key"))
+
+
+@register("late_first_completion", "G-4 O-5", _late_sql("k", 1))
+def q_late_first_completion(spark, sf):
+    out = P.bounded_paths(late_partials(spark, sf), 1, "tour", 42, BOARD, order="offset")
+    return out.select("tour_id", B.tour_key("path", BOARD).alias("path_key"))

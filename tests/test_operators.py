@@ -92,14 +92,40 @@ def test_streaming_within_watermark_runs(spark):
     assert n == distinct
 
 
-def test_beam_row_and_level_forms_agree(spark):
+def _completions(board, start):
+    """All full tours that extend ``start``, by plain recursion."""
+    if len(start) == board.n_squares:
+        return [start]
+    return [t for q in board.neighbours_of(start[-1]) if q not in start for t in _completions(board, [*start, q])]
+
+
+def test_bounded_paths_finds_every_tour(spark):
+    board = B.Board(5, 5)
+    seeds = spark.createDataFrame([(0, [0]), (1, [1]), (2, [12]), (3, [0, 7]), (4, []), (5, None), (6, [0, 0]), (7, [99])],
+                                  "tour_id int, tour array<tinyint>")
+    want = {(i, tuple(t)) for i, s in enumerate([[0], [1], [12], [0, 7]]) for t in _completions(board, s)}
+    assert len(want) > 300
+    for budget, order in ((50, "md5"), (100_000, "offset")):
+        got = P.bounded_paths(seeds, 10_000, "tour", 1, board, order=order, budget=budget).collect()
+        assert len(got) == len(want) and {(r[0], tuple(r[1])) for r in got} == want
+    assert P.bounded_paths(seeds.limit(0), 3, board=board).count() == 0
+
+
+def test_bounded_paths_does_not_depend_on_the_budget(spark):
     from seqorbit.sources.fixtures import BASE_TOURS
-    seeds = spark.createDataFrame([(i, list(t[:52])) for i, t in enumerate(BASE_TOURS)],
+    seeds = spark.createDataFrame([(100 * i + n, list(t[:n])) for i, t in enumerate(BASE_TOURS) for n in (1, 20, 40, 55, 64)],
                                   "tour_id int, tour array<tinyint>")
-    a = {(r[0], tuple(r[1])) for r in P.beam_search_rows(seeds, 2, "tour", 3).collect()}
-    b = {(r[0], tuple(r[1])) for r in P.beam_search(seeds, 2, "tour", 3, checkpoint_every=8).collect()}
-    assert a == b and len(a) > 0
-    assert all(len(p) == 64 for _, p in a)
+    a = {(r[0], tuple(r[1])) for r in P.bounded_paths(seeds, 2, "tour", 3, budget=30).collect()}
+    b = {(r[0], tuple(r[1])) for r in P.bounded_paths(seeds, 2, "tour", 3).collect()}
+    assert a == b and {i for i, _ in a} == {r[0] for r in seeds.collect()}  # every seed has an answer
+    assert all(len(set(p)) == 64 for _, p in a)
+
+
+def test_bounded_paths_beyond_64_squares(spark):
+    board = B.Board(10, 9)
+    seeds = spark.createDataFrame([(i, [i]) for i in (0, 44)], "tour_id int, tour array<tinyint>")
+    got = P.bounded_paths(seeds, 1, board=board).withColumn("ok", B.is_valid_tour("path", board)).collect()
+    assert sorted(r.tour_id for r in got) == [0, 44] and all(r.ok and len(r.path) == 90 for r in got)
 
 
 def test_exact_picks_with_repeated_keys_and_null_groups(spark):
