@@ -23,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +89,7 @@ class Classes:
         """``(class of each token, base, emit and known sums of frequent words, rare words)``."""
         words = text.lower().split() if text else []
         words.append(END)
-        at = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         known = at[at >= 0]
         cls = np.zeros(len(words), np.uint16)
         cls[at >= 0] = self.cls[known]
@@ -130,56 +131,56 @@ def groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
 
 def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
     """Scaled forward recursion of sequences sorted by falling length:
-    ``(log10 likelihoods, tokens, running widths, alphas, scales)``."""
+    ``(log10 likelihoods, tokens, running widths, alphas, scales, emissions)``; alphas and
+    emissions of all tokens only if ``keep``."""
     lengths = np.array([len(s) for s in seqs])
     width = len(seqs) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
     tokens = np.zeros((lengths[0], len(seqs)), np.uint16)
     for i, s in enumerate(seqs):
         tokens[:len(s), i] = s
     logs = np.zeros(len(seqs))
-    alphas = np.zeros((lengths[0], len(seqs), len(model.start))) if keep else None
+    alphas, emitted = (np.zeros((lengths[0], len(seqs), len(model.start))) if keep else None for _ in range(2))
     scales = np.ones((lengths[0], len(seqs)))
     alpha = None
     for t in range(lengths[0]):
         n = width[t]
         alpha = model.start if alpha is None else alpha[:n] @ model.move
-        alpha = alpha * model.emit[tokens[t, :n]]
+        if keep:  # every token's class is a row of emit: nothing is clipped
+            now = model.emit.take(tokens[t, :n], axis=0, out=emitted[t, :n], mode="clip")
+            alpha = np.multiply(alpha, now, out=alphas[t, :n])
+        else:
+            alpha = alpha * model.emit[tokens[t, :n]]
         c = alpha.sum(axis=1)
         alpha /= c[:, None]
         scales[t, :n] = c
-        if keep:
-            alphas[t, :n] = alpha
     logs = np.log10(scales).sum(axis=0)
-    return logs, tokens, width, alphas, scales
+    return logs, tokens, width, alphas, scales, emitted
 
 
 def expected_counts(model: Model, seqs: list[np.ndarray], emit, move, start) -> None:
     """Adds the expected counts of the sequences (sorted by falling length)."""
-    _, tokens, width, alphas, scales = forward(model, seqs, keep=True)
+    # emissions become emission * beta / scale of each later token
+    _, tokens, width, gamma, scales, weight = forward(model, seqs, keep=True)
     steps, states = len(width), len(model.start)
-    weight = np.zeros_like(alphas)  # emission * beta / scale of each later token
+    weight /= scales[:, :, None]
     beta = np.ones((len(seqs), states))
     back = model.move.T
     for t in range(steps - 1, 0, -1):
         n = width[t]
-        weight[t, :n] = model.emit[tokens[t, :n]] * beta[:n] / scales[t, :n, None]
-        beta[:n] = weight[t, :n] @ back
-        alphas[t - 1, :n] *= 1.0
-        weight[t - 1, :n] = 0.0
+        w = weight[t, :n]
+        w *= beta[:n]
+        np.matmul(w, back, out=beta[:n])
     # gamma of token t is alpha_t * beta_t, and beta_t = weight_{t+1} @ move'
-    inner = alphas[:-1].reshape(-1, states)
     later = weight[1:].reshape(-1, states)
-    move += model.move * (inner.T @ later)
-    gamma = alphas
+    move += model.move * (gamma[:-1].reshape(-1, states).T @ later)
     beta_all = (later @ back).reshape(steps - 1, len(seqs), states)
-    live = np.arange(len(seqs))[None, :] < width[1:, None]
-    gamma[:-1][live] *= beta_all[live]
+    beta_all[np.arange(len(seqs))[None, :] >= width[1:, None]] = 1.0
+    gamma[:-1] *= beta_all
     start += gamma[0].sum(axis=0)
-    flat = tokens.reshape(-1)
-    real = (np.arange(len(seqs))[None, :] < width[:, None]).reshape(-1)
-    gamma = gamma.reshape(-1, states)
+    real = np.arange(len(seqs))[None, :] < width[:, None]
+    flat, by_state = tokens[real], gamma[real].T.copy()
     for k in range(states):
-        emit[:, k] += np.bincount(flat[real], weights=gamma[real, k], minlength=len(emit))
+        emit[:, k] += np.bincount(flat, weights=by_state[k], minlength=len(emit))
 
 
 def _pass(encoded: DataFrame, model: Model, states: int) -> tuple:
