@@ -4,7 +4,7 @@ A line is the set of its lower-cased words.  A line goes if an earlier line (sma
 id, or same document and earlier line) has a Jaccard similarity of at least
 ``threshold``; this is judged on the input, so lines that go themselves count too.
 
-Words are ordered by rarity: corpus counts of the ``FREQUENT`` most frequent words
+Words are ordered by rarity: corpus counts of at most ``FREQUENT`` most frequent words
 (broadcast, a fixed bound), all other words before them by hash.  Two similar lines
 share a word among the first n - ceil(t n) + 1 of either, so only these prefix words
 are posted; words that occur once in the corpus are left out by a Bloom filter of
@@ -38,6 +38,10 @@ from .minhash_dedup import _runs
 
 FREQUENT = 65536
 BLOOM_BITS = 1 << 26
+#: 32-bit words of the Bloom filter that travel as one value.
+BLOOM_CHUNK = 1 << 15
+#: Hash shares of a class of equally frequent words.
+SHARES = 64
 FIRST = 3
 TILE = 512
 #: 64-bit words of a line's bitmap; a power of two.
@@ -60,11 +64,41 @@ def word_counts(src: DataFrame) -> DataFrame:
     return src.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The rows of about the ``most`` largest counts, never more: whole count classes (16 to
+    a doubling), and of the class at the cut as many of its ``SHARES`` hash shares as fit.
+    A histogram of fixed size finds the cut, so no task and not the driver sorts words."""
+    words = counts.withColumn("cls", F.floor(F.log2("c") * 16).cast("int")).withColumn(
+        "share", F.pmod("word", F.lit(SHARES)).cast("int"))
+    sizes = words.groupBy("cls", "share").agg(F.count("*").alias("n")).collect()  # at most 64 * 16 * SHARES rows
+    cls, share, total = 1 << 30, 0, 0
+    for r in sorted(sizes, key=lambda r: (-r["cls"], r["share"])):
+        total += r["n"]
+        if total > most:
+            break
+        cls, share = r["cls"], r["share"]
+    return words.where((F.col("cls") > cls) | ((F.col("cls") == cls) & (F.col("share") <= share))).select("word", "c")
+
+
+def _pack_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bloom words (chunk, i, x) as one binary value a chunk."""
+    chunks: dict = {}
+    for b in batches:
+        chunk, i, x = (b.column(k).to_numpy() for k in range(3))
+        for c in np.unique(chunk):
+            at = chunk == c
+            bits = chunks.setdefault(int(c), np.zeros(BLOOM_CHUNK, np.uint32))
+            bits[i[at] % BLOOM_CHUNK] |= x[at].astype(np.uint32)
+    if chunks:
+        yield pa.record_batch([pa.array(list(chunks), pa.int32()), pa.array([v.tobytes() for v in chunks.values()], pa.binary())],
+                              names=["chunk", "bits"])
+
+
 class Rarity:
     """Counts of the frequent words and a Bloom filter of the words that occur twice or more."""
 
     def __init__(self, counts: DataFrame):
-        top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
+        top = frequent_words(counts).collect()  # at most FREQUENT rows
         word = np.array([r[0] for r in top], np.int64).view(np.uint64)
         order = np.argsort(word)
         self.word = word[order]
@@ -72,9 +106,10 @@ class Rarity:
         at = F.pmod("word", F.lit(BLOOM_BITS))
         bits = counts.where("c > 1").groupBy(F.floor(at / 32).cast("int").alias("i")).agg(
             F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(word, {BLOOM_BITS}) % 32 as int))")).alias("x"))
+        packed = bits.select(F.floor(F.col("i") / BLOOM_CHUNK).cast("int").alias("chunk"), "i", "x").repartition("chunk")
         self.bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
-        got = bits.toPandas()  # at most BLOOM_BITS / 32 rows
-        self.bloom[got["i"].to_numpy(np.int64)] = got["x"].to_numpy(np.int64).astype(np.uint32)
+        for r in packed.mapInArrow(_pack_bits, "chunk int, bits binary").collect():  # BLOOM_BITS in all
+            self.bloom[r["chunk"] * BLOOM_CHUNK:(r["chunk"] + 1) * BLOOM_CHUNK] = np.frombuffer(r["bits"], np.uint32)
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         if not len(self.word):
