@@ -6,12 +6,12 @@ key that holds a large share of the rows is collapsed before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.board import (
     DEFAULT_BOARD, Board, all_in_board, is_closed, is_complete, is_legal, is_unique,
-    tour_key, with_canonical,
+    with_canonical,
 )
 
 
@@ -29,13 +29,19 @@ def with_checks(df: DataFrame, tour: str = "tour", board: Board = DEFAULT_BOARD)
 def dup_audit(tours: DataFrame, board: Board = DEFAULT_BOARD) -> DataFrame:
     """A-1/A-2: rows, distinct sequences, distinct canonical forms, and the
     same two counts among valid tours; one row."""
-    df = with_checks(with_canonical(tours.select("tour"), board=board), board=board)
-    return df.agg(
-        F.count("*").alias("n_rows"),
-        F.count_distinct("tour").alias("n_distinct"),
-        F.count_distinct("canon").alias("n_canonical"),
-        F.count_if("valid").alias("n_valid"),
-        F.count_distinct(F.when(F.col("valid"), F.col("canon"))).alias("n_valid_canonical"))
+    # copies collapse first, so checks and canonical forms are computed and
+    # shuffled once per distinct sequence (no Expand for the distinct counts)
+    seqs = tours.groupBy("tour").agg(F.count("*").alias("n"))
+    df = with_checks(with_canonical(seqs, board=board), board=board)
+    orbits = df.groupBy("canon").agg(
+        F.sum("n").alias("n"), F.count("tour").alias("n_distinct"),
+        F.sum(F.when(F.col("valid"), F.col("n"))).alias("n_valid"))
+    return orbits.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum("n_distinct"), F.lit(0)).alias("n_distinct"),
+        F.count("canon").alias("n_canonical"),
+        F.coalesce(F.sum("n_valid"), F.lit(0)).alias("n_valid"),
+        F.count_if(F.col("canon").isNotNull() & F.col("n_valid").isNotNull()).alias("n_valid_canonical"))
 
 
 def canonical_unique(tours: DataFrame, board: Board = DEFAULT_BOARD, valid_only: bool = True,
@@ -126,15 +132,14 @@ def prefix_blacklist(df: DataFrame, squares: list[int], first_m: int = 4,
     return df.where(~F.arrays_overlap(F.slice(tour, 1, first_m), bad))
 
 
-def keyed(df: DataFrame, tour: str, out: str = "tkey", board: Board = DEFAULT_BOARD) -> DataFrame:
-    return df.withColumn(out, tour_key(tour, board))
+def source_contributions(tours: DataFrame, by: str = "source", board: Board = DEFAULT_BOARD) -> DataFrame:
+    """U-4: for each canonical form of a valid tour, every source that holds it,
+    with its rows and its smallest ``tour_id`` (one row per form and source)."""
+    df = with_canonical(tours.select("tour_id", "tour", by), board=board)
+    df = df.where(is_legal("tour", board) & is_unique("tour"))
+    return df.groupBy("canon", by).agg(F.count("*").alias("n_copies"), F.min("tour_id").alias("first_tour_id"))
 
 
 def top_by(df: DataFrame, order_cols: list, n: int) -> DataFrame:
     """F-12/M-9: the first ``n`` rows by a total order (a top-k, not a scan cap)."""
     return df.orderBy(*order_cols).limit(n)
-
-
-def window_first_by(df: DataFrame, part: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

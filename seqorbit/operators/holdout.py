@@ -124,6 +124,28 @@ def overlap(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.select(*on).join(right.select(*on).distinct(), on, "left_semi")
 
 
+def orbit_leakage(parts: dict[str, DataFrame], pairs: dict[str, tuple[str, list[str]]],
+                  on: str = "canon_key") -> DataFrame:
+    """H-7: for each named pair (a part, the parts it must not meet), the number of
+    orbits on both sides.  One aggregate over all parts marks the parts that hold an
+    orbit as bits, so each part is read once and no pair is joined."""
+    bit = {name: 1 << i for i, name in enumerate(parts)}
+    rows = None
+    for name, df in parts.items():
+        one = df.select(on, F.lit(bit[name]).alias("bits"))
+        rows = one if rows is None else rows.unionByName(one)
+    held = rows.where(F.col(on).isNotNull()).groupBy(on).agg(F.bit_or("bits").alias("bits"))
+
+    def both(left: str, right: list[str]):
+        other = sum(bit[r] for r in right)
+        return F.count_if((F.col("bits").bitwiseAND(F.lit(bit[left])) != 0)
+                          & (F.col("bits").bitwiseAND(F.lit(other)) != 0))
+    one = held.agg(*[both(*sides).alias(pair) for pair, sides in pairs.items()])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(pair).alias("pair"), F.col(pair).alias("n_shared_orbits")) for pair in pairs
+    ])).alias("x")).select("x.pair", "x.n_shared_orbits")
+
+
 def difference(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """J-1/U-2: set-like difference by key (anti join)."""
     return left.join(right.select(*on).distinct(), on, "left_anti")

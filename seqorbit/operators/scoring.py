@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.board import (
-    DEFAULT_BOARD, Board, first_illegal_step, is_legal, is_unique, n_illegal_steps,
+    DEFAULT_BOARD, TOUR_TYPE, Board, first_illegal_step, is_legal, is_unique, n_illegal_steps,
     onward_moves,
 )
 
@@ -99,6 +99,18 @@ def prompts_by_len(tours: DataFrame, tour: str, max_len: int, case_set_name: str
                          F.slice(tour, 1, F.col("given_len")).alias("given")))
 
 
+def prompt_set(partials: DataFrame, board: Board = DEFAULT_BOARD, tour: str = "tour") -> DataFrame:
+    """E-4: every valid partial tour as a prompt, and every square of the board as a
+    prompt of one square (``tour_id`` is then the square)."""
+    given = partials.where(is_legal(tour, board) & is_unique(tour)).select(
+        F.col("tour_id").cast("long").alias("tour_id"), F.lit("partial").alias("case_set"),
+        F.size(tour).alias("given_len"), F.col(tour).alias("given"))
+    squares = partials.sparkSession.range(board.n_squares).select(
+        F.col("id").alias("tour_id"), F.lit("every_start").alias("case_set"), F.lit(1).alias("given_len"),
+        F.array("id").cast(TOUR_TYPE).alias("given"))
+    return given.unionByName(squares)
+
+
 def continuable(partials: DataFrame, board: Board = DEFAULT_BOARD, by: str = "source") -> DataFrame:
     """F-6: valid partial tours whose last square lies in rows 3-4, 4, or 3,
     counted in one pass (the reference's three subsets)."""

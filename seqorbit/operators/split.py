@@ -173,10 +173,10 @@ def nested_levels(df: DataFrame, key, fractions, seed=42, by=(), tie=(),
     return d.withColumn(out, level).drop(*targets)
 
 
-def hash_order(df: DataFrame, key, seed=42) -> DataFrame:
-    """M-1: a full reproducible shuffle: global order by the row hash (a range
-    partitioned sort; no single-partition step)."""
-    return df.orderBy(hash_hex(key, seed), *[c for c in df.columns])
+def hash_order(df: DataFrame, key, seed=42, by: tuple[str, ...] = ()) -> DataFrame:
+    """M-1: a full reproducible shuffle: global order by the row hash, inside each
+    ``by`` group if given (a range partitioned sort; no single-partition step)."""
+    return df.orderBy(*by, hash_hex(key, seed), *[c for c in df.columns if c not in by])
 
 
 def hash_sample_rows(df: DataFrame, key, n: int, seed=42) -> DataFrame:

@@ -127,14 +127,13 @@ def q_overlap_check(spark, sf):
           "(SELECT canon_key FROM pool)")
 def q_orbit_leakage(spark, sf):
     p = parts(spark, sf)
-    sp, pool = p["split"], p["pool"]
-
-    def n(df, pair):
-        return df.agg(F.lit(pair).alias("pair"), F.count_distinct("canon_key").alias("n_shared_orbits"))
-    return (n(H.overlap(sp.where("split = 'train'"), sp.where("split = 'val'"), ["canon_key"]), "train_val")
-            .unionByName(n(H.overlap(p["point1"], pool, ["canon_key"]), "point1_pool"))
-            .unionByName(n(H.overlap(p["point2_test"], pool, ["canon_key"]), "point2_test_pool"))
-            .unionByName(n(H.overlap(p["point3_test"], pool, ["canon_key"]), "point3_test_pool")))
+    # the split holds the pool's rows, so its two sides together are the pool
+    return H.orbit_leakage(
+        {"train": p["split"].where("split = 'train'"), "val": p["split"].where("split = 'val'"),
+         "point1": p["point1"], "point2_test": p["point2_test"], "point3_test": p["point3_test"]},
+        {"train_val": ("train", ["val"]), "point1_pool": ("point1", ["train", "val"]),
+         "point2_test_pool": ("point2_test", ["train", "val"]),
+         "point3_test_pool": ("point3_test", ["train", "val"])})
 
 
 @register("set_equality", "A-11 U-2",

@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.board import DEFAULT_BOARD, TOUR_TYPE, Board
+from ..session import stage_path
 
 
 def wide_schema(n_moves: int = 64) -> T.StructType:
@@ -17,15 +19,26 @@ def wide_schema(n_moves: int = 64) -> T.StructType:
     return T.StructType([T.StructField(f"move_{i}", T.ByteType()) for i in range(n_moves)])
 
 
-def read_wide(spark: SparkSession, *paths: str, n_moves: int = 64, with_source: bool = False) -> DataFrame:
-    """S-1/S-2: read wide tour files with an explicit schema; ``with_source``
-    adds the file name (provenance of numbered files) from ``_metadata``."""
+def read_wide(spark: SparkSession, *paths: str, n_moves: int = 64, number: str | None = None) -> DataFrame:
+    """S-1/S-2: read wide tour files with an explicit schema; ``number`` is a pattern
+    whose first group is the number in a file's path, added as ``file_no``."""
     df = spark.read.schema(wide_schema(n_moves)).parquet(*paths)
-    if with_source:
-        df = df.withColumn("source", F.col("_metadata.file_name"))
+    if number:
+        df = df.withColumn("file_no", F.regexp_extract(F.col("_metadata.file_path"), number, 1).cast("int"))
     return df
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The ``paths`` that hold files (a numbered file without rows is not written)."""
+    def there(path: str) -> bool:
+        try:
+            spark.read.format("binaryFile").load(path).schema
+            return True
+        except AnalysisException:
+            return False
+    return [p for p in paths if there(p)]
+
+
 def from_wide(df: DataFrame, n_moves: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """F-8: ``move_*`` columns -> one ``tour`` array (and the ``start``)."""
     tour = F.array(*[F.col(f"move_{i}") for i in range(n_moves)]).cast(TOUR_TYPE)
@@ -84,6 +97,31 @@ def pack(df: DataFrame, tour: str = "tour") -> DataFrame:
     return df.select(F.col(tour).alias("input_ids"), F.col(tour).alias("labels"))
 
 
+def packed_schema(keys: str) -> T.StructType:
+    """The schema of packed samples behind the ``keys`` columns (a DDL string)."""
+    return T.StructType([T.StructField("input_ids", TOUR_TYPE), T.StructField("labels", TOUR_TYPE),
+                         *T.StructType.fromDDL(keys).fields])
+
+
+def write_packed(df: DataFrame, path: str, by: tuple[str, ...], tour: str = "tour") -> None:
+    """H-6/S-13: packed samples as zstd Parquet, one folder per ``by`` value, rows in
+    the order of ``df``."""
+    ids = F.col(tour)
+    (df.select(*by, ids.alias("input_ids"), ids.alias("labels"))
+       .write.partitionBy(*by).option("compression", "zstd").parquet(path))
+
+
+def stream_copy(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """S-10/S-13: read a folder as a file stream until its present end, land it in the
+    shared folder and return what was landed."""
+    out = stage_path(spark, "streamed")
+    query = (spark.readStream.schema(schema).parquet(path).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", stage_path(spark, "streamed-ckpt"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(schema).parquet(out)
+
+
 # The trainer's step budget constants (GPUs, per-device batch,
 # epochs, gradient accumulation).
 TRAIN_GPUS, TRAIN_BATCH, TRAIN_EPOCHS, TRAIN_ACCUM = 2, 128, 1, 1
@@ -107,7 +145,3 @@ def manifest(df: DataFrame, name_col: str, board: Board = DEFAULT_BOARD, seed: i
         F.lit(date.today().strftime("%Y%m%d")).alias("created"),
         step_budget(F.col("rows")).alias("train_steps"))
 
-
-def arrow_sample(df: DataFrame, n: int):
-    """S-14: a small Arrow table for inspection (bounded by ``n``)."""
-    return df.limit(n).toArrow()

@@ -3,12 +3,15 @@
 import math
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqorbit.functions import board as B
+from seqorbit.operators import holdout as H
 from seqorbit.operators import paths as P
 from seqorbit.operators import split as S
 from seqorbit.operators.prefix import prefix_diversity
+from seqorbit.sources import parquet as PQ
 
 
 def test_exact_fraction_matches_sorted_hash(spark):
@@ -153,3 +156,44 @@ def test_scoring_takes_empty_prompts(spark):
     d = spark.createDataFrame([("m", 1, 0, [], [])], "model string, case_id long, given_len int, given array<tinyint>, tour array<tinyint>")
     got = SC.case_set(SC.score(d)).collect()
     assert len(got) == 1 and got[0]["start"] is None and not got[0]["complete"]
+
+
+def test_hash_order_shuffles_inside_groups(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("k"))
+    got = [(r.g, r.k) for r in S.hash_order(df, "k", 5, by=("g",)).collect()]
+    want = sorted(((i % 2, str(i)) for i in range(400)),
+                  key=lambda r: (r[0], hashlib.md5(f"{r[1]}:5".encode()).hexdigest()))
+    assert got == want
+
+
+def test_orbit_leakage_counts_shared_keys(spark):
+    def part(*keys):
+        return spark.createDataFrame([(k,) for k in keys], "canon_key string")
+    got = H.orbit_leakage({"a": part("x", "x", "y", None), "b": part("x", "z"), "c": part("y", None)},
+                          {"a_b": ("a", ["b"]), "a_bc": ("a", ["b", "c"]), "b_c": ("b", ["c"])})
+    assert {r.pair: r.n_shared_orbits for r in got.collect()} == {"a_b": 1, "a_bc": 2, "b_c": 0}
+
+
+def test_dup_audit_of_nulls_and_copies(spark):
+    from seqorbit.operators import corpus as C
+    rows = [([0, 17],), ([0, 17],), ([7, 22],), ([0, 1],), (None,)]
+    got = C.dup_audit(spark.createDataFrame(rows, "tour array<tinyint>")).first()
+    # (7, 22) is an image of (0, 17); (0, 1) is not a legal step
+    assert tuple(got) == (5, 3, 2, 3, 1)
+    assert tuple(C.dup_audit(spark.createDataFrame([], "tour array<tinyint>")).first()) == (0, 0, 0, 0, 0)
+
+
+def test_strict_cast_raises_on_overflow(spark):
+    df = spark.createDataFrame([(5,), (200,)], "v int")
+    assert PQ.strict_tinyint(df.where("v < 100"), ["v"]).dtypes == [("v", "tinyint")]
+    with pytest.raises(Exception, match="OVERFLOW"):
+        PQ.strict_tinyint(df, ["v"]).collect()
+
+
+def test_wide_files_keep_short_tours_and_skip_missing_files(spark, tmp_path):
+    df = spark.createDataFrame([(0, [0, 17]), (2, [])], "no int, tour array<tinyint>")
+    PQ.to_wide(df, "tour", 3, keep=("no",)).write.partitionBy("no").parquet(str(tmp_path / "w"))
+    paths = PQ.existing(spark, [f"{tmp_path}/w/no={k}" for k in range(3)])
+    assert len(paths) == 2
+    got = PQ.from_wide(PQ.read_wide(spark, *paths, n_moves=3, number=r"no=(\d+)"), 3, keep=("file_no",))
+    assert sorted((r.file_no, r.tour) for r in got.collect()) == [(0, [0, 17, None]), (2, [None, None, None])]

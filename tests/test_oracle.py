@@ -5,7 +5,9 @@ import pytest
 from tests.conftest import SF_SMALL
 
 CHEAP = ["canonical_per_start", "tours_dup_audit", "validity_report", "prefix_diversity",
-         "train_val_split", "score_by_given_len", "illegal_moves", "tour_moves"]
+         "train_val_split", "score_by_given_len", "illegal_moves", "tour_moves",
+         "orbit_leakage", "packed_training_sets", "cross_source_split", "wide_sources", "strict_cast",
+         "canonical_sources", "quota_per_start", "all_prompts"]
 
 
 @pytest.mark.parametrize("name", CHEAP)
