@@ -1,10 +1,12 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of sentences with a licensing cue.  Each block is
-compressed alone and with every template as a raw zstandard dictionary; templates
-are ranked by the share of bytes that the dictionary saves.  Down this ranking, the
-first template whose exact wording differences stay within its tolerance wins the
-block.
+Candidate blocks are the paragraphs with a licensing cue, whole, with line breaks as
+spaces; a line without words ends a paragraph.  Each block is compressed alone and
+with every template as a raw zstandard dictionary; templates are ranked by the share
+of bytes that the dictionary saves.  Down this ranking, the first template that stands
+somewhere in the block, with exact wording differences within its tolerance, wins the
+block.  Numbers and the words that tell licenses apart may not differ.  The templates
+of SPDX lines are ranked only in blocks with an SPDX marker.
 
 Defined results: null or empty text has no block and no license; a block that no
 template confirms counts as a block and leaves the best-ranked template as
@@ -49,10 +51,45 @@ TEMPLATES = [
     ("CC0-1.0", "public-domain", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("all-rights-reserved", "reserved", "All rights reserved."),
 ]
+# The GNU project's notices; the first two name the version before its publisher.
+_GNU = ("This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name}General Public "
+        "License {version} as published by the Free Software Foundation")
+_GNU_LATER = ("This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name}General "
+              "Public License as published by the Free Software Foundation, either version {version} of the License, or (at your "
+              "option) any later version.")
+for _id, _name, _what in (("GPL", "", "program"), ("LGPL", "Lesser ", "library"), ("LGPL", "Library ", "library"),
+                          ("AGPL", "Affero ", "program")):
+    for _version in {"": ("2", "3"), "Lesser ": ("2.1", "3"), "Library ": ("2",), "Affero ": ("3",)}[_name]:
+        _full = _version if "." in _version else _version + ".0"
+        TEMPLATES.append((f"{_id}-{_full}-or-later", "copyleft", _GNU_LATER.format(what=_what, name=_name, version=_version)))
+        for _given in (f"version {_version}", f", version {_version},"):
+            TEMPLATES.append((f"{_id}-{_full}-only", "copyleft", _GNU.format(what=_what, name=_name, version=_given)))
+TEMPLATES = list({" ".join(re.findall(r"\w+", t[2].lower())): t for t in reversed(TEMPLATES)}.values())[::-1]
+# Kinds of SPDX identifiers.
+SPDX = {
+    "permissive": "0BSD AFL-3.0 Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause "
+                  "BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BlueOak-1.0.0 ISC MIT MIT-0 NCSA OFL-1.1 OpenSSL PHP-3.01 "
+                  "PostgreSQL Python-2.0 PSF-2.0 UPL-1.0 W3C X11 Zlib",
+    "copyleft": "AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later CC-BY-SA-3.0 CC-BY-SA-4.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 EPL-1.0 "
+                "EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GFDL-1.3-or-later GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only "
+                "GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 "
+                "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MPL-1.1 MPL-2.0 MS-RL OSL-3.0",
+    "attribution": "CC-BY-3.0 CC-BY-4.0",
+    "non-commercial": "CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0",
+    "no-derivatives": "CC-BY-ND-4.0",
+    "public-domain": "CC0-1.0 Unlicense WTFPL",
+}
+TEMPLATES += [(i, kind, f"SPDX-License-Identifier: {i}") for kind, ids in SPDX.items() for i in ids.split()]
+# The older spelling of "or later".
+TEMPLATES += [(f"{i}-or-later", "copyleft", f"SPDX-License-Identifier: {i}+") for i in
+              "AGPL-3.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0".split()]
 _CUE = re.compile(rb"licen[sc]|copyright|\xc2\xa9|rights reserved|spdx|warranty|permission|redistribut|creative commons"
                   rb"|public domain|\bcc[ -]by|\bcc0|public license", re.I)
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|$)", re.M)
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_PARAGRAPH_END = re.compile(r"\n[\W_]*\n")
+_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*\+?")
+SPDX_MARKER = "spdx-license-identifier"
+#: Words that tell one license from another; as little as a number may they be missing or foreign.
+TELLING = frozenset("lesser library affero gnu mozilla apache mit bsd isc cc by nc sa nd non noncommercial not".split())
 #: A template may miss one word in this many; shorter templates must be complete.
 WORDS_PER_DIFFERENCE = 20
 LEVEL = 3
@@ -62,22 +99,32 @@ SCHEMA = ("doc_id long, n_blocks long, licenses string, license string, kind str
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words; each identifier of an SPDX expression stands behind a marker of its own."""
+    out = _WORD.findall(text.lower())
+    inside = 0  # 1: an identifier is next, 2: an operator may be next, 3: an exception is next
+    for at, w in enumerate(out):
+        if w == SPDX_MARKER:
+            inside = 1
+        elif inside == 2 and w in ("or", "and"):
+            out[at] = SPDX_MARKER
+            inside = 1
+        elif inside == 2 and w == "with":
+            inside = 3
+        else:
+            inside = 2 if inside in (1, 3) else 0
+    return out
 
 
 def candidate_blocks(text: bytes | None) -> list[str]:
-    """Runs of neighbouring sentences with a cue, in text order."""
+    """Paragraphs with a cue, in text order, each on one line."""
     if not text or not _CUE.search(text):
         return []
-    blocks, last = [], None
-    for m in _SENTENCE.finditer(text.decode("utf-8", "replace")):
-        if _CUE.search(m[0].encode()):
-            if last is not None and m.start() - last <= 1:
-                blocks[-1] += " " + m[0].strip()
-            else:
-                blocks.append(m[0].strip())
-            last = m.end()
-    return blocks
+    parts = _PARAGRAPH_END.split(text.decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+    return [" ".join(x.split()) for x in parts if _CUE.search(x.encode())]
+
+
+def _tells(word: str) -> bool:
+    return word in TELLING or any(c.isdigit() for c in word)
 
 
 class Scanner:
@@ -89,28 +136,63 @@ class Scanner:
                 " ".join(t[2]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for t in self.templates]
 
     @staticmethod
-    def differences(template: list[str], block: list[str]) -> tuple[int, int]:
-        """Template words the block lacks, and foreign words between those it has."""
+    def differences(template: list[str], block: list[str]):
+        """Template words the block lacks, foreign words between those it has, and where
+        the match stands in the block."""
         ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()
         ops = [o for o in ops if o.size]
-        have = sum(o.size for o in ops)
-        span = ops[-1].b + ops[-1].size - ops[0].b if ops else 0
-        return len(template) - have, span - have
+        if not ops:
+            return template, [], (0, 0)
+        missing, foreign, i, j = [], [], 0, ops[0].b
+        for o in ops:
+            missing += template[i:o.a]
+            foreign += block[j:o.b]
+            i, j = o.a + o.size, o.b + o.size
+        return missing + template[i:], foreign, (ops[0].b, j)
+
+    def find(self, template: list[str], own: list[str], where: dict[str, list[int]]):
+        """``(differences, start, end)`` of the best stand of the template in the block.
+        A match with ``allowed`` missing and foreign words has one of 2 * allowed + 1
+        pieces unbroken, so only the surroundings of such pieces are compared."""
+        size = len(template)
+        allowed = size // WORDS_PER_DIFFERENCE
+        cuts = [size * k // (2 * allowed + 1) for k in range(2 * allowed + 2)]
+        best, seen = None, set()
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            piece = template[x:y]
+            k = min(range(len(piece)), key=lambda k: len(where.get(piece[k], ())))  # the rarest word
+            for at in where.get(piece[k], ()):
+                at -= k
+                if at < 0 or own[at:at + len(piece)] != piece:
+                    continue
+                low = max(at - x - allowed, 0)
+                high = at + size - x + allowed
+                if (low, high) in seen:
+                    continue
+                seen.add((low, high))
+                missing, foreign, (i, j) = self.differences(template, own[low:high])
+                if len(missing) > allowed or len(foreign) > allowed or any(map(_tells, missing + foreign)):
+                    continue
+                got = (len(missing) + len(foreign), low + i, low + j)
+                if best is None or got < best:
+                    best = got
+        return best
 
     def scan(self, block: str):
         """``(winner index or None, closest index, differences, saved share)``."""
         own = words(block)
         data = " ".join(own).encode()
         alone = len(self.plain.compress(data))
-        saved = [(alone - len(c.compress(data))) / alone for c in self.given]
-        ranked = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
+        where: dict[str, list[int]] = {}
+        for at, w in enumerate(own):
+            where.setdefault(w, []).append(at)
+        used = [i for i, (_, _, t) in enumerate(self.templates) if t[0] != SPDX_MARKER or SPDX_MARKER in where]
+        saved = {i: (alone - len(self.given[i].compress(data))) / alone for i in used}
+        ranked = sorted(used, key=lambda i: (-saved[i], i))
         for i in ranked:
-            if saved[i] <= 0:
-                break
-            missing, foreign = self.differences(self.templates[i][2], own)
-            allowed = len(self.templates[i][2]) // WORDS_PER_DIFFERENCE
-            if missing <= allowed and foreign <= allowed:
-                return i, ranked[0], missing + foreign, saved[i]
+            found = self.find(self.templates[i][2], own, where)
+            if found:
+                return i, ranked[0], found[0], saved[i]
         return None, ranked[0], 0, saved[ranked[0]]
 
 

@@ -333,6 +333,46 @@ def test_licenses(spark, messy, empty):
     assert licenses.scan_licenses(messy).count() == len(MESSY) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    wrapped = {
+        "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated "
+               "documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation",
+        "BSD": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that "
+               "the following\n * conditions are met:\n *\n * 1. Redistributions of source code",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby "
+               "granted, provided that",
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL",
+        "GPL-3.0-or-later": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU "
+                            "General Public License as published by\n    the Free Software Foundation, either version 3 of the "
+                            "License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope",
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser "
+                             "General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the "
+                             "License, or (at your option) any later version.",
+        "GPL-2.0-only": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General "
+                        "Public License version 2 as\n# published by the Free Software Foundation.",
+        "BSD-2-Clause": "/* SPDX-License-Identifier: BSD-2-Clause */\nint main() {}",
+        "GPL-2.0-or-later": "# SPDX-License-Identifier: GPL-2.0+",
+    }
+    plain = "some words of a text that goes on " * 40 + "\n"
+    df = spark.createDataFrame([(k, 0, p + v) for k, v in wrapped.items() for p in ("", plain)], "name string, doc_id long, text string")
+    found = {k: [licenses.TEMPLATES[w[0]][0] if (w := licenses.Scanner().scan(licenses.candidate_blocks((p + v).encode())[0]))[0]
+                 is not None else None for p in ("", plain)] for k, v in wrapped.items()}
+    assert found == {k: [k, k] for k in wrapped}
+    by_row = rows(licenses.scan_licenses(df.withColumn("doc_id", F.monotonically_increasing_id())))
+    assert Counter(r["license"] for r in by_row) == {k: 2 for k in wrapped}
+    # another license's notice is no difference of wording
+    other = wrapped["GPL-3.0-or-later"].replace("GNU General", "GNU Foo General").replace("version 3", "version 7")
+    assert licenses.Scanner().scan(licenses.candidate_blocks(other.encode())[0])[0] is None
+
+
+def test_templates_against_their_own_text():
+    scanner = licenses.Scanner()
+    for name, _, body in licenses.TEMPLATES:
+        (block,) = licenses.candidate_blocks(body.replace(", ", ",\n").encode())
+        got = scanner.scan(block)
+        assert got[0] is not None and licenses.TEMPLATES[got[0]][0] == name and got[2] == 0, body
+
+
 # --- op10 --------------------------------------------------------------------------
 
 def test_mix(docs):
