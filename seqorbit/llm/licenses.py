@@ -3,9 +3,9 @@
 Candidate blocks are the paragraphs with a licensing cue, whole, with line breaks as
 spaces; a line without words ends a paragraph.  Each block is compressed alone and
 with every template as a raw zstandard dictionary; templates are ranked by the share
-of bytes that the dictionary saves.  Down this ranking, the first template that stands
-somewhere in the block, with exact wording differences within its tolerance, wins the
-block.  Numbers and the words that tell licenses apart may not differ.  The templates
+of bytes that the dictionary saves.  Down this ranking, every template that stands
+somewhere in the block, with exact wording differences within its tolerance, is
+confirmed and takes its words from the templates after it.  Numbers and the words that tell licenses apart may not differ.  The templates
 of SPDX lines are ranked only in blocks with an SPDX marker.
 
 Defined results: null or empty text has no block and no license; a block that no
@@ -123,8 +123,12 @@ def candidate_blocks(text: bytes | None) -> list[str]:
     return [" ".join(x.split()) for x in parts if _CUE.search(x.encode())]
 
 
+#: Stands for a word of a confirmed notice; no word is a line break.
+TAKEN = "\n"
+
+
 def _tells(word: str) -> bool:
-    return word in TELLING or any(c.isdigit() for c in word)
+    return word == TAKEN or word in TELLING or any(c.isdigit() for c in word)
 
 
 class Scanner:
@@ -178,8 +182,9 @@ class Scanner:
                     best = got
         return best
 
-    def scan(self, block: str):
-        """``(winner index or None, closest index, differences, saved share)``."""
+    def scan_all(self, block: str):
+        """``(closest index, its saved share, [(index, differences, saved share), ...])`` with
+        every confirmed template, each on words of its own, in the order of the ranking."""
         own = words(block)
         data = " ".join(own).encode()
         alone = len(self.plain.compress(data))
@@ -189,11 +194,22 @@ class Scanner:
         used = [i for i, (_, _, t) in enumerate(self.templates) if t[0] != SPDX_MARKER or SPDX_MARKER in where]
         saved = {i: (alone - len(self.given[i].compress(data))) / alone for i in used}
         ranked = sorted(used, key=lambda i: (-saved[i], i))
+        won = []
         for i in ranked:
-            found = self.find(self.templates[i][2], own, where)
-            if found:
-                return i, ranked[0], found[0], saved[i]
-        return None, ranked[0], 0, saved[ranked[0]]
+            first = None
+            while found := self.find(self.templates[i][2], own, where):
+                first = first or found
+                own[found[1]:found[2]] = [TAKEN] * (found[2] - found[1])
+            if first:
+                won.append((i, first[0], saved[i]))
+        return ranked[0], saved[ranked[0]], won
+
+    def scan(self, block: str):
+        """``(winner index or None, closest index, differences, saved share)`` of the best-ranked confirmed template."""
+        closest, share, won = self.scan_all(block)
+        if won:
+            return won[0][0], closest, *won[0][1:]
+        return None, closest, 0, share
 
 
 def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", templates=TEMPLATES) -> DataFrame:
@@ -205,15 +221,15 @@ def scan_licenses(docs: DataFrame, id_col="doc_id", text_col="text", templates=T
         for b in batches:
             rows = []
             for text in binaries(b.column(1)):
-                got = [scanner.scan(x) for x in candidate_blocks(text)]
-                won = sorted((g for g in got if g[0] is not None), key=lambda g: (-g[3], g[0]))
+                got = [scanner.scan_all(x) for x in candidate_blocks(text)]
+                won = sorted((w for g in got for w in g[2]), key=lambda w: (-w[2], w[0]))
                 names = ",".join(sorted({scanner.templates[g[0]][0] for g in won}))
                 if won:
-                    i, _, diff, saved = won[0]
+                    i, diff, saved = won[0]
                     rows.append((len(got), names, scanner.templates[i][0], scanner.templates[i][1], None, diff, saved))
                 elif got:
-                    near = max(got, key=lambda g: g[3])
-                    rows.append((len(got), "", None, None, scanner.templates[near[1]][0], None, near[3]))
+                    near = max(got, key=lambda g: g[1])
+                    rows.append((len(got), "", None, None, scanner.templates[near[0]][0], None, near[1]))
                 else:
                     rows.append((0, "", None, None, None, None, None))
             cols = list(zip(*rows)) if rows else [()] * 7

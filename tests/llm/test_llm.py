@@ -373,6 +373,20 @@ def test_templates_against_their_own_text():
         assert got[0] is not None and licenses.TEMPLATES[got[0]][0] == name and got[2] == 0, body
 
 
+def test_dual_licensed_blocks(spark):
+    texts = {
+        "Code is released under the MIT License. Licensed under CC BY 4.0.": "CC-BY-4.0,MIT",
+        "Licensed under the Apache License, Version 2.0. All rights reserved.": "Apache-2.0,all-rights-reserved",
+        "Released under the MIT License.\nLicensed under CC BY-SA 4.0.\nReleased under the MIT License.": "CC-BY-SA-4.0,MIT",
+        "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT": "GPL-2.0-only,MIT",
+        "Licensed under the MIT License. All rights, as it were, reserved.": "MIT",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(df))}
+    assert [got[i]["licenses"] for i in range(len(texts))] == list(texts.values())
+    assert all(r["n_blocks"] == 1 and r["license"] in r["licenses"].split(",") for r in got.values())
+
+
 # --- op10 --------------------------------------------------------------------------
 
 def test_mix(docs):
