@@ -2,7 +2,9 @@
 
 Each page becomes a small DOM (a tag scanner with HTML's implied end tags).
 Subtrees that are never main text (scripts, menus, forms, adverts, notices,
-comments, hidden parts, ...) are taken out.  Every remaining node gets a density,
+comments, hidden parts, ...) are taken out; a class or id word alone takes a subtree
+out only if it holds neither all article and main elements nor a large share of the
+body's unlinked characters.  Every remaining node gets a density,
 its characters per tag weighed down by the share of linked characters and tags;
 a node's score is the sum of its children's densities.  The node with the largest
 score is the core; the least density on the path from body to it is the threshold
@@ -43,6 +45,12 @@ NOISE = frozenset("""ad ads adv advert adverts advertisement advertising adsense
     nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted
     promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor
     sponsored subscribe subscription teaser toolbar tracking widget widgets""".split())
+#: Words that name a part together with a noise word ("comments-area"); other names with a
+#: noise word ("has-sidebar", "comments-open") may as well tell the state of a wrapper.
+PART = frozenset("area block body box container content form inner item links list main post posts section thread wrap wrapper".split())
+#: Share of the body's unlinked characters above which such a name is no noise: of a part, of another name.
+PART_SHARE, NAME_SHARE = 0.9, 0.3
+KEPT = frozenset("html body article main".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -52,17 +60,18 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "parent", "children", "noise", "limit", "chars", "tags", "link_chars", "link_tags", "density", "score")
 
     def __init__(self, tag, parent, noise=False):
         self.tag, self.parent, self.noise = tag, parent, noise
+        self.limit = None  # the share above which a node with a noise name is kept
         self.children = []  # nodes and text strings, in page order
 
 
 def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if not attrs.strip() or tag in ("html", "body", "article", "main"):
+    if not attrs.strip() or tag in KEPT:
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), _html.unescape(value.strip("\"'")).lower()
@@ -72,16 +81,51 @@ def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in NOISE_ROLES:
             return True
-        if name in ("class", "id") and not NOISE.isdisjoint(_NAME.findall(value)):
-            return True
     return False
 
 
+def _name_limit(attrs: str) -> float | None:
+    """The share above which a node is kept in spite of its class and id names; None
+    without a noise word."""
+    limit = None
+    for name, value in _ATTR.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for part in _html.unescape(value.strip("\"'")).lower().split():
+                own = _NAME.findall(part)
+                if not NOISE.isdisjoint(own):
+                    if all(w in NOISE or w in PART or w.isdigit() for w in own):
+                        return PART_SHARE
+                    limit = NAME_SHARE
+    return limit
+
+
+def _judge_names(root: Node) -> None:
+    """Marks as noise the nodes with a noise name, unless they hold every article and main
+    element or more than their limit of the body's unlinked characters."""
+    nodes = _clean_nodes(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    for n in nodes:
+        n.chars = n.tags = 0  # unlinked characters, article and main elements
+    for n in reversed(nodes):
+        if n.tag == "a":
+            n.chars = 0
+        else:
+            n.chars += sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        # an article that is named a comment or teaser is not the page's
+        n.tags += n.tag in ("article", "main") and n.limit is None
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.tags += n.tags
+    for n in nodes:
+        if n.limit is not None and n.tag not in KEPT:
+            n.noise = not (body.tags and n.tags == body.tags) and n.chars <= n.limit * body.chars
+
+
 def parse(page: str) -> Node:
     """The page's tree; noise subtrees are marked, raw text elements have no text."""
     root = Node("#root", None)
     stack, pos, end = [root], 0, len(page)
-    articles = 0
+    articles, named = 0, False
 
     def pop_to(depth):
         nonlocal articles
@@ -125,6 +169,9 @@ def parse(page: str) -> Node:
                 pop_to(at)
         node = Node(tag, stack[-1], _is_noise(tag, m[3], articles > 0))
         stack[-1].children.append(node)
+        if not node.noise and m[3].strip():
+            node.limit = _name_limit(m[3])
+            named = named or node.limit is not None
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
             pos = close.end() if close else end
@@ -132,6 +179,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             articles += tag in ("article", "main")
+    if named:
+        _judge_names(root)
     return root
 
 

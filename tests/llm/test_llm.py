@@ -119,6 +119,28 @@ def test_main_text(page, want):
     assert extract.main_text(page) == want
 
 
+STORY = "<p>" + "plain words of the story " * 20 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "comments-open", "layout share-enabled"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_with_noise_words(name, inner):
+    want = " ".join((STORY[3:-4] * 2).split())
+    beside = "<div><p>beside the wrapper</p></div>"
+    for attr in ("class", "id"):
+        page = (f"<body>{beside}<div {attr}='{name}'><{inner}>{STORY * 2}</{inner}>"
+                f"<div class='sidebar'>side words</div><div class='comments-area'>{STORY * 3}</div></div></body>")
+        got = extract.main_text(page)
+        assert want in got and "side words" not in got and got.count("story") == 40
+
+
+def test_noise_parts_stay_out():
+    teasers = "<div class='related-posts'><article><p>teaser words</p></article></div>"
+    comments = f"<div class='comments-area'><article class='comment-body'>{STORY}</article></div>"
+    page = f"<body><main><article>{STORY}</article>{teasers}{comments}</main><div class='top-widget-x'>small</div></body>"
+    assert extract.main_text(page) == " ".join(STORY[3:-4].split())
+
+
 def test_deep_and_link_heavy_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     assert extract.main_text(deep) == "deep text"
