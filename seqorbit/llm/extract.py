@@ -8,7 +8,9 @@ body's unlinked characters.  Every remaining node gets a density,
 its characters per tag weighed down by the share of linked characters and tags;
 a node's score is the sum of its children's densities.  The node with the largest
 score is the core; the least density on the path from body to it is the threshold
-that siblings along this path must reach to be kept beside it.
+that siblings along this path must reach to be kept beside it.  Text that stands
+directly in a node of the path, with the inline elements around it, counts as a sibling
+of its own.
 
 Defined results: null or empty html, or a page without text, gives an empty
 string; broken markup is read as far as it goes; a page without a core keeps what
@@ -194,7 +196,17 @@ def _clean_nodes(root: Node) -> list[Node]:
     return out
 
 
-def _densities(nodes: list[Node], body: Node) -> None:
+def _density(n: Node, ratio: float) -> float:
+    if not n.chars:
+        return 0.0
+    plain = max(n.chars - n.link_chars, 0)
+    base = math.log(n.chars / (plain + 1) * n.link_chars + ratio * n.chars + math.e)
+    x = n.chars / (n.link_chars + 1) * (n.tags + 1) / (n.link_tags + 1)
+    return n.chars / (n.tags + 1) * max(math.log(x + 1) / math.log(base + 1), 0.0)
+
+
+def _densities(nodes: list[Node], body: Node) -> float:
+    """Sets every node's density and score; returns the body's share of linked characters."""
     for n in nodes:
         n.chars = n.tags = n.link_chars = n.link_tags = 0
     for n in reversed(nodes):
@@ -209,22 +221,49 @@ def _densities(nodes: list[Node], body: Node) -> None:
             p.link_tags += n.link_tags
     ratio = (body.link_chars + 1) / (body.chars + 1)
     for n in nodes:
-        if not n.chars:
-            n.density = 0.0
-            continue
-        plain = max(n.chars - n.link_chars, 0)
-        base = math.log(n.chars / (plain + 1) * n.link_chars + ratio * n.chars + math.e)
-        x = n.chars / (n.link_chars + 1) * (n.tags + 1) / (n.link_tags + 1)
-        n.density = n.chars / (n.tags + 1) * max(math.log(x + 1) / math.log(base + 1), 0.0)
+        n.density = _density(n, ratio)
     for n in nodes:
         n.score = sum(c.density for c in n.children if isinstance(c, Node) and not c.noise)
+    return ratio
+
+
+def _with_runs(n: Node, on_path: set, ratio: float) -> list[Node]:
+    """The children of a node on the path, where each run of text and inline elements (and
+    line breaks) that holds text of the node itself is one more node."""
+    out, run = [], []
+
+    def close():
+        if any(isinstance(c, str) and c.strip() for c in run):
+            node = Node("#text", n)
+            node.children = list(run)
+            inner = [c for c in run if isinstance(c, Node)]
+            node.chars = sum(len("".join(c.split())) for c in run if isinstance(c, str)) + sum(c.chars for c in inner)
+            node.tags = sum(c.tags + 1 for c in inner)
+            node.link_chars, node.link_tags = sum(c.link_chars for c in inner), sum(c.link_tags for c in inner)
+            node.density = _density(node, ratio)
+            out.append(node)
+        else:
+            out.extend(c for c in run if isinstance(c, Node))
+        run.clear()
+
+    for c in n.children:
+        if isinstance(c, str):
+            run.append(c)
+        elif not c.noise:
+            if id(c) in on_path or any(x.tag in BLOCKS and x.tag != "br" for x in _clean_nodes(c)):
+                close()
+                out.append(c)
+            else:
+                run.append(c)
+    close()
+    return out
 
 
 def main_nodes(root: Node) -> list[Node] | None:
     """The kept subtrees' roots in page order."""
     nodes = _clean_nodes(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    _densities(nodes, body)
+    ratio = _densities(nodes, body)
     inside = _clean_nodes(body)
     core = max(inside, key=lambda n: n.score)
     if core.score <= 0:
@@ -249,8 +288,10 @@ def main_nodes(root: Node) -> list[Node] | None:
         if n is core or id(n) not in on_path:
             if n is core or n.density >= threshold and n.chars > 2 * n.link_chars:
                 keep.append(n)
+            elif n.tag == "#text":  # not kept as a whole: its elements by themselves
+                todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
             continue
-        todo.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.noise)
+        todo.extend(reversed(_with_runs(n, on_path, ratio)))
     return keep
 
 

@@ -141,6 +141,21 @@ def test_noise_parts_stay_out():
     assert extract.main_text(page) == " ".join(STORY[3:-4].split())
 
 
+def test_bare_text_around_a_nested_block():
+    bare = [f"bare{i} " + "words of the page itself " * 16 for i in range(6)]
+    quote = "".join(f"<p>{'the quoted words of another ' * 11}</p>" for _ in range(2))
+    before, after = "<br>".join(bare[:3]), "<br>".join(bare[3:5]) + "<br>" + bare[5].replace("bare5", "<b>bare5</b>")
+    page = f"<body><div>{before}<blockquote>{quote}</blockquote>{after}</div><div>x <a href=/>links here</a></div></body>"
+    want = " ".join([*bare[:3], *["the quoted words of another"] * 22, *bare[3:]])
+    root = extract.parse(page)
+    kept = extract.main_nodes(root)
+    assert [n.tag for n in kept] == ["#text", "blockquote", "#text"]
+    assert extract.main_text(page) == " ".join(want.split())
+    # little text does not reach the threshold
+    short = f"<body><div>tiny<blockquote>{quote}</blockquote><a href=/>more</a> here</div></body>"
+    assert extract.main_text(short) == " ".join(["the quoted words of another"] * 22)
+
+
 def test_deep_and_link_heavy_pages(spark):
     deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
     assert extract.main_text(deep) == "deep text"
