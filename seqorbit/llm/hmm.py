@@ -1,17 +1,20 @@
 """Hidden Markov language model over words.
 
-Tokens are lower-cased words and one end token per text.  A state emits a word
-class, a class emits a word: each of the ``N_CLASSES`` most frequent words is a class
-of its own, all other words share ``N_BUCKETS`` classes by a hash of their last three
-bytes.  States, transitions and class emissions are trained with Baum-Welch: every
-pass reads all training texts, tasks return expected counts, Spark adds them up by
-class.  Word-in-class and base probabilities use the exact corpus counts of every
-word.  A text's probability is the scaled forward product times the word-in-class
-probabilities.
-
-What is broadcast has a fixed size: counts of the ``N_FREQUENT`` most frequent words
-and the model.  All rarer words meet their counts in a shuffle join; such a word has
-at most 1/N_FREQUENT of all tokens, so none is hot.
+Tokens are lower-cased words and one end token per text.  A state emits words: every
+training word has expected counts of its own in every state.  Each of the ``N_OWN`` most
+frequent words is a class; the others, and unseen ones, share ``N_BUCKETS`` classes by a hash
+of their last three bytes, and a word's chance in its class is the mean of that by its own
+counts in the state and that by its corpus count.
+States, transitions and emissions are trained with Baum-Welch: every pass reads all
+training texts, tasks return expected counts by word and state, Spark adds them up.  A
+text's probability is the scaled forward product.
+
+The ``N_CLASSES`` most frequent words are broadcast with their counts and emissions, a
+fixed size.  All rarer words are kept in a table that grows with the corpus: texts stand
+in blocks of about ``BLOCK_TOKENS`` tokens, each with its own rare words; a pass deals the
+expected counts of every block's rare words out by word (in ``parts``, enough for
+``PART_WORDS`` postings each), adds them up and joins the sums back to the blocks.  A rare
+word has at most 1/N_CLASSES of all tokens and one posting a block, so none is hot.
 
 Defined results: null or wordless text is the end token alone; a null id counts as
 not held out and trains; repeated rows count and score one by one; without any
@@ -34,12 +37,17 @@ from .common import binaries, stage
 
 STATES = 8
 PASSES = 4
-N_CLASSES = 8192
+N_CLASSES = 65536
+N_OWN = 8192
 N_BUCKETS = 1024
-N_FREQUENT = 65536
 SUFFIX = 3
+N_FREQUENT = 65536  # at most so many words reach the driver
+BLOCK_TOKENS = 1 << 19
+PART_WORDS = 1 << 20
+LEAST_PARTS = 64
 END = b""  # no word is empty
 PRIOR = 100.0
+TINY = 1e-6
 CELLS = 1 << 19
 FLUSH_WORDS = 1_000_000
 
@@ -61,62 +69,86 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word[-SUFFIX:]) % N_BUCKETS
+
+
 class Classes:
-    """The frequent words with their counts, classes and log factors."""
+    """The frequent words with their counts and base probabilities, and the classes."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], bucket_sums: dict[int, tuple[int, int]], n: int, v: int):
-        self.n_own = min(N_CLASSES, len(frequent))
-        self.size = self.n_own + N_BUCKETS
+        self.size = len(frequent)
+        self.n_own = min(N_OWN, self.size)
         self.index = {w: i for i, (w, _) in enumerate(frequent)}
-        c = np.array([x for _, x in frequent], float)
-        self.base_norm = np.log10(n + 0.5 * (v + 1))
-        self.base = np.log10(c + 0.5) - self.base_norm
-        self.bucket_norm = np.full(N_BUCKETS, np.log10(0.5))
-        self.bucket_count = np.zeros(N_BUCKETS)
-        for k, (total, kinds) in bucket_sums.items():
-            self.bucket_norm[k] = np.log10(total + 0.5 * (kinds + 1))
-            self.bucket_count[k] = total
-        self.cls = np.arange(len(frequent))
-        self.emit = np.zeros(len(frequent))
-        for i in range(self.n_own, len(frequent)):
-            k = zlib.crc32(frequent[i][0][-SUFFIX:]) % N_BUCKETS
-            self.cls[i] = self.n_own + k
-            self.emit[i] = np.log10(c[i] + 0.5) - self.bucket_norm[k]
-        unigram = np.concatenate([c[:self.n_own], self.bucket_count]) + 0.5
+        self.c = np.array([x for _, x in frequent], float)
+        self.norm = n + 0.5 * (v + 1)
+        self.base = np.log10(self.c + 0.5) - np.log10(self.norm)
+        self.buckets = np.array([_bucket(w) for w, _ in frequent[self.n_own:]], np.int64)
+        self.bucket_count, kinds = np.zeros(N_BUCKETS), np.zeros(N_BUCKETS)
+        for k, (total, words) in bucket_sums.items():
+            self.bucket_count[k], kinds[k] = total, words
+        self.bucket_norm = self.bucket_count + 0.5 * (kinds + 1)
+        unigram = np.concatenate([self.c[:self.n_own], self.bucket_count]) + 0.5
         self.unigram = unigram / unigram.sum()
 
-    def encode(self, text: bytes | None):
-        """``(class of each token, base, emit and known sums of frequent words, rare words)``."""
+    def encode(self, text: bytes | None, rare: dict[bytes, int]):
+        """The row of each token: a frequent word's, or behind them its place in ``rare``,
+        which takes in new words."""
         words = text.lower().split() if text else []
         words.append(END)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        known = at[at >= 0]
-        cls = np.zeros(len(words), np.uint16)
-        cls[at >= 0] = self.cls[known]
-        rare = [words[i] for i in np.flatnonzero(at < 0)]
-        if rare:
-            cls[at < 0] = [self.n_own + zlib.crc32(w[-SUFFIX:]) % N_BUCKETS for w in rare]
-        return cls, float(self.base[known].sum()), float(self.emit[known].sum()), len(known), Counter(rare)
+        for i in np.flatnonzero(at < 0):
+            at[i] = self.size + rare.setdefault(words[i], len(rare))
+        return at.astype(np.uint32)
 
 
 class Model:
-    def __init__(self, start, move, emit):
-        self.start, self.move, self.emit = start, move, emit
+    """``emit`` of the frequent words and, for the words of the buckets, the chances and the
+    expected counts of the buckets."""
+
+    def __init__(self, start, move, emit, buckets=None, counts=None):
+        self.start, self.move, self.emit, self.buckets, self.counts = start, move, emit, buckets, counts
 
     @classmethod
-    def initial(cls, unigram: np.ndarray, states: int):
+    def of(cls, start, move, classes, words, counts, known: Classes):
+        own = classes[:known.n_own]
+        m = cls(start, move, own, classes[known.n_own:], counts)
+        m.emit = np.concatenate([own, m.emissions(words, known.c[known.n_own:], known.buckets, known)])
+        return m
+
+    @classmethod
+    def initial(cls, known: Classes, states: int):
         """Sticky states whose emissions are the unigram tilted by a fixed random factor."""
-        tilt = 0.5 + np.random.default_rng(5).random((len(unigram), states))
-        emit = unigram[:, None] * tilt
+        tilt = 0.5 + np.random.default_rng(5).random((len(known.unigram), states))
+        emit = known.unigram[:, None] * tilt
         move = np.full((states, states), 0.1 / max(states - 1, 1))
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-        return cls(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
+        return cls.of(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0),
+                      np.zeros((known.size - known.n_own, states)), np.zeros((N_BUCKETS, states)), known)
 
     @classmethod
-    def from_counts(cls, start, move, emit, unigram):
-        emit = emit + PRIOR * unigram[:, None]
+    def from_counts(cls, start, move, words, rare_buckets, known: Classes):
+        """From the counts of the frequent words and, by bucket, of all rarer ones."""
+        counts = rare_buckets.copy()
+        np.add.at(counts, known.buckets, words[known.n_own:])
+        emit = np.concatenate([words[:known.n_own], counts]) + PRIOR * known.unigram[:, None]
         move, start = move + 1.0, start + 1.0
-        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return cls.of(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0),
+                      words[known.n_own:], counts, known)
+
+    def emissions(self, words, c, buckets, known: Classes) -> np.ndarray:
+        """Emissions of words of the buckets.  By its own counts, a word gets half a token more,
+        dealt to the states like its bucket, so an unseen word's two chances are equal; over a
+        bucket's training words and one unseen word both sum to one."""
+        norm = known.bucket_norm[buckets, None]
+        plain = (c[:, None] + 0.5) / norm
+        each = self.counts[buckets] / np.maximum(known.bucket_count[buckets, None], 1.0)
+        own = (words + 0.5 * each + TINY * plain) / (each * norm + TINY)
+        return self.buckets[buckets] * (0.5 * own + 0.5 * plain)
+
+    def beside(self, rare: np.ndarray):
+        """The model of a block: with the emissions of its rare words behind the others."""
+        return Model(self.start, self.move, np.concatenate([self.emit, rare]))
 
 
 def groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
@@ -135,7 +167,7 @@ def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
     emissions of all tokens only if ``keep``."""
     lengths = np.array([len(s) for s in seqs])
     width = len(seqs) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
-    tokens = np.zeros((lengths[0], len(seqs)), np.uint16)
+    tokens = np.zeros((lengths[0], len(seqs)), np.uint32)
     for i, s in enumerate(seqs):
         tokens[:len(s), i] = s
     logs = np.zeros(len(seqs))
@@ -183,33 +215,172 @@ def expected_counts(model: Model, seqs: list[np.ndarray], emit, move, start) ->
         emit[:, k] += np.bincount(flat, weights=by_state[k], minlength=len(emit))
 
 
-def _pass(encoded: DataFrame, model: Model, states: int) -> tuple:
-    """One E-step over all training rows: counts by class, summed by Spark."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def _parts_of(word_id: np.ndarray, parts: int) -> np.ndarray:
+    return np.where(word_id < 0, -1, (word_id ^ (word_id >> 33)) % parts)
+
+
+def _block(b, i: int, known: Classes, model: Model, parts: int):
+    """``(sequences, model of the block, word ids, counts, buckets)`` of row i of the blocks joined with
+    the sums of their rare words."""
+    col = lambda name, kind: np.frombuffer(b.column(name)[i].as_py() or b"", kind)
+    ids, c, lengths, buckets = col("ids", np.int64), col("c", np.int64), col("lengths", np.int64), col("buckets", np.int64)
+    seqs = np.split(col("cls", np.uint32), np.cumsum(lengths)[:-1])
+    states = len(model.start)
+    counts = np.zeros((len(ids), states))
+    at = _parts_of(ids, parts)
+    for x in (b.column("sums")[i].as_py() or ()) if "sums" in b.schema.names else ():
+        counts[at == x["part"]] = np.frombuffer(x["e"], np.float32).reshape(-1, states)
+    return seqs, model.beside(model.emissions(counts, c, buckets, known)), ids, c, buckets
+
+
+def _with_sums(blocks: DataFrame, sums: DataFrame | None) -> DataFrame:
+    """Every block with the sums of its rare words; none before the first pass."""
+    if sums is None:
+        return blocks
+    return blocks.join(sums.groupBy("block").agg(F.collect_list(F.struct("part", "e")).alias("sums")), "block", "left")
+
+
+def _add_up(states: int):
+    """Rows (part, block, ids, e) of whole parts: every block's words get the sums over all blocks."""
+    def run(batches):
+        part, block, ids, e = [], [], [], []
+        for b in batches:
+            part += b.column(0).to_pylist()
+            block += b.column(1).to_pylist()
+            ids += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            e += [np.frombuffer(x, np.float32).reshape(-1, states) for x in b.column(3).to_pylist()]
+        if not block:
+            return
+        kinds, at = np.unique(np.concatenate(ids), return_inverse=True)
+        e = np.concatenate(e)
+        sums = np.stack([np.bincount(at, weights=e[:, k], minlength=len(kinds)) for k in range(states)], axis=1).astype(np.float32)
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        for i in range(0, len(block), 512):
+            own = range(i, min(i + 512, len(block)))
+            yield pa.record_batch([
+                pa.array([part[j] for j in own], pa.int32()), pa.array([block[j] for j in own], pa.int64()),
+                pa.array([sums[at[cuts[j]:cuts[j + 1]]].tobytes() for j in own], pa.binary())], names=["part", "block", "e"])
+    return run
+
+
+def _drop(table: DataFrame | None) -> None:
+    """Frees a stage table of a pass that the next one has replaced."""
+    for f in (table.inputFiles()[:1] if table is not None else ()):
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if path.getName().startswith("stage-llm-hmm-pass"):
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _pass(blocks: DataFrame, sums: DataFrame | None, known, model: Model, states: int, parts: int) -> tuple:
+    """One E-step over all training rows: ``(start, move, frequent words, buckets)`` counts by
+    state and the table of the rare words' counts, added up by Spark."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
     size = len(model.emit)
 
+    names = ["row", "part", "block", "ids", "e", *[f"s{k}" for k in range(states)]]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.float64()] * states]
+
     def run(batches):
         m = shared.value
-        emit, move, start = np.zeros((size, states)), np.zeros((states, states)), np.zeros(states)
-        some = False
+        all_rows, some = np.zeros((size + states + 1 + N_BUCKETS, states)), False
         for b in batches:
-            seqs = [np.frombuffer(x, np.uint16) for x in b.column(0).to_pylist()]
-            some = some or bool(seqs)
-            for g in groups(np.array([len(s) for s in seqs], np.int64)):
-                expected_counts(m, [seqs[i] for i in g], emit, move, start)
+            for i in range(b.num_rows):
+                seqs, own, ids, _, buckets = _block(b, i, known.value, m, parts)
+                held = np.frombuffer(b.column("held")[i].as_py(), bool)
+                seqs = [x for x, h in zip(seqs, held) if not h]
+                if not seqs:
+                    continue
+                some = True
+                emit = np.zeros((len(own.emit), states))
+                for g in groups(np.array([len(x) for x in seqs], np.int64)):
+                    expected_counts(own, [seqs[j] for j in g], emit, all_rows[size:size + states], all_rows[size + states])
+                all_rows[:size] += emit[:size]
+                np.add.at(all_rows[size + states + 1:], buckets, emit[size:])
+                at, rare = _parts_of(ids, parts), emit[size:].astype(np.float32)
+                mine = [x for x in np.unique(at) if x >= 0]
+                n, block = len(mine), b.column("block")[i].as_py()
+                yield pa.record_batch([pa.nulls(n, pa.int32()), pa.array(mine, pa.int32()), pa.array([block] * n, pa.int64()),
+                                       pa.array([ids[at == x].tobytes() for x in mine], pa.binary()),
+                                       pa.array([rare[at == x].tobytes() for x in mine], pa.binary()),
+                                       *[pa.nulls(n, pa.float64())] * states], names=names)
         if some:
-            rows = np.concatenate([emit, move, start[None, :]])
-            hit = np.flatnonzero(rows.any(axis=1))
-            yield pa.record_batch([pa.array(hit, pa.int32()), *[pa.array(rows[hit, k]) for k in range(states)]],
-                                  names=["row", *[f"s{k}" for k in range(states)]])
-
-    schema = "row int, " + ", ".join(f"s{k} double" for k in range(states))
-    sums = (encoded.where("NOT held_out").select("cls").mapInArrow(run, schema)
-            .groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]))
-    all_rows = np.zeros((size + states + 1, states))
-    for r in sums.collect():  # one row per class: a fixed bound
+            hit = np.flatnonzero(all_rows.any(axis=1))
+            none = [pa.nulls(len(hit), k) for k in kinds[1:5]]
+            yield pa.record_batch([pa.array(hit, pa.int32()), *none, *[pa.array(all_rows[hit, k]) for k in range(states)]],
+                                  names=names)
+
+    schema = "row int, part int, block long, ids binary, e binary, " + ", ".join(f"s{k} double" for k in range(states))
+    counted = stage(_with_sums(blocks, sums).mapInArrow(run, schema), "hmm-pass-counts")
+    by_row = stage(counted.where("row IS NOT NULL").groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]),
+                   "hmm-pass-rows")
+    all_rows = np.zeros((size + states + 1 + N_BUCKETS, states))
+    for r in by_row.collect():  # one row per frequent word and bucket: a fixed bound
         all_rows[r[0]] = r[1:]
-    return all_rows[size + states], all_rows[size:size + states], all_rows[:size]
+    added = stage(counted.where("row IS NULL").select("part", "block", "ids", "e").repartition("part")
+                  .mapInArrow(_add_up(states), "part int, block long, e binary"), "hmm-pass-sums")
+    for t in (counted, by_row, sums):
+        _drop(t)
+    return all_rows[size + states], all_rows[size:size + states], all_rows[:size], all_rows[size + states + 1:], added
+
+
+def _blocks(src: DataFrame, counts: DataFrame, known) -> DataFrame:
+    """Texts in blocks: block, doc_ids, held, lengths and cls of the texts, buckets, ids and c of the
+    block's rare words (-1 and 0 for one that no training text has)."""
+    kind = dict(src.dtypes)["doc_id"]
+
+    def encode(batches):
+        names = ["block", "doc_ids", "held", "lengths", "cls", "buckets", "words"]
+        rare, seqs, held, doc_ids, first = {}, [], [], [], None
+
+        def out():
+            ids = pa.chunked_array(doc_ids).combine_chunks()
+            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            return pa.record_batch([
+                pa.array([first], pa.int64()), one(ids), pa.array([np.array(held, bool).tobytes()], pa.binary()),
+                pa.array([np.array([len(x) for x in seqs], np.int64).tobytes()], pa.binary()),
+                pa.array([np.concatenate(seqs).tobytes()], pa.binary()),
+                pa.array([np.array([_bucket(w) for w in rare], np.int64).tobytes()], pa.binary()), one(pa.array(list(rare), pa.binary()))], names=names)
+
+        size = 0
+        for b in batches:
+            start = 0
+            for i, (rid, h, t) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), binaries(b.column(3)))):
+                first = rid if first is None else first
+                seqs.append(known.value.encode(t, rare))
+                held.append(h)
+                size += len(seqs[-1])
+                if size >= BLOCK_TOKENS:
+                    doc_ids.append(b.column(1).slice(start, i + 1 - start))
+                    yield out()
+                    rare, seqs, held, doc_ids, first, size, start = {}, [], [], [], None, 0, i + 1
+            if start < b.num_rows:
+                doc_ids.append(b.column(1).slice(start))
+        if seqs:
+            yield out()
+
+    rid = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
+    encoded = stage(rid.mapInArrow(encode, f"block long, doc_ids array<{kind}>, held binary, lengths binary, cls binary, buckets binary, "
+                                           "words array<binary>"), "hmm-pass-encoded")
+
+    def gather(batches):
+        rows = {}
+        for b in batches:
+            for k, at, i, c in zip(*(b.column(x).to_numpy(zero_copy_only=False) for x in range(4))):
+                rows.setdefault(k, []).append((at, i, c))
+        for k, x in rows.items():
+            x = np.array(sorted(x), np.int64)
+            yield pa.record_batch([pa.array([k], pa.int64()), pa.array([x[:, 1].tobytes()], pa.binary()),
+                                   pa.array([x[:, 2].tobytes()], pa.binary())], names=["block", "ids", "c"])
+
+    words = (encoded.select("block", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
+             .select("block", F.col("at").cast("long").alias("at"), F.coalesce("id", F.lit(-1)).alias("id"),
+                     F.coalesce("c", F.lit(0)).alias("c")))
+    words = words.repartition("block").mapInArrow(gather, "block long, ids binary, c binary")
+    blocks = stage(encoded.drop("words").join(words, "block", "left"), "hmm-blocks")
+    _drop(encoded)
+    return blocks
 
 
 def score_texts(docs: DataFrame, held_out, id_col="doc_id", text_col="text", states: int = STATES,
@@ -220,95 +391,45 @@ def score_texts(docs: DataFrame, held_out, id_col="doc_id", text_col="text", sta
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                       F.col(text_col).cast("string").alias("text"))
     counts = stage(src.where("NOT held_out").select("text").mapInArrow(_count_words, "word binary, c long")
-                   .groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
+                   .groupBy("word").agg(F.sum("c").alias("c")).withColumn("id", F.monotonically_increasing_id()), "hmm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [(bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("c"), "word").limit(N_FREQUENT).collect()]
-    bucket = F.pmod(F.crc32(F.substring("word", -SUFFIX, SUFFIX)), F.lit(N_BUCKETS))
-    shared = counts
-    if len(frequent) > N_CLASSES:
-        w, c = frequent[N_CLASSES - 1]
+    top = counts.orderBy(F.desc("c"), "word").limit(min(N_FREQUENT, N_CLASSES)).select("word", "c")
+    frequent = [(bytes(r[0]), r[1]) for r in top.collect()]
+    shared = counts.where(F.lit(False))
+    if len(frequent) > min(N_OWN, N_CLASSES) or v > len(frequent):
+        w, c = frequent[min(N_OWN, len(frequent)) - 1]
         shared = counts.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(bytearray(w)))))
-    else:
-        shared = counts.where(F.lit(False))
-    sums = {r[0]: (r[1], r[2]) for r in shared.groupBy(bucket.alias("k")).agg(F.sum("c"), F.count("*")).collect()}
-    classes = Classes(frequent, sums, n, v)
+    bucket = F.pmod(F.crc32(F.substring("word", -SUFFIX, SUFFIX)), F.lit(N_BUCKETS))
+    classes = Classes(frequent, {r[0]: (r[1], r[2]) for r in shared.groupBy(bucket.alias("k"))
+                                 .agg(F.sum("c"), F.count("*")).collect()}, n, v)
     known = spark.sparkContext.broadcast(classes)
-
-    def encode(batches):
-        k = known.value
-        for b in batches:
-            got = [k.encode(t) for t in binaries(b.column(3))]
-            yield pa.record_batch([
-                b.column(0), b.column(1), b.column(2),
-                pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([len(g[0]) for g in got], pa.int64()),
-                pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()),
-                pa.array([g[3] for g in got], pa.int64()),
-                pa.array([b" ".join(g[4]) for g in got], pa.binary()),
-                pa.array([np.array(list(g[4].values()), np.uint32).tobytes() for g in got], pa.binary())],
-                names=["rid", "doc_id", "held_out", "cls", "n_tokens", "base", "emit", "known", "rare", "rare_n"])
-
-    rid = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    encoded = stage(rid.mapInArrow(encode, f"rid long, doc_id {dict(src.dtypes)['doc_id']}, held_out boolean, cls binary, "
-                                           "n_tokens long, base double, emit double, known long, rare binary, rare_n binary"),
-                    "hmm-encoded")
-    model = Model.initial(classes.unigram, states)
+    blocks = _blocks(src, counts, known)
+    postings = blocks.agg(F.sum(F.length("ids") / 8)).first()[0] or 0
+    parts = max(LEAST_PARTS, int(-(-postings // PART_WORDS)))
+    model, sums = Model.initial(classes, states), None
     for _ in range(passes):
-        start, move, emit = _pass(encoded, model, states)
-        model = Model.from_counts(start, move, emit, classes.unigram)
-    rare = _rare_sums(encoded, counts, bucket, classes)
+        start, move, emit, buckets, sums = _pass(blocks, sums, known, model, states, parts)
+        model = Model.from_counts(start, move, emit, buckets, classes)
     trained = spark.sparkContext.broadcast(model)
+    kind = dict(src.dtypes)["doc_id"]
 
     def likelihood(batches):
-        m = trained.value
-        for b in batches:
-            seqs = [np.frombuffer(x, np.uint16) for x in b.column(1).to_pylist()]
-            logs = np.zeros(len(seqs))
-            for g in groups(np.array([len(s) for s in seqs], np.int64)):
-                logs[g] = forward(m, [seqs[i] for i in g])[0]
-            yield pa.record_batch([b.column(0), *b.columns[2:], pa.array(logs)],
-                                  names=["rid", *b.schema.names[2:], "path"])
-
-    kind = dict(src.dtypes)["doc_id"]
-    scored = encoded.select("rid", "cls", "doc_id", "held_out", "n_tokens", "base", "emit", "known").mapInArrow(
-        likelihood, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, base double, emit double, known long, path double")
-    zero = F.lit(0.0)
-    return scored.join(rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"),
-        (F.col("path") + F.col("emit") + F.coalesce("rare_emit", zero)).alias("score"))
-
-
-def _rare_sums(encoded: DataFrame, counts: DataFrame, bucket, classes: Classes) -> DataFrame:
-    """Base, word-in-class and known sums of each row's rare words: one posting per
-    word and batch of rows, joined with the word's count."""
-    def post(batches):
+        k = known.value
         for b in batches:
-            rows, words, times = [], [], []
-            for rid, rare, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = rare.split(b" ") if rare else []
-                words.extend(own)
-                rows.extend([rid] * len(own))
-                times.append(np.frombuffer(n, np.uint32))
-            if not words:
-                continue
-            at = pa.array(words, pa.binary()).dictionary_encode()
-            code = at.indices.to_numpy()
-            order = np.argsort(code, kind="stable")
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(code))]).astype(np.int32)
-            yield pa.record_batch([
-                at.dictionary, pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.array(rows, np.int64)[order])),
-                pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(times).astype(np.int32)[order]))],
-                names=["word", "rid", "tf"])
-
-    posted = encoded.select("rid", "rare", "rare_n").mapInArrow(post, "word binary, rid array<long>, tf array<int>")
-    norm = F.element_at(F.array(*[F.lit(float(x)) for x in classes.bucket_norm]), (bucket + 1).cast("int"))
-    c = F.coalesce("c", F.lit(0))
-    each = (posted.join(counts, "word", "left")
-            .select(F.arrays_zip("rid", "tf").alias("z"), (c > 0).alias("seen"), F.log10(c + 0.5).alias("lc"), norm.alias("norm"))
-            .select(F.explode("z").alias("z"), "seen", "lc", "norm"))
-    tf = F.col("z.tf")
-    return each.groupBy(F.col("z.rid").alias("rid")).agg(
-        F.sum(tf * (F.col("lc") - float(classes.base_norm))).alias("rare_base"),
-        F.sum(tf * (F.col("lc") - F.col("norm"))).alias("rare_emit"),
-        F.sum(F.when(F.col("seen"), tf).otherwise(0)).alias("rare_known"))
+            for i in range(b.num_rows):
+                seqs, m, _, c, _ = _block(b, i, k, trained.value, parts)
+                logs = np.zeros(len(seqs))
+                for g in groups(np.array([len(s) for s in seqs], np.int64)):
+                    logs[g] = forward(m, [seqs[j] for j in g])[0]
+                base = np.concatenate([k.base, np.log10(c + 0.5) - np.log10(k.norm)])
+                seen = np.concatenate([np.ones(k.size, bool), c > 0])
+                yield pa.record_batch([
+                    b.column("doc_ids")[i].values, pa.array(np.frombuffer(b.column("held")[i].as_py(), bool)),
+                    pa.array([len(s) for s in seqs], pa.int64()), pa.array([int(seen[s].sum()) for s in seqs], pa.int64()),
+                    pa.array([float(base[s].sum()) for s in seqs], pa.float64()), pa.array(logs)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    scored = _with_sums(blocks, sums).mapInArrow(
+        likelihood, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+                         "base_score", "score")

@@ -304,6 +304,44 @@ def test_language_model_edges(messy, empty):
     assert hmm.score_texts(messy, F.lit(True), passes=1).where("n_known > 0").count() == 0
 
 
+def test_expected_counts_of_every_word(spark, monkeypatch):
+    """Words beyond the broadcast ones, all with the same last bytes, get counts of their own by
+    state, added up over many blocks: the same scores as from one model with a row for each."""
+    monkeypatch.setattr(hmm, "N_CLASSES", 10)
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 100)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{'ab'[i % 2]}{x}same" for x in rng.integers(0, 40, 30)).encode() for i in range(60)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in rows(hmm.score_texts(df, F.col("doc_id") >= 50, states=3, passes=2))}
+
+    c = Counter(w for t in texts[:50] for w in [*t.split(), b""])
+    order = sorted(c, key=lambda w: (-c[w], w))
+    by: dict = {}
+    for w in order[10:]:
+        k = zlib.crc32(w[-3:]) % hmm.N_BUCKETS
+        by[k] = (by.get(k, (0, 0))[0] + c[w], by.get(k, (0, 0))[1] + 1)
+    known = hmm.Classes([(w, c[w]) for w in order[:10]], by, sum(c.values()), len(c))
+    rare: dict = {}
+    seqs = [known.encode(t, rare) for t in texts]
+    own, at = np.array([c[w] for w in rare]), np.array([zlib.crc32(w[-3:]) % hmm.N_BUCKETS for w in rare])
+    model, counts = hmm.Model.initial(known, 3), np.zeros((len(rare), 3))
+    for _ in range(2):
+        m = model.beside(model.emissions(counts, own, at, known))
+        emit, move, start = np.zeros_like(m.emit), np.zeros((3, 3)), np.zeros(3)
+        hmm.expected_counts(m, seqs[:50], emit, move, start)
+        counts, buckets = emit[10:], np.zeros((hmm.N_BUCKETS, 3))
+        np.add.at(buckets, at, counts)
+        model = hmm.Model.from_counts(start, move, emit[:10], buckets, known)
+    last = model.emissions(counts, own, at, known)
+    # one bucket, so by its counts alone the states' ratios would be the same for all its words
+    assert len(rare) >= 60 and len(set(at)) == 1 and np.ptp(last[:, 0] / last[:, 1]) > 1e-3
+    unseen = model.emissions(np.zeros((1, 3)), np.zeros(1), at[:1], known)
+    assert np.allclose(model.emit.sum(axis=0) + last[own > 0].sum(axis=0) + unseen[0] + model.buckets.sum(axis=0)
+                       - model.buckets[at[0]], 1)
+    want = hmm.forward(model.beside(last), seqs)[0]
+    assert np.allclose([got[i] for i in range(60)], want, rtol=1e-5)
+
+
 # --- op7 ---------------------------------------------------------------------------
 
 def brute_repeats(pairs):
