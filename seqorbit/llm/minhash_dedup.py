@@ -10,7 +10,8 @@ any set that agrees with such a covered set also agrees with the head on all but
 coordinates where the covered set differs, so it is grouped with the head and covered
 sets need not go on.  The others branch again; what is still larger than ``NODE`` at
 ``DEPTH`` is taken together as a whole.  The number of trees follows from the target
-recall.
+recall of a pair that meets by depth ``SHALLOW``; sets that branch on below it get as many
+trees more as the recall takes at ``DEPTH``.
 
 Sketches only form *groups*, supersets of the linked sets.  Links are confirmed on
 full shingle sets inside groups: a group that fits one task in one go; a larger one
@@ -41,6 +42,7 @@ from .common import Hasher, batches_of, binaries, connected_components, mix64, s
 COORDS = 64
 NODE = 256
 DEPTH = 8
+SHALLOW = 3
 RECALL = 0.9999
 GROUP_SETS = 512
 GROUP_SHINGLES = 2_000_000
@@ -54,12 +56,24 @@ _A = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD6
 _B = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
 
-def trees_for(recall: float, threshold: float, depth: int = 3) -> int:
+def tree_recall(trees: int, threshold: float, depth: int) -> float:
+    """Chance that a pair at the threshold meets at ``depth`` in one of ``trees``, averaged over
+    the spread of its agreement on ``COORDS`` coordinates."""
+    extra, out = 1.0 / threshold - 1.0, 0.0
+    for same in range(COORDS + 1):
+        s, p = same / COORDS, 1.0
+        for _ in range(depth):
+            p = 1.0 - (1.0 - s * p) * (1.0 - extra * s * p)
+        out += math.comb(COORDS, same) * threshold ** same * (1.0 - threshold) ** (COORDS - same) * (1.0 - (1.0 - p) ** trees)
+    return out
+
+
+def trees_for(recall: float, threshold: float, depth: int = SHALLOW) -> int:
     """Trees that make a pair at the threshold meet at ``depth`` with ``recall``."""
-    p, extra = 1.0, 1.0 / threshold - 1.0
-    for _ in range(depth):
-        p = 1.0 - (1.0 - threshold * p) * (1.0 - extra * threshold * p)
-    return max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - p)))
+    trees = 1
+    while tree_recall(trees, threshold, depth) < recall:
+        trees += 1
+    return trees
 
 
 def shingle_sets(hasher: Hasher, texts: list, k: int) -> Iterator[np.ndarray]:
@@ -134,13 +148,13 @@ def _members(b, rows, child, doc, n, low):
                             b.column(low).take(rows)], names=["node", "doc", "n", "low"])
 
 
-def _roots(trees: int, extra: float):
+def _roots(trees: range, extra: float):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             sig = _matrix(b.column(2), COORDS * 4).copy().view(np.uint32)
-            for t in range(trees):
+            for t in trees:
                 root = np.full(b.num_rows, int(mix64(np.array([t + 1], np.uint64))[0]), np.uint64)
                 for rows, child in _children(root, lambda r, c: sig[r, c], extra):
                     yield _members(b, rows, child, 0, 1, 3)
@@ -229,10 +243,22 @@ def _with_head(level: DataFrame, large: DataFrame) -> DataFrame:
                  .mapInArrow(_agreement, _MEMBER + ", head long, same int"), "cps-agreement")
 
 
-def candidate_groups(reps: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """``(doc, grp)`` for sets that share a group with another set."""
+def candidate_groups(reps: DataFrame, threshold: float, trees: int, deep_trees: int) -> DataFrame:
+    """``(doc, grp)`` for sets that share a group with another set.  Of ``deep_trees``, those
+    beyond ``trees`` hold only the sets that branch on below ``SHALLOW``: a pair that met there in
+    a large node has both of its sets among them."""
+    edges, deep = _grow(reps, threshold, range(trees))
+    if deep is not None and deep_trees > trees and not deep.isEmpty():
+        more = stage(reps.join(deep.withColumnRenamed("doc", "rk"), "rk", "left_semi"), "cps-deep-sets")
+        edges = edges.union(_grow(more, threshold, range(trees, deep_trees))[0])
+    return connected_components(edges).withColumnsRenamed({"node": "doc", "component": "grp"})
+
+
+def _grow(reps: DataFrame, threshold: float, trees: range) -> tuple:
+    """``(a, b)`` of linked sketches, and the sets that branch on below ``SHALLOW`` (or None)."""
     extra = 1.0 / threshold - 1.0
     level = reps.select("rk", "n", "sig", "low").mapInArrow(_roots(trees, extra), _MEMBER)
+    deep = None
     edges = None
     for depth in range(1, DEPTH + 1):
         level = stage(level, f"cps-level{depth}")
@@ -248,11 +274,14 @@ def candidate_groups(reps: DataFrame, threshold: float, trees: int) -> DataFrame
         if depth < DEPTH:
             # a set that would be compared with a covered one agrees with the head on as many
             near = F.col("same") >= math.ceil(AGREE * COORDS) + COVER - COORDS
-            level = inner.where(F.col("same") < COVER).select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
+            on = inner.where(F.col("same") < COVER)
+            if depth == SHALLOW:
+                deep = stage(on.select("doc").distinct(), "cps-deep")
+            level = on.select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
         else:
             near = F.lit(True)
         edges = edges.union(inner.where(near & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b")))
-    return connected_components(edges).withColumnsRenamed({"node": "doc", "component": "grp"})
+    return edges, deep
 
 
 def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -402,7 +431,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
     rows = stage(sketches(src.select("doc_id", rk, "text"), shingle), "cps-sketch")
     reps = stage(rows.where("n > 0").groupBy("skey").agg(
         F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("low").alias("low")), "cps-reps")
-    groups = stage(candidate_groups(reps, threshold, trees_for(recall, threshold)), "cps-groups")
+    groups = stage(candidate_groups(reps, threshold, trees_for(recall, threshold),
+                                    trees_for(recall, threshold, DEPTH)), "cps-groups")
     member = reps.select("rk", "n", "low").join(groups.withColumnRenamed("doc", "rk"), "rk")
     sizes = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(
         "grp", F.greatest(F.ceil(F.col("m") / GROUP_SETS), F.ceil(F.col("s") / GROUP_SHINGLES)).cast("long").alias("blocks"))

@@ -213,6 +213,36 @@ def test_near_duplicates(spark, docs, monkeypatch, k, large):
         i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+def test_trees_reach_the_recall_at_every_depth(spark, monkeypatch):
+    """Pairs at the threshold, walked through the trees by the operator's own children."""
+    t = minhash_dedup.trees_for(0.9999, 0.8, minhash_dedup.DEPTH)
+    assert minhash_dedup.trees_for(0.9999, 0.8) < t
+    for depth in (3, 5, 8):
+        need = minhash_dedup.trees_for(0.9999, 0.8, depth)
+        assert need <= t and minhash_dedup.tree_recall(need, 0.8, depth) >= 0.9999
+    rng, met = np.random.default_rng(3), 0
+    for _ in range(300):
+        same = rng.random(minhash_dedup.COORDS) < 0.8
+        pair = np.where(same[None, :], 0, [[1], [2]])
+        nodes = [np.arange(1, t + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ rng.integers(0, 1 << 60, 1, np.uint64)] * 2
+        for _ in range(minhash_dedup.DEPTH):
+            nodes = [np.concatenate([c for _, c in minhash_dedup._children(x, lambda r, c, k=k: pair[k, c], 0.25)])
+                     for k, x in enumerate(nodes)]
+            nodes = [np.intersect1d(*nodes)] * 2
+        met += len(nodes[0]) > 0
+    assert met >= 298  # about 292 with the trees for depth 3 by the former formula
+    # sets in large nodes get the trees of the full depth, the others do not
+    used = []
+    roots = minhash_dedup._roots
+    monkeypatch.setattr(minhash_dedup, "_roots", lambda trees, extra: used.append(trees) or roots(trees, extra))
+    monkeypatch.setattr(minhash_dedup, "NODE", 4)
+    texts = [" ".join([f"shared{x}" for x in range(70)] + [f"own{i}x{x}" for x in range(30)]) for i in range(80)]
+    few = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert minhash_dedup.near_duplicates(few, shingle=1).count() == 80
+    first = minhash_dedup.trees_for(0.9999, 0.8)
+    assert used == [range(first), range(first, t)]
+
+
 def test_near_duplicates_edges(messy, empty):
     got = rows(minhash_dedup.near_duplicates(messy, shingle=2))
     assert len(got) == len(MESSY)
