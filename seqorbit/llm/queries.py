@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, extract, hmm, language, licenses, line_dedup, minhash_dedup, mixing, substring_dedup
+from . import (
+    conversation_trie, decontaminate, embedding_dedup, extract, hard_negatives, hmm, language, licenses, line_dedup,
+    minhash_dedup, mixing, substring_dedup, topk,
+)
 from .common import id_remainder, read
 
 
@@ -57,9 +60,32 @@ def op10_golden_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_monoid_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(
+        read(spark, sf_dir, "conversations"), head=id_remainder("conv", 4), base=F.col("conv") - F.col("conv") % 20).drop("fingerprint")
+
+
+def op12_packed_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_bounded_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_epsilon_grid, op2_text_density, op3_word_backoff, op4_chosen_path, op5_line_join, op6_hidden_markov,
-    op7_recompression, op8_ngram_set, op9_conditional_compression, op10_golden_schedule)}
+    op7_recompression, op8_ngram_set, op9_conditional_compression, op10_golden_schedule, op11_monoid_trie, op12_packed_rtree, op13_bounded_lists)}
+
+#: The bits of crc32, one at a time: a byte is mixed in, then eight shifts.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+    flatten(list_transform(range(1, length({0}) + 1), lambda i: [CAST(ascii({0}[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+_INTEGER_ROWS = """
+  SELECT vec_id, LABEL list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
 
 _SPACE_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -162,4 +188,54 @@ pos AS (
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, round(target, 6) AS target,
   CAST(list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(size, words - (e * ss + start))))) AS BIGINT) AS taken
 FROM pos""",
+    "op11_monoid_trie": f"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(coalesce(role, '') || chr(0) || coalesce(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT c, count(*) AS n, c - c % 20 AS base, {_CRC32.format("CAST(c AS VARCHAR)")} % 4 AS h FROM t GROUP BY c),
+rebuilt AS (
+  SELECT conv.c, t.i AS i, role, text FROM conv JOIN t ON t.c = conv.base AND t.i < conv.h
+  UNION ALL SELECT conv.c, 1000000 + t.i, role, text FROM conv JOIN t ON t.c = conv.c AND t.i >= conv.h),
+turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, sha256(role || chr(0) || text) AS k,
+    len({_SPACE_WORDS.format("text")}) AS w FROM rebuilt),
+pre AS (
+  SELECT c, d, string_agg(k, '/') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS p, w FROM turns
+  UNION ALL SELECT c, 0, '', 0 FROM conv),
+last AS (SELECT c, max(d) AS n FROM pre GROUP BY c),
+node AS (
+  SELECT p, d, min(pre.c) AS c, count(*) AS n, max(w) AS w,
+    sha256(coalesce(string_agg(CAST(pre.c AS VARCHAR), ',' ORDER BY pre.c) FILTER (last.n = d), '')) AS ends
+  FROM pre JOIN last USING (c) GROUP BY p, d),
+link AS (
+  SELECT child.c, child.d, up.p AS up, parent.c AS parent FROM node child JOIN pre up ON up.c = child.c AND up.d = child.d - 1
+  JOIN node parent ON parent.p = up.p AND parent.d = up.d),
+kids AS (SELECT up AS p, count(*) AS n FROM link GROUP BY up),
+own AS (SELECT node.*, coalesce(kids.n, 0) AS kids FROM node LEFT JOIN kids ON kids.p = node.p),
+sub AS (
+  SELECT pre.p, sum(CASE WHEN own.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((own.n - 1) * own.w) AS saved
+  FROM own JOIN pre ON pre.c = own.c AND pre.d <= own.d GROUP BY pre.p)
+SELECT own.c AS conv_id, CAST(own.d AS BIGINT) AS depth, link.parent AS parent_conv_id, CAST(own.n AS BIGINT) AS n_convs,
+  CAST(own.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  own.ends AS ends_sha256
+FROM own JOIN sub ON sub.p = own.p LEFT JOIN link ON link.c = own.c AND link.d = own.d""",
+    "op12_packed_rtree": f"""
+WITH v AS ({_INTEGER_ROWS.replace("LABEL", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,")} AND label IS NOT NULL),
+s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+pos AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT pos.a AS anchor_id, pos.b AS positive_id,
+  CAST(row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY neg.s DESC, neg.b) AS INTEGER) AS rank,
+  neg.b AS negative_id, pos.s AS positive_score, neg.s AS negative_score
+FROM pos JOIN s neg ON neg.a = pos.a AND NOT neg.same AND 50 * pos.s <= 100 * neg.s AND 100 * neg.s <= 95 * pos.s
+QUALIFY row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY neg.s DESC, neg.b) <= 3""",
+    "op13_bounded_lists": f"""
+WITH v AS ({_INTEGER_ROWS.replace("LABEL", "")})
+SELECT a.vec_id AS query_id, CAST(row_number() OVER best AS INTEGER) AS rank, b.vec_id AS vec_id,
+  CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+WINDOW best AS (PARTITION BY a.vec_id ORDER BY CAST(list_inner_product(a.e, b.e) AS BIGINT) DESC, b.vec_id)
+QUALIFY row_number() OVER best <= 5""",
 }
