@@ -32,8 +32,12 @@ SEGMENT = 2048
 #: Segments that one task reads, one after the other, and queries that it holds.
 STRIPE = 4
 QUERIES = 1024
-#: Entries read from every list between two looks at the bounds.
+#: Queries that read lists together.
+BATCH = 256
+#: Entries read from every list at a time; share of a list read before the first look at the
+#: bounds (after that, every second time).
 STEP = 128
+FIRST_LOOK = 0.5
 #: As few rows as this are resolved instead of being bounded further.
 FEW = 64
 
@@ -61,47 +65,58 @@ def sorted_lists(nodes: DataFrame, n: int) -> DataFrame:
     return stage(rows.groupBy("segment").applyInArrow(build, schema), "topk-lists")
 
 
-def read_lists(at: np.ndarray, value: np.ndarray, q: np.ndarray, k: int, known: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(numbers, scores)``: a superset of the rows whose scores are among the best k
-    and at least ``known``; the scores are exact.  ``at`` and ``value`` are the lists
-    (coordinates x rows, values falling)."""
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``score`` the k-th largest, or -inf."""
+    n = score.shape[1]
+    return np.partition(score, n - k, axis=1)[:, n - k] if n >= k else np.full(len(score), -np.inf)
+
+
+def read_lists(at: np.ndarray, value: np.ndarray, q: np.ndarray, k: int, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query (row of ``q``) ``(numbers, scores)``: a superset of the rows whose scores
+    are among the best k and at least ``known``; the scores are exact.  ``at`` and ``value``
+    are the lists (coordinates x rows, values falling).
+
+    All queries read on together, positive coordinates from the front of a list and negative ones
+    from its back, until each has few rows left that can qualify."""
     width, n = at.shape
     if width == 0:
-        return np.arange(n), np.zeros(n, np.int64)
-    down = (q < 0)[:, None]
-    order = np.where(down, at[:, ::-1], at).astype(np.int64)
-    gain = np.where(down, value[:, ::-1], value) * q[:, None].astype(np.float64)
-    off = slack(q, np.maximum(np.abs(value[:, 0]), np.abs(value[:, -1])))
-    far = gain[:, -1]
-    if gain[:, 0].sum() + off < known:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total, unread = np.zeros(n), np.ones((n, width))
-    live = np.arange(n)
+        return [(np.arange(n), np.zeros(n, np.int64))] * len(q)
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+    off = np.array([slack(x, np.maximum(np.abs(value[:, 0]), np.abs(value[:, -1]))) for x in q])
+    dim = np.arange(width)[:, None]
+    front, back = np.zeros((width, n)), np.zeros((width, n))
+    unread, unread_back = np.ones((width, n), bool), np.ones((width, n), bool)
+    first, last = value[:, :1].astype(np.float64), value[:, -1:].astype(np.float64)
+    reach = (up @ first + down @ last)[:, 0] + off
+    todo = np.flatnonzero(reach >= known)
+    left = [np.zeros(0, np.int64)] * len(q)
     for begin in range(0, n, STEP):
-        end = min(begin + STEP, n)
-        seen, what = order[:, begin:end], gain[:, begin:end]
-        total += np.bincount(seen.ravel(), weights=what.ravel(), minlength=n)
-        unread[seen, np.arange(width)[:, None]] = 0.0
-        open_ = unread[live]
-        upper = total[live] + open_ @ gain[:, end - 1]
-        if len(live) > k:
-            lower = total[live] + open_ @ far
-            floor = np.partition(lower, len(lower) - k)[len(lower) - k] - off
-        else:
-            floor = -np.inf
-        live = live[upper + off >= max(floor, known)]
-        if len(live) <= max(FEW, k):
+        if not len(todo):
             break
-    if not len(live):
-        return live, np.zeros(0, np.int64)
-    # the whole lists once more, for the rows that are left alone
-    number = np.full(n, -1, np.int64)
-    number[live] = np.arange(len(live))
-    mine = number[at]
-    dim, pos = np.nonzero(mine >= 0)
-    x = np.zeros((len(live), width), np.int64)
-    x[mine[dim, pos], dim] = value[dim, pos]
-    return live, x @ q
+        end = min(begin + STEP, n)
+        front[dim, at[:, begin:end]] = value[:, begin:end]
+        unread[dim, at[:, begin:end]] = False
+        back[dim, at[:, n - end:n - begin]] = value[:, n - end:n - begin]
+        unread_back[dim, at[:, n - end:n - begin]] = False
+        if end < n and (end < FIRST_LOOK * n or (end // STEP) % 2):
+            continue
+        u, d = up[todo], down[todo]
+        # an unread coordinate lies between the cursor and the far end of its list
+        upper = u @ np.where(unread, value[:, end - 1:end], front) + d @ np.where(unread_back, value[:, n - end:n - end + 1], back)
+        lower = u @ np.where(unread, last, front) + d @ np.where(unread_back, first, back)
+        floor = np.maximum(_kth(lower, k) - off[todo], known[todo])
+        live = upper + off[todo][:, None] >= floor[:, None]
+        ready = (live.sum(axis=1) <= max(FEW, k)) | (end == n)
+        for i in np.flatnonzero(ready):
+            left[todo[i]] = np.flatnonzero(live[i])
+        todo = todo[~ready]
+    # the rest of the lists, once for all queries, completes the rows that are left
+    some = np.unique(np.concatenate(left)) if left else np.zeros(0, np.int64)
+    whole = np.zeros((width, n), np.int64)
+    whole[dim, at] = value
+    rows, number = whole[:, some].T.copy(), np.zeros(n, np.int64)
+    number[some] = np.arange(len(some))
+    return [(m, rows[number[m]] @ x) for m, x in zip(left, q)]
 
 
 def best_of(score: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
@@ -130,14 +145,14 @@ def _search(k: int):
             n = len(node)
             at = matrix(seg.column("at").slice(1), n) if width else np.zeros((0, n), np.int64)
             value = matrix(seg.column("value").slice(1), n) if width else np.zeros((0, n), np.int64)
-            for i, x in enumerate(q):
-                score, of, least = found[i]
-                known = float(score[-1]) if len(score) == k else -np.inf
-                some, scores = read_lists(at, value, x, k, known)
-                if len(some):
-                    score, of, least = (np.concatenate(c) for c in zip(found[i], (scores, node[some], first[some])))
-                    best = best_of(score, least, k)
-                    found[i] = score[best], of[best], least[best]
+            known = np.array([float(f[0][-1]) if len(f[0]) == k else -np.inf for f in found])
+            for b in range(0, len(q), BATCH):
+                got = read_lists(at, value, q[b:b + BATCH], k, known[b:b + BATCH])
+                for i, (some, scores) in enumerate(got, b):
+                    if len(some):
+                        score, of, least = (np.concatenate(c) for c in zip(found[i], (scores, node[some], first[some])))
+                        best = best_of(score, least, k)
+                        found[i] = score[best], of[best], least[best]
         ids = queries.column("query").to_numpy()
         return pa.table([np.repeat(ids, [len(f[0]) for f in found]),
                          *[np.concatenate([f[c] for f in found]) for c in (1, 2, 0)]], schema=schema)
@@ -160,12 +175,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     lists = lists.withColumn("stripe", stripe)
     stripes = stripes.withColumn("stripe", stripe).select("width", "stripe").distinct()
     wanted = stage(nodes.join(asked, F.col("query") == F.col("node"), "left_semi").select("node", "width", "vec"), "topk-wanted")
-    queries = blocked(wanted, [], QUERIES, wanted.count(), "topk-queries", "group")
+    n_groups = max(1, round(wanted.count() / QUERIES))
+    queries = wanted.withColumn("group", F.pmod(F.xxhash64("node"), F.lit(n_groups)))
     groups = queries.select("group", "width").distinct()
     tiles = stage(groups.join(stripes, "width").select("group", "width", "stripe"), "topk-tiles")
     left = queries.withColumnRenamed("node", "query").join(tiles, ["group", "width"]).select("group", "stripe", "query", "width", "vec")
-    right = lists.join(tiles, ["stripe", "width"]).select("group", "stripe", "segment", "width", "dim", "at", "value", "node", "id")
-    found = meet(left, right, tiles, ["group", "stripe"], _search(k + 1), "query long, node long, id long, score long", "topk-found")
+    right = lists.join(tiles, ["stripe", "width"]).select("group", "stripe", "width", "segment", "dim", "at", "value", "node", "id")
+    found = meet(left, right, tiles, ["group", "stripe", "width"], _search(k + 1), "query long, node long, id long, score long", "topk-found")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     top = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
     ids = top.join(nodes.select("node", "ids"), "node").select("query", "score", F.explode("ids").alias("vec_id"))
