@@ -25,6 +25,7 @@ table; other columns are ignored."""
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
@@ -33,13 +34,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
-from .topk import best_of
 from .vector_blocks import blocked, integer_vectors, matrix, meet, nodes_of, slack, spread_order
 
 SEGMENT = 4096
 ANCHORS = 1024
 #: Rows of a leaf, and boxes under one box.
-LEAF = 64
+LEAF = 128
 FAN = 8
 
 
@@ -47,7 +47,7 @@ class PackedTree:
     """A packed R-tree over rows that lie in leaf order."""
 
     def __init__(self, x: np.ndarray, label: np.ndarray):
-        self.x, self.label = x, label
+        self.x, self.label, self.real = x, label, x.astype(np.float64)
         cuts = np.arange(0, len(x), LEAF)
         lo, hi = np.minimum.reduceat(x, cuts), np.maximum.reduceat(x, cuts)
         first, last = np.minimum.reduceat(label, cuts), np.maximum.reduceat(label, cuts)
@@ -59,60 +59,58 @@ class PackedTree:
             self.levels.append((lo, hi, first, last))
         self.most = np.maximum(np.abs(lo[0]), np.abs(hi[0]))
 
-
-class Anchor:
-    """One anchor's view of a tree: score intervals of all boxes, scores of leaves once read."""
-
-    def __init__(self, tree: PackedTree, q: np.ndarray):
-        self.tree, self.q = tree, q
+    def intervals(self, q: np.ndarray):
+        """Per level ``(lower, upper)`` bounds of the inner products, anchors x boxes, and
+        per anchor what they may be off (0: sums in doubles are exact)."""
         up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-        off = slack(q, tree.most)
-        self.upper = [hi @ up + lo @ down + off for lo, hi, _, _ in tree.levels]
-        self.lower = [lo @ up + hi @ down - off for lo, hi, _, _ in tree.levels]
-        self.read: dict[int, np.ndarray] = {}
-
-    def leaf(self, i: int) -> np.ndarray:
-        if i not in self.read:
-            self.read[i] = self.tree.x[i * LEAF:(i + 1) * LEAF] @ self.q
-        return self.read[i]
-
-    def best(self, k: int, first: np.ndarray, own: int, same: bool, low=None, high=None):
-        """``(rows, scores)`` of the best k rows with (``same``) or without label ``own``,
-        with scores from ``low`` to ``high``; ties by ``first``."""
-        tree, none = self.tree, np.zeros(0, np.int64)
-        rows, scores, kth = none, none, -np.inf
-        top = len(tree.levels) - 1
-        queue = [(-self.upper[top][0], -top, 0)]
+        off = np.array([slack(x, self.most) for x in q])
+        pairs = [(up @ lo.T + down @ hi.T - off[:, None], up @ hi.T + down @ lo.T + off[:, None]) for lo, hi, _, _ in self.levels]
+        return pairs, off
+
+    def best_first(self, q, exact: bool, bounds, own: int, same: bool, windows, k: int, first) -> list[list[tuple]]:
+        """Per window (low, high) the best k ``(-score, first, row)`` among rows with
+        (``same``) or without label ``own``; ``bounds`` are this anchor's rows of ``intervals``."""
+        kept = [[] for _ in windows]
+        floors, least, most = [w[0] for w in windows], min(w[0] for w in windows), max(w[1] for w in windows)
+        top = len(self.levels) - 1
+        queue = [(-bounds[top][1][0], -top, 0)]
+        rows, q = (self.real, q.astype(np.float64)) if exact else (self.x, q)
         while queue:
             bound, level, i = heapq.heappop(queue)
-            level = -level
-            if -bound < kth:
-                break
-            _, _, a, b = tree.levels[level]
+            upper, level = -bound, -level
+            if upper < least:
+                break  # strictly below the k-th of every window, as is all that waits
+            lower = bounds[level][0]
+            _, _, a, b = self.levels[level]
             if (not a[i] <= own <= b[i]) if same else (a[i] == own == b[i]):
                 continue
-            if (low is not None and -bound < low) or (high is not None and self.lower[level][i] > high):
+            if not any(upper >= f and lower[i] <= w[1] for f, w in zip(floors, windows)):
                 continue
             if level:
-                upper = self.upper[level - 1]
-                for j in range(i * FAN, min((i + 1) * FAN, len(upper))):
-                    if upper[j] >= kth:
-                        heapq.heappush(queue, (-upper[j], 1 - level, j))
+                below = bounds[level - 1][1]
+                for j in range(i * FAN, min((i + 1) * FAN, len(below))):
+                    if below[j] >= least:
+                        heapq.heappush(queue, (-below[j], 1 - level, j))
                 continue
-            score = self.leaf(i)
-            fits = (tree.label[i * LEAF:i * LEAF + len(score)] == own) == same
-            if low is not None:
-                fits &= (score >= low) & (score <= high)
-            if len(rows) == k:
-                fits &= score >= kth
-            at = np.flatnonzero(fits)
-            if len(at):
-                rows, scores = np.concatenate([rows, at + i * LEAF]), np.concatenate([scores, score[at]])
-                kept = best_of(scores, first[rows], k)
-                rows, scores = rows[kept], scores[kept]
-                if len(rows) == k:
-                    kth = scores[-1]
-        return rows, scores
+            at = i * LEAF
+            score = rows[at:at + LEAF] @ q
+            fits = (score >= least) & (score <= most)
+            if a[i] != own or b[i] != own:
+                fits &= (self.label[at:at + LEAF] == own) == same
+            some = fits.nonzero()[0].tolist()
+            for r in some:
+                s = int(score[r])
+                entry = (-s, int(first[at + r]), at + r)
+                for n, (w, best) in enumerate(zip(windows, kept)):
+                    if floors[n] <= s <= w[1] and (len(best) < k or entry < best[-1]):
+                        bisect.insort(best, entry)
+                        if len(best) > k:
+                            best.pop()
+                        if len(best) == k:
+                            floors[n] = max(w[0], -best[-1][0])
+            if some:
+                least = min(floors)
+        return kept
 
 
 def _tiled(dims: list[int], label: str):
@@ -152,15 +150,15 @@ def _search(k: int, same: bool):
         order, tree = packed(rows, width)
         node, first = rows.column("node").to_numpy()[order], rows.column("id").to_numpy()[order]
         ids = anchors.column("anchor").to_numpy()
-        windows = [None] * len(q) if same else anchors.column("windows").to_pylist()
-        out = [[] for _ in FOUND.names]
-        for a, x, lab, mine in zip(ids, q, own, windows):
-            view = Anchor(tree, x)
-            for w in [{"at": 0, "low": None, "high": None}] if same else mine:
-                some, scores = view.best(k, first, lab, same, w["low"], w["high"])
-                for c, v in zip(out, (np.full(len(some), a), np.full(len(some), w["at"]), node[some], first[some], scores)):
-                    c.append(v)
-        return pa.table([np.concatenate(c) for c in out], schema=FOUND)
+        everything = [{"at": 0, "low": -np.inf, "high": np.inf}]
+        windows = [everything] * len(q) if same else anchors.column("windows").to_pylist()
+        levels, off = tree.intervals(q)
+        out = []
+        for i, (a, lab, mine) in enumerate(zip(ids.tolist(), own.tolist(), windows)):
+            bounds = [(lo[i], hi[i]) for lo, hi in levels]
+            best = tree.best_first(q[i], off[i] == 0, bounds, lab, same, [(w["low"], w["high"]) for w in mine], k, first)
+            out += [(a, w["at"], int(node[r]), f, -s) for w, few in zip(mine, best) for s, f, r in few]
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], schema=FOUND) if out else FOUND.empty_table()
     return run
 
 
