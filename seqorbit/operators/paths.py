@@ -12,7 +12,7 @@ Three forms, by how much state a seed needs:
 * ``bounded_paths`` (G-4/G-5): the first ``per_seed`` full tours of every seed
   in degree order, by backtracking in rounds.  A round gives each open seed a
   budget of moves; what is not finished goes on in the next round from the
-  node it stands at, so no branch is dropped.
+  node it stands at, and hard seeds are cut into branches for all tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.board import (
@@ -122,6 +122,19 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
                       (F.size(F.col("_w.p")) == n).alias("complete"))
 
 
+def quadrant(board: Board = DEFAULT_BOARD) -> list[int]:
+    """The squares of the upper left quarter: every start up to symmetry."""
+    return [r * board.width + c for r in range((board.height + 1) // 2) for c in range((board.width + 1) // 2)]
+
+
+def start_seeds(keys: DataFrame, squares: list[int] | None = None, board: Board = DEFAULT_BOARD) -> DataFrame:
+    """G-1: for each row of ``keys`` one seed path for each of ``squares`` (all by default):
+    its columns, ``start`` and ``tour``, the path of that square alone."""
+    squares = list(range(board.n_squares)) if squares is None else squares
+    rows = keys.withColumn("start", F.explode(array_literal(tuple(squares), "int")))
+    return rows.withColumn("tour", F.array("start").cast(TOUR_TYPE if board.n_squares <= 128 else "array<int>"))
+
+
 def _bits(mask: int) -> Iterator[int]:
     while mask:
         low = mask & -mask
@@ -133,9 +146,9 @@ class _Search:
     """Backtracking over one board, squares as bits of a Python integer (any size).
     ``thorough`` tests a node harder before it branches; it finds the same tours."""
 
-    def __init__(self, board: Board, seed: int, order: str, per_seed: int, thorough: bool):
+    def __init__(self, board: Board, seed: int, order: str, thorough: bool):
         n, w = board.n_squares, board.width
-        self.n, self.seed, self.order, self.per_seed, self.thorough = n, seed, order, per_seed, thorough
+        self.n, self.seed, self.order, self.thorough = n, seed, order, thorough
         self.moves, self.near, self.shifts = [], [0] * n, []
         for p in range(n):
             to = [(k, p + dr * w + dc) for k, (dr, dc) in enumerate(board.offsets)
@@ -206,102 +219,178 @@ class _Search:
                 return True
         return False
 
+    def _ranked(self, sid, path: list, free: int) -> list:
+        """``(ordinal, degree, square)`` of all free next squares, best last.  The ordinal
+        does not depend on what is pruned, so ordinals along a path are its depth-first rank."""
+        near = [(k, q, (self.near[q] & free).bit_count()) for k, q in self.moves[path[-1]] if free >> q & 1]
+        degrees = [d for _, _, d in near]
+        ranked = []
+        for k, q, d in near:
+            tie = k
+            if self.order != "offset":  # a tie needs a hash only where a degree is shared
+                tie = "" if degrees.count(d) == 1 else hashlib.md5(f"{self.seed}:{sid}:{len(path)}:{q}".encode()).hexdigest()
+            ranked.append((d, tie, q))
+        return [(i, d, q) for i, (d, _, q) in enumerate(sorted(ranked))][::-1]
+
     def _options(self, sid, path: list, free: int) -> list:
-        """Next squares, best last."""
+        """``(ordinal, square)`` of the next squares worth trying, best last."""
         if len(path) == self.n or self._hopeless(free, path[-1]):
             return []
         if self.thorough and self.both_ways and self._no_circuit(free, path[-1]):
             return []
-        ranked = []
-        for k, q in self.moves[path[-1]]:
-            if free >> q & 1:
-                degree = (self.near[q] & free).bit_count()
-                if degree or len(path) + 1 == self.n:
-                    tie = k if self.order == "offset" else hashlib.md5(
-                        f"{self.seed}:{sid}:{len(path)}:{q}".encode()).hexdigest()
-                    ranked.append((degree, tie, q))
-        return [q for _, _, q in sorted(ranked, reverse=True)]
-
-    def advance(self, sid, start: list, at: list, found: int, budget: int):
-        """Goes on from node ``at`` for ``budget`` moves: (node, paths found, done)."""
-        path, out = list(start), []
+        return [(i, q) for i, d, q in self._ranked(sid, path, free) if d or len(path) + 1 == self.n]
+
+    def advance(self, sid, start: list, base: int, at: list, want: int, budget: int, split: bool):
+        """Goes on below ``at[:base]`` from node ``at`` for ``budget`` moves, or until
+        ``want`` paths: (paths as (rank, path), open branches as (base, at, rank of at[:base])).
+        What is left is one branch, or with ``split`` one for each untried sibling."""
+        path, rank, out = list(start), [], []
         free = (1 << self.n) - 1
         for p in path:
             free &= ~(1 << p)
-        todo = [self._options(sid, path, free)]
-        for q in at[len(start):]:
-            if not todo[-1]:
-                break  # a harder test than in the round before: nothing below this node
-            while todo[-1].pop() != q:
-                pass
+
+        def go(i, q):
+            nonlocal free
             path.append(q)
+            rank.append(i)
             free &= ~(1 << q)
+
+        for q in at[len(start):base]:
+            go(next(i for i, _, x in self._ranked(sid, path, free) if x == q), q)
+        todo = [self._options(sid, path, free)]
+        for q in at[base:]:
+            if not any(x == q for _, x in todo[-1]):
+                todo[-1] = []
+                break  # a harder test than in the round before: nothing below this node
+            while todo[-1][-1][1] != q:
+                todo[-1].pop()
+            go(*todo[-1].pop())
             todo.append(self._options(sid, path, free))
         fresh = True  # no move from the last square was tried yet
         while True:
             if len(path) == self.n:
-                out.append(list(path))
-                if found + len(out) >= self.per_seed:
-                    return path, out, True
+                out.append((list(rank), list(path)))
+                if len(out) >= want:
+                    return out, []
             if todo[-1]:
                 if budget <= 0 and fresh:
-                    return path, out, False
-                q = todo[-1].pop()
-                path.append(q)
-                free &= ~(1 << q)
+                    break
+                go(*todo[-1].pop())
                 todo.append(self._options(sid, path, free))
                 budget, fresh = budget - 1, True
-            elif len(path) == len(start):
-                return path, out, True
+            elif len(path) == base:
+                return out, []
             else:
                 todo.pop()
+                rank.pop()
                 free |= 1 << path.pop()
                 fresh = False
+        if not split:
+            return out, [(base, list(path), rank[:base - len(start)])]
+        parts = []
+        for depth, waiting in enumerate(todo, base):
+            parts += [(depth + 1, [*path[:depth], q], [*rank[:depth - len(start)], i]) for i, q in waiting]
+        return out, parts
+
+
+#: Moves of a branch in one round once a round has fewer branches than task slots.
+SPLIT_BUDGET = 20_000
 
 
-def bounded_paths(seeds: DataFrame, per_seed: int, path: str = "tour", seed: int = 42, board: Board = DEFAULT_BOARD,
-                  seed_id: str = "tour_id", order: str = "md5", budget: int = 300) -> DataFrame:
-    """G-4/G-5/O-6: ``(seed_id, path)``, the first ``per_seed`` full tours that extend
-    each seed, or all if there are fewer, in depth-first order: at every square by the
-    fewest onward moves, ties by the md5 of ``seed:id:squares so far:square`` (``order``
+def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour", seed: int = 42, board: Board = DEFAULT_BOARD,
+                  seed_id: str = "tour_id", order: str = "md5", budget: int = 300, split_budget: int = SPLIT_BUDGET) -> DataFrame:
+    """G-4/G-5/O-6: ``(seed_id, path)``, the first ``per_seed`` (a number, or a column) full
+    tours that extend each seed, or all if there are fewer, in depth-first order: at every
+    square by the fewest onward moves, ties by the md5 of ``seed:id:squares so far:square`` (``order``
     "md5", O-4) or by the number of the move (``"offset"``, O-5).
 
-    Seeds stay whole rows: a round advances each by ``budget`` moves (four times as many
-    in each later round, which also tests nodes harder), is written to the shared folder, and what is open is dealt out
-    again with the node it stands at; a node is at most one path, however many branches
-    wait.  Branches are cut only where no full tour exists.  Null, empty, repeating and
-    off-board seeds have no tour; a full seed is its own.  Ids should be unique."""
+    While there are more open seeds than task slots, a seed is one row: a round advances it
+    by ``budget`` moves (four times as many in each later round, which also tests nodes
+    harder), and what is open is dealt out again with the node it stands at.  When fewer are left,
+    they are cut into branches, one row for a node's untried sibling, so that one hard seed
+    is searched by all tasks.  A branch carries its depth-first rank (an array of ordinals):
+    the branches of least rank go first, and those beyond the rank of a seed's last wanted tour are
+    dropped, so the result depends neither on the budgets nor on the splitting.
+
+    Branches are cut only where no full tour exists.  Null, empty, repeating and off-board
+    seeds have no tour; a full seed is its own.  Ids should be unique."""
     spark, n = seeds.sparkSession, board.n_squares
     kind = seeds.schema[seed_id].dataType.simpleString()
-    state = f"sid {kind}, start array<int>, at array<int>, found int"
     usable = (F.size(path) > 0) & (F.size(F.array_distinct(path)) == F.size(path)) & F.forall(
         F.col(path), lambda p: p.isNotNull() & p.between(0, n - 1))
     start = F.col(path).cast("array<int>")
-    todo = seeds.where(usable).select(F.col(seed_id).alias("sid"), start.alias("start"), start.alias("at"), F.lit(0).alias("found"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def round_of(budget: int, thorough: bool):
+    wanted = F.lit(per_seed) if isinstance(per_seed, int) else per_seed
+    todo = seeds.where(usable & (wanted > 0)).select(
+        F.monotonically_increasing_id().alias("key"), F.col(seed_id).alias("sid"), start.alias("start"), F.size(path).alias("base"), start.alias("at"),
+        F.array().cast("array<int>").alias("rank"), wanted.cast("int").alias("want"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ints = pa.list_(pa.int32())
+    found_type = pa.list_(pa.struct([("rank", ints), ("path", ints)]))
+    open_type = pa.list_(pa.struct([("base", pa.int32()), ("at", ints), ("rank", ints)]))
+
+    def round_of(budget: int, thorough: bool, split: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = _Search(board, seed, order, per_seed, thorough)
+            search = _Search(board, seed, order, thorough)
             for b in batches:
-                sid, begin, node, found = (b.column(i).to_pylist() for i in range(4))
-                got = [search.advance(i, s, a, f, budget) for i, s, a, f in zip(sid, begin, node, found)]
-                many = pa.list_(pa.list_(pa.int32()))
+                want = b.column(5).to_pylist()
+                got = [search.advance(i, s, x, a, w, budget, split)
+                       for i, s, x, a, w in zip(*[b.column(c).to_pylist() for c in (1, 2, 3, 4)], want)]
                 yield pa.record_batch([
-                    b.column(0), b.column(1), pa.array([x[0] for x in got], pa.list_(pa.int32())),
-                    pa.array([f + len(x[1]) for f, x in zip(found, got)], pa.int32()),
-                    pa.array([x[1] for x in got], many), pa.array([x[2] for x in got], pa.bool_())],
-                    names=["sid", "start", "at", "found", "paths", "done"])
+                    b.column(0), b.column(1), b.column(2), pa.array([w - len(f) for w, (f, _) in zip(want, got)], pa.int32()),
+                    pa.array([[{"rank": r, "path": p} for r, p in f] for f, _ in got], found_type),
+                    pa.array([[{"base": x, "at": y, "rank": z} for x, y, z in left] for _, left in got], open_type)],
+                    names=["key", "sid", "start", "want", "found", "open"])
         return run
 
-    out = None
+    schema = (f"key long, sid {kind}, start array<int>, want int, found array<struct<rank array<int>, path array<int>>>, "
+              "open array<struct<base int, at array<int>, rank array<int>>>")
+
+    def advance(rows: DataFrame, *how) -> DataFrame:
+        # dealt into a fixed number of tasks: the work is in the moves, not in the bytes
+        dealt = rows.select("key", "sid", "start", "base", "at", "want", "rank").repartition(parts, "key", "rank")
+        return materialize(dealt.mapInArrow(round_of(*how), schema), "paths-round")
+
+    def tours_of(step: DataFrame) -> DataFrame:
+        return step.select("key", "sid", F.inline("found"))
+
+    def still_open(step: DataFrame) -> DataFrame:
+        return step.select("key", "sid", "start", F.inline("open"), "want")
+
+    out, first = None, True
     while True:
-        # dealt by id into a fixed number: the work is in the moves, not in the bytes
-        step = materialize(todo.repartition(parts, "sid").mapInArrow(
-            round_of(budget, out is not None), state + ", paths array<array<int>>, done boolean"), "paths-round")
-        full = step.select(F.col("sid").alias(seed_id), F.explode("paths").alias("path"))
-        out = full if out is None else out.unionByName(full)
-        todo = step.where("NOT done").select("sid", "start", "at", "found")
-        if todo.isEmpty():
-            return out.withColumn("path", F.col("path").cast(TOUR_TYPE if n <= 128 else "array<int>"))
+        step = advance(todo, budget, not first, False)
+        out = tours_of(step) if out is None else out.unionByName(tours_of(step))
+        todo, first = still_open(step), False
+        left = todo.count()
+        if left < parts:
+            break
         budget *= 4
+    if left:
+        out = _split_search(out, todo, advance, tours_of, still_open, split_budget, parts)
+    full = out.select(F.col("sid").alias(seed_id), "path")
+    return full.withColumn("path", F.col("path").cast(TOUR_TYPE if n <= 128 else "array<int>"))
+
+
+def _split_search(out: DataFrame, todo: DataFrame, advance, tours_of, still_open, budget: int, parts: int) -> DataFrame:
+    """Finishes fewer open seeds than task slots, branch by branch: all found ``(key, sid, rank, path)``."""
+    hard = materialize(todo.select("key", F.col("want").alias("wanted")), "paths-hard")  # fewer rows than slots
+    found = None
+    by_rank = Window.partitionBy("key").orderBy("rank")
+    while True:
+        seeds, rows = todo.agg(F.count_distinct("key"), F.count("*")).first()
+        if not rows:
+            break
+        # branches of least rank first; the others wait as rows
+        share = max(1, 2 * parts // seeds)
+        ranked = todo.withColumn("nth", F.row_number().over(by_rank))
+        step = advance(ranked.where(F.col("nth") <= share), budget, True, rows < 4 * parts)
+        todo = still_open(step).unionByName(ranked.where(F.col("nth") > share).drop("nth"))
+        new = tours_of(step)
+        found = new if found is None else found.unionByName(new)
+        kept = found.join(F.broadcast(hard), "key").withColumn("nth", F.row_number().over(by_rank))
+        kept = materialize(kept.where("nth <= wanted"), "paths-found")
+        cut = kept.where("nth = wanted").select("key", F.col("rank").alias("cut"))  # at most one for each open seed
+        found = kept.select("key", "sid", "rank", "path")
+        todo = todo.join(F.broadcast(cut), "key", "left").where("cut IS NULL OR rank < cut").drop("cut")
+        todo = materialize(todo, "paths-open")
+    return out.unionByName(found) if found is not None else out

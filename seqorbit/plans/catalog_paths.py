@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..operators import paths as P
 from . import sqltext as Q
+from ..sources.tables import read_table
 from .catalog import BOARD, register, tours
 from .catalog_scoring import PARTIAL_SQL, partials
 
@@ -40,9 +41,14 @@ def q_continuation_paths(spark, sf):
     return P.count_levels(valid_partials(spark, sf), CONTINUATION_LEVELS, "tour", BOARD)
 
 
-_NEAR = "[" + ", ".join("[" + ", ".join(
-    str((r + dr) * BOARD.width + c + dc) if 0 <= r + dr < BOARD.height and 0 <= c + dc < BOARD.width else "-1"
-    for dr, dc in BOARD.offsets) + "]" for r in range(BOARD.height) for c in range(BOARD.width)) + "]"
+def _near(board: B.Board) -> str:
+    """Per square the targets of the moves in their order, -1 off the board."""
+    return "[" + ", ".join("[" + ", ".join(
+        str((r + dr) * board.width + c + dc) if 0 <= r + dr < board.height and 0 <= c + dc < board.width else "-1"
+        for dr, dc in board.offsets) + "]" for r in range(board.height) for c in range(board.width)) + "]"
+
+
+_NEAR = _near(BOARD)
 _FREE = "list_filter(near[{}[len({})] + 1], lambda q: q >= 0 AND NOT list_contains({}, q))"
 _DEGREE = "len(list_filter(near[{q} + 1], lambda x: x >= 0 AND NOT list_contains({p}, x)))"
 _MD5 = "md5('42:' || tour_id || ':' || len({p}) || ':' || {q})"
@@ -107,3 +113,71 @@ def q_late_completions(spark, sf):
 def q_late_first_completion(spark, sf):
     out = P.bounded_paths(late_partials(spark, sf), 1, "tour", 42, BOARD, order="offset")
     return out.select("tour_id", B.tour_key("path", BOARD).alias("path_key"))
+
+
+# The small board whose tours SQL can enumerate, tours for each quadrant start.
+SMALL = B.Board(5, 4)
+PER_QUADRANT_START = 3
+
+
+def suppliers(spark, sf):
+    return read_table(spark, sf, "supplier", "s_suppkey")
+
+
+def ranked_paths_sql(seeds: str, tie: str, board: B.Board = SMALL) -> str:
+    """CTE text ``ranked(tour_id, p, r, ...)``: all full tours of ``seeds(tour_id, start)`` by
+    brute force, numbered by their moves' degrees and ties."""
+    return (
+        f"nb AS (SELECT {_near(board)} AS near), seeds AS ({seeds}), "
+        "walk AS (SELECT tour_id, [start] AS p, '' AS rank FROM seeds "
+        "UNION ALL SELECT tour_id, list_append(p, q), rank || " + _DEGREE.format(q="q", p="p") + f" || {tie} FROM ("
+        "SELECT tour_id, p, rank, near, k, near[p[len(p)] + 1][k] AS q "
+        f"FROM walk, nb, range(1, {len(board.offsets) + 1}) g(k) WHERE len(p) < {board.n_squares}) "
+        "WHERE q >= 0 AND NOT list_contains(p, q)), "
+        "ranked AS (SELECT tour_id, p, row_number() OVER (PARTITION BY tour_id ORDER BY rank) AS r "
+        f"FROM walk WHERE len(p) = {board.n_squares})")
+
+
+@register("every_start_paths", "G-1 G-4 G-5 O-5 O-6 G-7",
+          "WITH RECURSIVE " + ranked_paths_sql(
+              f"SELECT s_suppkey AS tour_id, CAST(s_suppkey % {SMALL.n_squares} AS INTEGER) AS start FROM supplier", "k")
+          + f" SELECT tour_id, {Q.key('p', SMALL)} AS path_key FROM ranked WHERE r <= 1 + tour_id % 5")
+def q_every_start_paths(spark, sf):
+    """The first 1 to 5 tours (a number for each supplier) of a 5x4 board from every start
+    square; squares without a tour are searched to the end."""
+    s = suppliers(spark, sf).withColumn("tour_id", F.col("s_suppkey"))
+    seeds = P.start_seeds(s, board=SMALL).where(F.col("start") == F.col("tour_id") % SMALL.n_squares)
+    out = P.bounded_paths(seeds, 1 + F.col("tour_id") % 5, "tour", 42, SMALL, order="offset")
+    return out.select("tour_id", B.tour_key("path", SMALL).alias("path_key"))
+
+
+@register("quadrant_start_paths", "G-1 G-5 O-5 V-1 V-3",
+          f"SELECT s_suppkey, CAST(r * {BOARD.width} + c AS INTEGER) AS start, CAST({PER_QUADRANT_START} AS BIGINT) AS n_tours, "
+          f"CAST({PER_QUADRANT_START} AS BIGINT) AS n_valid, CAST({PER_QUADRANT_START} AS BIGINT) AS n_distinct "
+          f"FROM supplier, range({BOARD.height // 2}) a(r), range({BOARD.width // 2}) b(c)")
+def q_quadrant_start_paths(spark, sf):
+    """Full 8x8 tours from the 16 quadrant squares for each supplier, by bounded search: how many
+    were found, are valid and start where they should, and differ.  Ties go by a hash
+    that depends on the supplier, so suppliers search different orders."""
+    key = F.col("s_suppkey") * BOARD.n_squares + F.col("start")
+    seeds = P.start_seeds(suppliers(spark, sf), P.quadrant(BOARD), BOARD).withColumn("tour_id", key)
+    out = P.bounded_paths(seeds, PER_QUADRANT_START, "tour", 42, BOARD)
+    start = F.col("path")[0].cast("int")
+    good = B.is_valid_tour("path", BOARD) & (F.size("path") == BOARD.n_squares) & (start == F.col("tour_id") % BOARD.n_squares)
+    per = out.groupBy("tour_id").agg(F.count("*").alias("n_tours"), F.count_if(good).alias("n_valid"),
+                                     F.count_distinct("path").alias("n_distinct"))
+    return per.select(F.floor(F.col("tour_id") / BOARD.n_squares).alias("s_suppkey"),
+                      (F.col("tour_id") % BOARD.n_squares).cast("int").alias("start"), "n_tours", "n_valid", "n_distinct")
+
+
+_STARTS_SQL = f"SELECT s_suppkey * {BOARD.n_squares} + q AS tour_id, [CAST(q AS TINYINT)] AS tour FROM supplier, range({BOARD.n_squares}) s(q)"
+
+
+@register("every_start_walks", "G-1 G-3 O-3", WARNSDORFF_SQL.replace(
+    WARNSDORFF_SQL[WARNSDORFF_SQL.index("RECURSIVE ") + len("RECURSIVE "):WARNSDORFF_SQL.index("nb AS")],
+    f"pt AS ({_STARTS_SQL}), ", 1))
+def q_every_start_walks(spark, sf):
+    """One fewest-onward-moves walk from each of the 64 squares for each supplier."""
+    seeds = P.start_seeds(suppliers(spark, sf), None, BOARD).withColumn("tour_id", F.col("s_suppkey") * BOARD.n_squares + F.col("start"))
+    out = P.warnsdorff_complete(seeds, "tour", 42, BOARD)
+    return out.select("tour_id", "complete", B.tour_key("path", BOARD).alias("path_key"), B.is_valid_tour("path", BOARD).alias("valid"))

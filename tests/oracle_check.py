@@ -33,9 +33,11 @@ def _norm(v):
     return v
 
 
-def rows_of(pdf):
-    cols = sorted(pdf.columns)
-    recs = [tuple(_norm(r[c]) for c in cols) for r in pdf.to_dict("records")]
+def rows_of(found):
+    names, values = found
+    cols = sorted(names)
+    at = [names.index(c) for c in cols]
+    recs = [tuple(_norm(r[i]) for i in at) for r in values]
     return cols, sorted(recs, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
@@ -51,19 +53,21 @@ def compare(spark, sf_dir, names=None, verbose=True):
     for name in names or sorted(qs):
         t0 = time.time()
         try:
-            sp = qs[name](spark, sf_dir).toPandas()
+            df = qs[name](spark, sf_dir)
+            sp = df.columns, [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             results[name] = ("SPARK_ERROR", str(e)[:300])
             print(name, "SPARK_ERROR", str(e)[:300], flush=True)
             continue
         ts = time.time() - t0
         if name not in sqls:
-            results[name] = ("rows_only", len(sp))
-            print(f"{name:34s} rows-only {len(sp):8d} rows  spark {ts:6.2f}s", flush=True)
+            results[name] = ("rows_only", len(sp[1]))
+            print(f"{name:34s} rows-only {len(sp[1]):8d} rows  spark {ts:6.2f}s", flush=True)
             continue
         t0 = time.time()
         try:
-            dk = con.sql(sqls[name]).df()
+            rel = con.sql(sqls[name])
+            dk = rel.columns, rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[name] = ("SQL_ERROR", str(e)[:300])
             print(name, "SQL_ERROR", str(e)[:400], flush=True)
@@ -73,8 +77,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
         dc, dr = rows_of(dk)
         ok = sc == dc and sr == dr
         status = "OK" if ok else "MISMATCH"
-        results[name] = (status, len(sp), len(dk))
-        print(f"{name:34s} {status:8s} spark {len(sp):8d} rows {ts:6.2f}s  duck {len(dk):8d} rows {td:6.2f}s",
+        results[name] = (status, len(sp[1]), len(dk[1]))
+        print(f"{name:34s} {status:8s} spark {len(sp[1]):8d} rows {ts:6.2f}s  duck {len(dk[1]):8d} rows {td:6.2f}s",
               flush=True)
         if not ok and verbose:
             if sc != dc:

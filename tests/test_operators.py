@@ -124,6 +124,29 @@ def test_bounded_paths_does_not_depend_on_the_budget(spark):
     assert all(len(set(p)) == 64 for _, p in a)
 
 
+def test_a_hard_seed_is_split_and_its_answer_stays(spark, monkeypatch):
+    """One corner of a 5x6 board, cut into branches every few moves, gives the tours a plain depth-first search gives."""
+    board = B.Board(6, 5)
+    want = P._Search(board, 42, "offset", False).advance(7, [0], 1, [0], 10 ** 6, 10 ** 9, False)[0]
+    seeds = spark.createDataFrame([(7, [0]), (8, [1]), (7, [0]), (None, [0, 8])], "tour_id int, tour array<tinyint>")
+    rounds = []
+    plain = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name: rounds.append((name, out := plain(df, name))) or out)
+    for per_seed, split_budget in ((5, 20), (60, 400)):
+        got = P.bounded_paths(seeds, per_seed, board=board, order="offset", budget=3, split_budget=split_budget).collect()
+        mine = sorted(tuple(r.path) for r in got if r.tour_id == 7)
+        assert mine == sorted([tuple(p) for _, p in want[:per_seed]] * 2)  # the repeated seed is a seed of its own
+        assert len([r for r in got if r.tour_id is None]) == per_seed
+    # no round with many open branches leaves them to one task
+    busy = [out.groupBy(F.input_file_name()).count().count() for name, out in rounds if name == "paths-round" and out.count() >= 16]
+    assert busy and min(busy) >= 4
+    # a number of tours for each seed, and seeds without any tour
+    own = spark.createDataFrame([(i, [i], i % 3) for i in range(30)], "tour_id int, tour array<tinyint>, n int")
+    got = P.bounded_paths(own, F.col("n"), board=board, order="offset", budget=3, split_budget=50).groupBy("tour_id").count().collect()
+    every = {i: len(P._Search(board, 42, "offset", False).advance(i, [i], 1, [i], i % 3, 10 ** 9, False)[0]) for i in range(30) if i % 3}
+    assert {r.tour_id: r["count"] for r in got} == {i: n for i, n in every.items() if n}
+
+
 def test_bounded_paths_beyond_64_squares(spark):
     board = B.Board(10, 9)
     seeds = spark.createDataFrame([(i, [i]) for i in (0, 44)], "tour_id int, tour array<tinyint>")
