@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..operators import paths as P
 from . import sqltext as Q
+from ..operators.generate import fill_to_quota
+from ..session import stage_path
+from ..sources.store import VersionedStore
 from ..sources.tables import read_table
 from .catalog import BOARD, register, tours
 from .catalog_scoring import PARTIAL_SQL, partials
@@ -181,3 +184,44 @@ def q_every_start_walks(spark, sf):
     seeds = P.start_seeds(suppliers(spark, sf), None, BOARD).withColumn("tour_id", F.col("s_suppkey") * BOARD.n_squares + F.col("start"))
     out = P.warnsdorff_complete(seeds, "tour", 42, BOARD)
     return out.select("tour_id", "complete", B.tour_key("path", BOARD).alias("path_key"), B.is_valid_tour("path", BOARD).alias("valid"))
+
+
+# Tours each start adds in a turn, and the quota as a share of all that exist
+# (per supplier, in hundredths of the suppliers' own number).
+PER_TURN = 2
+QUOTA_PER_SUPPLIER = 5
+
+
+@register("filled_store", "G-8 J-3 S-9 G-5 U-2",
+          "WITH RECURSIVE " + ranked_paths_sql(
+              f"SELECT s_suppkey AS tour_id, CAST(s_suppkey % {SMALL.n_squares} AS INTEGER) AS start FROM supplier",
+              _MD5.format(q="q", p="p"))
+          + f", first AS (SELECT {Q.key('p', SMALL)} AS path_key, min((r - 1) // {PER_TURN}) AS turn FROM ranked GROUP BY 1), "
+          f"quota AS (SELECT least({QUOTA_PER_SUPPLIER} * (SELECT count(*) FROM supplier), 100) AS q), "
+          "asked AS (SELECT turn, count(*) AS n FROM first GROUP BY turn), "
+          "run AS (SELECT turn, sum(n) OVER (ORDER BY turn) AS total, n, row_number() OVER (ORDER BY turn) - 1 AS nth FROM asked), "
+          "live AS (SELECT turn, total, n FROM run WHERE turn = nth) "
+          "SELECT CAST(turn AS INTEGER) AS turn, CAST(least(n, quota.q - (total - n)) AS BIGINT) AS added, "
+          "CAST(least(total, quota.q) AS BIGINT) AS stored FROM live, quota WHERE total - n < quota.q")
+def q_filled_store(spark, sf):
+    """Tours of a 5x4 board, generated turn by turn (each supplier's next two in its own
+    order), excluded against the store and appended until the quota or until no new
+    ones come; a second run of the filled store must add nothing.  Rows: what each turn added."""
+    s = suppliers(spark, sf).withColumn("tour_id", F.col("s_suppkey"))
+    seeds = P.start_seeds(s, board=SMALL).where(F.col("start") == F.col("tour_id") % SMALL.n_squares)
+    store = VersionedStore(spark, stage_path(spark, "filled"))
+    quota = min(QUOTA_PER_SUPPLIER * s.count(), 100)
+
+    def candidates(turn: int):
+        found = P.bounded_paths(seeds, PER_TURN * (turn + 1), "tour", 42, SMALL)
+        return found.select(F.col("path").alias("tour"))
+
+    fill_to_quota(store, candidates, quota, SMALL)
+    again = fill_to_quota(store, candidates, quota, SMALL)
+    turns = [r for r in store.log() if r["kind"] == "turn"]
+    rows, total = [], 0
+    for turn, r in enumerate(turns[:len(turns) - len(again)]):
+        total += r["n_rows"]
+        rows.append((turn, r["n_rows"], total))
+    rows = [r for r in rows if r[1]] + [(len(turns), n, total + n) for n in again if n]
+    return spark.createDataFrame(rows, "turn int, added long, stored long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..session import stage_path
 from ..sources import parquet as PQ
-from ..streaming.ingest import run_unique_ingest
+from ..streaming.ingest import late_rows, run_unique_ingest, stored_tours
 from . import sqltext as Q
 from .catalog import BOARD, N, PRE, canon, register
 from .catalog_splits import HOLD, _nested_sql, event_tours, parts, NESTED, SEED
@@ -59,5 +59,29 @@ def q_manifest(spark, sf):
           f" SELECT DISTINCT {Q.canon_key('tour')} AS canon_key FROM et "
           f"WHERE {Q.legal('tour')} AND {Q.unique('tour')}")
 def q_stream_unique_ingest(spark, sf):
-    store = run_unique_ingest(spark, event_tours(spark, sf), n_files=4, board=BOARD)
-    return store.select("canon_key")
+    return stored_tours(run_unique_ingest(spark, event_tours(spark, sf), n_files=4, board=BOARD)).select("canon_key")
+
+
+# How far behind the newest event a row is late, and rows of a bucket here.
+LATE_AFTER = "1 DAY"
+SMALL_BUCKET = 64
+
+
+@register("stream_store_tours", "T-1 S-9 J-3 V-1",
+          "WITH " + Q.fixture_tours_cte("events", "event_id", "user_id", "event_type", "et") +
+          f", k AS (SELECT tour_id, {Q.canon_key('tour')} AS canon_key FROM et WHERE {Q.legal('tour')} AND {Q.unique('tour')}) "
+          "SELECT canon_key, CAST(1 AS BIGINT) AS n_kept, true AS kept_is_of_key, true AS kept_arrived FROM k GROUP BY canon_key")
+def q_stream_store_tours(spark, sf):
+    """Stored and late rows of a stream: each canonical key once, with a tour that arrived
+    and whose canonical form it is; nothing is lost to lateness."""
+    arrived = event_tours(spark, sf)
+    store = run_unique_ingest(spark, arrived, n_files=6, board=BOARD, late_after=LATE_AFTER, bucket_rows=SMALL_BUCKET)
+    late = late_rows(store).select("key", "tour_id", "source", "tour", "ts", "canon_key")
+    # what came late is added in the end, as a commit of its own
+    store.add_new(late, "late", "late")
+    kept = B.with_canonical(stored_tours(store), board=BOARD)
+    came = arrived.select("tour_id", F.col("tour").alias("sent"))
+    return kept.join(came, "tour_id").groupBy("canon_key").agg(
+        F.count("*").alias("n_kept"),
+        F.bool_and(B.tour_key("canon", BOARD) == F.col("canon_key")).alias("kept_is_of_key"),
+        F.bool_and(F.col("sent") == F.col("tour")).alias("kept_arrived"))

@@ -1,16 +1,14 @@
 """T-1: incremental unique ingestion with Structured Streaming.
 
-Tours arrive as Parquet files from many producers.  Each micro-batch is
-canonicalised, deduplicated within the batch (hash aggregate), checked
-against everything already stored (anti join on the canonical key) and
-appended.  The store is partitioned by a hash bucket of the key, so a batch
-reads only the buckets its own keys fall in.  A re-delivered batch after a
-failure finds its keys already stored and appends nothing: the sink is
-idempotent by canonical key, and state lives in the table, not in memory.
-
-With ``within_watermark`` the stream instead deduplicates by event time
-(``dropDuplicatesWithinWatermark``), bounded state for late copies only.
-"""
+Tours arrive as Parquet files from many producers.  Each micro-batch is canonicalised,
+deduplicated within the batch, checked against everything already stored (anti join on a
+16-byte key of the canonical form) and appended to a ``VersionedStore``, which opens only the
+buckets that hold one of the batch's keys and merges its commits as it grows.  The tour that
+arrived first is kept.  A re-delivered batch is in the store's log and adds nothing; a batch that
+failed half-way was never committed and is written again.
+
+With ``late_after`` rows whose event time lies that far behind the latest event of the batches
+before go to a side table instead, where they can be looked at and added later; none is lost."""
 
 from __future__ import annotations
 
@@ -19,9 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.board import DEFAULT_BOARD, TOUR_TYPE, Board, is_valid_tour, tour_key, with_canonical
-from ..session import stage_path
-
-N_BUCKETS = 64
+from ..session import materialize, stage_path
+from ..sources.store import BUCKET_ROWS, VersionedStore, key_of
 
 TOUR_STREAM_SCHEMA = T.StructType([
     T.StructField("tour_id", T.LongType()),
@@ -31,60 +28,60 @@ TOUR_STREAM_SCHEMA = T.StructType([
 ])
 
 
-def _bucket(key_col: str) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(key_col)), F.lit(N_BUCKETS)).cast("int")
+STORED = "tour_id long, source string, tour array<tinyint>, ts timestamp_ntz, canon_key string"
 
 
 def canonical_rows(df: DataFrame, board: Board = DEFAULT_BOARD, valid_only: bool = True) -> DataFrame:
     d = df.where(is_valid_tour("tour", board)) if valid_only else df
     d = with_canonical(d, board=board)
-    return d.withColumn("canon_key", tour_key("canon", board)).withColumn("bucket", _bucket("canon_key"))
-
-
-def _store_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-def ingest_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """One micro-batch: dedup within, anti join against the store, append."""
-    spark = batch.sparkSession
-    first = (batch.groupBy("bucket", "canon_key")
-                  .agg(F.min(F.struct("tour_id", "source")).alias("_f"))
-                  .select("bucket", "canon_key", F.col("_f.tour_id").alias("tour_id"),
-                          F.col("_f.source").alias("source")))
-    if _store_exists(spark, store):
-        # the buckets present in this batch: at most N_BUCKETS values
-        buckets = [r[0] for r in first.select("bucket").distinct().collect()]
-        seen = spark.read.parquet(store).where(F.col("bucket").isin(buckets)).select("bucket", "canon_key")
-        first = first.join(seen, ["bucket", "canon_key"], "left_anti")
-    (first.withColumn("batch_id", F.lit(batch_id).cast("long"))
-          .write.mode("append").partitionBy("bucket").parquet(store))
-
-
-def start_unique_ingest(spark: SparkSession, source_dir: str, store: str, checkpoint: str,
+    return d.withColumn("canon_key", tour_key("canon", board)).withColumn("key", key_of("canon")).drop("canon")
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, store: VersionedStore, late_after: str | None = None) -> int:
+    """One micro-batch: set late rows aside, dedup, anti join against the store, append, merge.
+    Returns the rows added."""
+    if batch_id in store.batches():
+        return 0
+    high, n_late = store.high_mark(), 0
+    rows = materialize(batch.select("key", "tour_id", "source", "tour", "ts", "canon_key"), "ingest-batch")
+    newest = rows.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    if late_after and high is not None:
+        on_time = F.col("ts").cast("timestamp") >= F.lit(high) - F.expr(f"INTERVAL {late_after}")
+        late = rows.where(~F.coalesce(on_time, F.lit(True)))
+        # one folder for each batch, so a second try overwrites the first
+        late.write.mode("overwrite").parquet(f"{store.path}/late/batch={batch_id}")
+        n_late = late.count()
+        rows = rows.where(F.coalesce(on_time, F.lit(True)))
+    high = max(x for x in (high, newest) if x is not None) if (high or newest) else None
+    n = store.add_new(rows, f"batch-{batch_id}", batch_id=batch_id, n_late=n_late, high=high)
+    store.compact()
+    return n
+
+
+def late_rows(store: VersionedStore) -> DataFrame:
+    """The side table of all committed batches."""
+    paths = [f"{store.path}/late/batch={r['batch_id']}" for r in store.log() if r["n_late"]]
+    schema = "key binary, " + STORED
+    return store.spark.read.schema(schema).parquet(*paths) if paths else store.spark.createDataFrame([], schema)
+
+
+def start_unique_ingest(spark: SparkSession, source_dir: str, store: VersionedStore, checkpoint: str,
                         board: Board = DEFAULT_BOARD, max_files_per_trigger: int = 1,
-                        available_now: bool = True, within_watermark: str | None = None):
+                        available_now: bool = True, late_after: str | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(TOUR_STREAM_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    rows = canonical_rows(stream, board)
-    if within_watermark:
-        # event-time operators need TIMESTAMP; the tables carry TIMESTAMP_NTZ
-        # (session time zone is UTC), so the cast keeps the wall-clock value
-        rows = (rows.withColumn("ts", F.col("ts").cast("timestamp"))
-                    .withWatermark("ts", within_watermark).dropDuplicatesWithinWatermark(["canon_key"]))
-    w = (rows.select("tour_id", "source", "canon_key", "bucket").writeStream
-         .foreachBatch(lambda df, bid: ingest_batch(df, bid, store))
-         .option("checkpointLocation", checkpoint))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ingest_batch(batch, batch_id, store, late_after)
+
+    w = canonical_rows(stream, board).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
-def run_unique_ingest(spark: SparkSession, tours: DataFrame, n_files: int = 4,
-                      board: Board = DEFAULT_BOARD) -> DataFrame:
+def run_unique_ingest(spark: SparkSession, tours: DataFrame, n_files: int = 4, board: Board = DEFAULT_BOARD,
+                      late_after: str | None = None, bucket_rows: int = BUCKET_ROWS) -> VersionedStore:
     """Land ``tours`` (with an event time ``ts``) as ``n_files`` files in event
     time order under the shared folder, stream them through the ingest, and
     return the store."""
@@ -92,9 +89,14 @@ def run_unique_ingest(spark: SparkSession, tours: DataFrame, n_files: int = 4,
     (tours.select("tour_id", "source", "tour", "ts")
           .repartitionByRange(n_files, "ts", "tour_id").sortWithinPartitions("ts", "tour_id")
           .write.parquet(src))
-    store = stage_path(spark, "stream-store")
-    q = start_unique_ingest(spark, src, store, stage_path(spark, "stream-ckpt"), board)
+    store = VersionedStore(spark, stage_path(spark, "stream-store"), bucket_rows)
+    q = start_unique_ingest(spark, src, store, stage_path(spark, "stream-ckpt"), board, late_after=late_after)
     q.awaitTermination()
-    if not _store_exists(spark, store):
-        return spark.createDataFrame([], "tour_id long, source string, canon_key string, batch_id long, bucket int")
-    return spark.read.parquet(store)
+    return store
+
+
+def stored_tours(store: VersionedStore) -> DataFrame:
+    """The store's rows; an empty store gives none."""
+    rows = store.read()
+    names = [f.split()[0] for f in STORED.split(", ")]
+    return rows.select(*names) if rows is not None else store.spark.createDataFrame([], STORED)
