@@ -28,8 +28,12 @@ def _others(docs: DataFrame, *used: str) -> tuple[str, ...]:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows."""
-    found = language.identify(docs, extra=_others(docs, "doc_id"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    # other columns go by private names, whatever they are called
+    private = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang")}
+    plain = docs.withColumnsRenamed(private)
+    found = language.identify(plain, extra=_others(plain, "doc_id"))
+    sure = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return sure.select(*[F.col(private.get(c, c)).alias(c) for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +51,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8)."""
     found = minhash_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
-    keep = stage(found.where("kept").select("rk").distinct(), "pipeline-keep")
-    keyed = docs.withColumn("__rk", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(keep, F.col("__rk") == F.col("rk"), "left_semi").dropDuplicates(["__rk"]).drop("__rk")
+    key = "__rk"
+    while key in docs.columns:
+        key += "_"
+    keep = stage(found.where("kept").select(F.col("rk").alias(key)).distinct(), "pipeline-keep")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

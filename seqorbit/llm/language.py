@@ -35,7 +35,9 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters; a run of other numerals alone (such as ² or ½) is no word."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    return [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
 
 
 def grams_of(word: str, n: int) -> list[str]:

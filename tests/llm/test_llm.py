@@ -182,6 +182,7 @@ def test_language_held_out(docs):
 def test_language_edges(messy, empty):
     got = Counter((r["doc_id"], r["lang_pred"]) for r in rows(language.identify(messy)))
     assert sum(got.values()) == len(MESSY)
+    assert language.words_of("² ½ ① x² Été 12") == ["x²", "été"]  # numerals alone are no letters
     assert all(got[i, "und"] == 1 for i in (4, 5, 6, 12)) and got[1, "en"] == 1
     assert language.identify(empty).count() == 0
     none = language.identify(messy.withColumn("lang", F.lit(None).cast("string")))

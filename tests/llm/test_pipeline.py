@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage on sf0.001 and on messy rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from seqorbit.llm import decontaminate
@@ -31,7 +32,12 @@ def test_stages_against_brute_force(spark):
 @pytest.mark.parametrize("n", [len(MESSY), 0])
 def test_messy_and_empty_tables(spark, n):
     docs = spark.createDataFrame(MESSY[:n], SCHEMA)
-    for _, f in P.STAGES:
+    for c in ("score", "rk", "__rk", "lang_pred", "did", "tag", "n", "key", "h", "x_source"):  # names the stages use themselves
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, f in P.STAGES:
+        before = docs.columns
         docs = P.stage(f(spark, docs, SF_SMALL), "test")
+        assert name.startswith("mixing") or docs.columns == before
     got = rows(docs)
+    assert all(r["score"] == r["rk"] == r["__rk"] == r["lang_pred"] == "clash" for r in got)
     assert not {r["doc_id"] for r in got} & {4, 5, 6, 12} and len(got) == len({(r["doc_id"], r["text"]) for r in got})
