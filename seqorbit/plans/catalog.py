@@ -320,12 +320,9 @@ def q_symmetry_images(spark, sf):
           "count(DISTINCT image_key) AS n_distinct_images, "
           "8 * count(DISTINCT tour_id) AS n_expected FROM img")
 def q_augmented_counts(spark, sf):
-    from ..operators.augment import augment
-    a = augment(canon(spark, sf), "canon", BOARD)
-    return a.agg(F.count_distinct("tour_id").alias("n_canonical"),
-                 F.count("*").alias("n_augmented"),
-                 F.count_distinct("image").alias("n_distinct_images"),
-                 (F.count_distinct("tour_id") * len(BOARD.symmetries)).alias("n_expected"))
+    from ..operators.augment import orbit_counts
+    # one row for each canonical form, which has one tour_id
+    return orbit_counts(canon(spark, sf), "canon", BOARD).withColumn("n_expected", F.col("n_canonical") * len(BOARD.symmetries))
 
 
 @register("image_preview", "Y-5 F-12 F-7",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("catalog", "catalog_splits", "catalog_scoring", "catalog_paths", "catalog_sinks",
-            "catalog_extra", "catalog_training")
+            "catalog_extra", "catalog_training", "catalog_datasets")
 
 
 def _load():
