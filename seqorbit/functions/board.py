@@ -397,6 +397,38 @@ def square_bit(square) -> Column:
     return F.element_at(array_literal(bits, "bigint"), _c(square).cast("int") + 1)
 
 
+# ---- sets of squares for boards of any size: arrays of BIGINT words ----------
+
+WORD = 64
+
+
+def _bits() -> Column:
+    return array_literal(tuple((1 << i) - (1 << 64) if i == 63 else 1 << i for i in range(WORD)), "bigint")
+
+
+def no_squares(board: Board = DEFAULT_BOARD) -> Column:
+    """The empty set of squares."""
+    return F.array_repeat(F.lit(0).cast("long"), -(-board.n_squares // WORD))
+
+
+def with_square(squares, square) -> Column:
+    """``squares`` and ``square`` (a square of the board)."""
+    q = _c(square).cast("int")
+    return F.transform(_c(squares), lambda w, i: F.when(
+        i == F.floor(q / WORD), w.bitwiseOR(F.element_at(_bits(), q % WORD + 1))).otherwise(w))
+
+
+def has_square(squares, square) -> Column:
+    q = _c(square).cast("int")
+    word = F.element_at(_c(squares), F.floor(q / WORD).cast("int") + 1)
+    return word.bitwiseAND(F.element_at(_bits(), q % WORD + 1)) != 0
+
+
+def squares_of(path, board: Board = DEFAULT_BOARD) -> Column:
+    """The set of the squares on a path."""
+    return F.aggregate(_c(path), no_squares(board), with_square)
+
+
 def free_degree(square, visited, board: Board = DEFAULT_BOARD) -> Column:
     """Number of moves from ``square`` to squares not in the ``visited`` bitmask."""
     masks = array_literal(tuple(board.neighbour_masks), "bigint")

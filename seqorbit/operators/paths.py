@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.board import (
-    DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, let, neighbour_lists, onward_moves, square_bit,
+    DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, has_square, let, neighbour_lists, onward_moves, square_bit,
+    squares_of, with_square,
 )
 from ..session import materialize
 
@@ -66,6 +67,35 @@ def count_levels(seeds: DataFrame, levels: int, path: str = "tour",
     return d.select(*keep, F.inline(sizes)).where(F.col("n_paths") > 0)
 
 
+def count_by_states(seeds: DataFrame, levels: int, path: str = "tour", board: Board = DEFAULT_BOARD,
+                    seed_id: str = "tour_id") -> DataFrame:
+    """G-6: ``(seed_id, depth, n_paths)`` as ``count_levels`` gives it, by merging: partial
+    paths that stand on one square and have visited the same squares have the same
+    continuations, so a level holds one row for each (last square, visited squares) with
+    the number of its paths, and seeds in the same state are expanded once.  All levels of a
+    state stay in its partition (one shuffle); a level is a table in the shared folder.
+
+    Seeds are legal paths without repeats on a board of any size."""
+    last = F.try_element_at(path, F.lit(-1)).cast("int")
+    own = seeds.where(F.size(path) > 0).select(F.col(seed_id), last.alias("last"), squares_of(path, board).alias("seen"))
+    start = own.select("last", "seen").distinct().select(F.monotonically_increasing_id().alias("state"), "last", "seen")
+    start = materialize(start, "states-0")
+    level = start.repartition("state").withColumn("n", F.lit(1).cast("long"))
+    counts = None
+    near = neighbour_lists(board)
+    for depth in range(1, levels + 1):
+        free = F.filter(F.element_at(near, F.col("last") + 1), lambda q: ~has_square("seen", q))
+        moved = level.select("state", "seen", "n", F.explode(free).alias("last")).select(
+            "state", "last", with_square("seen", "last").alias("seen"), "n")
+        level = moved.groupBy("state", "last", "seen").agg(F.sum("n").alias("n"))
+        if depth < levels:
+            level = materialize(level, f"states-{depth}")
+        some = level.groupBy("state").agg(F.sum("n").alias("n_paths")).withColumn("depth", F.lit(depth))
+        counts = some if counts is None else counts.unionByName(some)
+    per = own.join(start, ["last", "seen"]).select(seed_id, "state")
+    return per.join(counts, "state").select(seed_id, "depth", "n_paths")
+
+
 def _mask_of(path: Column) -> Column:
     """Bitmask of the squares in ``path`` (boards of at most 64 squares)."""
     return F.aggregate(path, F.lit(0).cast("long"),

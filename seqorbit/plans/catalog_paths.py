@@ -225,3 +225,40 @@ def q_filled_store(spark, sf):
         rows.append((turn, r["n_rows"], total))
     rows = [r for r in rows if r[1]] + [(len(turns), n, total + n) for n in again if n]
     return spark.createDataFrame(rows, "turn int, added long, stored long")
+
+
+# Levels counted from bare start squares, and a board of more than 128 squares.
+DEEP_LEVELS = 7
+BIG = B.Board(12, 12)
+BIG_LEVELS = 5
+
+
+def _from_starts_sql(board: B.Board, levels: int) -> str:
+    """All simple paths from the start squares, one by one, without merging."""
+    return (
+        f"WITH RECURSIVE nb AS (SELECT {_near(board)} AS near), "
+        f"own AS (SELECT o_orderkey AS tour_id, CAST(o_orderkey % {board.n_squares} AS INTEGER) AS start FROM orders), "
+        "walk AS (SELECT start, [start] AS p FROM (SELECT DISTINCT start FROM own) "
+        "UNION ALL SELECT start, list_append(p, q) FROM (SELECT start, p, near[p[len(p)] + 1][k] AS q "
+        f"FROM walk, nb, range(1, {len(board.offsets) + 1}) g(k) WHERE len(p) <= {levels}) WHERE q >= 0 AND NOT list_contains(p, q)), "
+        "per AS (SELECT start, len(p) - 1 AS depth, count(*) AS n_paths FROM walk WHERE len(p) > 1 GROUP BY ALL) "
+        "SELECT tour_id, CAST(depth AS INTEGER) AS depth, n_paths FROM own JOIN per USING (start)")
+
+
+def _from_starts(spark, sf, board: B.Board, levels: int):
+    kind = "tinyint" if board.n_squares <= 128 else "int"
+    o = read_table(spark, sf, "orders", "o_orderkey").select(
+        F.col("o_orderkey").alias("tour_id"), F.array((F.col("o_orderkey") % board.n_squares).cast(kind)).alias("tour"))
+    return P.count_by_states(o, levels, "tour", board)
+
+
+@register("start_continuations", "G-6 G-2 G-1", _from_starts_sql(BOARD, DEEP_LEVELS))
+def q_start_continuations(spark, sf):
+    """Simple paths of 1 to 7 moves from each order's start square, counted by merged states."""
+    return _from_starts(spark, sf, BOARD, DEEP_LEVELS)
+
+
+@register("big_board_continuations", "G-7 G-6 G-2", _from_starts_sql(BIG, BIG_LEVELS))
+def q_big_board_continuations(spark, sf):
+    """The same on a board of 12 x 12 squares."""
+    return _from_starts(spark, sf, BIG, BIG_LEVELS)

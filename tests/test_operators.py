@@ -147,6 +147,21 @@ def test_a_hard_seed_is_split_and_its_answer_stays(spark, monkeypatch):
     assert {r.tour_id: r["count"] for r in got} == {i: n for i, n in every.items() if n}
 
 
+def test_merged_states_count_every_path(spark):
+    for board, seeds, levels in ((B.Board(5, 5), [[0], [12], [0, 7, 10], [0, 7, 10], [24, 17]], 6),
+                                 (B.Board(9, 9), [[0], [80], [40, 51], [63, 44, 61]], 4)):
+        df = spark.createDataFrame(list(enumerate(seeds)) + [(99, [])], "tour_id int, tour array<int>")
+        got = {(r.tour_id, r.depth): r.n_paths for r in P.count_by_states(df, levels, board=board).collect()}
+        want = {}
+        for i, s in enumerate(seeds):
+            level = [s]
+            for d in range(1, levels + 1):
+                level = [[*p, q] for p in level for q in board.neighbours_of(p[-1]) if q not in p]
+                if level:
+                    want[i, d] = len(level)
+        assert got == want
+
+
 def test_bounded_paths_beyond_64_squares(spark):
     board = B.Board(10, 9)
     seeds = spark.createDataFrame([(i, [i]) for i in (0, 44)], "tour_id int, tour array<tinyint>")
