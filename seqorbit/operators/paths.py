@@ -7,8 +7,8 @@ Three forms, by how much state a seed needs:
   unvisited next squares (no join: the board is arithmetic).
 * ``warnsdorff_complete`` (G-3): one path per seed, extended square by square
   with the fewest-onward-moves rule and a seeded hash tie-break.  The whole
-  walk is a per-row ``aggregate`` over a bitmask state, so seeds never leave
-  their partition: no shuffle at all, linear in the number of seeds.
+  walk is a per-row ``aggregate`` over a set of squares, so seeds never leave
+  their partition: no shuffle at all, linear in the number of seeds; any board.
 * ``bounded_paths`` (G-4/G-5): the first ``per_seed`` full tours of every seed
   in degree order, by backtracking in rounds.  A round gives each open seed a
   budget of moves; what is not finished goes on in the next round from the
@@ -96,22 +96,34 @@ def count_by_states(seeds: DataFrame, levels: int, path: str = "tour", board: Bo
     return per.join(counts, "state").select(seed_id, "depth", "n_paths")
 
 
-def _mask_of(path: Column) -> Column:
-    """Bitmask of the squares in ``path`` (boards of at most 64 squares)."""
-    return F.aggregate(path, F.lit(0).cast("long"),
-                       lambda acc, p: acc.bitwiseOR(square_bit(p)))
+class _Visited:
+    """Sets of visited squares: one BIGINT up to 64 squares, an array of words beyond."""
 
+    def __init__(self, board: Board):
+        self.board, self.small, self.near = board, board.n_squares <= 64, neighbour_lists(board)
 
-def _candidates(last: Column, visited: Column, board: Board) -> Column:
-    """Next squares from ``last`` not in ``visited`` as (degree, square) structs,
-    degree = unvisited onward moves from the candidate (Warnsdorff's rule)."""
-    masks = array_literal(tuple(board.neighbour_masks), "bigint")
-    raw = F.element_at(neighbour_lists(board), last + 1)
-    free = F.filter(raw, lambda q: visited.bitwiseAND(square_bit(q)) == 0)
-    return F.transform(free, lambda q: F.struct(
-        F.bit_count(F.element_at(masks, q + 1).bitwiseAND(F.bitwise_not(visited.bitwiseOR(
-            square_bit(q))))).alias("deg"),
-        q.alias("q")))
+    def of(self, path: Column) -> Column:
+        if not self.small:
+            return squares_of(path, self.board)
+        return F.aggregate(path, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(square_bit(p)))
+
+    def add(self, visited: Column, q: Column) -> Column:
+        return visited.bitwiseOR(square_bit(q)) if self.small else with_square(visited, q)
+
+    def free(self, visited: Column, last: Column) -> Column:
+        has = (lambda q: visited.bitwiseAND(square_bit(q)) != 0) if self.small else (lambda q: has_square(visited, q))
+        return F.filter(F.element_at(self.near, last + 1), lambda q: ~has(q))
+
+    def candidates(self, last: Column, visited: Column) -> Column:
+        """Next squares from ``last`` not in ``visited`` as (degree, square) structs,
+        degree = unvisited onward moves from the candidate (Warnsdorff's rule)."""
+        if self.small:
+            masks = array_literal(tuple(self.board.neighbour_masks), "bigint")
+            degree = lambda q: F.bit_count(F.element_at(masks, q + 1).bitwiseAND(
+                F.bitwise_not(visited.bitwiseOR(square_bit(q)))))
+        else:  # a candidate is no neighbour of itself
+            degree = lambda q: F.size(self.free(visited, q))
+        return F.transform(self.free(visited, last), lambda q: F.struct(degree(q).alias("deg"), q.alias("q")))
 
 
 def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
@@ -123,14 +135,15 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
     as the reference drops such dead ends.
 
     Output: ``(keep…, path, complete)``."""
-    n = board.n_squares
+    n, seen = board.n_squares, _Visited(board)
+    square = "tinyint" if n <= 128 else "int"
     key = F.col(keep[0]) if keep else F.lit(0)
-    start = F.col(path).cast(TOUR_TYPE)
-    init = F.struct(start.alias("p"), _mask_of(start).alias("v"), F.lit(False).alias("stuck"))
+    start = F.col(path).cast(f"array<{square}>")
+    init = F.struct(start.alias("p"), seen.of(start).alias("v"), F.lit(False).alias("stuck"))
 
     def step(acc, _i):
         last = F.element_at(acc["p"], -1).cast("int")
-        ranked = F.transform(_candidates(last, acc["v"], board), lambda x: F.struct(
+        ranked = F.transform(seen.candidates(last, acc["v"]), lambda x: F.struct(
             x["deg"].alias("deg"), F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.size(acc["p"]).cast("string"),
                                                      x["q"].cast("string"))).alias("h"), x["q"].alias("q")))
         done = acc["stuck"] | (F.size(acc["p"]) >= n)
@@ -138,8 +151,8 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
 
         def advance(best):
             return F.struct(
-                F.concat(acc["p"], F.array(best["q"].cast("tinyint"))).alias("p"),
-                acc["v"].bitwiseOR(square_bit(best["q"])).alias("v"),
+                F.concat(acc["p"], F.array(best["q"].cast(square))).alias("p"),
+                seen.add(acc["v"], best["q"]).alias("v"),
                 F.lit(False).alias("stuck"))
         # candidates and the chosen move are each evaluated once (``let``)
         return F.when(done, acc).otherwise(let(ranked, lambda rk: F.when(

@@ -262,3 +262,30 @@ def q_start_continuations(spark, sf):
 def q_big_board_continuations(spark, sf):
     """The same on a board of 12 x 12 squares."""
     return _from_starts(spark, sf, BIG, BIG_LEVELS)
+
+
+# A rectangular board of more than 64 squares.
+RECT = B.Board(9, 8)
+
+
+def _rect_walks_sql(board: B.Board) -> str:
+    best = ("list_min(list_transform(" + _FREE.format("p", "p", "p") + ", lambda q: " + _DEGREE.format(q="q", p="p") + " || "
+            + _MD5.format(q="q", p="p") + f" || lpad(CAST(q AS VARCHAR), {board.key_width}, '0')))")
+    return (
+        f"WITH RECURSIVE nb AS (SELECT {_near(board)} AS near), "
+        f"walk AS (SELECT s_suppkey * {board.n_squares} + q AS tour_id, [CAST(q AS INTEGER)] AS p FROM supplier, range({board.n_squares}) s(q) "
+        f"UNION ALL SELECT tour_id, list_append(p, CAST(right(best, {board.key_width}) AS INTEGER)) FROM ("
+        f"SELECT tour_id, p, {best} AS best FROM walk, nb WHERE len(p) < {board.n_squares}) WHERE best IS NOT NULL), "
+        "ends AS (SELECT tour_id, max_by(p, len(p)) AS p FROM walk GROUP BY tour_id) "
+        f"SELECT tour_id, len(p) = {board.n_squares} AS complete, {Q.key('p', board)} AS path_key, {Q.canon_key('p', board)} AS canon_key, "
+        f"{Q.legal('p', board)} AND {Q.unique('p')} AS valid FROM ends")
+
+
+@register("rect_walks", "G-7 G-3 G-1 Y-1 Y-2 Y-3", _rect_walks_sql(RECT))
+def q_rect_walks(spark, sf):
+    """One fewest-onward-moves walk from each of the 72 squares of a 9 x 8 board for each
+    supplier, with its canonical form among the four images of a rectangle."""
+    seeds = P.start_seeds(suppliers(spark, sf), None, RECT).withColumn("tour_id", F.col("s_suppkey") * RECT.n_squares + F.col("start"))
+    out = B.with_canonical(P.warnsdorff_complete(seeds, "tour", 42, RECT), "path", board=RECT)
+    return out.select("tour_id", "complete", B.tour_key("path", RECT).alias("path_key"), B.tour_key("canon", RECT).alias("canon_key"),
+                      B.is_valid_tour("path", RECT).alias("valid"))
