@@ -123,8 +123,9 @@ class VersionedStore:
         digits = self._digits(n)
         parts = max(1, math.ceil(n / (16 * self.bucket_rows)))
         placed = rows.withColumn("bucket", self._bucket(digits))
-        (placed.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("bucket", "key").write.mode("overwrite")
-               .partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/data/{name}"))
+        # one task for as few rows as 16 buckets hold, else ranges of keys
+        placed = placed.coalesce(1) if parts == 1 else placed.repartitionByRange(parts, "bucket", "key")
+        (placed.sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/data/{name}"))
         return digits
 
     # -- writing -------------------------------------------------------------

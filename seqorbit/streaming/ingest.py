@@ -42,16 +42,17 @@ def ingest_batch(batch: DataFrame, batch_id: int, store: VersionedStore, late_af
     Returns the rows added."""
     if batch_id in store.batches():
         return 0
-    high, n_late = store.high_mark(), 0
+    high = store.high_mark()
     rows = materialize(batch.select("key", "tour_id", "source", "tour", "ts", "canon_key"), "ingest-batch")
-    newest = rows.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    ts = F.col("ts").cast("timestamp")
+    on_time = F.lit(True)
     if late_after and high is not None:
-        on_time = F.col("ts").cast("timestamp") >= F.lit(high) - F.expr(f"INTERVAL {late_after}")
-        late = rows.where(~F.coalesce(on_time, F.lit(True)))
+        on_time = F.coalesce(ts >= F.lit(high) - F.expr(f"INTERVAL {late_after}"), F.lit(True))
+    newest, n_late = rows.agg(F.max(ts), F.count_if(~on_time)).first()
+    if n_late:
         # one folder for each batch, so a second try overwrites the first
-        late.write.mode("overwrite").parquet(f"{store.path}/late/batch={batch_id}")
-        n_late = late.count()
-        rows = rows.where(F.coalesce(on_time, F.lit(True)))
+        rows.where(~on_time).write.mode("overwrite").parquet(f"{store.path}/late/batch={batch_id}")
+        rows = rows.where(on_time)
     high = max(x for x in (high, newest) if x is not None) if (high or newest) else None
     n = store.add_new(rows, f"batch-{batch_id}", batch_id=batch_id, n_late=n_late, high=high)
     store.compact()
