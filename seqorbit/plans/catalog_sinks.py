@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..session import stage_path
 from ..sources import parquet as PQ
-from ..streaming.ingest import late_rows, run_unique_ingest, stored_tours
+from ..streaming.ingest import run_unique_ingest
+from ..streaming.store_ingest import late_rows, run_store_ingest, stored_tours
 from . import sqltext as Q
 from .catalog import BOARD, N, PRE, canon, register
 from .catalog_splits import HOLD, _nested_sql, event_tours, parts, NESTED, SEED
@@ -59,7 +60,8 @@ def q_manifest(spark, sf):
           f" SELECT DISTINCT {Q.canon_key('tour')} AS canon_key FROM et "
           f"WHERE {Q.legal('tour')} AND {Q.unique('tour')}")
 def q_stream_unique_ingest(spark, sf):
-    return stored_tours(run_unique_ingest(spark, event_tours(spark, sf), n_files=4, board=BOARD)).select("canon_key")
+    store = run_unique_ingest(spark, event_tours(spark, sf), n_files=4, board=BOARD)
+    return store.select("canon_key")
 
 
 # How far behind the newest event a row is late, and rows of a bucket here.
@@ -75,7 +77,7 @@ def q_stream_store_tours(spark, sf):
     """Stored and late rows of a stream: each canonical key once, with a tour that arrived
     and whose canonical form it is; nothing is lost to lateness."""
     arrived = event_tours(spark, sf)
-    store = run_unique_ingest(spark, arrived, n_files=6, board=BOARD, late_after=LATE_AFTER, bucket_rows=SMALL_BUCKET)
+    store = run_store_ingest(spark, arrived, n_files=6, board=BOARD, late_after=LATE_AFTER, bucket_rows=SMALL_BUCKET)
     late = late_rows(store).select("key", "tour_id", "source", "tour", "ts", "canon_key")
     # what came late is added in the end, as a commit of its own
     store.add_new(late, "late", "late")

@@ -72,9 +72,9 @@ class VersionedStore:
         one.write.mode("overwrite").parquet(f"{self.path}/log/commit={n}")
         self._log.append(row)
 
-    def batches(self) -> set[int]:
-        """Batches that were committed."""
-        return {r["batch_id"] for r in self.log() if r["batch_id"] is not None}
+    def names(self) -> set[str]:
+        """The names of all commits."""
+        return {r["name"] for r in self.log()}
 
     def high_mark(self):
         """The latest event time that a commit has seen."""
@@ -133,8 +133,8 @@ class VersionedStore:
     def add_new(self, rows: DataFrame, name: str, kind: str = "append", limit: int | None = None, batch_id: int | None = None,
                 **facts) -> int:
         """Appends the rows whose key is not stored, one for each key (the least row), at most
-        ``limit`` of them by key; returns how many.  A batch that is committed already adds nothing."""
-        if batch_id is not None and batch_id in self.batches():
+        ``limit`` of them by key; returns how many.  A ``name`` that is committed already adds nothing."""
+        if name in self.names():
             return 0
         others = [c for c in rows.columns if c != "key"]
         one = rows.groupBy("key").agg(F.min(F.struct(*others)).alias("row")).select("key", "row.*")

@@ -6,7 +6,7 @@ from seqorbit.functions import board as B
 from seqorbit.operators.generate import fill_to_quota
 from seqorbit.session import stage_path
 from seqorbit.sources.store import VersionedStore, key_of
-from seqorbit.streaming import ingest as I
+from seqorbit.streaming import store_ingest as I
 
 
 def numbered(spark, a, b):
@@ -83,5 +83,8 @@ def test_late_rows_are_set_aside_and_batches_are_idempotent(spark):
     assert [r["tour_id"] for r in I.late_rows(store).collect()] == [4]
     assert {r["tour_id"] for r in I.stored_tours(store).collect()} == {1, 2, 5, 6}
     assert I.ingest_batch(batch(), 2, store, "1 DAY") == 0
+    # another stream counts its batches anew; 8 is stored, 7 is so far only among the late rows
+    assert I.ingest_batch(batch((7, "c", t[1], "2024-01-05 00:00:00"), (8, "c", t[0], "2024-01-05 00:00:00")), 0, store, None, "other") == 1
+    assert len(store.log()) >= 4 and "other-0" in store.names()
     empty = VersionedStore(spark, stage_path(spark, "test-store"))
     assert I.stored_tours(empty).count() == 0 and I.late_rows(empty).count() == 0
