@@ -8,7 +8,7 @@ Words are ordered by rarity: corpus counts of at most ``FREQUENT`` most frequent
 (broadcast, a fixed bound), all other words before them by hash.  Two similar lines
 share a word among the first n - ceil(t n) + 1 of either, so only these prefix words
 are posted; words that occur once in the corpus are left out by a Bloom filter of
-fixed size.  Lines that share a posted word pass length, positional and bitmap
+fixed size.  Lines that share a posted word pass length, positional and parity sketch
 filters.  Each line first verifies its ``FIRST`` earliest partners; only lines that had
 more partners and are not yet decided verify all of them in a second round.
 Verification is on the full word sets.
@@ -18,7 +18,7 @@ bands of line length as well, so no word gathers all lines.
 
 Defined results: null text stays null, lines without words are kept and match
 nothing; a text whose lines all go becomes empty; rows that repeat an id and a text
-are one document; rows that share an id but not the text compare by line number; a
+(by a 64-bit hash) are one document; rows that share an id but not the text compare by line number; a
 null id comes before all ids; an empty table gives an empty result; other columns are
 ignored."""
 
@@ -44,9 +44,6 @@ BLOOM_CHUNK = 1 << 15
 SHARES = 64
 FIRST = 3
 TILE = 512
-#: 64-bit words of a line's bitmap; a power of two.
-BITMAPS = 4
-BITS = [f"b{k}" for k in range(BITMAPS)]
 #: Groups of up to this many lines are filtered together with others of their size.
 SMALL = 24
 
@@ -124,8 +121,10 @@ class Rarity:
 
 
 def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
-    """Lines with words of ``texts``: (text, line number, set key, size, bitmap, posting offsets,
-    posted words, their positions, their counts)."""
+    """Lines with words of ``texts``: (text, line number, set key, size, sketch, posted words,
+    those of them that are not frequent, the words and their positions).  Bit k of a sketch
+    is the parity of the line's words with hash k, so the sketches of two lines differ in no
+    more bits than the lines in words."""
     h, at, starts, _ = hasher.words(texts, lower=True)
     data = b"\n".join(b"" if t is None else t for t in texts) + b"\n"
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -144,23 +143,21 @@ def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
     head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     n = np.diff(np.append(head, len(h)))
     key = mix64(np.add.reduceat(mix64(h + np.uint64(0x5851F42D4C957F2D)), head) + n.astype(np.uint64))
-    bit, part = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(BITMAPS - 1)
-    bitmap = [np.bitwise_or.reduceat(np.where(part == k, bit, np.uint64(0)), head) for k in range(BITMAPS)]
+    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), head)
     pos = np.arange(len(h)) - np.repeat(head, n)
     prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     post = (pos < np.repeat(prefix, n)) & rarity.repeats(h)
-    offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(post.astype(np.int64), head))])
+    posted, rare = (np.add.reduceat(x.astype(np.int64), head) for x in (post, post & (c == 0)))
     text = np.searchsorted(first_line, line[head], side="right") - 1
-    return text, line[head] - first_line[text], key, n, bitmap, offsets, h[post], pos[post], c[post]
+    return text, line[head] - first_line[text], key, n, sketch, posted, rare, h[post], pos[post]
 
 
-_LINES = ("lid long, did long, tag long, line int, n int, later boolean, word array<long>, pos array<int>, c array<long>, "
-          + ", ".join(f"{b} long" for b in BITS))
+_LINES = "lid long, did long, tag long, line int, n int, later boolean, rare int, sketch long, word array<long>, pos array<int>"
 
 
 def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
     """One row per line with words.  ``later``: an equal set stands earlier in the same
-    batch; only the others carry posted words."""
+    batch; only the others carry posted words, by position (the first ``rare`` are not frequent)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, r = Hasher(), rarity.value
         for b in batches:
@@ -169,7 +166,7 @@ def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
                 got = _line_sets(hasher, texts[i:j], r, threshold)
                 if got is None:
                     continue
-                text, line, key, n, bits, offsets, word, pos, c = got
+                text, line, key, n, sketch, posted, rare, word, pos = got
                 did = b.column(0).to_numpy()[i:j][text]
                 perm = np.lexsort((line, did, key))
                 k, d, ln = key[perm], did[perm], line[perm]
@@ -177,27 +174,71 @@ def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
                 head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
                 later = np.zeros(len(k), bool)
                 later[perm] = (d != d[head]) | (ln != ln[head])
-                off = pa.array(offsets.astype(np.int32))
-                lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (signed(word), pos.astype(np.int32), c)]
+                keep = np.repeat(~later, posted)
+                off = pa.array(np.concatenate([[0], np.cumsum(np.where(later, 0, posted))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(off, pa.array(x[keep])) for x in (signed(word), pos.astype(np.int32))]
                 yield pa.record_batch([pa.array(signed(key)), pa.array(did), b.column(1).slice(i, j - i).take(pa.array(text)),
-                                       pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(later), *lists,
-                                       *[pa.array(signed(x)) for x in bits]],
-                                      names=["lid", "did", "tag", "line", "n", "later", "word", "pos", "c", *BITS])
+                                       pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(later),
+                                       pa.array(rare.astype(np.int32)), pa.array(signed(sketch)), *lists],
+                                      names=["lid", "did", "tag", "line", "n", "later", "rare", "sketch", "word", "pos"])
 
     return src.select("did", "tag", "text").mapInArrow(run, _LINES)
 
 
+def _first_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each lid (rows sorted by lid)."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lid = b.column(0).to_numpy()
+        new = np.concatenate([[lid[0] != last], lid[1:] != lid[:-1]])
+        last = lid[-1]
+        yield b.take(pa.array(np.flatnonzero(new)))
+
+
+def first_lines(heads: DataFrame) -> DataFrame:
+    """The earliest line of each set."""
+    cols = ["lid", "did", "line", "tag", "n", "rare", "sketch", "word", "pos"]
+    kinds = dict(heads.dtypes)
+    return heads.select(*cols).repartition("lid").sortWithinPartitions("lid", "did", "line", "tag").mapInArrow(
+        _first_rows, ", ".join(f"{c} {kinds[c]}" for c in cols))
+
+
+#: ``size`` holds the line number and, in its low half, the line's words; ``at`` the position and ``home``.
+_POSTED = "key long, lid long, did long, size long, at long, sketch long"
+
+
 def postings(first: DataFrame, threshold: float) -> DataFrame:
-    """``(key, lid, did, line, n, pos, home)`` and the bitmap; a frequent word's key holds a band of line
-    lengths, and lines of the next band visit it (home false)."""
-    z = F.arrays_zip("word", "pos", "c")
-    each = first.select("lid", "did", "line", "n", *BITS, F.explode(z).alias("z")).select(
-        "lid", "did", "line", "n", *BITS, F.col("z.word").alias("word"), F.col("z.pos").alias("pos"), F.col("z.c").alias("c"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0 / threshold)).cast("int")
-    rare = each.where("c = 0").withColumn("key", F.col("word")).withColumn("home", F.lit(True))
-    often = each.where("c > 0").withColumn("band", F.explode(F.array(band, band - 1)))
-    often = often.withColumn("key", F.xxhash64("word", "band")).withColumn("home", F.col("band") == band).drop("band")
-    return rare.unionByName(often).select("key", "lid", "did", "line", "n", "pos", "home", *BITS)
+    """One row for each posted word.  A frequent word's key holds a band of line lengths, and
+    lines of the next band visit it (home false).  A column ``open`` of ``first`` passes through."""
+    extra = [c for c in first.columns if c == "open"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            posted = np.diff(b.column(6).offsets.to_numpy())
+            word, pos = (b.column(i).flatten().to_numpy() for i in (6, 7))
+            n, rare = b.column(3).to_numpy().astype(np.int64), b.column(4).to_numpy()
+            size = (b.column(2).to_numpy().astype(np.int64) << 32) | n
+            row = np.repeat(np.arange(b.num_rows), posted)
+            often = np.arange(len(row)) - np.repeat(np.cumsum(posted) - posted, posted) >= rare[row]
+            band = np.floor(np.log(n) / math.log(1.0 / threshold)).astype(np.int64)[row]
+            key, h = word.view(np.uint64).copy(), word.view(np.uint64)
+            salt = (2 * band + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            visit = mix64(h[often] + (2 * band[often] - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            key[often] = mix64(h[often] + salt[often])
+            key = np.concatenate([key, visit])
+            row = np.concatenate([row, row[often]])
+            at = np.concatenate([2 * pos.astype(np.int64) + 1, 2 * pos[often].astype(np.int64)])
+            back = np.argsort(row, kind="stable")
+            key, row, at = key[back], row[back], at[back]
+            take = pa.array(row)
+            yield pa.record_batch([pa.array(signed(key)), b.column(0).take(take), b.column(1).take(take), pa.array(size[row]),
+                                   pa.array(at), b.column(5).take(take), *[c.take(take) for c in b.columns[8:]]],
+                                  names=["key", "lid", "did", "size", "at", "sketch", *extra])
+
+    return first.select("lid", "did", "line", "n", "rare", "sketch", "word", "pos", *extra).mapInArrow(
+        run, _POSTED + "".join(f", {c} boolean" for c in extra))
 
 
 class _Filter:
@@ -205,8 +246,9 @@ class _Filter:
 
     def __init__(self, t: pa.Table, threshold: float):
         self.t = threshold
-        self.lid, self.did, self.line, self.n, self.pos, self.home = (t.column(i).to_numpy() for i in range(1, 7))
-        self.bits = [t.column(7 + k).to_numpy().view(np.uint64) for k in range(BITMAPS)]
+        self.lid, self.did, size, at, sketch = (t.column(i).to_numpy() for i in range(1, 6))
+        self.line, self.n = size >> 32, size & 0xFFFFFFFF
+        self.pos, self.home, self.sketch = at >> 1, at & 1 == 1, sketch.view(np.uint64)
 
     def passed(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
         """For row numbers that broadcast against each other."""
@@ -219,7 +261,7 @@ class _Filter:
         ok &= (self.did[e] < self.did[a]) | ((self.did[e] == self.did[a]) & (self.line[e] < self.line[a]))
         at = np.nonzero(ok)
         x, y = np.broadcast_to(a, ok.shape)[at], np.broadcast_to(e, ok.shape)[at]
-        apart = sum(np.bitwise_count(b[x] ^ b[y]).astype(np.int64) for b in self.bits)
+        apart = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).astype(np.int64)
         ok[at] = n[x] + n[y] - apart >= 2 * need[at]
         return ok
 
@@ -232,7 +274,7 @@ def _partners(threshold: float, keep: int | None):
     def run(batches):
         for t, cuts in _runs(batches, 0):
             f = _Filter(t, threshold)
-            undecided = t.column(7 + BITMAPS).to_numpy() if keep is None else None
+            undecided = t.column(6).to_numpy() if keep is None else None
             later, earlier, more = [], [], []
 
             def found(ok, a, e, have):
@@ -335,29 +377,29 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-                      F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("tag"), text.alias("text"),
+                      F.xxhash64(text).alias("tag"), text.alias("text"),
                       *[F.col(c).alias(f"x_{c}") for c in extra])
     spark = docs.sparkSession
     rarity = spark.sparkContext.broadcast(Rarity(stage(word_counts(src), "line-counts")))
     lines = stage(line_table(src, rarity, threshold), "line-table")
     heads = lines.where("NOT later")
-    first = stage(heads.groupBy("lid").agg(F.min(F.struct("did", "line", "tag", "n", "word", "pos", "c", *BITS)).alias("f"))
-                  .select("lid", "f.*"), "line-first")
-    posted = postings(first.where(F.size("word") > 0), threshold)
+    first = stage(first_lines(heads), "line-first")
+    holders = first.where(F.size("word") > 0)
     pair_type = "later long, earlier long, more boolean"
-    found = stage(posted.repartition("key").sortWithinPartitions("key", "did", "line").mapInArrow(
-        _partners(threshold, FIRST), pair_type).distinct(), "line-pairs")
+
+    def partners(posted: DataFrame, keep: int | None) -> DataFrame:
+        return posted.repartition("key").sortWithinPartitions("key", "did", "size").mapInArrow(_partners(threshold, keep), pair_type)
+
+    found = stage(partners(postings(holders, threshold), FIRST).distinct(), "line-pairs")
     matched = verified(found.where("NOT more").select("later", "earlier"), first, src, threshold, "1")
     rest = stage(found.where("more").select(F.col("later").alias("lid")).distinct()
                  .join(matched, "lid", "left_anti"), "line-open")
     if not rest.isEmpty():
-        keys = posted.join(rest, "lid", "left_semi").select("key").distinct()
-        again = posted.join(stage(keys, "line-keys"), "key", "left_semi").join(
-            rest.withColumn("open", F.lit(True)), "lid", "left").select(
-            "key", "lid", "did", "line", "n", "pos", "home", *BITS, F.coalesce("open", F.lit(False)).alias("open"))
-        all_pairs = stage(again.repartition("key").sortWithinPartitions("key", "did", "line").mapInArrow(
-            _partners(threshold, None), pair_type).select("later", "earlier").distinct()
-            .join(found.where("NOT more"), ["later", "earlier"], "left_anti"), "line-pairs2")
+        keys = stage(postings(holders.join(rest, "lid", "left_semi"), threshold).select("key").distinct(), "line-keys")
+        marked = holders.join(rest.withColumn("open", F.lit(True)), "lid", "left").withColumn("open", F.col("open").isNotNull())
+        again = postings(marked, threshold).join(keys, "key", "left_semi")
+        all_pairs = stage(partners(again, None).select("later", "earlier").distinct()
+                          .join(found.where("NOT more"), ["later", "earlier"], "left_anti"), "line-pairs2")
         matched = matched.union(verified(all_pairs, first, src, threshold, "2"))
     decided = stage(first.select("lid", F.col("did").alias("fd"), F.col("line").alias("fl"))
                     .join(matched.withColumn("hit", F.lit(True)), "lid", "left"), "line-decided")
