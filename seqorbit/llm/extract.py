@@ -8,7 +8,10 @@ body's unlinked characters.  Every remaining node gets a density,
 its characters per tag weighed down by the share of linked characters and tags;
 a node's score is the sum of its children's densities.  The node with the largest
 score is the core; the least density on the path from body to it is the threshold
-that siblings along this path must reach to be kept beside it.  Text that stands
+that siblings along this path must reach to be kept beside it, or they hold a good share
+of as much text as the core and are about as dense.  Headings that directly precede a kept
+block stay.  Inside an article or main, the outermost is kept, with others of the page that
+resemble it.  Text that stands
 directly in a node of the path, with the inline elements around it, counts as a sibling
 of its own.
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,10 +56,15 @@ NOISE = frozenset("""ad ads adv advert adverts advertisement advertising adsense
 PART = frozenset("area block body box container content form inner item links list main post posts section thread wrap wrapper".split())
 #: Share of the body's unlinked characters above which such a name is no noise: of a part, of another name.
 PART_SHARE, NAME_SHARE = 0.9, 0.3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the core's unlinked text, and of its text per tag, that makes a block beside it part of the
+#: main text, and the share of linked text it may have.
+CORE_SHARE, MAX_LINKED = 0.5, 0.2
 KEPT = frozenset("html body article main".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)|<[!?/][^>]*(?:>|\Z)", re.S)
+_TAG_EVENT = re.compile(r"[>\"']")
 _OPEN_TAG = re.compile(r"<[a-zA-Z][^<]*\Z", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -123,16 +132,64 @@ def _judge_names(root: Node) -> None:
             n.noise = not (body.tags and n.tags == body.tags) and n.chars <= n.limit * body.chars
 
 
+class _Tags:
+    """Finds a page's tags from left to right, in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.event = -1  # first quote or > at or after the last place asked for
+        self.broken: set[int] = set()  # quotes and > from which no tag ends
+
+    def _next_event(self, at: int) -> int:
+        if self.event < at:
+            m = _TAG_EVENT.search(self.page, at)
+            self.event = m.start() if m else len(self.page)
+        return self.event
+
+    def _close(self, at: int) -> int:
+        """Where the > of the tag stands whose attributes begin at ``at``; -1: nowhere."""
+        page, seen, event = self.page, [], self._next_event(at)
+        while event < len(page) and event not in self.broken:
+            if page[event] == ">":
+                return event
+            seen.append(event)
+            other = page.find(page[event], event + 1)
+            m = _TAG_EVENT.search(page, other + 1) if other >= 0 else None
+            event = m.start() if m else len(page)
+        self.broken.update(seen)
+        return -1
+
+    def next(self, pos: int):
+        """``(start, end, is end tag, name, attributes)`` of the next markup; an empty name for comments and the like."""
+        at = pos
+        while m := _MARKUP.search(self.page, at):
+            if not m[2]:
+                return m.start(), m.end(), False, "", ""
+            close = self._close(m.end())
+            if close >= 0:
+                return m.start(), close + 1, bool(m[1]), m[2].lower(), self.page[m.end():close]
+            if m[1]:  # an end tag with a broken quote goes as far as the next >
+                return m.start(), self.page.find(">", m.end()) + 1 or len(self.page), False, "", ""
+            at = m.start() + 1
+        return None
+
+
 def parse(page: str) -> Node:
     """The page's tree; noise subtrees are marked, raw text elements have no text."""
     root = Node("#root", None)
     stack, pos, end = [root], 0, len(page)
     articles, named = 0, False
+    places: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+    tags = _Tags(page)
+
+    def last(tag):
+        return places[tag][-1] if places.get(tag) else 0
 
     def pop_to(depth):
         nonlocal articles
         for n in stack[depth:]:
             articles -= n.tag in ("article", "main")
+            places[n.tag].pop()
         del stack[depth:]
 
     def text(upto):
@@ -140,45 +197,40 @@ def parse(page: str) -> Node:
             stack[-1].children.append(_html.unescape(page[pos:upto]))
 
     while pos < end:
-        m = _TAG.search(page, pos)
-        if not m:
+        found = tags.next(pos)
+        if not found:
             cut = _OPEN_TAG.search(page, pos)  # a tag that the page's end cuts off
             text(cut.start() if cut else end)
             break
-        text(m.start())
-        pos = m.end()
-        tag = (m[2] or "").lower()
+        start, after, is_end, tag, attrs = found
+        text(start)
+        pos = after
         if not tag:
             continue
-        if m[1]:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at:
+        if is_end:
+            if at := last(tag):
                 pop_to(at)
             continue
-        if tag in CLOSES_P:
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if at:
-                pop_to(at)
+        if tag in CLOSES_P and (at := last("p")):
+            pop_to(at)
         if tag in ENDED_BY:
-            stop = SIBLINGS[tag].split()
-            at = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in ENDED_BY[tag]:
-                    at = i
-            if at:
-                pop_to(at)
-        node = Node(tag, stack[-1], _is_noise(tag, m[3], articles > 0))
+            stop = max(last(x) for x in SIBLINGS[tag].split())
+            ended = [places[x][k] for x in ENDED_BY[tag] if places.get(x)
+                     and (k := bisect_right(places[x], stop)) < len(places[x])]
+            if ended:
+                pop_to(min(ended))
+        node = Node(tag, stack[-1], _is_noise(tag, attrs, articles > 0))
         stack[-1].children.append(node)
-        if not node.noise and m[3].strip():
-            node.limit = _name_limit(m[3])
+        if not node.noise and attrs.strip():
+            node.limit = _name_limit(attrs)
             named = named or node.limit is not None
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, pos)
+            pos = page.find(">", close.end()) + 1 if close else 0
+            pos = pos or end
             node.noise = True
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attrs.endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
             articles += tag in ("article", "main")
     if named:
@@ -259,6 +311,26 @@ def _with_runs(n: Node, on_path: set, ratio: float) -> list[Node]:
     return out
 
 
+def _resembles(n: Node, core: Node) -> bool:
+    """A block beside the core that holds a good share of as much text, hardly linked, about as dense."""
+    plain, other = n.chars - n.link_chars, core.chars - core.link_chars
+    return (plain >= CORE_SHARE * other and n.link_chars <= MAX_LINKED * n.chars
+            and plain * (core.tags + 1) >= CORE_SHARE * other * (n.tags + 1))
+
+
+def _articles(inside: list[Node], core: Node) -> list[Node]:
+    """The outermost articles and mains that are, like the core's, no excerpts; page order."""
+    out, todo = [], [inside[0]]
+    while todo:
+        n = todo.pop()
+        if n is core or n.tag in ("article", "main") and n.limit is None:
+            if n is core or _resembles(n, core):
+                out.append(n)
+            continue
+        todo.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.noise)
+    return out
+
+
 def main_nodes(root: Node) -> list[Node] | None:
     """The kept subtrees' roots in page order."""
     nodes = _clean_nodes(root)
@@ -276,20 +348,27 @@ def main_nodes(root: Node) -> list[Node] | None:
         n = n.parent
     marked = [n for n in path if n.tag in ("article", "main")]
     if marked:
-        return [marked[-1]]
+        return _articles(inside, marked[-1])
     threshold = min(n.density for n in path)
     on_path, keep = set(map(id, path)), []
 
     if core is body:
         return [body]
-    todo = [body]
+    todo, heading = [body], []
     while todo:  # page order: a node on the path is replaced by its children
         n = todo.pop()
         if n is core or id(n) not in on_path:
-            if n is core or n.density >= threshold and n.chars > 2 * n.link_chars:
+            if n is core or n.chars > 2 * n.link_chars and (n.density >= threshold or _resembles(n, core)):
+                keep.extend(heading)
                 keep.append(n)
+                heading = []
+            elif n.tag in HEADINGS and n.chars > 2 * n.link_chars:
+                heading.append(n)  # kept if what follows it is
+                continue
             elif n.tag == "#text":  # not kept as a whole: its elements by themselves
                 todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
+            if n.chars:
+                heading = []
             continue
         todo.extend(reversed(_with_runs(n, on_path, ratio)))
     return keep

@@ -15,7 +15,9 @@ template confirms counts as a block and leaves the best-ranked template as
 from __future__ import annotations
 
 import difflib
+import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -154,33 +156,52 @@ class Scanner:
             i, j = o.a + o.size, o.b + o.size
         return missing + template[i:], foreign, (ops[0].b, j)
 
-    def find(self, template: list[str], own: list[str], where: dict[str, list[int]]):
-        """``(differences, start, end)`` of the best stand of the template in the block.
+    def _judge(self, template: list[str], own: list[str], low: int, high: int, allowed: int):
+        """``(differences, start, end)`` of the template in ``own[low:high]``, None beyond ``allowed``."""
+        missing, foreign, (i, j) = self.differences(template, own[low:high])
+        if len(missing) > allowed or len(foreign) > allowed or any(map(_tells, missing + foreign)):
+            return None
+        return len(missing) + len(foreign), low + i, low + j
+
+    def take_all(self, template: list[str], own: list[str], where: dict[str, list[int]]):
+        """Every stand of the template, best first (fewest differences, then earliest), each on
+        words of its own, which become ``TAKEN``.
         A match with ``allowed`` missing and foreign words has one of 2 * allowed + 1
-        pieces unbroken, so only the surroundings of such pieces are compared."""
+        pieces unbroken, so only the surroundings of such pieces are compared; a stand is
+        compared again only when words of its surroundings were taken."""
         size = len(template)
         allowed = size // WORDS_PER_DIFFERENCE
         cuts = [size * k // (2 * allowed + 1) for k in range(2 * allowed + 2)]
-        best, seen = None, set()
+        stands: dict[tuple[int, int], list[tuple[int, int, int]]] = {}  # surroundings -> unbroken pieces
         for x, y in zip(cuts[:-1], cuts[1:]):
             piece = template[x:y]
             k = min(range(len(piece)), key=lambda k: len(where.get(piece[k], ())))  # the rarest word
             for at in where.get(piece[k], ()):
                 at -= k
-                if at < 0 or own[at:at + len(piece)] != piece:
-                    continue
-                low = max(at - x - allowed, 0)
-                high = at + size - x + allowed
-                if (low, high) in seen:
-                    continue
-                seen.add((low, high))
-                missing, foreign, (i, j) = self.differences(template, own[low:high])
-                if len(missing) > allowed or len(foreign) > allowed or any(map(_tells, missing + foreign)):
+                if at >= 0 and own[at:at + len(piece)] == piece:
+                    stands.setdefault((max(at - x - allowed, 0), at + size - x + allowed), []).append((at, x, y))
+        places = sorted(stands)
+        now = {p: self._judge(template, own, *p, allowed) for p in places}
+        heap = [(got, p) for p, got in now.items() if got]
+        heapq.heapify(heap)
+        out = []
+        while heap:
+            got, p = heapq.heappop(heap)
+            if now[p] != got:
+                continue
+            out.append(got)
+            _, start, end = got
+            own[start:end] = [TAKEN] * (end - start)
+            for q in places[bisect_left(places, (start - size - 2 * allowed, 0)):bisect_left(places, (end, 0))]:
+                if q[1] <= start:
                     continue
-                got = (len(missing) + len(foreign), low + i, low + j)
-                if best is None or got < best:
-                    best = got
-        return best
+                whole = any(own[at:at + y - x] == template[x:y] for at, x, y in stands[q])
+                again = self._judge(template, own, *q, allowed) if whole else None
+                if again != now[q]:
+                    now[q] = again
+                    if again:
+                        heapq.heappush(heap, (again, q))
+        return out
 
     def scan_all(self, block: str):
         """``(closest index, its saved share, [(index, differences, saved share), ...])`` with
@@ -196,12 +217,9 @@ class Scanner:
         ranked = sorted(used, key=lambda i: (-saved[i], i))
         won = []
         for i in ranked:
-            first = None
-            while found := self.find(self.templates[i][2], own, where):
-                first = first or found
-                own[found[1]:found[2]] = [TAKEN] * (found[2] - found[1])
-            if first:
-                won.append((i, first[0], saved[i]))
+            taken = self.take_all(self.templates[i][2], own, where)
+            if taken:
+                won.append((i, taken[0][0], saved[i]))
         return ranked[0], saved[ranked[0]], won
 
     def scan(self, block: str):

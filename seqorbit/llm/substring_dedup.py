@@ -16,7 +16,7 @@ A task's own duplicates are settled before the shuffle, so a symbol or window se
 at most one row from each batch.  Names are 64-bit hashes.
 
 Defined results: null or wordless text has nothing to remove; rows that repeat an id
-and a text are one document; rows that share an id but not the text compare by their
+and a text (by a 64-bit hash) are one document; rows that share an id but not the text compare by their
 start; a null id comes before all ids; an empty table gives an empty result; other
 columns are ignored."""
 
@@ -72,7 +72,7 @@ def anchors(h: np.ndarray, at: np.ndarray, window: int = WINDOW):
     lo = before[starts + MARGIN]
     hi = before[starts + window - MARGIN] - (end[before[starts + window - MARGIN] - 1] > starts + window - MARGIN)
     best, width = [np.arange(len(sym))], 1
-    while 2 * width <= window:
+    while 2 * width <= min(window, len(sym)):
         b = best[-1]
         x, y = b[:len(b) - width], b[width:]
         best.append(np.where(rank[x] >= rank[y], x, y))
@@ -238,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
     text = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-                      F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("tag"), text.alias("text"))
+                      F.xxhash64(text).alias("tag"), text.alias("text"))
     # whole copies: every window of a later copy repeats, so it takes no part below
     ids = stage(src.select("did", "tag", F.md5(F.col("text").cast("binary")).alias("m")).where("m IS NOT NULL"), "rep-ids")
     earliest = stage(ids.groupBy("m").agg(F.min("did").alias("first")), "rep-first")
