@@ -10,7 +10,7 @@ share a word among the first n - ceil(t n) + 1 of either, so only these prefix w
 are posted; words that occur once in the corpus are left out by a Bloom filter of
 fixed size.  Lines that share a posted word pass length, positional and parity sketch
 filters.  Each line first verifies its ``FIRST`` earliest partners; only lines that had
-more partners and are not yet decided verify all of them in a second round.
+more partners and are not yet decided verify all of them in a last round.
 Verification is on the full word sets.
 
 Equal sets are one line with an earliest place.  Posted frequent words are dealt by
@@ -326,6 +326,20 @@ def _partners(threshold: float, keep: int | None):
     return run
 
 
+def _alike(threshold: float):
+    percent = round(100 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                x, y = set(x.split()), set(y.split())
+                common = len(x & y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.record_batch([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["lid"])
+    return run
+
+
 def verified(pairs: DataFrame, first: DataFrame, src: DataFrame, threshold: float, name: str) -> DataFrame:
     """``lid`` of lines with a verified earlier partner.  pairs: later, earlier."""
     lids = pairs.select(F.col("later").alias("lid")).union(pairs.select("earlier")).distinct()
@@ -338,17 +352,16 @@ def verified(pairs: DataFrame, first: DataFrame, src: DataFrame, threshold: floa
                 lines = text.split(b"\n")
                 for w in want:
                     out_lid.append(w["lid"])
-                    out_set.append([x.decode("utf-8", "replace") for x in set(lines[w["line"]].lower().split())])
-            yield pa.record_batch([pa.array(out_lid, pa.int64()), pa.array(out_set, pa.list_(pa.string()))], names=["lid", "words"])
+                    out_set.append(b" ".join(set(lines[w["line"]].lower().split())))
+            yield pa.record_batch([pa.array(out_lid, pa.int64()), pa.array(out_set, pa.binary())], names=["lid", "words"])
 
     sets = src.select("did", "tag", "text").join(places, ["did", "tag"]).select("text", "want").mapInArrow(
-        fetch, "lid long, words array<string>").dropDuplicates(["lid"])
-    sets = stage(sets, f"line-sets{name}")
+        fetch, "lid long, words binary")
+    # rows that repeat an id and a text give their lines twice
+    sets = stage(sets.groupBy("lid").agg(F.first("words").alias("words")), f"line-sets{name}")
     both = (pairs.join(sets.select(F.col("lid").alias("later"), F.col("words").alias("x")), "later")
             .join(sets.select(F.col("lid").alias("earlier"), F.col("words").alias("y")), "earlier"))
-    common = F.size(F.array_intersect("x", "y"))
-    alike = 100 * common >= round(100 * threshold) * (F.size("x") + F.size("y") - common)
-    return stage(both.where(alike).select(F.col("later").alias("lid")).distinct(), f"line-verified{name}")
+    return stage(both.select("later", "x", "y").mapInArrow(_alike(threshold), "lid long").distinct(), f"line-verified{name}")
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,8 +403,15 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
     def partners(posted: DataFrame, keep: int | None) -> DataFrame:
         return posted.repartition("key").sortWithinPartitions("key", "did", "size").mapInArrow(_partners(threshold, keep), pair_type)
 
-    found = stage(partners(postings(holders, threshold), FIRST).distinct(), "line-pairs")
-    matched = verified(found.where("NOT more").select("later", "earlier"), first, src, threshold, "1")
+    met = partners(postings(holders, threshold), FIRST).groupBy("later", "earlier", "more")
+    found = stage(met.agg(F.count("*").alias("words")), "line-pairs")
+    pairs = found.where("NOT more")
+    # one partner settles a line: first the one that shares the most posted words
+    best = stage(pairs.groupBy("later").agg(F.max(F.struct("words", "earlier")).alias("b")).select("later", "b.earlier"), "line-best")
+    matched = verified(best, first, src, threshold, "0")
+    others = pairs.select("later", "earlier").join(matched.withColumnRenamed("lid", "later"), "later", "left_anti").join(
+        best, ["later", "earlier"], "left_anti")
+    matched = matched.union(verified(stage(others, "line-others"), first, src, threshold, "1"))
     rest = stage(found.where("more").select(F.col("later").alias("lid")).distinct()
                  .join(matched, "lid", "left_anti"), "line-open")
     if not rest.isEmpty():
