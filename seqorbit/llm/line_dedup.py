@@ -91,6 +91,23 @@ def _pack_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["chunk", "bits"])
 
 
+def bloom_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size of the column ``word``."""
+    at = F.pmod("word", F.lit(BLOOM_BITS))
+    bits = keys.groupBy(F.floor(at / 32).cast("int").alias("i")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(word, {BLOOM_BITS}) % 32 as int))")).alias("x"))
+    packed = bits.select(F.floor(F.col("i") / BLOOM_CHUNK).cast("int").alias("chunk"), "i", "x").repartition("chunk")
+    bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
+    for r in packed.mapInArrow(_pack_bits, "chunk int, bits binary").collect():  # BLOOM_BITS in all
+        bloom[r["chunk"] * BLOOM_CHUNK:(r["chunk"] + 1) * BLOOM_CHUNK] = np.frombuffer(r["bits"], np.uint32)
+    return bloom
+
+
+def in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+    return (bloom[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1
+
+
 class Rarity:
     """Counts of the frequent words and a Bloom filter of the words that occur twice or more."""
 
@@ -100,13 +117,7 @@ class Rarity:
         order = np.argsort(word)
         self.word = word[order]
         self.count = np.array([r[1] for r in top], np.int64)[order]
-        at = F.pmod("word", F.lit(BLOOM_BITS))
-        bits = counts.where("c > 1").groupBy(F.floor(at / 32).cast("int").alias("i")).agg(
-            F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(word, {BLOOM_BITS}) % 32 as int))")).alias("x"))
-        packed = bits.select(F.floor(F.col("i") / BLOOM_CHUNK).cast("int").alias("chunk"), "i", "x").repartition("chunk")
-        self.bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
-        for r in packed.mapInArrow(_pack_bits, "chunk int, bits binary").collect():  # BLOOM_BITS in all
-            self.bloom[r["chunk"] * BLOOM_CHUNK:(r["chunk"] + 1) * BLOOM_CHUNK] = np.frombuffer(r["bits"], np.uint32)
+        self.bloom = bloom_of(counts.where("c > 1"))
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         if not len(self.word):
@@ -116,8 +127,7 @@ class Rarity:
         return np.where(self.word[at] == h, self.count[at], 0)
 
     def repeats(self, h: np.ndarray) -> np.ndarray:
-        at = (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
-        return (self.bloom[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1
+        return in_bloom(self.bloom, h)
 
 
 def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
@@ -209,9 +219,10 @@ def first_lines(heads: DataFrame) -> DataFrame:
 _POSTED = "key long, lid long, did long, size long, at long, sketch long"
 
 
-def postings(first: DataFrame, threshold: float) -> DataFrame:
+def postings(first: DataFrame, threshold: float, only=None) -> DataFrame:
     """One row for each posted word.  A frequent word's key holds a band of line lengths, and
-    lines of the next band visit it (home false).  A column ``open`` of ``first`` passes through."""
+    lines of the next band visit it (home false).  A column ``open`` of ``first`` passes through;
+    ``only``, a broadcast Bloom filter, leaves out other keys."""
     extra = [c for c in first.columns if c == "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +242,8 @@ def postings(first: DataFrame, threshold: float) -> DataFrame:
             row = np.concatenate([row, row[often]])
             at = np.concatenate([2 * pos.astype(np.int64) + 1, 2 * pos[often].astype(np.int64)])
             back = np.argsort(row, kind="stable")
+            if only is not None:
+                back = back[in_bloom(only.value, key[back])]
             key, row, at = key[back], row[back], at[back]
             take = pa.array(row)
             yield pa.record_batch([pa.array(signed(key)), b.column(0).take(take), b.column(1).take(take), pa.array(size[row]),
@@ -415,9 +428,11 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
     rest = stage(found.where("more").select(F.col("later").alias("lid")).distinct()
                  .join(matched, "lid", "left_anti"), "line-open")
     if not rest.isEmpty():
-        keys = stage(postings(holders.join(rest, "lid", "left_semi"), threshold).select("key").distinct(), "line-keys")
+        # only keys of open lines are posted again
+        keys = postings(holders.join(rest, "lid", "left_semi"), threshold).select(F.col("key").alias("word"))
+        wanted = spark.sparkContext.broadcast(bloom_of(keys))
         marked = holders.join(rest.withColumn("open", F.lit(True)), "lid", "left").withColumn("open", F.col("open").isNotNull())
-        again = postings(marked, threshold).join(keys, "key", "left_semi")
+        again = postings(marked, threshold, wanted)
         all_pairs = stage(partners(again, None).select("later", "earlier").distinct()
                           .join(found.where("NOT more"), ["later", "earlier"], "left_anti"), "line-pairs2")
         matched = matched.union(verified(all_pairs, first, src, threshold, "2"))
