@@ -10,11 +10,14 @@ training texts, tasks return expected counts by word and state, Spark adds them
 text's probability is the scaled forward product.
 
 The ``N_CLASSES`` most frequent words are broadcast with their counts and emissions, a
-fixed size.  All rarer words are kept in a table that grows with the corpus: texts stand
-in blocks of about ``BLOCK_TOKENS`` tokens, each with its own rare words; a pass deals the
-expected counts of every block's rare words out by word (in ``parts``, enough for
-``PART_WORDS`` postings each), adds them up and joins the sums back to the blocks.  A rare
-word has at most 1/N_CLASSES of all tokens and one posting a block, so none is hot.
+fixed size.  All rarer words grow with the corpus: texts stand in blocks of about
+``BLOCK_TOKENS`` tokens, each with its own rare words by a 128-bit hash.  Once, these are
+dealt out by hash (in ``parts``, enough for ``PART_WORDS`` postings each), numbered and
+counted; then every pass deals out a posting for each rare word of a block (its number, its
+training tokens there and the shares of the states in them as 16-bit fractions), adds
+them up and joins the shares over the whole corpus back to the blocks.  A rare word has at most
+1/N_CLASSES of all tokens and one posting a block, so none is hot, and a task holds one
+part at a time.
 
 Defined results: null or wordless text is the end token alone; a null id counts as
 not held out and trains; repeated rows count and score one by one; without any
@@ -30,6 +33,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,8 @@ PRIOR = 100.0
 TINY = 1e-6
 CELLS = 1 << 19
 FLUSH_WORDS = 1_000_000
+KEY = np.dtype([("a", "<u8"), ("b", "<u8")])  # a word's 128-bit hash
+FULL = 65535  # a share of one as a 16-bit fraction
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +103,8 @@ class Classes:
         words = text.lower().split() if text else []
         words.append(END)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        for i in np.flatnonzero(at < 0):
-            at[i] = self.size + rare.setdefault(words[i], len(rare))
+        new = np.flatnonzero(at < 0)
+        at[new] = [self.size + rare.setdefault(words[i], len(rare)) for i in new.tolist()]
         return at.astype(np.uint32)
 
 
@@ -215,52 +221,101 @@ def expected_counts(model: Model, seqs: list[np.ndarray], emit, move, start) ->
         emit[:, k] += np.bincount(flat, weights=by_state[k], minlength=len(emit))
 
 
-def _parts_of(word_id: np.ndarray, parts: int) -> np.ndarray:
-    return np.where(word_id < 0, -1, (word_id ^ (word_id >> 33)) % parts)
+def _split(part: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """``(part, places)`` of the words of each part; -1 stands for none."""
+    order = np.argsort(part, kind="stable")
+    kinds, first = np.unique(part[order], return_index=True)
+    return [(int(p), at) for p, at in zip(kinds, np.split(order, first[1:])) if p >= 0]
 
 
-def _block(b, i: int, known: Classes, model: Model, parts: int):
-    """``(sequences, model of the block, word ids, counts, buckets)`` of row i of the blocks joined with
-    the sums of their rare words."""
-    col = lambda name, kind: np.frombuffer(b.column(name)[i].as_py() or b"", kind)
-    ids, c, lengths, buckets = col("ids", np.int64), col("c", np.int64), col("lengths", np.int64), col("buckets", np.int64)
-    seqs = np.split(col("cls", np.uint32), np.cumsum(lengths)[:-1])
-    states = len(model.start)
-    counts = np.zeros((len(ids), states))
-    at = _parts_of(ids, parts)
-    for x in (b.column("sums")[i].as_py() or ()) if "sums" in b.schema.names else ():
-        counts[at == x["part"]] = np.frombuffer(x["e"], np.float32).reshape(-1, states)
-    return seqs, model.beside(model.emissions(counts, c, buckets, known)), ids, c, buckets
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys["a"] % np.uint64(parts)).astype(np.int32)
+
+
+class Block:
+    """Row i of the blocks: the texts as sequences and, of its rare words, bucket, corpus count
+    ``c``, training tokens in the block ``n``, part and number in the part."""
+
+    def __init__(self, b, i: int):
+        col = lambda name, kind: np.frombuffer(b.column(name)[i].as_py() or b"", kind)
+        self.id, self.held = b.column("block")[i].as_py(), col("held", bool)
+        self.seqs = np.split(col("cls", np.uint32), np.cumsum(col("lengths", np.int64))[:-1])
+        self.buckets, self.c, self.n = col("buckets", np.int16), col("c", np.int64), col("n", np.int32)
+        self.number, self.split = col("number", np.int32), _split(col("part", np.int32))
+        self.sums = (b.column("sums")[i].as_py() or ()) if "sums" in b.schema.names else ()
+
+    def model(self, known: Classes, model: Model) -> Model:
+        counts = np.zeros((len(self.c), len(model.start)))
+        places = dict(self.split)
+        for x in self.sums:
+            at = places[x["part"]]
+            share = np.frombuffer(x["e"], np.uint16).reshape(len(at), -1).astype(float)
+            counts[at] = share * (self.c[at] / np.maximum(share.sum(axis=1), 1.0))[:, None]
+        return model.beside(model.emissions(counts, self.c, self.buckets, known))
+
+    def postings(self, emit: np.ndarray):
+        """``(part, block, number, n, e)`` columns of the block's expected counts by rare word."""
+        e = np.rint(emit / np.maximum(self.n, 1)[:, None] * FULL).clip(0, FULL).astype(np.uint16)
+        return [pa.array([p for p, _ in self.split], pa.int32()), pa.array([self.id] * len(self.split), pa.int64()),
+                *[pa.array([x[at].tobytes() for _, at in self.split], pa.binary()) for x in (self.number, self.n, e)]]
 
 
 def _with_sums(blocks: DataFrame, sums: DataFrame | None) -> DataFrame:
-    """Every block with the sums of its rare words; none before the first pass."""
+    """Every block with the state shares of its rare words; none before the first pass."""
     if sums is None:
         return blocks
     return blocks.join(sums.groupBy("block").agg(F.collect_list(F.struct("part", "e")).alias("sums")), "block", "left")
 
 
-def _add_up(states: int):
-    """Rows (part, block, ids, e) of whole parts: every block's words get the sums over all blocks."""
+def _by_part(rows: DataFrame, each, schema: str) -> DataFrame:
+    """``each(columns)`` of every part's rows (part, block, ...), one part in memory at a time:
+    its binary columns come as lists, it returns the binary columns of the answer."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def answer(rows):
+        part, block, *cols = zip(*rows)
+        out = each(*cols)
+        for i in range(0, len(block), 512):
+            j = slice(i, i + 512)
+            yield pa.record_batch([pa.array(part[j], pa.int32()), pa.array(block[j], pa.int64()),
+                                   *[pa.array(x[j], pa.binary()) for x in out]], names=names)
+
     def run(batches):
-        part, block, ids, e = [], [], [], []
+        rows = []
         for b in batches:
-            part += b.column(0).to_pylist()
-            block += b.column(1).to_pylist()
-            ids += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-            e += [np.frombuffer(x, np.float32).reshape(-1, states) for x in b.column(3).to_pylist()]
-        if not block:
-            return
-        kinds, at = np.unique(np.concatenate(ids), return_inverse=True)
-        e = np.concatenate(e)
-        sums = np.stack([np.bincount(at, weights=e[:, k], minlength=len(kinds)) for k in range(states)], axis=1).astype(np.float32)
-        cuts = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-        for i in range(0, len(block), 512):
-            own = range(i, min(i + 512, len(block)))
-            yield pa.record_batch([
-                pa.array([part[j] for j in own], pa.int32()), pa.array([block[j] for j in own], pa.int64()),
-                pa.array([sums[at[cuts[j]:cuts[j + 1]]].tobytes() for j in own], pa.binary())], names=["part", "block", "e"])
-    return run
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if rows and rows[-1][0] != row[0]:
+                    yield from answer(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from answer(rows)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _cut(values: np.ndarray, sizes: list[int]) -> list[bytes]:
+    return [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
+
+
+def _number(keys: list[bytes], n: list[bytes]):
+    """Numbers a part's words and counts their training tokens over all blocks."""
+    all_keys = np.frombuffer(b"".join(keys), KEY)
+    order = np.lexsort((all_keys["b"], all_keys["a"]))
+    new, at = np.diff(all_keys["a"][order]) != 0, np.zeros(len(order), np.int64)
+    at[order[1:]] = np.cumsum(new | (np.diff(all_keys["b"][order]) != 0))
+    c = np.bincount(at, weights=np.frombuffer(b"".join(n), np.int32)).astype(np.int64)
+    sizes = [len(x) // KEY.itemsize for x in keys]
+    return _cut(at.astype(np.int32), sizes), _cut(c[at], sizes)
+
+
+def _add_up(number: list[bytes], n: list[bytes], e: list[bytes]):
+    """Every block's words get the shares of the states in their tokens of all blocks."""
+    at, tokens = np.frombuffer(b"".join(number), np.int32), np.frombuffer(b"".join(n), np.int32)
+    e = np.frombuffer(b"".join(e), np.uint16).reshape(len(at), -1)
+    sums = np.stack([np.bincount(at, weights=tokens * e[:, k].astype(float)) for k in range(e.shape[1])], axis=1)
+    share = np.rint(sums / np.maximum(sums.sum(axis=1), 1.0)[:, None] * FULL).astype(np.uint16)
+    return [_cut(share[at], [len(x) // 4 for x in number])]
 
 
 def _drop(table: DataFrame | None) -> None:
@@ -272,76 +327,73 @@ def _drop(table: DataFrame | None) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def _pass(blocks: DataFrame, sums: DataFrame | None, known, model: Model, states: int, parts: int) -> tuple:
+def _pass(blocks: DataFrame, sums: DataFrame | None, known, model: Model, states: int) -> tuple:
     """One E-step over all training rows: ``(start, move, frequent words, buckets)`` counts by
-    state and the table of the rare words' counts, added up by Spark."""
+    state and the table of the rare words' shares of states, added up by Spark."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     size = len(model.emit)
 
-    names = ["row", "part", "block", "ids", "e", *[f"s{k}" for k in range(states)]]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.float64()] * states]
+    names = ["row", "part", "block", "number", "n", "e", *[f"s{k}" for k in range(states)]]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * states]
 
     def run(batches):
         m = shared.value
         all_rows, some = np.zeros((size + states + 1 + N_BUCKETS, states)), False
         for b in batches:
             for i in range(b.num_rows):
-                seqs, own, ids, _, buckets = _block(b, i, known.value, m, parts)
-                held = np.frombuffer(b.column("held")[i].as_py(), bool)
-                seqs = [x for x, h in zip(seqs, held) if not h]
-                if not seqs:
-                    continue
-                some = True
-                emit = np.zeros((len(own.emit), states))
-                for g in groups(np.array([len(x) for x in seqs], np.int64)):
-                    expected_counts(own, [seqs[j] for j in g], emit, all_rows[size:size + states], all_rows[size + states])
+                x = Block(b, i)
+                seqs = [s for s, h in zip(x.seqs, x.held) if not h]
+                emit = np.zeros((size + len(x.c), states))
+                if seqs:
+                    some, own = True, x.model(known.value, m)
+                    for g in groups(np.array([len(s) for s in seqs], np.int64)):
+                        expected_counts(own, [seqs[j] for j in g], emit, all_rows[size:size + states], all_rows[size + states])
                 all_rows[:size] += emit[:size]
-                np.add.at(all_rows[size + states + 1:], buckets, emit[size:])
-                at, rare = _parts_of(ids, parts), emit[size:].astype(np.float32)
-                mine = [x for x in np.unique(at) if x >= 0]
-                n, block = len(mine), b.column("block")[i].as_py()
-                yield pa.record_batch([pa.nulls(n, pa.int32()), pa.array(mine, pa.int32()), pa.array([block] * n, pa.int64()),
-                                       pa.array([ids[at == x].tobytes() for x in mine], pa.binary()),
-                                       pa.array([rare[at == x].tobytes() for x in mine], pa.binary()),
-                                       *[pa.nulls(n, pa.float64())] * states], names=names)
+                np.add.at(all_rows[size + states + 1:], x.buckets, emit[size:])
+                n = len(x.split)
+                yield pa.record_batch([pa.nulls(n, pa.int32()), *x.postings(emit[size:]), *[pa.nulls(n, pa.float64())] * states],
+                                      names=names)
         if some:
             hit = np.flatnonzero(all_rows.any(axis=1))
-            none = [pa.nulls(len(hit), k) for k in kinds[1:5]]
+            none = [pa.nulls(len(hit), k) for k in kinds[1:6]]
             yield pa.record_batch([pa.array(hit, pa.int32()), *none, *[pa.array(all_rows[hit, k]) for k in range(states)]],
                                   names=names)
 
-    schema = "row int, part int, block long, ids binary, e binary, " + ", ".join(f"s{k} double" for k in range(states))
+    schema = "row int, part int, block long, number binary, n binary, e binary, " + ", ".join(f"s{k} double" for k in range(states))
     counted = stage(_with_sums(blocks, sums).mapInArrow(run, schema), "hmm-pass-counts")
     by_row = stage(counted.where("row IS NOT NULL").groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]),
                    "hmm-pass-rows")
     all_rows = np.zeros((size + states + 1 + N_BUCKETS, states))
     for r in by_row.collect():  # one row per frequent word and bucket: a fixed bound
         all_rows[r[0]] = r[1:]
-    added = stage(counted.where("row IS NULL").select("part", "block", "ids", "e").repartition("part")
-                  .mapInArrow(_add_up(states), "part int, block long, e binary"), "hmm-pass-sums")
+    added = stage(_by_part(counted.where("row IS NULL").select("part", "block", "number", "n", "e"), _add_up,
+                           "part int, block long, e binary"), "hmm-pass-sums")
     for t in (counted, by_row, sums):
         _drop(t)
     return all_rows[size + states], all_rows[size:size + states], all_rows[:size], all_rows[size + states + 1:], added
 
 
-def _blocks(src: DataFrame, counts: DataFrame, known) -> DataFrame:
-    """Texts in blocks: block, doc_ids, held, lengths and cls of the texts, buckets, ids and c of the
-    block's rare words (-1 and 0 for one that no training text has)."""
+def _blocks(src: DataFrame, known) -> DataFrame:
+    """Texts in blocks: block, doc_ids, held, lengths and cls of the texts and, of the block's rare
+    words, buckets, n, c, part and number (part -1 for one that no training text has)."""
     kind = dict(src.dtypes)["doc_id"]
 
     def encode(batches):
-        names = ["block", "doc_ids", "held", "lengths", "cls", "buckets", "words"]
+        names = ["block", "doc_ids", "held", "lengths", "cls", "buckets", "n", "keys"]
         rare, seqs, held, doc_ids, first = {}, [], [], [], None
 
         def out():
             ids = pa.chunked_array(doc_ids).combine_chunks()
             ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.record_batch([
-                pa.array([first], pa.int64()), one(ids), pa.array([np.array(held, bool).tobytes()], pa.binary()),
-                pa.array([np.array([len(x) for x in seqs], np.int64).tobytes()], pa.binary()),
-                pa.array([np.concatenate(seqs).tobytes()], pa.binary()),
-                pa.array([np.array([_bucket(w) for w in rare], np.int64).tobytes()], pa.binary()), one(pa.array(list(rare), pa.binary()))], names=names)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            cls, lengths = np.concatenate(seqs), np.array([len(x) for x in seqs], np.int64)
+            trains = cls[~np.repeat(np.array(held, bool), lengths)]
+            size = known.value.size
+            n = np.bincount(trains[trains >= size] - size, minlength=len(rare)).astype(np.int32)
+            one = [np.array(held, bool), lengths, cls, np.array([_bucket(w) for w in rare], np.int16), n]
+            keys = b"".join(map(xxhash.xxh3_128_digest, rare))
+            return pa.record_batch([pa.array([first], pa.int64()), ids, *[pa.array([x.tobytes()], pa.binary()) for x in one],
+                                    pa.array([keys], pa.binary())], names=names)
 
         size = 0
         for b in batches:
@@ -361,24 +413,41 @@ def _blocks(src: DataFrame, counts: DataFrame, known) -> DataFrame:
             yield out()
 
     rid = src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "text")
-    encoded = stage(rid.mapInArrow(encode, f"block long, doc_ids array<{kind}>, held binary, lengths binary, cls binary, buckets binary, "
-                                           "words array<binary>"), "hmm-pass-encoded")
+    texts = f"block long, doc_ids array<{kind}>, held binary, lengths binary, cls binary, buckets binary, n binary, "
+    encoded = stage(rid.mapInArrow(encode, texts + "keys binary"), "hmm-pass-encoded")
+    postings = encoded.agg(F.sum(F.length("keys") / KEY.itemsize)).first()[0] or 0
+    parts = max(LEAST_PARTS, int(-(-postings // PART_WORDS)))
+
+    def deal(batches):
+        for b in batches:
+            for block, n, keys in zip(*(c.to_pylist() for c in b.columns)):
+                keys, n = np.frombuffer(keys, KEY), np.frombuffer(n, np.int32)
+                split = _split(_parts_of(keys, parts))
+                yield pa.record_batch([pa.array([p for p, _ in split], pa.int32()), pa.array([block] * len(split), pa.int64()),
+                                       *[pa.array([x[at].tobytes() for _, at in split], pa.binary()) for x in (keys, n)]],
+                                      names=["part", "block", "keys", "n"])
 
     def gather(batches):
-        rows = {}
         for b in batches:
-            for k, at, i, c in zip(*(b.column(x).to_numpy(zero_copy_only=False) for x in range(4))):
-                rows.setdefault(k, []).append((at, i, c))
-        for k, x in rows.items():
-            x = np.array(sorted(x), np.int64)
-            yield pa.record_batch([pa.array([k], pa.int64()), pa.array([x[:, 1].tobytes()], pa.binary()),
-                                   pa.array([x[:, 2].tobytes()], pa.binary())], names=["block", "ids", "c"])
-
-    words = (encoded.select("block", F.posexplode("words").alias("at", "word")).join(counts, "word", "left")
-             .select("block", F.col("at").cast("long").alias("at"), F.coalesce("id", F.lit(-1)).alias("id"),
-                     F.coalesce("c", F.lit(0)).alias("c")))
-    words = words.repartition("block").mapInArrow(gather, "block long, ids binary, c binary")
-    blocks = stage(encoded.drop("words").join(words, "block", "left"), "hmm-blocks")
+            found = {"c": [], "part": [], "number": []}
+            for keys, numbers in zip(b.column("keys").to_pylist(), b.column("numbers").to_pylist()):
+                part = _parts_of(np.frombuffer(keys, KEY), parts)
+                c, number = np.zeros(len(part), np.int64), np.zeros(len(part), np.int32)
+                places = dict(_split(part))
+                for x in numbers or ():
+                    at = places[x["part"]]
+                    c[at], number[at] = np.frombuffer(x["c"], np.int64), np.frombuffer(x["number"], np.int32)
+                for k, x in (("c", c), ("part", np.where(c > 0, part, -1).astype(np.int32)), ("number", number)):
+                    found[k].append(x.tobytes())
+            kept = [x for x in b.schema.names if x not in ("keys", "numbers")]
+            yield pa.record_batch([*[b.column(x) for x in kept], *[pa.array(x, pa.binary()) for x in found.values()]],
+                                  names=[*kept, *found])
+
+    dealt = encoded.select("block", "n", "keys").mapInArrow(deal, "part int, block long, keys binary, n binary")
+    numbers = _by_part(dealt, _number, "part int, block long, number binary, c binary")
+    numbers = numbers.groupBy("block").agg(F.collect_list(F.struct("part", "number", "c")).alias("numbers"))
+    blocks = stage(encoded.join(numbers, "block", "left").mapInArrow(gather, texts + "c binary, part binary, number binary"),
+                   "hmm-blocks")
     _drop(encoded)
     return blocks
 
@@ -391,7 +460,7 @@ def score_texts(docs: DataFrame, held_out, id_col="doc_id", text_col="text", sta
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                       F.col(text_col).cast("string").alias("text"))
     counts = stage(src.where("NOT held_out").select("text").mapInArrow(_count_words, "word binary, c long")
-                   .groupBy("word").agg(F.sum("c").alias("c")).withColumn("id", F.monotonically_increasing_id()), "hmm-counts")
+                   .groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(min(N_FREQUENT, N_CLASSES)).select("word", "c")
     frequent = [(bytes(r[0]), r[1]) for r in top.collect()]
@@ -403,12 +472,10 @@ def score_texts(docs: DataFrame, held_out, id_col="doc_id", text_col="text", sta
     classes = Classes(frequent, {r[0]: (r[1], r[2]) for r in shared.groupBy(bucket.alias("k"))
                                  .agg(F.sum("c"), F.count("*")).collect()}, n, v)
     known = spark.sparkContext.broadcast(classes)
-    blocks = _blocks(src, counts, known)
-    postings = blocks.agg(F.sum(F.length("ids") / 8)).first()[0] or 0
-    parts = max(LEAST_PARTS, int(-(-postings // PART_WORDS)))
+    blocks = _blocks(src, known)
     model, sums = Model.initial(classes, states), None
     for _ in range(passes):
-        start, move, emit, buckets, sums = _pass(blocks, sums, known, model, states, parts)
+        start, move, emit, buckets, sums = _pass(blocks, sums, known, model, states)
         model = Model.from_counts(start, move, emit, buckets, classes)
     trained = spark.sparkContext.broadcast(model)
     kind = dict(src.dtypes)["doc_id"]
@@ -417,14 +484,15 @@ def score_texts(docs: DataFrame, held_out, id_col="doc_id", text_col="text", sta
         k = known.value
         for b in batches:
             for i in range(b.num_rows):
-                seqs, m, _, c, _ = _block(b, i, k, trained.value, parts)
+                x = Block(b, i)
+                seqs, c, m = x.seqs, x.c, x.model(k, trained.value)
                 logs = np.zeros(len(seqs))
                 for g in groups(np.array([len(s) for s in seqs], np.int64)):
                     logs[g] = forward(m, [seqs[j] for j in g])[0]
                 base = np.concatenate([k.base, np.log10(c + 0.5) - np.log10(k.norm)])
                 seen = np.concatenate([np.ones(k.size, bool), c > 0])
                 yield pa.record_batch([
-                    b.column("doc_ids")[i].values, pa.array(np.frombuffer(b.column("held")[i].as_py(), bool)),
+                    b.column("doc_ids")[i].values, pa.array(x.held),
                     pa.array([len(s) for s in seqs], pa.int64()), pa.array([int(seen[s].sum()) for s in seqs], pa.int64()),
                     pa.array([float(base[s].sum()) for s in seqs], pa.float64()), pa.array(logs)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
