@@ -55,6 +55,7 @@ TINY = 1e-6
 CELLS = 1 << 19
 FLUSH_WORDS = 1_000_000
 KEY = np.dtype([("a", "<u8"), ("b", "<u8")])  # a word's 128-bit hash
+SLICE = 1024  # rows of the fixed part that travel as one value
 FULL = 65535  # a share of one as a 16-bit fraction
 
 
@@ -156,6 +157,12 @@ class Model:
         """The model of a block: with the emissions of its rare words behind the others."""
         return Model(self.start, self.move, np.concatenate([self.emit, rare]))
 
+    def relative(self):
+        """In single precision, every word's emissions relative to its greatest: the same expected
+        counts (a word's factor cancels), likelihoods of no meaning."""
+        emit = self.emit / self.emit.max(axis=1, keepdims=True)
+        return Model(*(x.astype(np.float32) for x in (self.start, self.move, emit)))
+
 
 def groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Sequences of similar length together, longest first, about CELLS tokens a group."""
@@ -177,8 +184,9 @@ def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
     for i, s in enumerate(seqs):
         tokens[:len(s), i] = s
     logs = np.zeros(len(seqs))
-    alphas, emitted = (np.zeros((lengths[0], len(seqs), len(model.start))) if keep else None for _ in range(2))
-    scales = np.ones((lengths[0], len(seqs)))
+    shape = (lengths[0], len(seqs), len(model.start))
+    alphas, emitted = (np.zeros(shape, model.emit.dtype) if keep else None for _ in range(2))
+    scales = np.ones((lengths[0], len(seqs)), model.emit.dtype)
     alpha = None
     for t in range(lengths[0]):
         n = width[t]
@@ -201,7 +209,7 @@ def expected_counts(model: Model, seqs: list[np.ndarray], emit, move, start) ->
     _, tokens, width, gamma, scales, weight = forward(model, seqs, keep=True)
     steps, states = len(width), len(model.start)
     weight /= scales[:, :, None]
-    beta = np.ones((len(seqs), states))
+    beta = np.ones((len(seqs), states), weight.dtype)
     back = model.move.T
     for t in range(steps - 1, 0, -1):
         n = width[t]
@@ -216,7 +224,7 @@ def expected_counts(model: Model, seqs: list[np.ndarray], emit, move, start) ->
     gamma[:-1] *= beta_all
     start += gamma[0].sum(axis=0)
     real = np.arange(len(seqs))[None, :] < width[:, None]
-    flat, by_state = tokens[real], gamma[real].T.copy()
+    flat, by_state = tokens[real], gamma[real].T.astype(float, order="C")
     for k in range(states):
         emit[:, k] += np.bincount(flat, weights=by_state[k], minlength=len(emit))
 
@@ -275,9 +283,10 @@ def _by_part(rows: DataFrame, each, schema: str) -> DataFrame:
     def answer(rows):
         part, block, *cols = zip(*rows)
         out = each(*cols)
-        for i in range(0, len(block), 512):
+        for i in range(0, len(out[0]), 512):
             j = slice(i, i + 512)
-            yield pa.record_batch([pa.array(part[j], pa.int32()), pa.array(block[j], pa.int64()),
+            n = len(out[0][j])
+            yield pa.record_batch([pa.array(part[j][:n], pa.int32()), pa.array(block[j][:n], pa.int64()),
                                    *[pa.array(x[j], pa.binary()) for x in out]], names=names)
 
     def run(batches):
@@ -309,6 +318,14 @@ def _number(keys: list[bytes], n: list[bytes]):
     return _cut(at.astype(np.int32), sizes), _cut(c[at], sizes)
 
 
+def _add_slices(e: list[bytes]):
+    """One row for all of a slice's: their sum."""
+    total = np.zeros(len(e[0]) // 4)
+    for x in e:
+        total += np.frombuffer(x, np.float32)
+    return [[total.tobytes()]]
+
+
 def _add_up(number: list[bytes], n: list[bytes], e: list[bytes]):
     """Every block's words get the shares of the states in their tokens of all blocks."""
     at, tokens = np.frombuffer(b"".join(number), np.int32), np.frombuffer(b"".join(n), np.int32)
@@ -333,8 +350,7 @@ def _pass(blocks: DataFrame, sums: DataFrame | None, known, model: Model, states
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     size = len(model.emit)
 
-    names = ["row", "part", "block", "number", "n", "e", *[f"s{k}" for k in range(states)]]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * states]
+    names = ["part", "block", "number", "n", "e"]
 
     def run(batches):
         m = shared.value
@@ -345,30 +361,27 @@ def _pass(blocks: DataFrame, sums: DataFrame | None, known, model: Model, states
                 seqs = [s for s, h in zip(x.seqs, x.held) if not h]
                 emit = np.zeros((size + len(x.c), states))
                 if seqs:
-                    some, own = True, x.model(known.value, m)
+                    some, own = True, x.model(known.value, m).relative()
                     for g in groups(np.array([len(s) for s in seqs], np.int64)):
                         expected_counts(own, [seqs[j] for j in g], emit, all_rows[size:size + states], all_rows[size + states])
                 all_rows[:size] += emit[:size]
                 np.add.at(all_rows[size + states + 1:], x.buckets, emit[size:])
-                n = len(x.split)
-                yield pa.record_batch([pa.nulls(n, pa.int32()), *x.postings(emit[size:]), *[pa.nulls(n, pa.float64())] * states],
-                                      names=names)
-        if some:
-            hit = np.flatnonzero(all_rows.any(axis=1))
-            none = [pa.nulls(len(hit), k) for k in kinds[1:6]]
-            yield pa.record_batch([pa.array(hit, pa.int32()), *none, *[pa.array(all_rows[hit, k]) for k in range(states)]],
-                                  names=names)
-
-    schema = "row int, part int, block long, number binary, n binary, e binary, " + ", ".join(f"s{k} double" for k in range(states))
-    counted = stage(_with_sums(blocks, sums).mapInArrow(run, schema), "hmm-pass-counts")
-    by_row = stage(counted.where("row IS NOT NULL").groupBy("row").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)]),
-                   "hmm-pass-rows")
+                yield pa.record_batch(x.postings(emit[size:]), names=names)
+        if some:  # the fixed rows: slice j as part -1 - j
+            slices = [x.astype(np.float32).tobytes() for x in np.split(all_rows, range(SLICE, len(all_rows), SLICE))]
+            n = len(slices)
+            yield pa.record_batch([pa.array(range(-1, -1 - n, -1), pa.int32()), pa.array([0] * n, pa.int64()),
+                                   pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(slices, pa.binary())], names=names)
+
+    counted = stage(_with_sums(blocks, sums).mapInArrow(run, "part int, block long, number binary, n binary, e binary"),
+                    "hmm-pass-counts")
+    fixed = _by_part(counted.where("part < 0").select("part", "block", "e"), _add_slices, "part int, block long, e binary")
     all_rows = np.zeros((size + states + 1 + N_BUCKETS, states))
-    for r in by_row.collect():  # one row per frequent word and bucket: a fixed bound
-        all_rows[r[0]] = r[1:]
-    added = stage(_by_part(counted.where("row IS NULL").select("part", "block", "number", "n", "e"), _add_up,
-                           "part int, block long, e binary"), "hmm-pass-sums")
-    for t in (counted, by_row, sums):
+    for part, _, e in fixed.collect():  # one value per frequent word, bucket and state: a fixed bound
+        at = (-1 - part) * SLICE
+        all_rows[at:at + SLICE] = np.frombuffer(e).reshape(-1, states)
+    added = stage(_by_part(counted.where("part >= 0"), _add_up, "part int, block long, e binary"), "hmm-pass-sums")
+    for t in (counted, sums):
         _drop(t)
     return all_rows[size + states], all_rows[size:size + states], all_rows[:size], all_rows[size + states + 1:], added
 
