@@ -46,13 +46,13 @@ N_OWN = 8192
 N_BUCKETS = 1024
 SUFFIX = 3
 N_FREQUENT = 65536  # at most so many words reach the driver
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 PART_WORDS = 1 << 20
 LEAST_PARTS = 64
 END = b""  # no word is empty
 PRIOR = 100.0
 TINY = 1e-6
-CELLS = 1 << 19
+CELLS = 1 << 20
 FLUSH_WORDS = 1_000_000
 KEY = np.dtype([("a", "<u8"), ("b", "<u8")])  # a word's 128-bit hash
 SLICE = 1024  # rows of the fixed part that travel as one value
@@ -169,7 +169,7 @@ def groups(lengths: np.ndarray) -> Iterator[np.ndarray]:
     order = np.argsort(-lengths, kind="stable")
     i = 0
     while i < len(order):
-        n = int(max(1, min(512, CELLS // max(int(lengths[order[i]]), 1))))
+        n = int(max(1, min(1024, CELLS // max(int(lengths[order[i]]), 1))))
         yield order[i:i + n]
         i += n
 
