@@ -4,14 +4,16 @@ Every decision is a function of ``md5(key || ':' || seed)`` (hex), so it does
 not depend on row order or partitioning and DuckDB can restate it.
 
 ``exact_pick`` (P-2) selects exactly ``target`` rows per group, the ones with
-the smallest hashes, without sorting the data: counts per 4-hex-digit hash
-bucket (65,536 buckets per group, partial aggregation) locate the bucket that
-holds the cut; the same step on the next 4 hex digits narrows the cut to one
-of 2**32 sub-buckets; only the rows of that sub-bucket are ranked, giving the
-key of the last selected row; every row is then flagged by comparing its
-(hash, tie) with that key.  Several targets (nested fractions) share one pass.  A group
-that holds a third of all rows still has at most 65,536 bucket rows, and the
-ranked remainder is ~rows / 2**32 for keys that do not repeat.
+the smallest hashes, without sorting the data.  The input is evaluated twice.
+The first time only each row's group, 16-byte hash and tie columns are staged;
+counts per two-byte hash bucket (at most 65,536 rows per group, partial
+aggregation) locate the bucket that holds the cut.  The rows of the cut buckets
+alone (about rows / 65,536 for keys that do not repeat) are range partitioned
+by (hash, tie), counted per partition, and the partition that holds the cut is
+ranked: a key that holds a third of all rows is spread over the partitions by
+its ties, so no task ranks a whole key or group.  The second time every row is
+flagged by comparing its (hash, tie) with that of the last selected row.
+Several targets (nested fractions) share one pass.
 
 Without ``tie`` columns all columns and a staged row number break ties, so a
 selection is exact for repeated keys and repeated rows too.  Null group keys
@@ -25,7 +27,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage, materialize
+from ..session import broadcast_if_small, materialize
 
 MAX_BROADCAST_GROUPS = 100_000
 
@@ -59,37 +61,35 @@ def _cut(buckets: DataFrame, part: list[str], bcol: str, target_col: str) -> Dat
                      (F.col(target_col) - (F.col("_cum") - F.col("cnt"))).alias(f"{bcol}_need")))
 
 
-def kth_keys(d: DataFrame, by: list[str], tie: tuple[str, ...], targets: dict,
-             bound: int | None) -> DataFrame:
-    """Per group and target name: the ``(__h, tie…)`` of the ``target(n)``-th
-    row in hash order (no row when the target is 0).  ``d`` carries ``__h``,
-    ``__b1``, ``__b2``; it is scanned three times, never sorted.  Returns
-    the k-th keys and the group bound used for broadcasts."""
+def kth_keys(keys: DataFrame, by: list[str], tie: tuple[str, ...], targets: dict,
+             bound: int | None) -> tuple[DataFrame, int | None]:
+    """Per group and target name: the ``(__h, tie…)`` of the ``target(n)``-th row in hash
+    order (no row when the target is 0), and the group bound used for broadcasts.
+    ``keys`` is a staged table of the ``by`` columns, ``__b`` (bucket), ``__h`` and ``tie``."""
     names = list(targets)
-    b1 = d.groupBy(*by, "__b1").agg(F.count("*").alias("cnt"))
+    buckets = materialize(keys.groupBy(*by, "__b").agg(F.count("*").alias("cnt")), "split-buckets")
     if bound is None:
-        # the bucket histogram has at most 65,536 rows per group: stage it
-        # (reliable checkpoint) and count the groups, so the broadcasts
-        # below happen only behind a measured bound
-        b1 = cut_lineage(b1)
-        n_groups = b1.select(*by).distinct().count()
+        # broadcasts below happen only behind the counted number of groups
+        n_groups = buckets.select(*by).distinct().count()
         bound = n_groups if n_groups <= MAX_BROADCAST_GROUPS else None
-    tot = b1.groupBy(*by).agg(F.sum("cnt").alias("__n"))
+    nb = None if bound is None else bound * len(names)
+    tot = buckets.groupBy(*by).agg(F.sum("cnt").alias("__n"))
     tg = tot.select(*by, F.explode(F.array(*[
         F.struct(F.lit(nm).alias("tname"), targets[nm](F.col("__n")).alias("__t")) for nm in names
     ])).alias("_x")).select(*by, "_x.tname", "_x.__t")
-    nb = None if bound is None else bound * len(names)
-    b1t = b1.join(broadcast_if_small(tg, nb), by)
-    cut1 = broadcast_if_small(_cut(b1t, [*by, "tname"], "__b1", "__t"), nb)
-    # level 2: only rows of each cut bucket
-    in1 = d.join(cut1, by).where(F.col("__b1") == F.col("__b1_cut"))
-    b2 = in1.groupBy(*by, "tname", "__b2", F.col("__b1_need").alias("__t2")).agg(F.count("*").alias("cnt"))
-    cut2 = broadcast_if_small(_cut(b2, [*by, "tname"], "__b2", "__t2"), nb)
-    # level 3: rank the rows of the cut sub-bucket (about rows / 2**32)
-    in2 = in1.join(cut2, [*by, "tname"]).where(F.col("__b2") == F.col("__b2_cut"))
+    cut = _cut(buckets.join(broadcast_if_small(tg, nb), by), [*by, "tname"], "__b", "__t")
+    # joined on the bucket too, so beyond the bound a hot group is dealt out by bucket
+    rows = keys.join(broadcast_if_small(cut.withColumnRenamed("__b_cut", "__b"), nb), [*by, "__b"])
+    order = [*by, "tname", "__h", *tie]
+    ranged = materialize(rows.select(*order, "__b_need").repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("__p", F.spark_partition_id()), "split-cut")
+    sizes = ranged.groupBy(*by, "tname", "__p", F.col("__b_need").alias("__t")).agg(F.count("*").alias("cnt"))
+    last = _cut(sizes, [*by, "tname"], "__p", "__t").withColumnRenamed("__p_cut", "__p")
+    # the rows of one range partition at most for a group and target
     w = Window.partitionBy(*by, "tname").orderBy("__h", *tie)
-    kth = (in2.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == F.col("__b2_need"))
-              .select(*by, "tname", F.struct("__h", *tie).alias("__kth")))
+    kth = (ranged.join(broadcast_if_small(last, nb), [*by, "tname", "__p"])
+           .withColumn("__r", F.row_number().over(w)).where(F.col("__r") == F.col("__p_need"))
+           .select(*by, "tname", F.struct("__h", *tie).alias("__kth")))
     return kth, bound
 
 
@@ -112,9 +112,10 @@ def exact_pick_many(df: DataFrame, key, seed, targets: dict, by: tuple[str, ...]
     groups = {f"__g{i}": F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string")))
               for i, c in enumerate(by)} or {"__g0": F.lit("all")}
     d, by = d.withColumns(groups), list(groups)
-    d = d.withColumn("__h", hash_hex(F.coalesce(_col(key).cast("string"), F.lit("")), seed))
-    d = d.withColumn("__b1", F.substring("__h", 1, 4)).withColumn("__b2", F.substring("__h", 5, 4))
-    kth, bound = kth_keys(d, by, tie, targets, bound)
+    d = d.withColumn("__h", F.unhex(hash_hex(F.coalesce(_col(key).cast("string"), F.lit("")), seed)))
+    bucket = F.conv(F.hex(F.substring("__h", 1, 2)), 16, 10).cast("int")
+    keys = materialize(d.select(*by, bucket.alias("__b"), "__h", *tie), "split-keys")
+    kth, bound = kth_keys(keys, by, tie, targets, bound)
     wide = kth.groupBy(*by).pivot("tname", list(targets)).agg(F.first("__kth"))
     # one row per group: broadcast when the group count is bounded, so the
     # data is never shuffled by the (possibly skewed) group key
@@ -124,7 +125,7 @@ def exact_pick_many(df: DataFrame, key, seed, targets: dict, by: tuple[str, ...]
         d = d.withColumn(f"__flag_{nm}", F.coalesce(me <= F.col(nm), F.lit(False)))
     for nm in targets:
         d = d.drop(nm).withColumnRenamed(f"__flag_{nm}", nm)
-    return d.drop(*by, "__h", "__b1", "__b2", "__row")
+    return d.drop(*by, "__h", "__row")
 
 
 def exact_pick(df: DataFrame, key, seed, target, by: tuple[str, ...] = (),

@@ -1,7 +1,7 @@
 """Splits, prefix diversity, path expansion and streaming ingest."""
 
-import math
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,3 +235,37 @@ def test_wide_files_keep_short_tours_and_skip_missing_files(spark, tmp_path):
     assert len(paths) == 2
     got = PQ.from_wide(PQ.read_wide(spark, *paths, n_moves=3, number=r"no=(\d+)"), 3, keep=("file_no",))
     assert sorted((r.file_no, r.tour) for r in got.collect()) == [(0, [0, 17, None]), (2, [None, None, None])]
+
+
+def test_exact_pick_cuts_inside_a_key_with_a_third_of_the_rows(spark, monkeypatch):
+    """The cut falls among equal hashes: ties decide, and they are ranked over many partitions."""
+    n = 3000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+                               F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.lit("g")).alias("g"))
+    seen = []
+    stage = S.materialize
+
+    def keep(t, name, *a):
+        out = stage(t, name, *a)
+        if name == "split-cut":
+            seen.append(out.groupBy("__p").count().collect())
+        return out
+    monkeypatch.setattr(S, "materialize", keep)
+    monkeypatch.setattr(S, "MAX_BROADCAST_GROUPS", 0)  # the joins by shuffle
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        want = {}
+        for r in df.collect():
+            h = hashlib.md5(f"{r['k']}:7".encode()).digest()
+            want.setdefault(r["g"], []).append((h, r["id"], r["k"]))
+        for rows in want.values():
+            rows.sort()
+        places = [i for i, x in enumerate(want["g"]) if x[2] == "hot"]
+        middle = (places[0] + places[-1]) // 2
+        got = S.exact_quota(df, "k", middle, seed=7, by=("g",), tie=("id",)).where("picked").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, rows in want.items():
+        assert {r["id"] for r in got if r["g"] == g} == {x[1] for x in rows[:middle]}
+    sizes = [r["count"] for r in seen[0]]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
