@@ -19,7 +19,7 @@ from ..operators import corpus as C
 from ..operators.prefix import prefix_diversity
 from ..sources import fixtures as FX
 from ..sources.tables import read_table
-from ..session import materialize
+from ..sources.stages import STAGES
 from . import sqltext as Q
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -54,18 +54,10 @@ def orders(spark, sf):
                       "o_orderstatus")
 
 
-_STAGES: dict[tuple, str] = {}
-
-
 def staged(spark, sf, name: str, build) -> DataFrame:
-    """A Spark-derived table, written once per application and input folder
-    to the shared folder, then scanned by every query that needs it."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _STAGES:
-        df = materialize(build(), name)
-        _STAGES[key] = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
-        return df
-    return spark.read.parquet(_STAGES[key])
+    """A Spark-derived table, written to the shared folder once for the present input
+    files of ``sf`` and scanned by every query that needs it; changed input is staged anew."""
+    return STAGES.get(spark, sf, name, build)
 
 
 def tours(spark, sf) -> DataFrame:
