@@ -6,9 +6,9 @@ Three forms, by how much state a seed needs:
   number of levels; each level is one narrow ``explode`` of the legal,
   unvisited next squares (no join: the board is arithmetic).
 * ``warnsdorff_complete`` (G-3): one path per seed, extended square by square
-  with the fewest-onward-moves rule and a seeded hash tie-break.  The whole
-  walk is a per-row ``aggregate`` over a set of squares, so seeds never leave
-  their partition: no shuffle at all, linear in the number of seeds; any board.
+  with the fewest-onward-moves rule and a seeded hash tie-break.  Seeds are dealt
+  out once, then a task walks a batch of them together with NumPy: linear in
+  the number of seeds; any board.
 * ``bounded_paths`` (G-4/G-5): the first ``per_seed`` full tours of every seed
   in degree order, by backtracking in rounds.  A round gives each open seed a
   budget of moves; what is not finished goes on in the next round from the
@@ -20,13 +20,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.board import (
-    DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, has_square, let, neighbour_lists, onward_moves, square_bit,
-    squares_of, with_square,
+    DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, has_square, neighbour_lists, onward_moves, squares_of, with_square,
 )
 from ..session import materialize
 
@@ -60,11 +62,22 @@ def expand_levels(seeds: DataFrame, levels: int, path: str = "tour",
 def count_levels(seeds: DataFrame, levels: int, path: str = "tour",
                  board: Board = DEFAULT_BOARD, keep: tuple[str, ...] = ("tour_id",)) -> DataFrame:
     """``(keep…, depth, n_paths)``: the number of simple continuations per
-    depth, without materialising one row per path."""
-    d = _level_columns(seeds.select(*keep, path), path, levels, board)
-    sizes = F.array(*[F.struct(F.lit(k).alias("depth"), F.size(f"l{k}").cast("long").alias("n_paths"))
-                      for k in range(1, levels + 1)])
-    return d.select(*keep, F.inline(sizes)).where(F.col("n_paths") > 0)
+    depth, without materialising one row per path: a task expands a slice of its seeds
+    together, level by level; the last level is counted only.  A seed that is empty or has a null or
+    off-board square has none."""
+    rows = seeds.select(*keep, F.col(path).alias("__path"))
+    dealt = rows.repartition(_tasks(seeds), *rows.columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squares = _Squares(board)
+        for b in batches:
+            n = squares.count_levels(b.column(len(keep)), levels)
+            row, depth = np.nonzero(n)
+            yield pa.record_batch([*[c.take(pa.array(row)) for c in b.columns[:len(keep)]], pa.array(depth + 1, pa.int32()),
+                                   pa.array(n[row, depth], pa.int64())], names=[*keep, "depth", "n_paths"])
+
+    kept = T.StructType([rows.schema[i] for i in range(len(keep))])
+    return dealt.mapInArrow(count, kept.add("depth", T.IntegerType()).add("n_paths", T.LongType()))
 
 
 def count_by_states(seeds: DataFrame, levels: int, path: str = "tour", board: Board = DEFAULT_BOARD,
@@ -96,34 +109,99 @@ def count_by_states(seeds: DataFrame, levels: int, path: str = "tour", board: Bo
     return per.join(counts, "state").select(seed_id, "depth", "n_paths")
 
 
-class _Visited:
-    """Sets of visited squares: one BIGINT up to 64 squares, an array of words beyond."""
+class _Squares:
+    """Paths of a batch as NumPy arrays: neighbours by square, ``n`` where there is none."""
 
     def __init__(self, board: Board):
-        self.board, self.small, self.near = board, board.n_squares <= 64, neighbour_lists(board)
-
-    def of(self, path: Column) -> Column:
-        if not self.small:
-            return squares_of(path, self.board)
-        return F.aggregate(path, F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(square_bit(p)))
-
-    def add(self, visited: Column, q: Column) -> Column:
-        return visited.bitwiseOR(square_bit(q)) if self.small else with_square(visited, q)
-
-    def free(self, visited: Column, last: Column) -> Column:
-        has = (lambda q: visited.bitwiseAND(square_bit(q)) != 0) if self.small else (lambda q: has_square(visited, q))
-        return F.filter(F.element_at(self.near, last + 1), lambda q: ~has(q))
-
-    def candidates(self, last: Column, visited: Column) -> Column:
-        """Next squares from ``last`` not in ``visited`` as (degree, square) structs,
-        degree = unvisited onward moves from the candidate (Warnsdorff's rule)."""
-        if self.small:
-            masks = array_literal(tuple(self.board.neighbour_masks), "bigint")
-            degree = lambda q: F.bit_count(F.element_at(masks, q + 1).bitwiseAND(
-                F.bitwise_not(visited.bitwiseOR(square_bit(q)))))
-        else:  # a candidate is no neighbour of itself
-            degree = lambda q: F.size(self.free(visited, q))
-        return F.transform(self.free(visited, last), lambda q: F.struct(degree(q).alias("deg"), q.alias("q")))
+        self.n = n = board.n_squares
+        lists = [board.neighbours_of(p) for p in range(n)]
+        self.near = np.full((n + 1, max([1, *map(len, lists)])), n, np.int32)
+        for p, to in enumerate(lists):
+            self.near[p, :len(to)] = to
+        self.reach = np.zeros((n, n), np.float32)  # [q, p]: p is a neighbour of q
+        for p, to in enumerate(lists):
+            self.reach[to, p] = 1
+
+    def read(self, paths: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(squares, sizes, known)``: a row for each path, filled up with ``n``; ``n`` also for squares that
+        are null or off the board; whether a path is there and has none of these."""
+        flat = paths.flatten()
+        size = pc.fill_null(pc.list_value_length(paths), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.fill_null(flat, self.n).to_numpy(zero_copy_only=False).astype(np.int32)
+        values = np.where((values < 0) | (values >= self.n), self.n, values)
+        squares = np.full((len(size), max(self.n, int(size.max(initial=0)))), self.n, np.int32)
+        squares[np.arange(squares.shape[1]) < size[:, None]] = values
+        known = paths.is_valid().to_numpy(zero_copy_only=False) & ((squares != self.n).sum(axis=1) == size)
+        return squares, size, known
+
+    def visited(self, squares: np.ndarray) -> np.ndarray:
+        """``[row, square]``; the square ``n`` counts as visited."""
+        seen = np.zeros((len(squares), self.n + 1), bool)
+        seen[:, self.n] = True
+        seen[np.arange(len(squares))[:, None], squares] = True
+        return seen
+
+    def count_levels(self, paths: pa.Array, levels: int) -> np.ndarray:
+        """``[path, depth - 1]``: simple continuations of each path by exactly ``depth`` moves."""
+        out = np.zeros((len(paths), levels), np.int64)
+        at_once = max(1, 2**21 // 8**min(levels, 7))
+        for first in range(0, len(paths), at_once):
+            squares, size, known = self.read(paths.slice(first, at_once))
+            seen = self.visited(squares)
+            row = np.flatnonzero(known & (size > 0))
+            added = squares[row, size[row] - 1][:, None]  # the last square and the moves since
+            for d in range(levels):
+                to = self.near[added[:, -1]]
+                free = ~seen[row[:, None], to]
+                for k in range(1, d + 1):
+                    free &= to != added[:, k, None]
+                out[first:first + at_once, d] = np.bincount(row, free.sum(axis=1), len(size))
+                if d + 1 < levels:
+                    path, way = np.nonzero(free)
+                    row, added = row[path], np.concatenate([added[path], to[path, way][:, None]], axis=1)
+        return out
+
+    def warnsdorff(self, keys: list, paths: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All paths walked on together, a move each at a time: ``(squares, sizes, known)`` as ``read`` gives them."""
+        n = self.n
+        squares, size, known = self.read(paths)
+        seen = self.visited(squares)
+        free_near = ((~seen[:, :n]).astype(np.float32) @ self.reach).astype(np.int32)
+        free_near = np.concatenate([free_near, np.zeros((len(size), 1), np.int32)], axis=1)
+        head = [(f"{seed}:" if k is None else f"{seed}:{k}:").encode() for k in keys]
+        tail = [[f"{i}:{q}".encode() for q in range(n)] for i in range(n)]
+        row = np.flatnonzero(known & (size > 0) & (size < n))
+        while len(row):
+            to = self.near[squares[row, size[row] - 1]]
+            open_ = ~seen[row[:, None], to]
+            some = open_.any(axis=1)
+            row, to, open_ = row[some], to[some], open_[some]
+            degree = np.where(open_, free_near[row[:, None], to], n + 1)
+            least = degree == degree.min(axis=1, initial=n + 1, keepdims=True)
+            way = least.argmax(axis=1)
+            tied = np.flatnonzero(least.sum(axis=1) > 1)
+            at, ways = np.nonzero(least[tied])
+            best = [b"\xff" * 17] * len(tied)
+            choice = way[tied]
+            many = row[tied]
+            for i, w, r, s, q in zip(at.tolist(), ways.tolist(), many[at].tolist(), size[many[at]].tolist(),
+                                     to[tied[at], ways].tolist()):
+                h = hashlib.md5(head[r] + tail[s][q]).digest()
+                if h < best[i]:
+                    best[i], choice[i] = h, w
+            way[tied] = choice
+            q = to[np.arange(len(row)), way]
+            squares[row, size[row]] = q
+            seen[row, q] = True
+            free_near[row[:, None], self.near[q]] -= 1  # the filling ``n`` is never a candidate
+            size[row] += 1
+            row = row[size[row] < n]
+        return squares, size, known
+
+
+def _tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
 def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
@@ -134,35 +212,34 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
     that reaches a square with no free neighbour stops (``complete`` false),
     as the reference drops such dead ends.
 
+    Seeds are dealt out to all tasks first (a small table of keys is one task's, the work is in
+    the moves), then a task walks a batch of them together.  A seed with a null or off-board
+    square is not walked; a null one has a null ``complete``.
+
     Output: ``(keep…, path, complete)``."""
-    n, seen = board.n_squares, _Visited(board)
+    n = board.n_squares
     square = "tinyint" if n <= 128 else "int"
-    key = F.col(keep[0]) if keep else F.lit(0)
-    start = F.col(path).cast(f"array<{square}>")
-    init = F.struct(start.alias("p"), seen.of(start).alias("v"), F.lit(False).alias("stuck"))
-
-    def step(acc, _i):
-        last = F.element_at(acc["p"], -1).cast("int")
-        ranked = F.transform(seen.candidates(last, acc["v"]), lambda x: F.struct(
-            x["deg"].alias("deg"), F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.size(acc["p"]).cast("string"),
-                                                     x["q"].cast("string"))).alias("h"), x["q"].alias("q")))
-        done = acc["stuck"] | (F.size(acc["p"]) >= n)
-        stuck = F.struct(acc["p"].alias("p"), acc["v"].alias("v"), F.lit(True).alias("stuck"))
-
-        def advance(best):
-            return F.struct(
-                F.concat(acc["p"], F.array(best["q"].cast(square))).alias("p"),
-                seen.add(acc["v"], best["q"]).alias("v"),
-                F.lit(False).alias("stuck"))
-        # candidates and the chosen move are each evaluated once (``let``)
-        return F.when(done, acc).otherwise(let(ranked, lambda rk: F.when(
-            F.size(rk) == 0, stuck).otherwise(let(F.array_min(rk), advance))))
-
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(n) - F.size(start), F.lit(1)))
-    walk = F.aggregate(steps, init, step)
-    out = seeds.select(*keep, walk.alias("_w"))
-    return out.select(*keep, F.col("_w.p").alias("path"),
-                      (F.size(F.col("_w.p")) == n).alias("complete"))
+    key = (F.col(keep[0]) if keep else F.lit(0)).cast("string")
+    rows = seeds.select(*keep, key.alias("__key"), F.col(path).cast(f"array<{square}>").alias("__path"))
+    dealt = rows.repartition(_tasks(seeds), "__key", "__path")
+    kind = pa.int8() if n <= 128 else pa.int32()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        board_squares = _Squares(board)
+        for b in batches:
+            paths = b.column(len(keep) + 1)
+            squares, size, known = board_squares.warnsdorff(b.column(len(keep)).to_pylist(), paths, seed)
+            there = paths.is_valid().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(np.where(known, size, 0))]).astype(np.int32)
+            walked = squares[(np.arange(squares.shape[1]) < size[:, None]) & known[:, None]]
+            full = pa.ListArray.from_arrays(pa.array(ends), pa.array(walked, kind))
+            if not known.all():  # these stay as they are
+                full = pc.if_else(pa.array(known), full, paths.cast(full.type))
+            yield pa.record_batch([*b.columns[:len(keep)], full, pa.array(size == n, mask=~there)], names=[*keep, "path", "complete"])
+
+    kept = T.StructType([rows.schema[i] for i in range(len(keep))])
+    squares_type = T.ArrayType(T.ByteType() if n <= 128 else T.IntegerType())
+    return dealt.mapInArrow(walk, kept.add("path", squares_type).add("complete", T.BooleanType()))
 
 
 def quadrant(board: Board = DEFAULT_BOARD) -> list[int]:
@@ -357,7 +434,7 @@ def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour",
 
     Branches are cut only where no full tour exists.  Null, empty, repeating and off-board
     seeds have no tour; a full seed is its own.  Ids should be unique."""
-    spark, n = seeds.sparkSession, board.n_squares
+    n = board.n_squares
     kind = seeds.schema[seed_id].dataType.simpleString()
     usable = (F.size(path) > 0) & (F.size(F.array_distinct(path)) == F.size(path)) & F.forall(
         F.col(path), lambda p: p.isNotNull() & p.between(0, n - 1))
@@ -366,7 +443,7 @@ def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour",
     todo = seeds.where(usable & (wanted > 0)).select(
         F.monotonically_increasing_id().alias("key"), F.col(seed_id).alias("sid"), start.alias("start"), F.size(path).alias("base"), start.alias("at"),
         F.array().cast("array<int>").alias("rank"), wanted.cast("int").alias("want"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = _tasks(seeds)
     ints = pa.list_(pa.int32())
     found_type = pa.list_(pa.struct([("rank", ints), ("path", ints)]))
     open_type = pa.list_(pa.struct([("base", pa.int32()), ("at", ints), ("rank", ints)]))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tasks for each core once an input has a split for every core.
+TASKS_A_CORE = 4
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin spread an input that arrives in fewer splits than the
-    cluster has cores (a small single-row-group file).  A no-op for inputs
-    that are already split finely, which is the case at scale."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    """Rows dealt out to at least a task for each core.  The number of splits does not say
+    how rows lie in them: a row group is read by one split whole, so a file with one has one split
+    with all rows and the others empty.  Inputs of many splits get more tasks, so none is long."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(want if splits < want else max(splits, TASKS_A_CORE * want))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str,

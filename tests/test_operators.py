@@ -269,3 +269,52 @@ def test_exact_pick_cuts_inside_a_key_with_a_third_of_the_rows(spark, monkeypatc
         assert {r["id"] for r in got if r["g"] == g} == {x[1] for x in rows[:middle]}
     sizes = [r["count"] for r in seen[0]]
     assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+
+
+def _walk(start, key, seed, board):
+    """Warnsdorff's rule by hand."""
+    path = list(start)
+    while len(path) < board.n_squares:
+        free = [q for q in board.neighbours_of(path[-1]) if q not in path]
+        if not free:
+            break
+        path.append(min(free, key=lambda q: (
+            sum(x not in path and x != q for x in board.neighbours_of(q)),
+            hashlib.md5(f"{seed}:{key}:{len(path)}:{q}".encode()).hexdigest(), q)))
+    return path
+
+
+@pytest.mark.parametrize("board", [B.Board(5, 4), B.DEFAULT_BOARD, B.Board(9, 8), B.Board(12, 12)])
+def test_walks_of_a_batch_follow_the_rule(spark, board):
+    kind = "tinyint" if board.n_squares <= 128 else "int"
+    seeds = [(k, [k % board.n_squares]) for k in range(60)] + [(99, _walk([0], 0, 1, board)[:9]), (100, None), (101, list(range(board.n_squares)))]
+    df = spark.createDataFrame(seeds, f"tour_id long, tour array<{kind}>")
+    out = P.warnsdorff_complete(df.coalesce(1), "tour", 7, board)
+    got = {r.tour_id: (r.path, r.complete) for r in out.collect()}
+    for key, start in seeds:
+        want = None if start is None else _walk(start, key, 7, board)
+        assert got[key] == (want, None if want is None else len(want) == board.n_squares), key
+    # the seeds of one partition are walked by all tasks
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_levels_are_counted_as_expanded(spark):
+    board = B.Board(5, 5)
+    seeds = [(k, _walk([k % 25], k, 3, board)[:1 + k % 20]) for k in range(80)] + [(90, None), (91, []), (92, [3, None])]
+    df = spark.createDataFrame(seeds, "tour_id long, tour array<tinyint>").coalesce(1)
+    want = P.expand_levels(df, 4, "tour", board).groupBy("tour_id", "depth").agg(F.count("*").alias("n_paths"))
+    out = P.count_levels(df, 4, "tour", board)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_one_row_group_is_dealt_out(spark, tmp_path):
+    from seqorbit.sources.tables import read_table
+    spark.range(40_000).withColumn("v", F.xxhash64("id")).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")  # many splits, and all rows in one of them
+    try:
+        rows = [r["count"] for r in read_table(spark, str(tmp_path), "t", "id").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(rows) == 40_000 and max(rows) < 10_000
