@@ -340,29 +340,27 @@ def is_step(a, b, board: Board = DEFAULT_BOARD) -> Column:
                   F.element_at(table, a * n + b + 1)).otherwise(F.lit(False))
 
 
-def _step_indices(t: Column) -> Column:
-    """1-based indices i such that (t[i], t[i+1]) is a step; empty if size < 2."""
-    return F.when(F.size(t) < 2, F.array().cast("array<int>")).otherwise(
-        F.sequence(F.lit(1), F.size(t) - 1))
+def _steps(t: Column, board: Board) -> Column:
+    """For every consecutive pair of ``t`` whether it is a move; empty if size < 2.  Both squares
+    are lambda variables, so none is fetched from the sequence more than once."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: is_step(a, b, board))
 
 
 def is_legal(tour, board: Board = DEFAULT_BOARD) -> Column:
     """Every consecutive pair is a move (V-1); empty and single pass, null stays null."""
-    return let(tour, lambda t: F.forall(
-        _step_indices(t), lambda i: is_step(F.element_at(t, i), F.element_at(t, i + 1), board)))
+    return let(tour, lambda t: F.when(t.isNotNull(), ~F.array_contains(_steps(t, board), F.lit(False))))
 
 
 def n_illegal_steps(tour, board: Board = DEFAULT_BOARD) -> Column:
-    return let(tour, lambda t: F.size(F.filter(
-        _step_indices(t), lambda i: ~is_step(F.element_at(t, i), F.element_at(t, i + 1), board))))
+    return let(tour, lambda t: F.when(t.isNotNull(), F.size(F.filter(_steps(t, board), lambda ok: ~ok))))
 
 
 def first_illegal_step(tour, board: Board = DEFAULT_BOARD) -> Column:
     """1-based index of the first square reached by an illegal move, or null."""
     def body(t):
-        bad = F.filter(_step_indices(t),
-                       lambda i: ~is_step(F.element_at(t, i), F.element_at(t, i + 1), board))
-        return F.when(F.size(bad) > 0, F.element_at(bad, 1) + 1)
+        at = F.array_position(_steps(t, board), F.lit(False))
+        return F.when(at > 0, (at + 1).cast("int"))
     return let(tour, body)
 
 

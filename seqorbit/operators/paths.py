@@ -31,6 +31,7 @@ from ..functions.board import (
     DEFAULT_BOARD, TOUR_TYPE, Board, array_literal, has_square, neighbour_lists, onward_moves, squares_of, with_square,
 )
 from ..session import materialize
+from ..sources.tables import task_count
 
 
 def _level_columns(df: DataFrame, path: str, levels: int, board: Board) -> DataFrame:
@@ -66,7 +67,7 @@ def count_levels(seeds: DataFrame, levels: int, path: str = "tour",
     together, level by level; the last level is counted only.  A seed that is empty or has a null or
     off-board square has none."""
     rows = seeds.select(*keep, F.col(path).alias("__path"))
-    dealt = rows.repartition(_tasks(seeds), *rows.columns)
+    dealt = rows.repartition(task_count(seeds.sparkSession), *rows.columns)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squares = _Squares(board)
@@ -199,11 +200,6 @@ class _Squares:
         return squares, size, known
 
 
-def _tasks(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
                         board: Board = DEFAULT_BOARD,
                         keep: tuple[str, ...] = ("tour_id",)) -> DataFrame:
@@ -221,7 +217,7 @@ def warnsdorff_complete(seeds: DataFrame, path: str = "tour", seed: int = 42,
     square = "tinyint" if n <= 128 else "int"
     key = (F.col(keep[0]) if keep else F.lit(0)).cast("string")
     rows = seeds.select(*keep, key.alias("__key"), F.col(path).cast(f"array<{square}>").alias("__path"))
-    dealt = rows.repartition(_tasks(seeds), "__key", "__path")
+    dealt = rows.repartition(task_count(seeds.sparkSession), "__key", "__path")
     kind = pa.int8() if n <= 128 else pa.int32()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +439,7 @@ def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour",
     todo = seeds.where(usable & (wanted > 0)).select(
         F.monotonically_increasing_id().alias("key"), F.col(seed_id).alias("sid"), start.alias("start"), F.size(path).alias("base"), start.alias("at"),
         F.array().cast("array<int>").alias("rank"), wanted.cast("int").alias("want"))
-    parts = _tasks(seeds)
+    parts = task_count(seeds.sparkSession)
     ints = pa.list_(pa.int32())
     found_type = pa.list_(pa.struct([("rank", ints), ("path", ints)]))
     open_type = pa.list_(pa.struct([("base", pa.int32()), ("at", ints), ("rank", ints)]))
