@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks that rows are dealt to where the work on a row outweighs its bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 #: Tasks for each core once an input has a split for every core.
 TASKS_A_CORE = 4
 

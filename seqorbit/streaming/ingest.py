@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.board import DEFAULT_BOARD, TOUR_TYPE, Board, is_valid_tour, tour_key, with_canonical
-from ..session import stage_path
+from ..session import materialize, stage_path
+from ..sources.tables import task_count
 
 N_BUCKETS = 64
 
@@ -49,12 +50,14 @@ def _store_exists(spark: SparkSession, path: str) -> bool:
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """One micro-batch: dedup within, anti join against the store, append."""
+    """One micro-batch: dedup within, anti join against the store, append.  The batch is
+    canonicalised once: its first rows are staged."""
     spark = batch.sparkSession
     first = (batch.groupBy("bucket", "canon_key")
                   .agg(F.min(F.struct("tour_id", "source")).alias("_f"))
                   .select("bucket", "canon_key", F.col("_f.tour_id").alias("tour_id"),
                           F.col("_f.source").alias("source")))
+    first = materialize(first, "ingest-first")
     if _store_exists(spark, store):
         # the buckets present in this batch: at most N_BUCKETS values
         buckets = [r[0] for r in first.select("bucket").distinct().collect()]
@@ -70,7 +73,8 @@ def start_unique_ingest(spark: SparkSession, source_dir: str, store: str, checkp
     """Start the ingest stream; returns the ``StreamingQuery``."""
     stream = (spark.readStream.schema(TOUR_STREAM_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    rows = canonical_rows(stream, board)
+    # a file of few row groups is read by few tasks: its rows are dealt out before the work on them
+    rows = canonical_rows(stream.repartition(task_count(spark)), board)
     if within_watermark:
         # event-time operators need TIMESTAMP; the tables carry TIMESTAMP_NTZ
         # (session time zone is UTC), so the cast keeps the wall-clock value

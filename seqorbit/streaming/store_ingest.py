@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.board import DEFAULT_BOARD, Board, is_valid_tour, tour_key, with_canonical
 from ..session import materialize, stage_path
 from ..sources.store import BUCKET_ROWS, VersionedStore, key_of
+from ..sources.tables import task_count
 from .ingest import TOUR_STREAM_SCHEMA
 
 STORED = "tour_id long, source string, tour array<tinyint>, ts timestamp_ntz, canon_key string"
@@ -75,7 +76,9 @@ def start_store_ingest(spark: SparkSession, source_dir: str, store: VersionedSto
     def write(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, batch_id, store, late_after, name)
 
-    w = canonical_rows(stream, board).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    # a file of few row groups is read by few tasks: its rows are dealt out before the work on them
+    dealt = stream.repartition(task_count(spark))
+    w = canonical_rows(dealt, board).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 

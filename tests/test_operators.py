@@ -318,3 +318,32 @@ def test_one_row_group_is_dealt_out(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert sum(rows) == 40_000 and max(rows) < 10_000
+
+
+def test_step_checks_on_odd_sequences(spark):
+    rows = [(None, None, None, None), ([], True, 0, None), ([3], True, 0, None), ([None], True, 0, None), ([0, 17], True, 0, None),
+            ([0, 17, None], False, 1, 3), ([None, 0], False, 1, 2), ([0, 17, -3], False, 1, 3), ([70, 80], False, 1, 2),
+            ([17, 0, 1, 0, 17], False, 2, 3), ([0, 17, 2, 8], True, 0, None)]
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, t array<tinyint>")
+    got = df.select("i", B.is_legal("t"), B.n_illegal_steps("t"), B.first_illegal_step("t")).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [r[1:] for r in rows]
+
+
+def test_a_micro_batch_is_evaluated_once(spark, tmp_path):
+    from pyspark.sql import types as T
+    from seqorbit.streaming.ingest import ingest_batch
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(k, "s", f"{k % 7:02d}", k % 7) for k in range(70)],
+                                 "tour_id long, source string, canon_key string, bucket int")
+    store = f"{tmp_path}/store"
+    ingest_batch(rows.where("tour_id < 3"), 0, store)
+    ingest_batch(rows.mapInArrow(count, T.StructType(rows.schema.fields)), 1, store)
+    got = spark.read.parquet(store).select("canon_key", "tour_id").collect()
+    assert sorted(map(tuple, got)) == [(f"{k:02d}", k) for k in range(7)]
+    assert seen.value == 70
