@@ -12,7 +12,8 @@ Three forms, by how much state a seed needs:
 * ``bounded_paths`` (G-4/G-5): the first ``per_seed`` full tours of every seed
   in degree order, by backtracking in rounds.  A round gives each open seed a
   budget of moves; what is not finished goes on in the next round from the
-  node it stands at, and hard seeds are cut into branches for all tasks.
+  node it stands at, and hard seeds are cut into branches for all tasks.  The
+  first round, which ends most seeds, takes a batch of them together with NumPy.
 """
 
 from __future__ import annotations
@@ -409,6 +410,105 @@ class _Search:
         return out, parts
 
 
+class _BatchSearch:
+    """The first round for a batch of seeds: each goes on depth first by ``_Search``'s order and
+    test, all of them a move at a time.  For pieces that can take every move back."""
+
+    def __init__(self, board: Board, seed: int, order: str):
+        self.squares, self.n, self.seed, self.order = _Squares(board), board.n_squares, seed, order
+        # by the number of the move, ``n`` where it leaves the board
+        self.near = np.full((self.n + 1, len(board.offsets)), self.n, np.int32)
+        for p, to in enumerate(_Search(board, seed, order, False).moves):
+            for k, q in to:
+                self.near[p, k] = q
+        self.tail = [[f"{i}:{q}".encode() for q in range(self.n)] for i in range(self.n)]
+
+    def _ties(self, rows: np.ndarray, size: np.ndarray, to: np.ndarray, degree: np.ndarray, head: list) -> list:
+        """Sort keys below the degree: both halves of the md5 where a degree is shared."""
+        shared = ((degree[:, :, None] == degree[:, None, :]).sum(axis=2) > 1) & (degree <= self.n)
+        at, way = np.nonzero(shared)
+        sums = [hashlib.md5(head[r] + self.tail[s][q]).digest()
+                for r, s, q in zip(rows[at].tolist(), size[at].tolist(), to[at, way].tolist())]
+        halves = np.zeros((2, *to.shape), np.uint64)
+        halves[:, at, way] = np.frombuffer(b"".join(sums), ">u8").reshape(-1, 2).T
+        return [halves[1], halves[0]]
+
+    def advance(self, keys: list, paths: pa.Array, want: np.ndarray, budget: int):
+        """Up to ``want`` tours of each seed in ``budget`` moves: (rows of the tours found, in the order of
+        each row, their squares, whether a row is still open, the squares and sizes of the nodes that rows stand at)."""
+        n, near = self.n, self.near
+        squares, size, _ = self.squares.read(paths)
+        seen = self.squares.visited(squares)
+        free_near = np.zeros(seen.shape, np.int16)
+        free_near[:, :n] = (~seen[:, :n]).astype(np.float32) @ self.squares.reach
+        head = [f"{self.seed}:{k}:".encode() for k in keys]
+        base, left, moves = size.copy(), want.copy(), np.zeros(len(size), np.int64)
+        options = np.full((len(size), n + 1, near.shape[1]), n, np.int16)  # next squares by size of the path, best first
+        count, tried = np.zeros((2, len(size), n + 1), np.int16)
+        open_ = np.zeros(len(size), bool)
+        found = [np.flatnonzero((size == n) & (want > 0))]
+        tours = [squares[found[0], :n]]
+
+        def enter(rows: np.ndarray) -> None:
+            """The options of the nodes that ``rows`` stand at."""
+            last = squares[rows, size[rows] - 1]
+            count[rows, size[rows]] = tried[rows, size[rows]] = 0
+            enters = free_near[rows]
+            enters[np.arange(len(rows))[:, None], near[last]] += 1
+            enters = np.where(seen[rows], n + 1, enters)  # squares from which a free square can be entered
+            some = (enters.min(axis=1, initial=n + 1) > 0) & ((enters == 1).sum(axis=1) < 2)  # as ``_Search._hopeless``
+            rows, to, enters = rows[some], near[last[some]], enters[some]
+            s = size[rows]
+            degree = enters[np.arange(len(rows))[:, None], to] - 1  # ``n`` for squares that are not free
+            degree = np.where((degree < n) & ((degree > 0) | (s == n - 1)[:, None]), degree, n + 1)
+            count[rows, s] = (degree <= n).sum(axis=1)
+            way = np.argsort(degree, axis=1, kind="stable")
+            if self.order != "offset":
+                by = np.take_along_axis(degree, way, axis=1)
+                tied = np.flatnonzero(((by[:, 1:] == by[:, :-1]) & (by[:, 1:] <= n)).any(axis=1))
+                if len(tied):
+                    way[tied] = np.lexsort([*self._ties(rows[tied], s[tied], to[tied], degree[tied], head), degree[tied]], axis=1)
+            options[rows, s] = np.take_along_axis(to, way, axis=1)
+
+        live = np.flatnonzero((size < n) & (want > 0))
+        enter(live)
+        while len(live):
+            more = tried[live, size[live]] < count[live, size[live]]
+            go, back = live[more], live[~more]
+            back = back[size[back] > base[back]]  # the others are searched to the end
+            size[back] -= 1
+            q = squares[back, size[back]]
+            squares[back, size[back]] = n
+            seen[back, q] = False
+            free_near[back[:, None], near[q]] += 1
+            s = size[go]
+            q = options[go, s, tried[go, s]]
+            tried[go, s] += 1
+            squares[go, s] = q
+            seen[go, q] = True
+            free_near[go[:, None], near[q]] -= 1
+            size[go] += 1
+            moves[go] += 1
+            ends = size[go] == n
+            done, go = go[ends], go[~ends]
+            found.append(done)
+            tours.append(squares[done, :n])
+            left[done] -= 1
+            over = moves[go] >= budget
+            open_[go[over]] = True
+            go = go[~over]
+            enter(go)
+            live = np.concatenate([back, done[left[done] > 0], go])
+        return np.concatenate(found), np.concatenate(tours), open_, squares, size
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A list of the first ``sizes`` values of each row."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    flat = values[np.arange(values.shape[1]) < sizes[:, None]]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
 #: Moves of a branch in one round once a round has fewer branches than task slots.
 SPLIT_BUDGET = 20_000
 
@@ -422,7 +522,7 @@ def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour",
 
     While there are more open seeds than task slots, a seed is one row: a round advances it
     by ``budget`` moves (four times as many in each later round, which also tests nodes
-    harder), and what is open is dealt out again with the node it stands at.  When fewer are left,
+    harder; the first takes the seeds of a batch together), and what is open is dealt out again with the node it stands at.  When fewer are left,
     they are cut into branches, one row for a node's untried sibling, so that one hard seed
     is searched by all tasks.  A branch carries its depth-first rank (an array of ordinals):
     the branches of least rank go first, and those beyond the rank of a seed's last wanted tour are
@@ -458,6 +558,25 @@ def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour",
                     names=["key", "sid", "start", "want", "found", "open"])
         return run
 
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _BatchSearch(board, seed, order)
+        for b in batches:
+            want = b.column(3).to_numpy().astype(np.int64)
+            rows, tours, open_, squares, size = search.advance(b.column(1).to_pylist(), b.column(2), want, budget)
+            by = np.argsort(rows, kind="stable")
+            ends, tours = np.bincount(rows, minlength=len(want)), tours[by]
+            none, at = np.zeros(len(by), np.int64), np.flatnonzero(open_)
+            found = pa.StructArray.from_arrays([_lists(tours, none), _lists(tours, none + n)], names=["rank", "path"])
+            nodes = pa.StructArray.from_arrays([
+                pc.list_value_length(b.column(2)).take(pa.array(at)), _lists(squares[at], size[at]),
+                _lists(squares[at], np.zeros(len(at), np.int64))], names=["base", "at", "rank"])
+            yield pa.record_batch([
+                b.column(0), b.column(1), pc.if_else(pa.array(open_), b.column(2), pa.scalar(None, b.column(2).type)),
+                pa.array(want - ends, pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ends)]), pa.int32()), found),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(open_)]), pa.int32()), nodes)],
+                names=["key", "sid", "start", "want", "found", "open"])
+
     schema = (f"key long, sid {kind}, start array<int>, want int, found array<struct<rank array<int>, path array<int>>>, "
               "open array<struct<base int, at array<int>, rank array<int>>>")
 
@@ -472,9 +591,14 @@ def bounded_paths(seeds: DataFrame, per_seed: int | Column, path: str = "tour",
     def still_open(step: DataFrame) -> DataFrame:
         return step.select("key", "sid", "start", F.inline("open"), "want")
 
+    both_ways = {(-a, -b) for a, b in board.offsets} == set(board.offsets)
     out, first = None, True
     while True:
-        step = advance(todo, budget, not first, False)
+        if first and both_ways:
+            dealt = todo.select("key", "sid", "start", "want").repartition(parts, "key")
+            step = materialize(dealt.mapInArrow(first_round, schema), "paths-round")
+        else:
+            step = advance(todo, budget, not first, False)
         out = tours_of(step) if out is None else out.unionByName(tours_of(step))
         todo, first = still_open(step), False
         left = todo.count()

@@ -347,3 +347,60 @@ def test_a_micro_batch_is_evaluated_once(spark, tmp_path):
     got = spark.read.parquet(store).select("canon_key", "tour_id").collect()
     assert sorted(map(tuple, got)) == [(f"{k:02d}", k) for k in range(7)]
     assert seen.value == 70
+
+
+@pytest.mark.parametrize("order", ["md5", "offset"])
+def test_first_round_finds_what_the_plain_search_finds(order):
+    """A batch of seeds together: the same tours in the same order; open seeds go on from their node."""
+    import numpy as np
+    import pyarrow as pa
+    from seqorbit.sources.fixtures import BASE_TOURS
+    late = [list(t[:n]) for t in BASE_TOURS for n in (1, 30, 50, 52, 56, 60, 63, 64)]
+    for board, seeds, want in ((B.DEFAULT_BOARD, late, 3), (B.Board(5, 4), [[i] for i in range(20)], 2), (B.Board(6, 5), [[0], [1, 9], [8]], 4)):
+        keys = [None, *range(1, len(seeds))]
+        plain = P._Search(board, 42, order, False)
+        for budget in (7, 40, 400):
+            rows, tours, left, squares, size = P._BatchSearch(board, 42, order).advance(
+                keys, pa.array(seeds, pa.list_(pa.int32())), np.full(len(seeds), want), budget)
+            for i, s in enumerate(seeds):
+                got = tours[rows == i].tolist()
+                if left[i]:
+                    node = squares[i, :size[i]].tolist()
+                    assert len(node) < board.n_squares and len(got) < want
+                    rest = plain.advance(keys[i], s, len(s), node, want - len(got), 3000, False)[0]
+                    both = plain.advance(keys[i], s, len(s), s, want, 3000 + budget, False)[0]
+                    k = min(len(both), len(got) + len(rest))
+                    assert [*got, *[p for _, p in rest]][:k] == [p for _, p in both][:k] and len(got) <= len(both)
+                else:
+                    assert got == [p for _, p in plain.advance(keys[i], s, len(s), s, want, 10 ** 9, False)[0]]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fixture_tours_are_cut_from_a_table(spark):
+    from seqorbit.sources import fixtures as FX
+    board = B.DEFAULT_BOARD
+    df = spark.createDataFrame([(k, k * 7 % 91) for k in range(200)] + [(None, 3), (4, None)], "k long, c long")
+    for r in df.select("k", "c", FX.fixture_tour("k", "c").alias("t"), FX.fixture_tour("k", "c", corrupt=False).alias("clean")).collect():
+        if r.k is None or r.c is None:
+            assert r.t is None and r.clean is None
+            continue
+        back = r.k // 3 % 2
+        want = [board.image_of(r.k // 6 % 8, FX.BASE_TOURS[r.k % 3][(r.c + (63 - i if back else i)) % 64]) for i in range(64)]
+        assert r.clean == want
+        assert r.t == [(p + 1) % 64 if i == 10 and r.k % 50 == 0 else p for i, p in enumerate(want)]
+    assert "lambdafunction" not in _plan(df.select(FX.fixture_tour("k", "c", corrupt=False)))  # no work for each square
+
+
+def test_keys_of_odd_sequences(spark):
+    df = spark.createDataFrame([(0, [0, 17]), (1, [7, None, 63]), (2, [64, 100, -3]), (3, []), (4, None)], "i int, t array<tinyint>")
+    got = [r[0] for r in df.orderBy("i").select(B.tour_key("t"), "i").collect()]
+    assert got == ["00-17", "07-63", "64-10--3", "", ""]
+
+
+def test_global_quota_checks_its_input_once(spark):
+    from __spark_entry__ import queries
+    plan = _plan(queries()["global_quota"](spark, "/root/testdata/sf0.001"))
+    assert "lambdafunction" not in plan
