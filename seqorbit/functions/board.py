@@ -300,7 +300,9 @@ def canonical_full(tour, board: Board = DEFAULT_BOARD) -> Column:
 def tour_key(tour, board: Board = DEFAULT_BOARD) -> Column:
     """Zero-padded squares joined by '-'; string order equals array order."""
     w = board.key_width
-    return F.concat_ws("-", F.transform(_c(tour), lambda p: F.lpad(p.cast("string"), w, "0")))
+    known = F.expr("array(" + ",".join(f"'{p:0{w}d}'" for p in range(board.n_squares)) + ")")
+    return F.concat_ws("-", F.transform(_c(tour), lambda p: F.coalesce(
+        F.get(known, p.cast("int")), F.lpad(p.cast("string"), w, "0"))))
 
 
 def key_prefix(key, k: int, board: Board = DEFAULT_BOARD) -> Column:
@@ -335,9 +337,9 @@ def is_step(a, b, board: Board = DEFAULT_BOARD) -> Column:
         return is_step_arith(a, b, board)
     a = _c(a).cast("int")
     b = _c(b).cast("int")
-    table = array_literal(tuple(board.step_table), "boolean")
-    return F.when(in_board(a, board) & in_board(b, board),
-                  F.element_at(table, a * n + b + 1)).otherwise(F.lit(False))
+    # a row for each square; null for a square off the board
+    table = nested_array_literal(tuple(tuple(board.step_table[p * n:p * n + n]) for p in range(n)), "boolean")
+    return F.coalesce(F.get(F.get(table, a), b), F.lit(False))
 
 
 def _steps(t: Column, board: Board) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import board as B
 from ..operators import board_graph as G
 from ..operators import split as S
-from ..session import stage_path
+from ..session import materialize, stage_path
 from ..sources import parquet as PQ
 from ..sources.tables import read_table
 from . import sqltext as Q
@@ -99,7 +99,8 @@ def q_rect_board_usage(spark, sf):
           PRE + f", r AS (SELECT tour_id, tkey, row_number() OVER (ORDER BY md5(tkey || ':{SEED}'), tour_id) AS rn "
           f"FROM tv WHERE valid) SELECT tour_id, tkey AS tour_key FROM r WHERE rn <= {GLOBAL_QUOTA}")
 def q_global_quota(spark, sf):
-    t = tours(spark, sf).where(B.is_valid_tour("tour", BOARD)).select(
-        "tour_id", B.tour_key("tour", BOARD).alias("tour_key"))
+    # checks and keys once: the cut evaluates its input twice
+    t = materialize(tours(spark, sf).where(B.is_valid_tour("tour", BOARD)).select(
+        "tour_id", B.tour_key("tour", BOARD).alias("tour_key")), "valid-keys")
     return (S.exact_quota(t, "tour_key", GLOBAL_QUOTA, SEED, tie=("tour_id",))
             .where("picked").select("tour_id", "tour_key"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.board import DEFAULT_BOARD, TOUR_TYPE, square_image_by
+from ..functions.board import DEFAULT_BOARD, TOUR_TYPE, nested_array_literal
 
 # Three closed 8x8 knight's tours (row-major squares), the
 # seeds of the test corpus (FIXTURES.md section 3).
@@ -38,23 +38,26 @@ PARTIAL_SPREAD = 50
 PROMPT_SPREAD = 62      # completions are given 1 + key % 62 squares
 
 
-def _bases() -> Column:
-    return F.array(*[F.array(*[F.lit(x) for x in b]) for b in BASE_TOURS])
+def _rounds() -> Column:
+    """Every base tour, forwards and backwards, under every image, written twice: a window
+    of 64 squares is a rotation.  Slot ``(base * 2 + backwards) * 8 + image``."""
+    b = DEFAULT_BOARD
+    return nested_array_literal(tuple(tuple(b.image_of(k, p) for p in way * 2) for t in BASE_TOURS for way in (t, t[::-1])
+                                      for k in b.symmetries), "tinyint")
 
 
 def fixture_tour(key, cust, corrupt: bool = True) -> Column:
-    """The fixture tour chosen by (key, cust), built with array functions:
+    """The fixture tour chosen by (key, cust), cut from a table of 48 rounds:
     base tour rotated by ``cust % 64``, reversed for odd ``key // 3``, mapped
     by image ``(key // 6) % 8``, square 10 bumped for ``key % 50 = 0``."""
     key = F.col(key) if isinstance(key, str) else key
     cust = F.col(cust) if isinstance(cust, str) else cust
     n = DEFAULT_BOARD.n_squares
-    base = F.element_at(_bases(), (key % 3).cast("int") + 1)
     off = (cust % n).cast("int")
-    rotated = F.concat(F.slice(base, off + 1, F.lit(n) - off), F.slice(base, 1, off))
-    seq = F.when((F.floor(key / 3) % 2) == 1, F.reverse(rotated)).otherwise(rotated)
+    back = (F.floor(key / 3) % 2).cast("int")
     sym = (F.floor(key / 6) % 8).cast("int")
-    img = F.transform(seq, lambda p: square_image_by(p, sym))
+    slot = ((key % 3).cast("int") * 2 + back) * 8 + sym + 1
+    img = F.slice(F.element_at(_rounds(), slot), F.when(back == 1, F.lit(n + 1) - off).otherwise(off + 1), F.lit(n))
     if corrupt:
         img = F.when(key % CORRUPT_EVERY == 0,
                      F.transform(img, lambda x, i: F.when(i == CORRUPT_AT, (x + 1) % n).otherwise(x)))\
