@@ -3,6 +3,8 @@ vectorised word hashing and connected components."""
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +31,59 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     before = conf.get(_FREE_SHUFFLES, None)
     conf.set(_FREE_SHUFFLES, "true")
     try:
-        return materialize(df, f"llm-{name}")
+        table = materialize(df, f"llm-{name}")
     finally:
         if before is None:
             conf.unset(_FREE_SHUFFLES)
         else:
             conf.set(_FREE_SHUFFLES, before)
+    if (block := _SCRATCH.get()) is not None:
+        block.tables.append(table)
+    return table
+
+
+def _free(table: DataFrame) -> None:
+    """Deletes the files of a table that ``stage`` has written."""
+    for f in table.inputFiles()[:1]:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if path.getName().startswith("stage-llm-"):
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """The stage tables written in a ``with`` block.  They are freed at its end, or before by
+    ``drop``; tables that a lazy result still reads are passed on to the block around by ``keep``."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+
+    def __enter__(self):
+        self._token = _SCRATCH.set(self)
+        return self
+
+    def __exit__(self, *error):
+        _SCRATCH.reset(self._token)
+        if (outer := _SCRATCH.get()) is not None:
+            outer.tables.extend(self.kept)
+        self.drop(*self.tables)
+
+    def _without(self, gone) -> None:
+        self.tables = [t for t in self.tables if not any(t is x for x in gone)]
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._without(tables)
+        for t in tables:
+            _free(t)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self._without([table])
+        self.kept.append(table)
+        return table
+
+
+_SCRATCH: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:
@@ -147,6 +196,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     component's diameter.  All state is in staged tables; minima are combined
     before the shuffle, and the joins have a plain exchange on either side, so a
     node with very many links is split by the adaptive join."""
+    with Scratch() as own:
+        e = own.keep(_contracted(own, edges, max_rounds))
+    roots = e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)
+
+
+def _contracted(own: Scratch, edges: DataFrame, max_rounds: int) -> DataFrame:
+    """The stars ``(u, v)`` of all components: u is the smallest node."""
     e = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
               .where("u < v").distinct(), "cc-edges")
     seen = None
@@ -164,7 +221,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "v")
         e = stage(small.select(F.col("m").alias("u"), "v")
                   .union(small.where("u <> m").select("m", F.col("u").alias("v"))).distinct(), "cc-edges")
+        own.drop(*[t for t in own.tables if t is not e])
     else:
         raise RuntimeError("components did not settle")
-    roots = e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    return e.select(F.col("v").alias("node"), F.col("u").alias("component")).union(roots)
+    return e

@@ -9,7 +9,8 @@ Words are ordered by rarity: corpus counts of at most ``FREQUENT`` most frequent
 share a word among the first n - ceil(t n) + 1 of either, so only these prefix words
 are posted; words that occur once in the corpus are left out by a Bloom filter of
 fixed size.  Lines that share a posted word pass length, positional and parity sketch
-filters.  Each line first verifies its ``FIRST`` earliest partners; only lines that had
+filters; a sketch has 64 bits for each ``SKETCH_WORDS`` words of its line, up to
+``SKETCH_MOST`` times 64.  Each line first verifies its ``FIRST`` earliest partners; only lines that had
 more partners and are not yet decided verify all of them in a last round.
 Verification is on the full word sets.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Hasher, batches_of, binaries, mix64, signed, stage
+from .common import NULL_ID, Hasher, Scratch, batches_of, binaries, mix64, signed, stage
 from .minhash_dedup import _runs
 
 FREQUENT = 65536
@@ -46,6 +47,9 @@ FIRST = 3
 TILE = 512
 #: Groups of up to this many lines are filtered together with others of their size.
 SMALL = 24
+#: Words of a line for each 64 bits of its sketch; 64-bit words of the widest sketch (a power of two).
+SKETCH_WORDS = 80
+SKETCH_MOST = 8
 
 
 def word_counts(src: DataFrame) -> DataFrame:
@@ -130,11 +134,49 @@ class Rarity:
         return in_bloom(self.bloom, h)
 
 
+def _sketches(h: np.ndarray, head: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(sketches, ends)`` of lines of ``n`` word hashes from ``head`` on.  Bit k of a sketch of w
+    64-bit words is the parity of the line's words with hash k modulo 64 w, so the sketches of
+    two lines differ in no more bits than the lines in words; w is a power of two, and the
+    halves of a sketch give by XOR the sketch of half the width."""
+    width = np.ones(len(n), np.int64)
+    while (more := (n >= SKETCH_WORDS * width) & (width < SKETCH_MOST)).any():
+        width[more] *= 2
+    ends = np.cumsum(width)
+    out = np.zeros(ends[-1] if len(ends) else 0, np.uint64)
+    for w in np.unique(width):
+        mine = width == w
+        x = h[np.repeat(mine, n)]
+        begin = np.concatenate([[0], np.cumsum(n[mine])[:-1]])
+        word, bit = (x >> np.uint64(6)) & np.uint64(w - 1), np.uint64(1) << (x & np.uint64(63))
+        for j in range(w):
+            out[ends[mine] - w + j] = np.bitwise_xor.reduceat(np.where(word == j, bit, np.uint64(0)), begin)
+    return out, ends
+
+
+def _folded(column) -> tuple[np.ndarray, dict]:
+    """Of a column of sketches: their widths and, for every width, ``(places, sketches)`` of all
+    sketches at least as wide, folded down to it."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.uint64)
+    start, width = (at[:-1] - at[0]) // 8, np.diff(at) // 8
+    rows, m, out = np.zeros(0, np.int64), np.zeros((0, 2 * SKETCH_MOST), np.uint64), {}
+    w = SKETCH_MOST
+    while w:
+        mine = np.flatnonzero(width == w)
+        m = np.concatenate([m[:, :w] ^ m[:, w:], flat[start[mine, None] + np.arange(w)]])
+        rows = np.concatenate([rows, mine])
+        place = np.zeros(len(width), np.int64)
+        place[rows] = np.arange(len(rows))
+        out[w] = place, m
+        w //= 2
+    return width, out
+
+
 def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
-    """Lines with words of ``texts``: (text, line number, set key, size, sketch, posted words,
-    those of them that are not frequent, the words and their positions).  Bit k of a sketch
-    is the parity of the line's words with hash k, so the sketches of two lines differ in no
-    more bits than the lines in words."""
+    """Lines with words of ``texts``: (text, line number, set key, size, sketches and their ends,
+    posted words, those of them that are not frequent, the words and their positions)."""
     h, at, starts, _ = hasher.words(texts, lower=True)
     data = b"\n".join(b"" if t is None else t for t in texts) + b"\n"
     breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -153,7 +195,7 @@ def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
     head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     n = np.diff(np.append(head, len(h)))
     key = mix64(np.add.reduceat(mix64(h + np.uint64(0x5851F42D4C957F2D)), head) + n.astype(np.uint64))
-    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), head)
+    sketch = _sketches(h, head, n)
     pos = np.arange(len(h)) - np.repeat(head, n)
     prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
     post = (pos < np.repeat(prefix, n)) & rarity.repeats(h)
@@ -162,7 +204,7 @@ def _line_sets(hasher: Hasher, texts: list, rarity: Rarity, threshold: float):
     return text, line[head] - first_line[text], key, n, sketch, posted, rare, h[post], pos[post]
 
 
-_LINES = "lid long, did long, tag long, line int, n int, later boolean, rare int, sketch long, word array<long>, pos array<int>"
+_LINES = "lid long, did long, tag long, line int, n int, later boolean, rare int, sketch binary, word array<long>, pos array<int>"
 
 
 def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
@@ -176,7 +218,8 @@ def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
                 got = _line_sets(hasher, texts[i:j], r, threshold)
                 if got is None:
                     continue
-                text, line, key, n, sketch, posted, rare, word, pos = got
+                text, line, key, n, (sketch, ends), posted, rare, word, pos = got
+                ends = pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32))
                 did = b.column(0).to_numpy()[i:j][text]
                 perm = np.lexsort((line, did, key))
                 k, d, ln = key[perm], did[perm], line[perm]
@@ -189,7 +232,8 @@ def line_table(src: DataFrame, rarity, threshold: float) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(off, pa.array(x[keep])) for x in (signed(word), pos.astype(np.int32))]
                 yield pa.record_batch([pa.array(signed(key)), pa.array(did), b.column(1).slice(i, j - i).take(pa.array(text)),
                                        pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(later),
-                                       pa.array(rare.astype(np.int32)), pa.array(signed(sketch)), *lists],
+                                       pa.array(rare.astype(np.int32)),
+                                       pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(sketch)]), *lists],
                                       names=["lid", "did", "tag", "line", "n", "later", "rare", "sketch", "word", "pos"])
 
     return src.select("did", "tag", "text").mapInArrow(run, _LINES)
@@ -216,7 +260,7 @@ def first_lines(heads: DataFrame) -> DataFrame:
 
 
 #: ``size`` holds the line number and, in its low half, the line's words; ``at`` the position and ``home``.
-_POSTED = "key long, lid long, did long, size long, at long, sketch long"
+_POSTED = "key long, lid long, did long, size long, at long, sketch binary"
 
 
 def postings(first: DataFrame, threshold: float, only=None) -> DataFrame:
@@ -259,9 +303,18 @@ class _Filter:
 
     def __init__(self, t: pa.Table, threshold: float):
         self.t = threshold
-        self.lid, self.did, size, at, sketch = (t.column(i).to_numpy() for i in range(1, 6))
+        self.lid, self.did, size, at = (t.column(i).to_numpy() for i in range(1, 5))
         self.line, self.n = size >> 32, size & 0xFFFFFFFF
-        self.pos, self.home, self.sketch = at >> 1, at & 1 == 1, sketch.view(np.uint64)
+        self.pos, self.home = at >> 1, at & 1 == 1
+        self.width, self.sketches = _folded(t.column(5))
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of rows x and y differ at the width of the narrower one."""
+        width, out = np.minimum(self.width[x], self.width[y]), np.zeros(len(x), np.int64)
+        for w, (place, m) in self.sketches.items():
+            mine = np.flatnonzero(width == w)
+            out[mine] = np.bitwise_count(m[place[x[mine]]] ^ m[place[y[mine]]]).sum(axis=1)
+        return out
 
     def passed(self, a: np.ndarray, e: np.ndarray) -> np.ndarray:
         """For row numbers that broadcast against each other."""
@@ -274,8 +327,7 @@ class _Filter:
         ok &= (self.did[e] < self.did[a]) | ((self.did[e] == self.did[a]) & (self.line[e] < self.line[a]))
         at = np.nonzero(ok)
         x, y = np.broadcast_to(a, ok.shape)[at], np.broadcast_to(e, ok.shape)[at]
-        apart = np.bitwise_count(self.sketch[x] ^ self.sketch[y]).astype(np.int64)
-        ok[at] = n[x] + n[y] - apart >= 2 * need[at]
+        ok[at] = n[x] + n[y] - self.apart(x, y) >= 2 * need[at]
         return ok
 
 
@@ -353,7 +405,7 @@ def _alike(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, first: DataFrame, src: DataFrame, threshold: float, name: str) -> DataFrame:
+def verified(own: Scratch, pairs: DataFrame, first: DataFrame, src: DataFrame, threshold: float, name: str) -> DataFrame:
     """``lid`` of lines with a verified earlier partner.  pairs: later, earlier."""
     lids = pairs.select(F.col("later").alias("lid")).union(pairs.select("earlier")).distinct()
     places = first.join(lids, "lid").groupBy("did", "tag").agg(F.collect_list(F.struct("line", "lid")).alias("want"))
@@ -374,7 +426,9 @@ def verified(pairs: DataFrame, first: DataFrame, src: DataFrame, threshold: floa
     sets = stage(sets.groupBy("lid").agg(F.first("words").alias("words")), f"line-sets{name}")
     both = (pairs.join(sets.select(F.col("lid").alias("later"), F.col("words").alias("x")), "later")
             .join(sets.select(F.col("lid").alias("earlier"), F.col("words").alias("y")), "earlier"))
-    return stage(both.select("later", "x", "y").mapInArrow(_alike(threshold), "lid long").distinct(), f"line-verified{name}")
+    found = stage(both.select("later", "x", "y").mapInArrow(_alike(threshold), "lid long").distinct(), f"line-verified{name}")
+    own.drop(sets)
+    return found
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,19 +451,17 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["doc_id", "n_lines", "n_removed", "kept_text", "kept_sha256", *b.schema.names[3:]])
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8,
-                extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_removed, kept_text, kept_sha256 and ``extra``."""
-    text = F.col(text_col).cast("string")
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                      F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
-                      F.xxhash64(text).alias("tag"), text.alias("text"),
-                      *[F.col(c).alias(f"x_{c}") for c in extra])
-    spark = docs.sparkSession
-    rarity = spark.sparkContext.broadcast(Rarity(stage(word_counts(src), "line-counts")))
+def _gone(own: Scratch, src: DataFrame, threshold: float) -> DataFrame:
+    """``(did, tag, gone)``: the numbers of the lines that go, by document."""
+    spark = src.sparkSession
+    counts = stage(word_counts(src), "line-counts")
+    rarity = spark.sparkContext.broadcast(Rarity(counts))
+    own.drop(counts)
     lines = stage(line_table(src, rarity, threshold), "line-table")
-    heads = lines.where("NOT later")
-    first = stage(first_lines(heads), "line-first")
+    first = stage(first_lines(lines.where("NOT later")), "line-first")
+    # the posted words are read from ``first`` from now on
+    places = stage(lines.select("lid", "did", "tag", "line", "later"), "line-places")
+    own.drop(lines)
     holders = first.where(F.size("word") > 0)
     pair_type = "later long, earlier long, more boolean"
 
@@ -421,10 +473,10 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
     pairs = found.where("NOT more")
     # one partner settles a line: first the one that shares the most posted words
     best = stage(pairs.groupBy("later").agg(F.max(F.struct("words", "earlier")).alias("b")).select("later", "b.earlier"), "line-best")
-    matched = verified(best, first, src, threshold, "0")
+    matched = verified(own, best, first, src, threshold, "0")
     others = pairs.select("later", "earlier").join(matched.withColumnRenamed("lid", "later"), "later", "left_anti").join(
         best, ["later", "earlier"], "left_anti")
-    matched = matched.union(verified(stage(others, "line-others"), first, src, threshold, "1"))
+    matched = matched.union(verified(own, stage(others, "line-others"), first, src, threshold, "1"))
     rest = stage(found.where("more").select(F.col("later").alias("lid")).distinct()
                  .join(matched, "lid", "left_anti"), "line-open")
     if not rest.isEmpty():
@@ -435,13 +487,25 @@ def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: fl
         again = postings(marked, threshold, wanted)
         all_pairs = stage(partners(again, None).select("later", "earlier").distinct()
                           .join(found.where("NOT more"), ["later", "earlier"], "left_anti"), "line-pairs2")
-        matched = matched.union(verified(all_pairs, first, src, threshold, "2"))
+        matched = matched.union(verified(own, all_pairs, first, src, threshold, "2"))
     decided = stage(first.select("lid", F.col("did").alias("fd"), F.col("line").alias("fl"))
                     .join(matched.withColumn("hit", F.lit(True)), "lid", "left"), "line-decided")
     late = (F.col("did") > F.col("fd")) | ((F.col("did") == F.col("fd")) & (F.col("line") > F.col("fl")))
-    gone = heads.select("lid", "did", "tag", "line").join(decided, "lid").where(F.col("hit").isNotNull() | late)
-    gone = gone.select("did", "tag", "line").union(lines.where("later").select("did", "tag", "line"))
-    gone = stage(gone.groupBy("did", "tag").agg(F.collect_set("line").alias("gone")), "line-gone")
+    gone = places.where("NOT later").join(decided, "lid").where(F.col("hit").isNotNull() | late)
+    gone = gone.select("did", "tag", "line").union(places.where("later").select("did", "tag", "line"))
+    return stage(gone.groupBy("did", "tag").agg(F.collect_set("line").alias("gone")), "line-gone")
+
+
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", threshold: float = 0.8,
+                extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_removed, kept_text, kept_sha256 and ``extra``."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                      F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("did"),
+                      F.xxhash64(text).alias("tag"), text.alias("text"),
+                      *[F.col(c).alias(f"x_{c}") for c in extra])
+    with Scratch() as own:
+        gone = own.keep(_gone(own, src, threshold))
     kinds = dict(src.dtypes)
     out = src.join(gone, ["did", "tag"], "left").select("doc_id", "text", "gone", *[f"x_{c}" for c in extra])
     return out.mapInArrow(_rebuild, "doc_id long, n_lines long, n_removed long, kept_text string, kept_sha256 string"
