@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqorbit.llm import decontaminate, language, line_dedup, minhash_dedup, mixing
-from seqorbit.llm.common import read, stage
+from seqorbit.llm.common import Scratch, read, stage
 
 #: Language predictions that are less sure than this are rejected.
 MIN_LANGUAGE_SCORE = 0.4
@@ -50,11 +50,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8)."""
-    found = minhash_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
     key = "__rk"
     while key in docs.columns:
         key += "_"
-    keep = stage(found.where("kept").select(F.col("rk").alias(key)).distinct(), "pipeline-keep")
+    with Scratch() as own:
+        found = minhash_dedup.near_duplicates(docs, shingle=5, threshold=0.8)
+        keep = own.keep(stage(found.where("kept").select(F.col("rk").alias(key)).distinct(), "pipeline-keep"))
     keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return keyed.join(keep, key, "left_semi").dropDuplicates([key]).drop(key)
 
@@ -91,5 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        with Scratch() as own:  # its tables and the result before
+            docs = own.keep(stage(f(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower()))
     return docs

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, batches_of, binaries, connected_components, mix64, signed, stage
+from .common import Hasher, Scratch, batches_of, binaries, connected_components, mix64, signed, stage
 
 COORDS = 64
 NODE = 256
@@ -229,58 +229,71 @@ def _compare_nodes(threshold: float):
 
 
 def _agreement(batches):
-    """Rows (node, doc, n, low, head, head's low) with the coordinates on which the two agree."""
+    """Rows (node, doc, n, low, head, head's low) with the coordinates on which the two agree (-1 without a head)."""
     for b in batches:
-        same = (_matrix(b.column(3), COORDS) == _matrix(b.column(5), COORDS)).sum(axis=1)
+        same, has = np.full(b.num_rows, -1, np.int32), np.flatnonzero(b.column(4).is_valid())
+        both = b.take(pa.array(has))
+        same[has] = (_matrix(both.column(3), COORDS) == _matrix(both.column(5), COORDS)).sum(axis=1)
         yield pa.record_batch([*b.columns[:5], pa.array(same, pa.int32())], names=["node", "doc", "n", "low", "head", "same"])
 
 
-def _with_head(level: DataFrame, large: DataFrame) -> DataFrame:
-    """Rows of the large nodes with their agreement with the node's head."""
-    rows = stage(level.join(large, "node"), "cps-inner")
-    heads = stage(rows.where("doc = head").dropDuplicates(["node"]).select("node", F.col("low").alias("hlow")), "cps-heads")
-    return stage(rows.join(heads, "node").select("node", "doc", "n", "low", "head", "hlow")
-                 .mapInArrow(_agreement, _MEMBER + ", head long, same int"), "cps-agreement")
+def _with_head(own: Scratch, level: DataFrame, large: DataFrame) -> DataFrame:
+    """Rows of the large nodes with their agreement with the node's head.  Every row of the level
+    meets at most one head, whatever its node's size."""
+    heads = stage(level.join(large.withColumnRenamed("head", "doc"), ["node", "doc"]).dropDuplicates(["node"])
+                  .select("node", F.col("doc").alias("head"), F.col("low").alias("hlow")), "cps-heads")
+    rows = level.join(heads, "node", "left").select("node", "doc", "n", "low", "head", "hlow")
+    inner = stage(rows.mapInArrow(_agreement, _MEMBER + ", head long, same int").where("same >= 0"), "cps-agreement")
+    own.drop(heads)
+    return inner
 
 
 def candidate_groups(reps: DataFrame, threshold: float, trees: int, deep_trees: int) -> DataFrame:
     """``(doc, grp)`` for sets that share a group with another set.  Of ``deep_trees``, those
     beyond ``trees`` hold only the sets that branch on below ``SHALLOW``: a pair that met there in
     a large node has both of its sets among them."""
-    edges, deep = _grow(reps, threshold, range(trees))
-    if deep is not None and deep_trees > trees and not deep.isEmpty():
-        more = stage(reps.join(deep.withColumnRenamed("doc", "rk"), "rk", "left_semi"), "cps-deep-sets")
-        edges = edges.union(_grow(more, threshold, range(trees, deep_trees))[0])
-    return connected_components(edges).withColumnsRenamed({"node": "doc", "component": "grp"})
-
-
-def _grow(reps: DataFrame, threshold: float, trees: range) -> tuple:
-    """``(a, b)`` of linked sketches, and the sets that branch on below ``SHALLOW`` (or None)."""
+    with Scratch() as own:
+        edges, deep = _grow(own, reps, threshold, range(trees))
+        if deep is not None and deep_trees > trees and not deep.isEmpty():
+            more = stage(reps.join(deep.withColumnRenamed("doc", "rk"), "rk", "left_semi"), "cps-deep-sets")
+            edges = edges.union(_grow(own, more, threshold, range(trees, deep_trees))[0])
+        groups = connected_components(edges).withColumnsRenamed({"node": "doc", "component": "grp"})
+        return own.keep(stage(groups, "cps-groups"))
+
+
+def _grow(own: Scratch, reps: DataFrame, threshold: float, trees: range) -> tuple:
+    """``(a, b)`` of linked sketches, and the sets that branch on below ``SHALLOW`` (or None).
+    A level is freed once its links and the rows that go on are written."""
     extra = 1.0 / threshold - 1.0
     level = reps.select("rk", "n", "sig", "low").mapInArrow(_roots(trees, extra), _MEMBER)
-    deep = None
-    edges = None
+    deep = edges = inner = None
     for depth in range(1, DEPTH + 1):
         level = stage(level, f"cps-level{depth}")
+        if inner is not None:
+            own.drop(inner)
         large = stage(level.groupBy("node").agg(F.count("*").alias("m"), F.min("doc").alias("head"))
                       .where(F.col("m") > NODE).select("node", "head"), "cps-large")
         found = (level.join(large, "node", "left_anti").select("node", "doc", "n", "low")
                  .repartition("node").sortWithinPartitions("node")
                  .mapInArrow(_compare_nodes(threshold), "a long, b long"))
+        last, here = large.isEmpty(), level
+        if not last:
+            inner = _with_head(own, level, large)
+            if depth < DEPTH:
+                # a set that would be compared with a covered one agrees with the head on as many
+                near = F.col("same") >= math.ceil(AGREE * COORDS) + COVER - COORDS
+                on = inner.where(F.col("same") < COVER)
+                if depth == SHALLOW:
+                    deep = stage(on.select("doc").distinct(), "cps-deep")
+                level = on.select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
+            else:
+                near = F.lit(True)
+            found = found.union(inner.where(near & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b")))
+        found = stage(found, "cps-edges")
         edges = found if edges is None else edges.union(found)
-        if large.isEmpty():
+        own.drop(here, large)
+        if last:
             break
-        inner = _with_head(level, large)
-        if depth < DEPTH:
-            # a set that would be compared with a covered one agrees with the head on as many
-            near = F.col("same") >= math.ceil(AGREE * COORDS) + COVER - COORDS
-            on = inner.where(F.col("same") < COVER)
-            if depth == SHALLOW:
-                deep = stage(on.select("doc").distinct(), "cps-deep")
-            level = on.select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
-        else:
-            near = F.lit(True)
-        edges = edges.union(inner.where(near & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b")))
     return edges, deep
 
 
@@ -422,22 +435,16 @@ def _large_groups(rows: DataFrame, sizes: DataFrame, k: int, threshold: float) -
     return links.unionByName(_confirmed(more, k, threshold))
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, threshold: float = 0.8,
-                    recall: float = RECALL) -> DataFrame:
-    """One row per input row: doc_id, rk (a hash of id and text), n_shingles,
-    component_id and kept."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rk = F.xxhash64("doc_id", "text").alias("rk")
-    rows = stage(sketches(src.select("doc_id", rk, "text"), shingle), "cps-sketch")
+def _classes(own: Scratch, rows: DataFrame, src: DataFrame, shingle: int, threshold: float, recall: float) -> DataFrame:
+    """``(skey, c)``: the class of every distinct set.  src: rk, text."""
     reps = stage(rows.where("n > 0").groupBy("skey").agg(
         F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("low").alias("low")), "cps-reps")
-    groups = stage(candidate_groups(reps, threshold, trees_for(recall, threshold),
-                                    trees_for(recall, threshold, DEPTH)), "cps-groups")
+    groups = candidate_groups(reps, threshold, trees_for(recall, threshold), trees_for(recall, threshold, DEPTH))
     member = reps.select("rk", "n", "low").join(groups.withColumnRenamed("doc", "rk"), "rk")
     sizes = member.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("s")).select(
         "grp", F.greatest(F.ceil(F.col("m") / GROUP_SETS), F.ceil(F.col("s") / GROUP_SHINGLES)).cast("long").alias("blocks"))
     sizes = stage(sizes, "cps-sizes")
-    texts = src.select(rk, "text").join(member.select("rk", "low", "grp"), "rk").dropDuplicates(["rk"])
+    texts = src.join(member.select("rk", "low", "grp"), "rk").dropDuplicates(["rk"])
     texts = stage(texts, "cps-texts")
     large = sizes.where("blocks > 1")
     small = texts.join(large, "grp", "left_anti").withColumn("role", F.lit(2)).withColumn("key", F.col("grp"))
@@ -447,9 +454,22 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
                                                 large, shingle, threshold))
     label = stage(connected_components(links), "cps-components").withColumnsRenamed({"node": "rk", "component": "c"})
     classes = reps.select("skey", "rk").join(label, "rk", "left").select("skey", F.coalesce("c", "rk").alias("c"))
-    classes = stage(classes, "cps-classes")
-    full = rows.where("n > 0").select("doc_id", "rk", "n", "skey").join(classes, "skey")
-    names = stage(full.groupBy("c").agg(F.min("doc_id").alias("component_id")), "cps-names")
+    return stage(classes, "cps-classes")
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = 5, threshold: float = 0.8,
+                    recall: float = RECALL) -> DataFrame:
+    """One row per input row: doc_id, rk (a hash of id and text), n_shingles,
+    component_id and kept."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rk = F.xxhash64("doc_id", "text").alias("rk")
+    with Scratch() as own:
+        rows = stage(sketches(src.select("doc_id", rk, "text"), shingle), "cps-sketch")
+        classes = _classes(own, rows, src.select(rk, "text"), shingle, threshold, recall)
+        full = rows.where("n > 0").select("doc_id", "rk", "n", "skey").join(classes, "skey")
+        names = stage(full.groupBy("c").agg(F.min("doc_id").alias("component_id")), "cps-names")
+        for t in (rows, classes, names):
+            own.keep(t)
     out = full.join(names, "c").select("doc_id", "rk", "n", "component_id")
     out = out.unionByName(rows.where("n = 0").select("doc_id", "rk", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), "component_id",
