@@ -375,14 +375,14 @@ def _pass(blocks: DataFrame, sums: DataFrame | None, known, model: Model, states
 
     counted = stage(_with_sums(blocks, sums).mapInArrow(run, "part int, block long, number binary, n binary, e binary"),
                     "hmm-pass-counts")
+    _drop(sums)
     fixed = _by_part(counted.where("part < 0").select("part", "block", "e"), _add_slices, "part int, block long, e binary")
     all_rows = np.zeros((size + states + 1 + N_BUCKETS, states))
     for part, _, e in fixed.collect():  # one value per frequent word, bucket and state: a fixed bound
         at = (-1 - part) * SLICE
         all_rows[at:at + SLICE] = np.frombuffer(e).reshape(-1, states)
     added = stage(_by_part(counted.where("part >= 0"), _add_up, "part int, block long, e binary"), "hmm-pass-sums")
-    for t in (counted, sums):
-        _drop(t)
+    _drop(counted)
     return all_rows[size + states], all_rows[size:size + states], all_rows[:size], all_rows[size + states + 1:], added
 
 
