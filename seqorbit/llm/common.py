@@ -193,7 +193,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star contraction: each round links every
     node to the smallest node near it, so rounds grow with the logarithm of a
-    component's diameter.  All state is in staged tables; minima are combined
+    component's diameter; a round in which every node has either one smaller or
+    only greater neighbours ends them, as it would change nothing.  All state is in staged tables; minima are combined
     before the shuffle, and the joins have a plain exchange on either side, so a
     node with very many links is split by the adaptive join."""
     with Scratch() as own:
@@ -206,15 +207,14 @@ def _contracted(own: Scratch, edges: DataFrame, max_rounds: int) -> DataFrame:
     """The stars ``(u, v)`` of all components: u is the smallest node."""
     e = stage(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
               .where("u < v").distinct(), "cc-edges")
-    seen = None
     for _ in range(max_rounds):
-        mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(mark) == seen or not mark[0]:
-            break
-        seen = tuple(mark)
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        low = stage(both.groupBy("x").agg(F.min("y").alias("m"))
-                    .select("x", F.least("x", "m").alias("m")), "cc-large")
+        near = both.groupBy("x").agg(F.min("y").alias("m"), F.max("y").alias("top"), F.count_if(F.col("y") < F.col("x")).alias("below"))
+        goes_on = (F.col("below") > 1) | ((F.col("below") > 0) & (F.col("top") > F.col("x")))
+        low = stage(near.select("x", F.least("x", "m").alias("m"), goes_on.alias("goes_on")), "cc-large")
+        if low.where("goes_on").isEmpty():
+            break
+        low = low.select("x", "m")
         large = stage(both.join(low, "x").where("y > x")
                       .select(F.col("m").alias("u"), F.col("y").alias("v")).distinct(), "cc-star")
         low = stage(large.groupBy("v").agg(F.min("u").alias("m")), "cc-small")

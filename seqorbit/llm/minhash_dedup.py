@@ -4,8 +4,9 @@ Each distinct shingle set gets ``COORDS`` minwise values.  In each of ``trees``
 independent trees, a node picks one of the coordinates (two with probability
 ``1/threshold - 1``) by a hash of its own id and sends every set to the child of its
 minwise value there, so a pair at the threshold keeps meeting with expectation one.
-Nodes of at most ``NODE`` sets are compared exhaustively on their sketches.  In a
-larger node one head speaks for the sets that agree with it on ``COVER`` coordinates:
+Nodes of at most ``NODE`` sets are compared exhaustively on their sketches, nodes of up to
+``TASK_SETS`` are walked to their end in one task, and from larger ones Spark deals out the
+next level.  In a node of over ``NODE`` sets one head speaks for the sets that agree with it on ``COVER`` coordinates:
 any set that agrees with such a covered set also agrees with the head on all but the
 coordinates where the covered set differs, so it is grouped with the head and covered
 sets need not go on.  The others branch again; what is still larger than ``NODE`` at
@@ -52,6 +53,10 @@ PIVOTS = 8
 AGREE = 0.55
 #: Coordinates on which a set agrees with the head of its node to be covered by it.
 COVER = 52
+#: A set that agrees with a covered one on AGREE of all coordinates agrees with the head on as many.
+NEAR = math.ceil(AGREE * COORDS) + COVER - COORDS
+#: Nodes of up to this many sets branch on inside one task; the others, whatever their size, by jobs.
+TASK_SETS = 16384
 _A = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 _B = mix64(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
 
@@ -202,29 +207,87 @@ def _runs(batches, key: int):
         yield rest.combine_chunks(), np.array([0, rest.num_rows])
 
 
-def _compare_nodes(threshold: float):
-    """Spanning forests of the sketch graph of each node (rows sorted by node)."""
+def _compare(cuts, n, low, threshold: float, most: int) -> Iterator[tuple]:
+    """Links ``(rows, rows)`` of the sketch graph of each node of up to ``most`` rows cuts[i]:cuts[i + 1]."""
+    size = np.diff(cuts)
+    first = cuts[:-1][size == 2]  # most nodes: one pair, all at once
+    ok = ((low[first] == low[first + 1]).mean(axis=1) >= AGREE) & (
+        np.minimum(n[first], n[first + 1]) >= threshold * np.maximum(n[first], n[first + 1]))
+    yield first[ok], first[ok] + 1
+    for i in np.flatnonzero((size > 2) & (size <= most)):
+        x, y = cuts[i], cuts[i + 1]
+        own, m = low[x:y], n[x:y]
+        adj = np.zeros((y - x, y - x), bool)
+        for r in range(y - x):
+            adj[r] = (own[r] == own).mean(axis=1) >= AGREE
+        adj &= np.minimum(m[:, None], m) >= threshold * np.maximum(m[:, None], m)
+        label = _labels(adj)
+        child = np.flatnonzero(label != np.arange(y - x))
+        yield x + label[child], x + child
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest ``(smallest, other)`` that spans the links between a and b."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[:len(a)], at[len(a):]
+    label = np.arange(len(names))
+    while (label[a] != label[b]).any():
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+    child = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[child]], names[child]
+
+
+_LINK = "a long, b long, deep boolean"
+
+
+def _links(doc, n, low, node, depth: int, threshold: float, most: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b, deep)``: links of nodes at ``depth`` (rows sorted by node) and, level by level, of
+    those below them, down to ``last``, in nodes of over ``most`` sets; ``deep`` are the sets that
+    branch on below ``SHALLOW``."""
+    a, b, deep = [], [], []
+    rows = np.arange(len(doc))
+    while len(rows):
+        cuts = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        for x, y in _compare(cuts, n[rows], low[rows], threshold, most):
+            a.append(doc[rows[x]])
+            b.append(doc[rows[y]])
+        size, on = np.diff(cuts), []
+        for x, y in zip(cuts[:-1][size > most], cuts[1:][size > most]):
+            mine = rows[x:y]
+            head = mine[np.argmin(doc[mine])]
+            same = (low[mine] == low[head]).sum(axis=1)
+            near = mine if depth == last else mine[same >= NEAR]
+            a.append(np.full(len(near), doc[head]))
+            b.append(doc[near])
+            on.append(x + np.flatnonzero(same < COVER))
+        if depth == last or not on:
+            break
+        on = np.concatenate(on)
+        rows, node = rows[on], node[on]
+        if depth == SHALLOW:
+            deep.append(doc[rows])
+        new = list(_children(node, lambda r, c, at=rows: low[at[r], c], 1.0 / threshold - 1.0))
+        rows, node = np.concatenate([rows[r] for r, _ in new]), np.concatenate([c for _, c in new])
+        order = np.argsort(node, kind="stable")
+        rows, node, depth = rows[order], node[order], depth + 1
+    none = [np.zeros(0, np.int64)]
+    return *_forest(np.concatenate(a), np.concatenate(b)), np.unique(np.concatenate(deep or none))
+
+
+def _node_links(threshold: float, depth: int):
+    """Forests that span the links of the nodes of a level (rows sorted by node) and below, and
+    the sets that branch on below ``SHALLOW`` (as links to themselves)."""
+    most, last = NODE, DEPTH
+
     def run(batches):
-        for t, cuts in _runs(batches, 0):
-            doc, n = t.column(1).to_numpy(), t.column(2).to_numpy()
-            low = _matrix(t.column(3).combine_chunks(), COORDS)
-            size = np.diff(cuts)
-            first = cuts[:-1][size == 2]  # most nodes: one pair, all at once
-            ok = ((low[first] == low[first + 1]).mean(axis=1) >= AGREE) & (
-                np.minimum(n[first], n[first + 1]) >= threshold * np.maximum(n[first], n[first + 1]))
-            a, b = [doc[first[ok]]], [doc[first[ok] + 1]]
-            for i in np.flatnonzero(size > 2):
-                x, y = cuts[i], cuts[i + 1]
-                own, m = low[x:y], n[x:y]
-                adj = np.zeros((y - x, y - x), bool)
-                for r in range(y - x):
-                    adj[r] = (own[r] == own).mean(axis=1) >= AGREE
-                adj &= np.minimum(m[:, None], m) >= threshold * np.maximum(m[:, None], m)
-                label = _labels(adj)
-                child = np.flatnonzero(label != np.arange(y - x))
-                a.append(doc[x + label[child]])
-                b.append(doc[x + child])
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        for t, _ in _runs(batches, 0):
+            a, b, deep = _links(t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(3).combine_chunks(), COORDS),
+                                t.column(0).to_numpy().view(np.uint64), depth, threshold, most, last)
+            yield pa.record_batch([pa.array(np.concatenate([a, deep])), pa.array(np.concatenate([b, deep])),
+                                   pa.array(np.arange(len(a) + len(deep)) >= len(a))], names=["a", "b", "deep"])
     return run
 
 
@@ -253,48 +316,43 @@ def candidate_groups(reps: DataFrame, threshold: float, trees: int, deep_trees:
     beyond ``trees`` hold only the sets that branch on below ``SHALLOW``: a pair that met there in
     a large node has both of its sets among them."""
     with Scratch() as own:
-        edges, deep = _grow(own, reps, threshold, range(trees))
-        if deep is not None and deep_trees > trees and not deep.isEmpty():
-            more = stage(reps.join(deep.withColumnRenamed("doc", "rk"), "rk", "left_semi"), "cps-deep-sets")
-            edges = edges.union(_grow(own, more, threshold, range(trees, deep_trees))[0])
-        groups = connected_components(edges).withColumnsRenamed({"node": "doc", "component": "grp"})
-        return own.keep(stage(groups, "cps-groups"))
-
-
-def _grow(own: Scratch, reps: DataFrame, threshold: float, trees: range) -> tuple:
-    """``(a, b)`` of linked sketches, and the sets that branch on below ``SHALLOW`` (or None).
-    A level is freed once its links and the rows that go on are written."""
+        links = _grow(own, reps, threshold, range(trees))
+        deep = stage(links.where("deep").select(F.col("a").alias("rk")).distinct(), "cps-deep")
+        if deep_trees > trees and not deep.isEmpty():
+            more = stage(reps.join(deep, "rk", "left_semi"), "cps-deep-sets")
+            links = links.union(_grow(own, more, threshold, range(trees, deep_trees)))
+        groups = connected_components(links.where("NOT deep").select("a", "b"))
+        return own.keep(stage(groups.withColumnsRenamed({"node": "doc", "component": "grp"}), "cps-groups"))
+
+
+def _grow(own: Scratch, reps: DataFrame, threshold: float, trees: range) -> DataFrame:
+    """``(a, b, deep)``: linked sketches and, as links to themselves, the sets that branch on below
+    ``SHALLOW``.  A level is freed once its links and the rows that go on are written."""
     extra = 1.0 / threshold - 1.0
     level = reps.select("rk", "n", "sig", "low").mapInArrow(_roots(trees, extra), _MEMBER)
-    deep = edges = inner = None
+    links = inner = None
     for depth in range(1, DEPTH + 1):
         level = stage(level, f"cps-level{depth}")
         if inner is not None:
             own.drop(inner)
         large = stage(level.groupBy("node").agg(F.count("*").alias("m"), F.min("doc").alias("head"))
-                      .where(F.col("m") > NODE).select("node", "head"), "cps-large")
-        found = (level.join(large, "node", "left_anti").select("node", "doc", "n", "low")
-                 .repartition("node").sortWithinPartitions("node")
-                 .mapInArrow(_compare_nodes(threshold), "a long, b long"))
+                      .where(F.col("m") > max(NODE, TASK_SETS)).select("node", "head"), "cps-large")
         last, here = large.isEmpty(), level
+        small = level if last else level.join(large, "node", "left_anti").select("node", "doc", "n", "low")
+        found = small.repartition("node").sortWithinPartitions("node").mapInArrow(_node_links(threshold, depth), _LINK)
         if not last:
             inner = _with_head(own, level, large)
-            if depth < DEPTH:
-                # a set that would be compared with a covered one agrees with the head on as many
-                near = F.col("same") >= math.ceil(AGREE * COORDS) + COVER - COORDS
-                on = inner.where(F.col("same") < COVER)
-                if depth == SHALLOW:
-                    deep = stage(on.select("doc").distinct(), "cps-deep")
-                level = on.select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
-            else:
-                near = F.lit(True)
-            found = found.union(inner.where(near & (F.col("doc") != F.col("head"))).select(F.col("head").alias("a"), F.col("doc").alias("b")))
+            near, on = F.col("same") >= NEAR if depth < DEPTH else F.lit(True), inner.where(F.col("same") < COVER)
+            found = found.union(inner.where(near & (F.col("doc") != F.col("head"))).select("head", "doc", F.lit(False)))
+            if depth == SHALLOW:
+                found = found.union(on.select("doc", "doc", F.lit(True)))
+            level = on.select("node", "doc", "n", "low").mapInArrow(_branch(extra), _MEMBER)
         found = stage(found, "cps-edges")
-        edges = found if edges is None else edges.union(found)
+        links = found if links is None else links.union(found)
         own.drop(here, large)
         if last:
             break
-    return edges, deep
+    return links
 
 
 def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqorbit.llm import hmm, line_dedup, minhash_dedup
+from seqorbit.llm import common, hmm, line_dedup, minhash_dedup
 from seqorbit.llm.common import Scratch, connected_components, stage
 from seqorbit.session import shared_dir
 
@@ -120,3 +120,39 @@ def test_a_pass_frees_the_shares_it_has_read(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"a b c{i % 7}") for i in range(40)], "doc_id long, text string")
     assert hmm.score_texts(df, F.col("doc_id") % 5 == 1, passes=3).count() == 40
     assert seen == [[], [], []]
+
+
+def test_large_nodes_branch_on_in_their_task(spark, monkeypatch):
+    """One task or jobs by level: the same groups; only jobs write the rows of a second level."""
+    staged, groups, real = [], [], minhash_dedup.stage
+
+    def watched(df, name):
+        table = real(df, name)
+        staged.append(name)
+        if name == "cps-groups":
+            groups.append(sorted(tuple(r) for r in table.collect()))
+        return table
+
+    monkeypatch.setattr(minhash_dedup, "stage", watched)
+    monkeypatch.setattr(minhash_dedup, "NODE", 4)
+    texts = [" ".join([f"shared{x}" for x in range(70)] + [f"own{i // 2}x{x}" for x in range(30)]) + " z" * (i % 2) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for most in (16384, 4):
+        monkeypatch.setattr(minhash_dedup, "TASK_SETS", most)
+        found.append(sorted(tuple(r) for r in minhash_dedup.near_duplicates(df, shingle=1).select("doc_id", "component_id").collect()))
+        assert ("cps-level2" in staged) == (most == 4)
+    assert found[0] == found[1] == [(i, i - i % 2) for i in range(80)]
+    assert groups[0] == groups[1] and len(groups[0]) == 80
+
+
+def test_components_end_with_stars(spark, monkeypatch):
+    staged, real = [], common.stage
+    monkeypatch.setattr(common, "stage", lambda df, name: staged.append(name) or real(df, name))
+    stars = spark.createDataFrame([(0, i) for i in range(1, 9)] + [(20, 21), (22, 20)], "a long, b long")
+    assert sorted(tuple(r) for r in connected_components(stars).collect()) == sorted(
+        [(i, 0) for i in range(9)] + [(i, 20) for i in range(20, 23)])
+    assert staged.count("cc-star") == 0
+    path = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(30, 32), (31, 32)], "a long, b long")
+    assert sorted(tuple(r) for r in connected_components(path).collect()) == sorted(
+        [(i, 0) for i in range(10)] + [(i, 30) for i in range(30, 33)])
