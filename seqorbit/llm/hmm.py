@@ -240,6 +240,19 @@ def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (keys["a"] % np.uint64(parts)).astype(np.int32)
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Numbers of rows in three bytes each, all low halves before the third bytes; in four if they need it."""
+    if len(rows) and int(rows.max()) >= 1 << 24:
+        return rows.astype(np.uint32).tobytes()
+    return rows.astype(np.uint16).tobytes() + (rows >> 16).astype(np.uint8).tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    if len(raw) == 4 * n:
+        return np.frombuffer(raw, np.uint32)
+    return np.frombuffer(raw, np.uint16, n) | np.frombuffer(raw, np.uint8, n, 2 * n).astype(np.uint32) << np.uint32(16)
+
+
 class Block:
     """Row i of the blocks: the texts as sequences and, of its rare words, bucket, corpus count
     ``c``, training tokens in the block ``n``, part and number in the part."""
@@ -247,7 +260,8 @@ class Block:
     def __init__(self, b, i: int):
         col = lambda name, kind: np.frombuffer(b.column(name)[i].as_py() or b"", kind)
         self.id, self.held = b.column("block")[i].as_py(), col("held", bool)
-        self.seqs = np.split(col("cls", np.uint32), np.cumsum(col("lengths", np.int64))[:-1])
+        ends = np.cumsum(col("lengths", np.int64))
+        self.seqs = np.split(_unpacked(b.column("cls")[i].as_py(), int(ends[-1])), ends[:-1])
         self.buckets, self.c, self.n = col("buckets", np.int16), col("c", np.int64), col("n", np.int32)
         self.number, self.split = col("number", np.int32), _split(col("part", np.int32))
         self.sums = (b.column("sums")[i].as_py() or ()) if "sums" in b.schema.names else ()
@@ -403,9 +417,10 @@ def _blocks(src: DataFrame, known) -> DataFrame:
             trains = cls[~np.repeat(np.array(held, bool), lengths)]
             size = known.value.size
             n = np.bincount(trains[trains >= size] - size, minlength=len(rare)).astype(np.int32)
-            one = [np.array(held, bool), lengths, cls, np.array([_bucket(w) for w in rare], np.int16), n]
+            one = [x.tobytes() for x in (np.array(held, bool), lengths, np.array([_bucket(w) for w in rare], np.int16), n)]
+            one.insert(2, _packed(cls))
             keys = b"".join(map(xxhash.xxh3_128_digest, rare))
-            return pa.record_batch([pa.array([first], pa.int64()), ids, *[pa.array([x.tobytes()], pa.binary()) for x in one],
+            return pa.record_batch([pa.array([first], pa.int64()), ids, *[pa.array([x], pa.binary()) for x in one],
                                     pa.array([keys], pa.binary())], names=names)
 
         size = 0

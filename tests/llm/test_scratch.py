@@ -156,3 +156,11 @@ def test_components_end_with_stars(spark, monkeypatch):
     path = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(30, 32), (31, 32)], "a long, b long")
     assert sorted(tuple(r) for r in connected_components(path).collect()) == sorted(
         [(i, 0) for i in range(10)] + [(i, 30) for i in range(30, 33)])
+
+
+def test_rows_of_tokens_take_three_bytes():
+    rows = np.random.default_rng(2).integers(0, 1 << 24, 1000).astype(np.uint32)
+    for x, size in ((rows, 3), (rows[:0], 3), (np.append(rows, np.uint32(1 << 24)), 4), (np.append(rows, np.uint32((1 << 24) - 1)), 3)):
+        raw = hmm._packed(x)
+        assert len(raw) == size * len(x)
+        assert hmm._unpacked(raw, len(x)).dtype == np.uint32 and (hmm._unpacked(raw, len(x)) == x).all()
