@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqorbit.llm import common, hmm, line_dedup, minhash_dedup
+from seqorbit.llm import common, embedding_dedup, hmm, line_dedup, minhash_dedup
 from seqorbit.llm.common import Scratch, connected_components, stage
 from seqorbit.session import shared_dir
 
@@ -164,3 +164,112 @@ def test_rows_of_tokens_take_three_bytes():
         raw = hmm._packed(x)
         assert len(raw) == size * len(x)
         assert hmm._unpacked(raw, len(x)).dtype == np.uint32 and (hmm._unpacked(raw, len(x)) == x).all()
+
+
+def near_vectors(n, groups, width, spread):
+    rng = np.random.default_rng(5)
+    return rng.normal(size=(groups, width))[np.arange(n) % groups] + rng.normal(size=(n, width)) * spread
+
+
+def links_and_components(data, threshold=0.95):
+    u = data / np.linalg.norm(data, axis=1, keepdims=True)
+    link = u @ u.T >= threshold
+    np.fill_diagonal(link, False)
+    name = np.arange(len(u))
+    while True:
+        near = np.where(link, name, len(u)).min(axis=1)
+        if (near >= name).all():
+            return link.sum(axis=1), name
+        name = np.minimum(name, near)
+
+
+def test_vectors_sent_at_once_stay_in_proportion(spark, monkeypatch):
+    """However many pairs of blocks meet, a wave of tiles gets each vector about twice."""
+    for name, value in {"BLOCK": 4, "LEAF": 4, "STRIPE_VALUES": 24 * 40, "STRIPE_ROWS": 40, "WAVE_VALUES": 1}.items():
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    sent, folded, compare = [], [], embedding_dedup._compare
+
+    def counted(*args):
+        run, rows = compare(*args), spark.sparkContext.accumulator(0)
+        sent.append(rows)
+
+        def each(batches):
+            def passed():
+                for b in batches:
+                    rows.add(b.num_rows)
+                    yield b
+            return run(passed())
+        return each
+
+    monkeypatch.setattr(embedding_dedup, "_compare", counted)
+    if hasattr(embedding_dedup, "waves"):  # one accumulator for each wave
+        here, real = [], embedding_dedup.waves
+
+        def each_wave(*args):
+            for w in real(*args):
+                here.append(sent[0].value)
+                yield w
+            here.append(sent[0].value)
+
+        monkeypatch.setattr(embedding_dedup, "waves", each_wave)
+        summed = embedding_dedup._summed
+        monkeypatch.setattr(embedding_dedup, "_summed", lambda found: folded.append(1) or summed(found))
+    data = near_vectors(400, 40, 24, 0.5).astype(np.float32).astype(float)
+    df = spark.createDataFrame(list(enumerate(data.tolist())), "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicate_vectors(df, threshold=0.6).collect()}
+    waves = np.diff(here) if hasattr(embedding_dedup, "waves") else [x.value for x in sent]
+    assert len(waves) > 3 and max(waves) <= 2.2 * len(data) and folded
+    n, name = links_and_components(data, 0.6)
+    assert n.max() > 3 and len(got) == len(data)
+    for i in range(len(data)):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (n[i], name[i], name[i] == i)
+
+
+def test_vector_tables_are_freed_and_hold_what_was_given(spark, monkeypatch):
+    sizes, real = {}, embedding_dedup.stage
+
+    def watched(df, name):
+        table = real(df, name)
+        if "vec" in table.columns:
+            sizes[name] = table.agg(F.max(F.length("vec"))).first()[0]
+        return table
+
+    monkeypatch.setattr(embedding_dedup, "stage", watched)
+    data = near_vectors(60, 6, 8, 0.1)
+    given = [*enumerate(data.tolist()), (60, data[3].tolist()), (61, None), (62, [1.0, None]), (63, []), (64, [0.0] * 8),
+             (65, [float("inf")] * 8), (66, data[3][:5].tolist()), (None, [0.0] * 7 + [-1.0])]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<float>")
+    before = tables(spark)
+    found = embedding_dedup.near_duplicate_vectors(df)
+    assert kinds(tables(spark) - before) == ["ego-full", "ego-rows"]
+    assert sizes and set(sizes.values()) == {4 * 8}
+    got = {r["vec_id"]: r for r in found.collect()}
+    n, name = links_and_components(np.vstack([data, data[3:4]]).astype(np.float32).astype(float))
+    assert len(got) == len(given) and got[60]["component_id"] == got[3]["component_id"] == name[3]
+    assert [got[i]["n_links"] for i in range(61)] == n.tolist()
+    for i in (61, 62, 63, 64, 65, 66):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, True)
+
+
+@pytest.mark.parametrize("dense", [1, 10 ** 9])
+def test_bounds_let_every_link_through(monkeypatch, dense):
+    """Links at the threshold, and just above and below it; ``dense`` pairs are compared one way or the other."""
+    monkeypatch.setattr(embedding_dedup, "DENSE", dense)
+    rng = np.random.default_rng(9)
+    u = embedding_dedup._normal(rng.normal(size=(40, 24)))
+    turn = embedding_dedup._normal(rng.normal(size=(40, 24)))
+    away = embedding_dedup._normal(turn - np.einsum("ij,ij->i", turn, u)[:, None] * u)
+    t = 0.95 + np.tile([-1e-9, 1e-9, -1e-3, 1e-3], 10)
+    v = u * t[:, None] + away * np.sqrt(1 - t * t)[:, None]
+    axes = np.linalg.qr(rng.normal(size=(24, 24)))[0][:, :16]
+
+    def interval(x):
+        p = x @ axes
+        left = np.sqrt(np.maximum((x * x).sum(axis=1) - (p * p).sum(axis=1), 0))
+        return embedding_dedup.Interval(x, p, np.hstack([p, left[:, None]]).astype(np.float32), np.ones(40, int), np.full(40, 24))
+
+    x, y = interval(u), interval(v)
+    assert (embedding_dedup._linked(x, y, 0.95) == (u @ v.T >= 0.95)).all() and embedding_dedup._linked(x, y, 0.95).sum() == 20
+    y.dim = np.full(40, 23)
+    assert embedding_dedup._linked(x, y, 0.95) is None
