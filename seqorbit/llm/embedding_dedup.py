@@ -202,18 +202,27 @@ def striped(box: DataFrame, n: int, width: int) -> tuple[DataFrame, int, int]:
 
 
 def block_pairs(box: DataFrame, eps: float, dims: int) -> DataFrame:
-    """``(a, b, x, y)`` with a <= b: blocks whose boxes are at most eps apart, and their stripes."""
-    cell = lambda c: F.floor(F.col(c) / eps).cast("int")
-    left = box.withColumn("lfrom", cell("lo0") - 1).withColumn("cell", F.explode(F.sequence("lfrom", cell("hi0") + 1)))
-    right = box.withColumnsRenamed({f"{x}{i}": f"r{x}{i}" for x in ("lo", "hi") for i in range(dims)})
-    right = right.withColumn("rfrom", cell("rlo0")).withColumn("cell", F.explode(F.sequence("rfrom", cell("rhi0"))))
-    gap = None
-    for i in range(dims):
-        d = F.greatest(F.col(f"lo{i}") - F.col(f"rhi{i}"), F.col(f"rlo{i}") - F.col(f"hi{i}"), F.lit(0.0))
-        gap = d * d if gap is None else gap + d * d
-    left, right = left.withColumnsRenamed({"block": "a", "stripe": "x"}), right.withColumnsRenamed({"block": "b", "stripe": "y"})
-    met = left.join(right, "cell").where("a <= b AND cell = greatest(lfrom, rfrom)")  # in the first common cell only
-    return met.where(gap <= (eps + SLACK) ** 2).select("a", "b", "x", "y")
+    """``(a, b, x, y)`` with a <= b: blocks whose boxes are at most eps apart, and their stripes.
+    A block meets the boxes of stripes first, then the blocks of those that are near."""
+    def prefixed(d, prefix, **names):
+        return d.withColumnsRenamed({f"{x}{i}": f"{prefix}{x}{i}" for x in ("lo", "hi") for i in range(dims)} | names)
+
+    def near(prefix):
+        gap = None
+        for i in range(dims):
+            d = F.greatest(F.col(f"lo{i}") - F.col(f"{prefix}hi{i}"), F.col(f"{prefix}lo{i}") - F.col(f"hi{i}"), F.lit(0.0))
+            gap = d * d if gap is None else gap + d * d
+        return gap <= (eps + SLACK) ** 2
+
+    # in order of the sequence, so that a task has few stripes x
+    left = box.repartitionByRange(CORE_TILES * box.sparkSession.sparkContext.defaultParallelism, "block")
+    left = left.withColumnsRenamed({"block": "a", "stripe": "x"})
+    around = box.groupBy("stripe").agg(*[f(f"{x}{i}").alias(f"{x}{i}") for x, f in (("lo", F.min), ("hi", F.max)) for i in range(dims)])
+    met = left.join(F.broadcast(prefixed(around, "s", stripe="y")), F.expr("x <= y") & near("s"))
+    met = met.select("a", "x", "y", *[f"{x}{i}" for x in ("lo", "hi") for i in range(dims)])
+    # a row for each block: a thousandth of the vectors
+    met = met.join(F.broadcast(prefixed(box, "r", block="b", stripe="y")), "y")
+    return met.where("a <= b").where(near("r")).select("a", "b", "x", "y")
 
 
 def tile_blocks(pairs: DataFrame) -> DataFrame:
